@@ -49,4 +49,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op3_chat": OP3}
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 34)) AS t(i)),
+m AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT r, j FROM g JOIN m USING (h), unnest(generate_series(i, i + 34)) AS t(j)),
+k AS (SELECT r, list(j) AS gone, count(*) AS n FROM c GROUP BY r),
+x AS (
+  SELECT d.r, count(*) FILTER (c.j IS NULL) AS n, string_agg(d.w[p.i], ' ' ORDER BY p.i) FILTER (c.j IS NULL) AS kept
+  FROM d CROSS JOIN unnest(generate_series(1, len(d.w))) AS p(i) LEFT JOIN c ON c.r = d.r AND c.j = p.i GROUP BY d.r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN x USING (r)
+"""
+
+ORACLES = {"op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 from .chat import format_chat, formatted, loss_texts, read_turns
 from .common import add_columns, read_table, stored, utf8
 from .decontaminate import decontaminate
+from .neardup import near_duplicates
+from .pack import pack, with_crc
 from .shard import shard
+from .substrings import drop_repeats
 from .tiff import decode_pages, encode
+from .tokens import read_tokens, write_tokens
 
 SHARDS = 16
 
@@ -25,6 +29,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    where = write_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
+    return with_crc(read_tokens(spark, where)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -51,6 +67,17 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = with_crc(pack(docs, tokenizer_path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
@@ -64,6 +91,11 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_digest(decode_pages(media))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", "class_id", "class_size")
+
+
 def page_digest(pages: DataFrame) -> DataFrame:
     """Joins each medium's page rows, which follow one another, into one row of checks and features."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -97,7 +129,11 @@ def page_digest(pages: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_files": op2_token_files,
     "op3_chat": op3_chat,
     "op5_shard": op5_shard,
+    "op6_pack": op6_pack,
+    "op8_substrings": op8_substrings,
     "op9_tiff": op9_tiff,
+    "op10_near_duplicates": op10_near_duplicates,
 }
