@@ -1,0 +1 @@
+"""Time-series analytics over Spark DataFrames: panels, resampling, hierarchies, diagnostics, forecasts, reconciliation."""

@@ -1,4 +1,7 @@
 """Catalogue of the time-series queries: one callable and, where SQL can express it, one DuckDB text a name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import resampling
+
+MODULES = (resampling,)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
