@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
-    """Half up on the scaled double. Unlike ``round`` this agrees between engines at decimal ties."""
+    """Half up on the scaled double, with a nudge of 1e-5 of the last place.
+
+    Unlike ``round`` this agrees between engines at decimal ties, and when sums were added in another order.
+    """
     scale = float(10**digits)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(x * F.lit(scale) + F.lit(0.50001)) / F.lit(scale)
 
 
 def money(x: Column) -> Column:

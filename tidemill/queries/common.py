@@ -36,7 +36,7 @@ readings AS (SELECT event_type, ts, CASE WHEN n > 0 THEN s / n END AS v FROM hou
 
 def r4(x: str, digits: int = 4) -> str:
     scale = f"1e{digits}"
-    return f"floor(({x}) * {scale} + 0.5) / {scale}"
+    return f"floor(({x}) * {scale} + 0.50001) / {scale}"
 
 
 def long_count(x: str = "*") -> str:

@@ -162,7 +162,7 @@ SELECT n_in, n_out, {r4("least(1.0, v1 / (v0 + 1e-12))")} AS retention, {r4("n_i
 _GAPS = """
 g AS (SELECT {k} AS k, epoch_us(t) - lag(epoch_us(t)) OVER (PARTITION BY {k} ORDER BY t) AS gap FROM (SELECT DISTINCT {k}, t FROM s)),
 m AS (SELECT k, CAST(count(*) AS BIGINT) AS n_timestamps, CAST(count(gap) AS BIGINT) AS n_gaps, quantile_cont(gap, 0.5) / 86400e6 AS days, count(DISTINCT gap) <= 1 AS regular FROM g GROUP BY k)
-SELECT k AS series, n_timestamps, n_gaps, regular, floor(days * 1e6 + 0.5) / 1e6 AS gap_days,
+SELECT k AS series, n_timestamps, n_gaps, regular, floor(days * 1e6 + 0.50001) / 1e6 AS gap_days,
        CASE WHEN days IS NULL OR days <= 1 THEN 'D' WHEN days <= 7 THEN 'W' WHEN days <= 31 THEN 'MS' WHEN days <= 92 THEN 'QS' ELSE 'YS' END AS freq
 FROM m"""
 
