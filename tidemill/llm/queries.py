@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 from .chat import format_chat, formatted, loss_texts, read_turns
 from .common import add_columns, read_table, stored, utf8
 from .decontaminate import decontaminate
+from .mixing import score_texts
 from .neardup import near_duplicates
 from .pack import pack, with_crc
 from .shard import shard
 from .substrings import drop_repeats
 from .tiff import decode_pages, encode
 from .tokens import read_tokens, write_tokens
+from .toxicity import toxicity
 
 SHARDS = 16
 
@@ -60,6 +62,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, read_table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -73,6 +80,10 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = drop_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -131,8 +142,10 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_chat": op3_chat,
+    "op4_toxicity": op4_toxicity,
     "op5_shard": op5_shard,
     "op6_pack": op6_pack,
+    "op7_mixing": op7_mixing,
     "op8_substrings": op8_substrings,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
