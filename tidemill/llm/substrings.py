@@ -91,7 +91,8 @@ def _anchors(texts: DataFrame, window: int, whole: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
     """Rows (t, spans): for each text digest, sorted ranges [first, last] of words in repeated windows."""
     texts = docs.select(text_key(text).alias("t"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
-    shared = _anchors(texts.select("text"), window, False).groupBy("g").count().filter("count > 1").select("g")
+    # Stored keys, not bare aggregates, are what units join: only then can skewed anchors be split.
+    shared = stored(_anchors(texts.select("text"), window, False).groupBy("g").count().filter("count > 1").select("g"), "anchors")
     units = stored(_anchors(texts, window, True).join(shared, "g"), "units")
     place = F.struct("t", "lo", "n")
     blocks = stored(units.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(place).alias("at")), "blocks")
@@ -123,7 +124,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
     small_batches(docs.sparkSession)
     found = stored(near.mapInArrow(windows, "g long, w long, t binary, at int, many boolean"), "boundaries")
     spot = F.struct("t", "at")
-    again = found.groupBy("g", "w").agg(F.max("many").alias("m"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("m or a < b").select("g", "w")
+    again = stored(found.groupBy("g", "w").agg(F.max("many").alias("m"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("m or a < b").select("g", "w"), "again")
     edges = found.filter("not many").join(again, ["g", "w"]).select("t", F.col("at").alias("lo"), F.col("at").alias("hi")).distinct()
     ranges = factors.unionByName(edges).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
     return ranges.select("t", F.transform("ranges", lambda r: F.struct(r["lo"].alias("first"), (r["hi"] + window - 1).alias("last"))).alias("spans"))
