@@ -8,8 +8,9 @@ probability of their weighted Jaccard similarity, at a cost of about K ln K dart
 Links: texts that share a band are candidates. Classes grow in rounds of checked pairs, exact Jaccard similarity on
 shingle sets: each text with its first bucket leader, then with the leaders of other classes, then, in buckets that
 still hold several classes, with a partner drawn from another class, and last every pair of different classes that a
-bucket still holds. Pairs inside a class need no check, so groups of copies cost about a pair a text, and no
-candidate link is lost. Equal texts meet in one node first.
+bucket still holds. Pairs inside a class need no check, so groups of copies cost about a pair a text. Before sets are
+fetched, a pair's signatures must agree in so many coordinates that a link would fall short of it once in 300,000
+times; a pair that shares several bands is taken in its first. Equal texts meet in one node first.
 
 Defined results: null and wordless texts are classes of their own, as are all rows without a partner; a text of
 fewer words than a shingle is one shingle; repeated rows share a class; class ids are the least doc id of the class
@@ -22,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, utf8, without
@@ -116,26 +117,37 @@ def lowered(texts: list[bytes | None]) -> list[bytes | None]:
     return [t.lower() if t else t for t in texts]  # bytes: A-Z only
 
 
+def least_matches(least: float, coordinates: int) -> int:
+    """Coordinates in which the signatures of a link agree, but for 4.5 standard deviations."""
+    return math.floor(coordinates * least - 4.5 * math.sqrt(coordinates * least * (1 - least)))
+
+
+def _agree(x: Column, y: Column) -> Column:
+    """Coordinates in which two signatures agree."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, e: n + e)
+
+
 def _signed_texts(texts: DataFrame, size: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(t, bands) of texts with words."""
+    """(t, bands, sig) of texts with words; sig holds two bytes a coordinate."""
 
     def run(batches):
         for batch in batches:
             raws = lowered(utf8(batch, "text"))
             doc, value = shingle_sets(Words(raws), size)
-            sign = dart_signatures(doc, value, len(raws), bands * rows, seed).reshape(len(raws), bands, rows)
+            sign = dart_signatures(doc, value, len(raws), bands * rows, seed)
+            short = (mix(sign) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            sign = sign.reshape(len(raws), bands, rows)
             key = np.zeros((len(raws), bands), np.uint64)
             for r in range(rows):
                 key = mix(key * np.uint64(31) + sign[:, :, r])
             key = mix(key + np.arange(bands, dtype=np.uint64))
             some = np.flatnonzero(np.bincount(doc, minlength=len(raws)) > 0)
             if len(some):
-                flat = pa.array(key[some].ravel().view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("t")).take(pa.array(some)).cast(pa.binary()), lists], names=["t", "bands"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x[some].ravel())) for x in (key.view(np.int64), short)]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("t")).take(pa.array(some)).cast(pa.binary()), *lists], names=["t", "bands", "sig"])
 
     small_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "t binary, bands array<bigint>")
+    return texts.mapInArrow(run, "t binary, bands array<bigint>, sig array<smallint>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -202,18 +214,23 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int = 24, rows: int = 5, seed: int = 3) -> DataFrame:
     """Labels (t, c) of the texts (t, text) that share a band with another; c is the least key of the class."""
-    signed = _signed_texts(texts, size, bands, rows, seed).groupBy("t").agg(F.first("bands").alias("bands"))
+    signed = stored(_signed_texts(texts, size, bands, rows, seed).groupBy("t").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "signatures")
     in_band = signed.select("t", F.explode("bands").alias("b"))
-    in_band = stored(in_band, "bands")
-    crowded = in_band.groupBy("b").agg(F.count("*").alias("n"), F.min("t").alias("leader")).filter("n > 1").select("b", "leader")
+    crowded = stored(in_band.groupBy("b").agg(F.count("*").alias("n"), F.min("t").alias("leader")).filter("n > 1").select("b", "leader"), "crowded")
     members = stored(in_band.join(crowded, "b"), "buckets")
     led = stored(members.filter("t <> leader").select(F.col("t").alias("b"), F.col("leader").alias("a")).distinct(), "led")
     labels = stored(members.select("t", F.col("t").alias("c")).distinct(), "labels")
+    signed = stored(signed.join(labels.select("t"), "t", "left_semi"), "signatures")
     sets = stored(_sets(texts.join(labels.select("t"), "t", "left_semi"), size).dropDuplicates(["t"]), "sets")
+    enough = least_matches(least, bands * rows)
     of = lambda name: labels.select(F.col("t").alias(name), F.col("c").alias("c" + name))
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        side = lambda name: signed.select(F.col("t").alias(name), F.col("sig").alias("s" + name))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("sa"), F.col("sb")) >= enough).select("a", "b")
+
     first = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    labels = _merge(labels, stored(_checked(first, sets, least), "links"))
+    labels = _merge(labels, stored(_checked(likely(first), sets, least), "links"))
     rest = led.join(first, ["a", "b"], "left_anti")
     for draw in range(2):
         # Of a text's other leaders, one in each class: drawn by hash, first draw; all others, second draw.
@@ -223,27 +240,33 @@ def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int
         asked = stored(across.select("a", "b"), "pairs")
         if asked.isEmpty():
             break
-        labels = _merge(labels, stored(_checked(asked, sets, least), "links"))
+        labels = _merge(labels, stored(_checked(likely(asked), sets, least), "links"))
         rest = rest.join(asked, ["a", "b"], "left_anti")
-    tested = led
+    tested = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for draw in range(3):
         # Buckets that still hold several classes: twice each text with a partner drawn from the least or the greatest class but its own, at last with all.
         here = members.select("t", "b").join(labels, "t")
-        ends = here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1")
+        ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1"), "ends")
         here = here.join(ends, "b")
-        other = F.when(F.col("c") == F.col("c0"), F.col("c1")).otherwise(F.col("c0"))
         if draw < 2:
+            other = F.when(F.col("c") == F.col("c0"), F.col("c1")).otherwise(F.col("c0"))
             pick = here.groupBy("b", "c").agg(F.min_by("t", F.xxhash64("t", "b", F.lit(draw))).alias("a"))
             pairs = here.withColumn("o", other).join(pick.select("b", F.col("c").alias("o"), "a"), ["b", "o"]).select("a", F.col("t").alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            asked = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = likely(asked)
         else:
-            right = here.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"))
-            pairs = here.join(right, "b").filter("c < c2").select(F.col("t").alias("a"), F.col("t2").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        asked = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            left = stored(here.select("t", "b", "c").join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflicts")
+            right = left.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"), F.col("sig").alias("sig2"))
+            shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
+            fits = (F.col("left.b") == F.col("right.b")) & (F.col("c") < F.col("c2")) & (_agree(F.col("sig"), F.col("sig2")) >= enough) & (shared == F.col("at"))
+            pairs = left.alias("left").join(right.alias("right"), fits).select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b"))
+            asked = stored(pairs, "pairs")
+            pairs = asked.join(tested, ["a", "b"], "left_anti")
         if asked.isEmpty():
             continue
-        labels = _merge(labels, stored(_checked(asked, sets, least), "links"))
-        tested = tested.select("a", "b").unionByName(asked)
+        labels = _merge(labels, stored(_checked(pairs, sets, least), "links"))
+        tested = tested.unionByName(asked)
     return labels
 
 
