@@ -35,17 +35,20 @@ MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sBBHQQ")
 RANK_BYTES = 64
 
-_RISKY = re.compile(r" \s|\s \Z|\0")
+_RISKY = re.compile(r"\s\s|\0")
+_POINTS = frozenset(".,;:!?")
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes, ``width`` bytes an id.
 
-    leading_space: chunks carry the space before them (byte-level vocabularies); otherwise spaces are dropped.
-    memo: chunks remembered; the memory is emptied when full. Longer chunks than 48 characters aren't remembered.
+    leading_space: chunks carry the space before them (byte-level vocabularies); otherwise white space and case are
+    dropped by the tokenizer. A point behind a letter is always a token boundary, so "word." is put together from
+    "word" and ".". Chunks are remembered in two generations of ``memo`` each: the elder one goes when the younger is
+    full, and what is still in use moves on. Chunks of over 48 characters aren't remembered.
     """
 
-    def __init__(self, path: str, leading_space: bool, memo: int = 300_000):
+    def __init__(self, path: str, leading_space: bool, memo: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,30 +58,54 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.letter = "H" if self.width == 2 else "I"
-        self.leading_space, self.room, self.memo = leading_space, memo, {}
+        self.leading_space, self.room, self.young, self.old = leading_space, memo, {}, {}
 
     def _cut(self, text: str) -> list[str]:
         if not self.leading_space:
-            return text.split(" ")
+            return text.replace("\n", " ").split(" ")
         if _RISKY.search(text):
             return [text]
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        if len(chunk) > 1 and chunk[-1] in _POINTS and chunk[-2].isalpha():
+            return (*self._parts(chunk[:-1]), chunk[-1])
+        if not self.leading_space and chunk.isascii():
+            return (chunk.lower(),)
+        return (chunk,)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > self.room:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
         cut = [self._cut(t) for t in texts]
-        need = set(chain.from_iterable(cut))
-        if len(self.memo) + len(need) > self.room:
-            self.memo.clear()
-        memo = self.memo
-        new = [c for c in need if c not in memo]
-        brief = {}
+        parts: dict[str, tuple[str, ...]] = {}
+        for chunk in set(chain.from_iterable(cut)):
+            if chunk not in young:
+                if chunk in old:
+                    young[chunk] = old[chunk]
+                else:
+                    parts[chunk] = self._parts(chunk)
+        known: dict[str, bytes] = {}
+        new = []
+        for part in set(chain.from_iterable(parts.values())):
+            held = young.get(part) or old.get(part)
+            if held is None:
+                new.append(part)
+            else:
+                known[part] = held
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (memo if len(chunk) <= 48 else brief)[chunk] = array(self.letter, made.ids).tobytes()
-        if brief:
-            return [b"".join([memo[c] if c in memo else brief[c] for c in chunks]) for chunks in cut]
-        return [b"".join(map(memo.__getitem__, chunks)) for chunks in cut]
+            for part, made in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
+                known[part] = array(self.letter, made.ids).tobytes()
+        long = {}
+        for chunk, pieces in parts.items():
+            (young if len(chunk) <= 48 else long)[chunk] = b"".join([known[p] for p in pieces])
+        for part in new:
+            if len(part) <= 48:
+                young[part] = known[part]
+        if long:
+            return [b"".join([young[c] if c in young else long[c] for c in chunks]) for chunks in cut]
+        return [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
 
 
 _encoders: dict[tuple, Encoder] = {}
