@@ -141,7 +141,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "start", "length", "ids", "width", "doc_tokens", "sequence_id", "offset"])
 
     small_batches(spark)
-    ordered = tokens.repartition("part").sortWithinPartitions("part", "key", "doc_id", "n", "ids")
+    ordered = tokens.repartitionByRange(parts, "part").sortWithinPartitions("part", "key", "doc_id", "n", "ids")
     return ordered.mapInArrow(cut, "doc_id long, start long, length long, ids binary, width int, doc_tokens long, sequence_id long, offset long")
 
 
