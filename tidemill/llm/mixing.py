@@ -44,6 +44,18 @@ def fold_of(doc_id: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def pieces(texts: list[bytes | None], most: int = 400_000) -> Iterator[slice]:
+    """Slices of a batch of about ``most`` bytes each (one text at least): what is expanded to decisions at once."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= most:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 class Tokens:
     """Word hashes of a batch with the end token after each text, and where the words' bytes are."""
 
@@ -195,8 +207,7 @@ def _cost(bit: np.ndarray, logit: np.ndarray) -> np.ndarray:
 def mix_words(model: Model, tokens: Tokens, symbols: np.ndarray, rate: float, block: int, watch=None) -> np.ndarray:
     """Bits of each text's tree decisions; weights follow each text online in blocks of tokens.
 
-    watch(gate, mixed, bit): sees every decision in its order. Returns also leave ``mix_words.last`` alone: the
-    adapted weights are given to ``watch`` by its attribute, see ``train_mixer``.
+    watch(gate, mixed, bit, inputs): sees every decision in its order.
     """
     token, bit, node, s1, s2 = word_decisions(model, tokens, symbols)
     x, gate = _inputs(model, model.paths[3][node], 0, (model.known[s1], model.known[s2]), [s1, s2])
@@ -243,7 +254,7 @@ def score_batch(model: Model, texts: list[bytes | None], rate: float = 0.002, bl
     rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
     if len(rare):
         _, first, back = np.unique(tokens.hashes[rare], return_index=True, return_inverse=True)
-        cost = np.concatenate([spell_costs(model, tokens, rare[first[k : k + 20_000]]) for k in range(0, len(first), 20_000)])
+        cost = np.concatenate([spell_costs(model, tokens, rare[first[k : k + 4_000]]) for k in range(0, len(first), 4_000)])
         bits += np.bincount(tokens.doc[rare], cost[back], docs)
     inside = symbols < len(model.hashes)
     counts = model.counts[np.minimum(symbols, max(0, len(model.counts) - 1))] if len(model.counts) else np.zeros(len(symbols))
@@ -284,16 +295,18 @@ def _context_tables(rows: DataFrame, model: Model, fan: int = 48) -> np.ndarray:
         for batch in batches:
             if seen is None:
                 seen = np.zeros(2 << model.table_bits, np.uint32)
-            tokens = Tokens(utf8(batch, "text"))
-            symbols = model.symbols(tokens.hashes)
-            _, bit, _, s1, s2 = word_decisions(model, tokens, symbols)
-            for slot in (s1, s2):
-                np.add.at(seen, slot * 2 + bit, np.uint32(1))
-            rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
-            for k in range(0, len(rare), 20_000):
-                _, bit, *slots = byte_decisions(model, tokens, rare[k : k + 20_000])
-                for slot in slots:
+            raws = utf8(batch, "text")
+            for piece in pieces(raws):
+                tokens = Tokens(raws[piece])
+                symbols = model.symbols(tokens.hashes)
+                _, bit, _, s1, s2 = word_decisions(model, tokens, symbols)
+                for slot in (s1, s2):
                     np.add.at(seen, slot * 2 + bit, np.uint32(1))
+                rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
+                for k in range(0, len(rare), 4_000):
+                    _, bit, *slots = byte_decisions(model, tokens, rare[k : k + 4_000])
+                    for slot in slots:
+                        np.add.at(seen, slot * 2 + bit, np.uint32(1))
         if seen is not None:
             task = TaskContext.get().partitionId()
             for k in range(0, len(seen), CHUNK):
@@ -332,12 +345,14 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
             work.weights = weights.astype(np.float32)
 
         for batch in batches:
-            tokens = Tokens(utf8(batch, "text"))
-            symbols = work.symbols(tokens.hashes)
-            mix_words(work, tokens, symbols, rate, block, watch)
-            rare = np.flatnonzero((symbols == len(work.hashes)) & (tokens.word_at >= 0))
-            for k in range(0, len(rare), 20_000):
-                spell_costs(work, tokens, rare[k : k + 20_000], watch)
+            raws = utf8(batch, "text")
+            for piece in pieces(raws):
+                tokens = Tokens(raws[piece])
+                symbols = work.symbols(tokens.hashes)
+                mix_words(work, tokens, symbols, rate, block, watch)
+                rare = np.flatnonzero((symbols == len(work.hashes)) & (tokens.word_at >= 0))
+                for k in range(0, len(rare), 4_000):
+                    spell_costs(work, tokens, rare[k : k + 4_000], watch)
         for gate in range(GATES):
             total = seen[gate].sum()
             if total:
@@ -397,7 +412,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     def score(batches):
         for batch in batches:
             raws = utf8(batch, "text")
-            n, known, base, rare, score = score_batch(shared.value, raws, rate, block)
+            made = [score_batch(shared.value, raws[piece], rate, block) for piece in pieces(raws)]
+            n, known, base, rare, score = (np.concatenate(c) for c in zip(*made))
             size = np.array([len(r) for r in raws])
             per_byte = -score / LOG10_2 / np.maximum(size, 1)
             col = lambda name: batch.column(batch.schema.get_field_index(name))
