@@ -227,9 +227,8 @@ def mix_words(model: Model, tokens: Tokens, symbols: np.ndarray, rate: float, bl
         error = (bit[at] - _sigmoid(mixed)).astype(np.float32) * np.float32(rate)
         if watch is not None:
             watch(gate[at], mixed, bit[at], xs)
-        touched, back = np.unique(cell, return_inverse=True)
         for k in range(INPUTS):
-            own[touched, k] += np.bincount(back, error * xs[:, k], len(touched)).astype(np.float32)
+            own[:, k] += np.bincount(cell, error * xs[:, k], docs * GATES).astype(np.float32)
     return total
 
 
