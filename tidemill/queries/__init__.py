@@ -1,7 +1,7 @@
 """Catalogue of the time-series queries: one callable and, where SQL can express it, one DuckDB text a name."""
 
-from . import analysis, feature_queries, hierarchies, quality, resampling
+from . import analysis, feature_queries, forecasting, hierarchies, quality, resampling
 
-MODULES = (resampling, hierarchies, quality, feature_queries, analysis)
+MODULES = (resampling, hierarchies, quality, feature_queries, analysis, forecasting)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
