@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..functions.freq import Freq
 from . import intermittency
 from .kernels import by_series
+from .missing import joined_by
 from .models import run_models
 from .windows import ordered
 
@@ -75,7 +76,7 @@ def combine(predictions: DataFrame, scored: DataFrame, keys: Sequence[str]) -> D
 def intervals(future: DataFrame, sigma: DataFrame, keys: Sequence[str], non_negative: bool = True) -> DataFrame:
     """Adds lower_95 and upper_95: 1.96 sigma sqrt(step) about a forecast; sigma has (keys, sigma)."""
     keys = list(keys)
-    at = future.join(sigma, keys) if keys else future.withColumn("_k", F.lit(1)).join(sigma.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    at = joined_by(future, sigma, keys)
     band = F.lit(1.96) * F.col("sigma") * F.sqrt(F.col("step"))
     low = F.col("forecast") - band
     return at.withColumn("lower_95", F.greatest(low, F.lit(0.0)) if non_negative else low).withColumn("upper_95", F.col("forecast") + band)
@@ -86,7 +87,7 @@ def error_sigma(holdout: DataFrame, history: DataFrame, keys: Sequence[str], ts:
     keys = list(keys)
     errors = holdout.groupBy(*keys).agg(F.stddev_samp(F.col("y") - F.col("yhat")).alias("_e"))
     steps = history.select(*keys, (F.col(value) - F.lag(value).over(ordered(keys, ts))).alias("_d")).groupBy(*keys).agg(F.stddev_samp("_d").alias("_s"))
-    return steps.join(errors, keys, "left").select(*keys, F.coalesce(F.when(F.col("_e") > 0, F.col("_e")), "_s", F.lit(1.0)).alias("sigma"))
+    return joined_by(steps, errors, keys, "left").select(*keys, F.coalesce(F.when(F.col("_e") > 0, F.col("_e")), "_s", F.lit(1.0)).alias("sigma"))
 
 
 def seasonal_naive(df: DataFrame, keys: Sequence[str], horizon: int, period: int, ts: str = "ts", value: str = "v") -> DataFrame:
@@ -113,10 +114,10 @@ def baseline(df: DataFrame, keys: Sequence[str], horizon: int, period: int, tren
     if seasonal_strength > 0.5 and period > 1:
         season = seasonal_naive(df, keys, horizon, period, ts, value)
         last = df.withColumn("_b", F.row_number().over(w.orderBy(F.desc(ts)))).filter(F.col("_b") <= period).groupBy(*keys).agg(F.avg(value).alias("_m"))
-        shift = season.join(last, keys).select(*keys, "step", (F.col("forecast") - F.col("_m")).alias("_s"))
+        shift = joined_by(season, last, keys).select(*keys, "step", (F.col("forecast") - F.col("_m")).alias("_s"))
         base = base.join(shift, [*keys, "step"], "left").withColumn("forecast", F.col("forecast") + F.coalesce("_s", F.lit(0.0))).drop("_s")
     low = df.groupBy(*keys).agg((F.min(value) >= 0).alias("_p"))
-    return base.join(low, keys).withColumn("forecast", F.when(F.col("_p"), F.greatest("forecast", F.lit(0.0))).otherwise(F.col("forecast"))).drop("_p")
+    return joined_by(base, low, keys).withColumn("forecast", F.when(F.col("_p"), F.greatest("forecast", F.lit(0.0))).otherwise(F.col("forecast"))).drop("_p")
 
 
 def automatic(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | Freq, ts: str = "ts", value: str = "v", allow_negative: bool = False) -> DataFrame:
@@ -126,17 +127,17 @@ def automatic(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | Freq
     known = df.filter(F.col(value).isNotNull())
     size = known.groupBy(*keys).agg(F.count("*").alias("_n"))
     kind = intermittency.classify(known, keys, value).select(*keys, "class")
-    how = size.join(kind, keys, "left").select(
+    how = joined_by(size, kind, keys, "left").select(
         *keys,
         F.when(F.col("_n") == 1, "repeat").when(F.col("class") == "Intermittent", "sba").when(F.col("class") == "Lumpy", "tsb").when((F.col("_n") >= period) & F.lit(period > 1), "seasonal_naive").otherwise("drift").alias("model"),
     )
-    at = known.join(how, keys)
+    at = joined_by(known, how, keys)
     part = lambda m: at.filter(F.col("model") == m)
     made = drift(at.filter(F.col("model").isin("drift", "repeat")), keys, horizon, ts, value)
     made = made.unionByName(seasonal_naive(part("seasonal_naive"), keys, horizon, period, ts, value))
     for m in ("sba", "tsb"):
         made = made.unionByName(intermittency.family_forecast(part(m), keys, m, horizon, ts, value).drop("model"))
-    out = made.join(how, keys)
+    out = joined_by(made, how, keys)
     return out if allow_negative else out.withColumn("forecast", F.greatest("forecast", F.lit(0.0)))
 
 

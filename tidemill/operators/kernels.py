@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def by_series(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame | dict | list[dict]], fields: str, ts: str = "ts", value: str = "v", more: Sequence[str] = (), keep_ts: bool = False) -> DataFrame:
@@ -28,7 +29,14 @@ def by_series(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], p
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    return df.select(*keys, ts, value, *more).groupBy(*keys).applyInPandas(run, schema)
+    return per_series(df.select(*keys, ts, value, *more), keys, run, schema)
+
+
+def per_series(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """Grouped pandas function by key; a table without keys is one series."""
+    if keys:
+        return df.groupBy(*keys).applyInPandas(fn, schema)
+    return df.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(lambda pdf: fn(pdf.drop(columns="_k")), schema)
 
 
 # Distributions
@@ -344,4 +352,4 @@ def boxcox_transform(df: DataFrame, keys: Sequence[str], ts: str, value: str, na
             made[held] = np.log1p(np.maximum(y[held], -1 + 1e-9))
         return pdf.assign(**{name: made})
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    return per_series(df, keys, one, schema)

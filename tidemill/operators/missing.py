@@ -10,9 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .kernels import per_series
+
 NATIVE = ("forward_fill", "backward_fill", "mean", "median", "zero", "linear", "seasonal", "knn")
 
 
+def joined_by(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per series; without keys both sides are of one series, and the right one has a single row."""
+    if keys:
+        return a.join(b, list(keys), how)
+    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k", how).drop("_k")
+
+
 def zero_as_missing(value: str) -> Column:
     return F.nullif(F.col(value), F.lit(0.0))
 
@@ -33,7 +42,7 @@ def gap_summary(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str =
         F.transform(F.sort_array(F.collect_list(F.struct("start", "length"))), lambda x: x["length"]).alias("gap_lengths"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return total.join(runs, list(keys), "left").select(*keys, "n", "n_missing", (1 - F.col("n_missing") / F.col("n")).alias("completeness"), zero("n_gaps"), zero("max_gap"), F.coalesce("mean_gap", F.lit(0.0)).alias("mean_gap"), F.coalesce("gap_lengths", F.expr("cast(array() as array<bigint>)")).alias("gap_lengths"))
+    return joined_by(total, runs, keys, "left").select(*keys, "n", "n_missing", (1 - F.col("n_missing") / F.col("n")).alias("completeness"), zero("n_gaps"), zero("max_gap"), F.coalesce("mean_gap", F.lit(0.0)).alias("mean_gap"), F.coalesce("gap_lengths", F.expr("cast(array() as array<bigint>)")).alias("gap_lengths"))
 
 
 COMPLETE, MAR, MNAR, MCAR = "COMPLETE", "MAR (end-of-series)", "MNAR", "MCAR"
@@ -59,7 +68,7 @@ def missing_pattern(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: s
 
 def choose_method(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
     """Imputation method of each series by its gaps and pattern."""
-    both = gap_summary(df, keys, ts, value).join(missing_pattern(df, keys, ts, value).drop("n_missing"), list(keys))
+    both = joined_by(gap_summary(df, keys, ts, value), missing_pattern(df, keys, ts, value).drop("n_missing"), keys)
     share = F.col("n_missing") / (F.col("n_missing") + 1)  # as published: never under a half, so knn is not reached
     method = F.when(F.col("n_missing") == 0, "none").when(F.col("max_gap") <= 2, "linear").when(F.col("max_gap") <= 7, "spline").when(F.col("pattern") == MAR, "forward_fill").when(share < 0.3, "knn").otherwise("seasonal")
     return both.withColumn("method", method)
@@ -99,7 +108,7 @@ def impute(df: DataFrame, keys: Sequence[str], method: str = "auto", period: int
         df = df.withColumn(value, zero_as_missing(value))
     if method == "auto":
         chosen = choose_method(df, keys, ts, value).select(*keys, "method")
-        at = df.join(chosen, keys)
+        at = joined_by(df, chosen, keys)
         out = [impute(at.filter(F.col("method") == m), keys, m, period, ts, value) for m in ("linear", "forward_fill", "seasonal", "spline")]
         whole = at.filter("method = 'none'").withColumn("imputed", F.col(value)).withColumn("was_missing", F.lit(False))
         for part in out:
@@ -152,7 +161,7 @@ def spline_impute(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str
         made[~held] = natural_spline(x[held], y[held], x[~held])
         return pdf.assign(imputed=made, was_missing=~held)
 
-    return at.groupBy(*keys).applyInPandas(one, schema)
+    return per_series(at, keys, one, schema)
 
 
 def impute_wide(df: DataFrame, columns: Sequence[str], ts: str = "ts", method: str = "linear", period: int = 7) -> DataFrame:

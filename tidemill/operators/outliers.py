@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .kernels import per_series
+from .missing import joined_by
+
 KERNELS = ("isof", "lof")
 
 
@@ -97,7 +100,7 @@ def _kernel_flags(df: DataFrame, keys: Sequence[str], names: Sequence[str], ts:
 
     types = dict(df.dtypes)
     schema = ", ".join([f"{c} {types[c]}" for c in (*keys, ts)]) + ", " + cols
-    return df.select(*keys, ts, value).groupBy(*keys).applyInPandas(one, schema)
+    return per_series(df.select(*keys, ts, value), keys, one, schema)
 
 
 def detect(df: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("iqr", "zscore"), ts: str = "ts", value: str = "v", residual: str | None = None, iqr: float = 1.5, z: float = 3.0) -> DataFrame:
@@ -131,7 +134,7 @@ def advice(detected: DataFrame, keys: Sequence[str], value: str = "v") -> DataFr
     """Adds a treatment text: cap to the fences for low and medium severity, look into high severity."""
     limits = fences(detected, keys, value).select(*keys, "lower", "upper")
     cap = F.format_string("cap to [%.4f, %.4f]", "lower", "upper")
-    return detected.join(limits, list(keys)).withColumn("treatment", F.when(F.col("severity") == "HIGH", "investigate / impute").when(F.col("is_outlier"), cap)).drop("lower", "upper")
+    return joined_by(detected, limits, keys).withColumn("treatment", F.when(F.col("severity") == "HIGH", "investigate / impute").when(F.col("is_outlier"), cap)).drop("lower", "upper")
 
 
 def treat(detected: DataFrame, keys: Sequence[str], treatment: str = "cap", value: str = "v") -> DataFrame:
@@ -145,7 +148,7 @@ def treat(detected: DataFrame, keys: Sequence[str], treatment: str = "cap", valu
         raise ValueError(f"unknown treatment {treatment!r}")
     limits = fences(detected, keys, value).select(*keys, "lower", "upper")
     capped = F.least(F.greatest(v, F.col("lower")), F.col("upper"))
-    joined = detected.join(limits, list(keys)) if keys else detected.withColumn("_k", F.lit(1)).join(limits.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    joined = joined_by(detected, limits, keys)
     return joined.withColumn("treated", F.when(F.col("is_outlier"), capped).otherwise(v)).drop("lower", "upper")
 
 
