@@ -5,12 +5,11 @@ says, all taken from hashes of the shingle and the region. Darts under the shing
 and a coordinate, and the earliest dart of a coordinate is its value. Two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity, at a cost of about K ln K darts a document.
 
-Links: texts that share a band are candidates. Classes grow in rounds of checked pairs, exact Jaccard similarity on
-shingle sets: each text with its first bucket leader, then with the leaders of other classes, then, in buckets that
-still hold several classes, with a partner drawn from another class, and last every pair of different classes that a
-bucket still holds. Pairs inside a class need no check, so groups of copies cost about a pair a text. Before sets are
-fetched, a pair's signatures must agree in so many coordinates that a link would fall short of it once in 300,000
-times; a pair that shares several bands is taken in its first. Equal texts meet in one node first.
+Links: texts that share a band are candidates. Classes grow in two rounds of checked pairs, exact Jaccard similarity
+on shingle sets: each text with the leaders of its buckets, at most one pair a band, then every pair of different
+classes that a bucket still holds. Pairs inside a class need no check, so groups of copies cost a few pairs a text.
+Before sets are fetched, a pair's signatures must agree in so many coordinates that a link would fall short of it once
+in 300,000 times; a pair that shares several bands is taken in its first. Equal texts meet in one node first.
 
 Defined results: null and wordless texts are classes of their own, as are all rows without a partner; a text of
 fewer words than a shingle is one shingle; repeated rows share a class; class ids are the least doc id of the class
@@ -221,53 +220,23 @@ def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int
     led = stored(members.filter("t <> leader").select(F.col("t").alias("b"), F.col("leader").alias("a")).distinct(), "led")
     labels = stored(members.select("t", F.col("t").alias("c")).distinct(), "labels")
     signed = stored(signed.join(labels.select("t"), "t", "left_semi"), "signatures")
-    sets = stored(_sets(texts.join(labels.select("t"), "t", "left_semi"), size).dropDuplicates(["t"]), "sets")
+    # A merge join at every size: it copes with hot copies, and the plan does not change as labels outgrow a broadcast.
+    sets = stored(_sets(texts.join(labels.select("t").hint("merge"), "t", "left_semi"), size).dropDuplicates(["t"]), "sets")
     enough = least_matches(least, bands * rows)
-    of = lambda name: labels.select(F.col("t").alias(name), F.col("c").alias("c" + name))
 
     def likely(pairs: DataFrame) -> DataFrame:
         side = lambda name: signed.select(F.col("t").alias(name), F.col("sig").alias("s" + name))
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("sa"), F.col("sb")) >= enough).select("a", "b")
 
-    first = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    labels = _merge(labels, stored(_checked(likely(first), sets, least), "links"))
-    rest = led.join(first, ["a", "b"], "left_anti")
-    for draw in range(2):
-        # Of a text's other leaders, one in each class: drawn by hash, first draw; all others, second draw.
-        across = rest.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb")
-        if draw == 0:
-            across = across.groupBy("b", "ca").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a"))
-        asked = stored(across.select("a", "b"), "pairs")
-        if asked.isEmpty():
-            break
-        labels = _merge(labels, stored(_checked(likely(asked), sets, least), "links"))
-        rest = rest.join(asked, ["a", "b"], "left_anti")
-    tested = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for draw in range(3):
-        # Buckets that still hold several classes: twice each text with a partner drawn from the least or the greatest class but its own, at last with all.
-        here = members.select("t", "b").join(labels, "t")
-        ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1"), "ends")
-        here = here.join(ends, "b")
-        if draw < 2:
-            other = F.when(F.col("c") == F.col("c0"), F.col("c1")).otherwise(F.col("c0"))
-            pick = here.groupBy("b", "c").agg(F.min_by("t", F.xxhash64("t", "b", F.lit(draw))).alias("a"))
-            pairs = here.withColumn("o", other).join(pick.select("b", F.col("c").alias("o"), "a"), ["b", "o"]).select("a", F.col("t").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            asked = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            pairs = likely(asked)
-        else:
-            left = stored(here.select("t", "b", "c").join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflicts")
-            right = left.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"), F.col("sig").alias("sig2"))
-            shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
-            fits = (F.col("left.b") == F.col("right.b")) & (F.col("c") < F.col("c2")) & (_agree(F.col("sig"), F.col("sig2")) >= enough) & (shared == F.col("at"))
-            pairs = left.alias("left").join(right.alias("right"), fits).select(F.least("t", "t2").alias("a"), F.greatest("t", "t2").alias("b"))
-            asked = stored(pairs, "pairs")
-            pairs = asked.join(tested, ["a", "b"], "left_anti")
-        if asked.isEmpty():
-            continue
-        labels = _merge(labels, stored(_checked(pairs, sets, least), "links"))
-        tested = tested.unionByName(asked)
-    return labels
+    labels = _merge(labels, stored(_checked(likely(led), sets, least), "links"))
+    here = members.select("t", "b").join(labels, "t")
+    ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("b"), "ends")
+    left = stored(here.join(ends, "b").join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflicts")
+    right = left.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"), F.col("sig").alias("sig2"))
+    shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
+    fits = (F.col("left.b") == F.col("right.b")) & (F.col("c") < F.col("c2")) & (_agree(F.col("sig"), F.col("sig2")) >= enough) & (shared == F.col("at"))
+    pairs = left.alias("left").join(right.alias("right"), fits).select(F.col("t").alias("a"), F.col("t2").alias("b"))
+    return _merge(labels, stored(_checked(pairs, sets, least), "links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
