@@ -16,7 +16,6 @@ a null id comes first; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from array import array
@@ -35,10 +34,20 @@ MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sBBHQQ")
 RANK_BYTES = 64
 
-_RISKY = re.compile(r"\s\s|\0")
+#: White space other than a space or a line end; texts that have any are encoded whole, as are those with runs of it.
+_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_ODD_ASCII = [c for c in _ODD if c.isascii()]
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
 _POINTS = frozenset(".,;:!?")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one past 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian bytes, ``width`` bytes an id.
 
@@ -49,13 +58,16 @@ class Encoder:
     """
 
     def __init__(self, path: str, leading_space: bool, memo: int = 400_000):
+        import gc
         import os
 
+        gc.set_threshold(500_000)  # the memory's many small objects form no cycles
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.chars = self.tokenizer.model, _byte_chars()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.letter = "H" if self.width == 2 else "I"
         self.leading_space, self.room, self.young, self.old = leading_space, memo, {}, {}
@@ -63,7 +75,7 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         if not self.leading_space:
             return text.replace("\n", " ").split(" ")
-        if _RISKY.search(text):
+        if any(r in text for r in _RUNS) or any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
             return [text]
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -74,18 +86,32 @@ class Encoder:
             return (chunk.lower(),)
         return (chunk,)
 
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts. A run of letters (behind a space) is one word to the tokenizer: its model merges it as it is."""
+        out, rest = {}, []
+        for part in parts:
+            plain = part.isascii()
+            if (plain or self.leading_space) and (part[1:] if part[:1] == " " else part).isalpha():
+                told = part if plain and part[0] != " " else part.encode().decode("latin-1").translate(self.chars)
+                out[part] = array(self.letter, [t.id for t in self.model.tokenize(told)]).tobytes()
+            else:
+                rest.append(part)
+        for at in range(0, len(rest), 4096):
+            for part, made in zip(rest[at : at + 4096], self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)):
+                out[part] = array(self.letter, made.ids).tobytes()
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > self.room:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         cut = [self._cut(t) for t in texts]
         parts: dict[str, tuple[str, ...]] = {}
-        for chunk in set(chain.from_iterable(cut)):
-            if chunk not in young:
-                if chunk in old:
-                    young[chunk] = old[chunk]
-                else:
-                    parts[chunk] = self._parts(chunk)
+        for chunk in set(chain.from_iterable(cut)).difference(young):
+            if chunk in old:
+                young[chunk] = old[chunk]
+            else:
+                parts[chunk] = self._parts(chunk)
         known: dict[str, bytes] = {}
         new = []
         for part in set(chain.from_iterable(parts.values())):
@@ -94,9 +120,7 @@ class Encoder:
                 new.append(part)
             else:
                 known[part] = held
-        for at in range(0, len(new), 4096):
-            for part, made in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)):
-                known[part] = array(self.letter, made.ids).tobytes()
+        known.update(self._encode(new))
         long = {}
         for chunk, pieces in parts.items():
             (young if len(chunk) <= 48 else long)[chunk] = b"".join([known[p] for p in pieces])
