@@ -147,3 +147,23 @@ def test_escapes_reverse(spark):
         assert r.u == r.t and r.ur == r.t and "<|" not in r.e and "<|" not in r.er and "\n" not in r.er
 
 
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    """One group of copies with ever more edits, with texts on both sides of the threshold: classes equal brute force."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"b{rng.randrange(9000)}" for _ in range(160)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randrange(0, 22)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(9000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, rows[7][1]) for i in range(40)] + [(900 + i, " ".join(f"u{rng.randrange(9000)}" for _ in range(60))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near_duplicates(df).collect())
+    expect = brute_classes(rows)
+    assert len({c for _, c, n in expect if n > 1}) >= 1 and any(n == 1 for d, _, n in expect if d < 160)
+    assert got == expect
