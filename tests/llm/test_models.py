@@ -101,7 +101,7 @@ def test_base_scores_against_brute_force(spark, docs, rows, vocabulary):
 
 def test_decisions_spell_words_and_sum_to_one():
     """The byte code of a word can be read back from its decisions, and each decision's two sides sum to one."""
-    model = mixing.Model(16, 10, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), huffman(np.array([5])))
+    model = mixing.Model(16, 10, 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), huffman(np.array([5])), np.zeros(2, bool))
     tokens = mixing.Tokens([b"Ab c", None, "é".encode()])
     assert tokens.bounds.tolist() == [0, 3, 4, 6]
     places = np.flatnonzero(tokens.word_at >= 0)

@@ -1,9 +1,10 @@
 """Language-model scores by online logistic context mixing.
 
 Tokens are coded as binary decisions. A frequent word is a path through a Huffman tree of the training counts; any
-other word is an escape and then its bytes, eight decisions each, and an end byte. Each decision has three
-predictors: for a tree node its own frequency, and counts in a table of hashed contexts (node with the last word,
-node with the last two); for a byte the last one, two and three bytes. Their logits are mixed with weights that a gate
+other word is an escape and then its bytes, eight decisions each, and an end byte. Each decision has four
+predictors: for a tree node its own frequency, and counts in a table of hashed contexts (node with the last very
+frequent word, which tells the language, with the last word, with the last two); for a byte the last one, two, three
+and four bytes. Their logits are mixed with weights that a gate
 selects by how well the contexts are known; the mixing weights follow each document online, block by block, from the
 trained ones. An adaptive map then refines the mixed probability. Everything is learned from training rows alone:
 word counts over all of them, context tables and the mixer on disjoint parts of them.
@@ -35,6 +36,7 @@ from .words import Words, mix
 
 END = np.uint64(0x1E57E9D)
 GATES, INPUTS, BINS = 32, 4, 33
+GUIDES = 100
 CHUNK = 1 << 17
 LIMIT = 12.0
 LOG10_2 = math.log10(2.0)
@@ -112,9 +114,10 @@ class Model:
     hashes: np.ndarray  # vocabulary, sorted
     counts: np.ndarray
     paths: tuple  # of huffman(); the escape is the last symbol
+    frequent: np.ndarray  # of the vocabulary's words, the escape and the start: the most frequent, which guide a context
     logits: np.ndarray | None = None  # int8 sixteenths, by context slot
     known: np.ndarray | None = None  # 0 to 3
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.34, 0.33, 0.33, 0.0], np.float32), (GATES, 1)))
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.25, 0.25, 0.25, 0.25], np.float32), (GATES, 1)))
     refine: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-LIMIT, LIMIT, BINS, dtype=np.float32), (GATES, 1)))
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -139,22 +142,25 @@ def _slot(bits: int, *parts: np.ndarray) -> np.ndarray:
 
 
 def word_decisions(model: Model, tokens: Tokens, symbols: np.ndarray):
-    """(token of each decision, bit, node, slots of the two contexts)."""
+    """(token of each decision, bit, node, slots of the three contexts)."""
     starts, nodes, bits, _ = model.paths
     escape = len(model.hashes)
     last = np.concatenate(([escape + 1], symbols[:-1]))
     last[tokens.bounds[:-1]] = escape + 1
     before = np.concatenate(([escape + 1], last[:-1]))
     before[tokens.bounds[:-1]] = escape + 1
+    mark = np.where(model.frequent[last] | (last == escape + 1), np.arange(len(last)), 0)
+    guide = last[np.maximum.accumulate(mark)]
     lengths = starts[symbols + 1] - starts[symbols]
     token = np.repeat(np.arange(len(symbols)), lengths)
     at = np.arange(len(token)) + np.repeat(starts[symbols] - (np.cumsum(lengths) - lengths), lengths)
     node = nodes[at]
-    return token, bits[at], node, _slot(model.table_bits, node, last[token]), _slot(model.table_bits, node, last[token], before[token])
+    slots = [_slot(model.table_bits, node, guide[token], np.full(1, 7)), _slot(model.table_bits, node, last[token]), _slot(model.table_bits, node, last[token], before[token])]
+    return token, bits[at], node, slots
 
 
 def byte_decisions(model: Model, tokens: Tokens, places: np.ndarray):
-    """(index into places, bit, slots of three contexts) of the words at these token places."""
+    """(index into places, bit, slots of four contexts) of the words at these token places."""
     w = tokens.word_at[places]
     start, end = tokens.words.starts[w], tokens.words.ends[w]
     size = end - start + 1
@@ -166,14 +172,16 @@ def byte_decisions(model: Model, tokens: Tokens, places: np.ndarray):
     def back(k: int) -> np.ndarray:
         return np.where(at >= k, np.concatenate((np.zeros(k, np.int64), value[:-k] if len(value) > k else value[:0]))[: len(value)], 0)
 
-    one, two, three = back(1), back(2), back(3)
+    one, two, three, four = back(1), back(2), back(3), back(4)
     step = np.tile(np.arange(8), len(value))
     byte = np.repeat(np.arange(len(value)), 8)
     partial = (1 << step) | (value[byte] >> (8 - step))
     bit = (value[byte] >> (7 - step) & 1).astype(np.uint8)
     a = one[byte]
     b = a << 8 | two[byte]
-    return word[byte], bit, _slot(model.table_bits, partial + 256, a), _slot(model.table_bits, partial + 512, b), _slot(model.table_bits, partial + 768, b << 8 | three[byte])
+    c = b << 8 | three[byte]
+    slots = [_slot(model.table_bits, partial + 256 * (k + 1), x) for k, x in enumerate((a, b, c, c << 8 | four[byte]))]
+    return word[byte], bit, slots
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -185,7 +193,6 @@ def _inputs(model: Model, first: np.ndarray, gate0: int, known: tuple[np.ndarray
     x[:, 0] = first
     for k, slot in enumerate(slots):
         x[:, 1 + k] = model.logits[slot] * np.float32(1 / 16)
-    x[:, 3] = 0.3
     return x, gate0 + known[0].astype(np.int64) * 4 + known[1]
 
 
@@ -209,8 +216,8 @@ def mix_words(model: Model, tokens: Tokens, symbols: np.ndarray, rate: float, bl
 
     watch(gate, mixed, bit, inputs): sees every decision in its order.
     """
-    token, bit, node, s1, s2 = word_decisions(model, tokens, symbols)
-    x, gate = _inputs(model, model.paths[3][node], 0, (model.known[s1], model.known[s2]), [s1, s2])
+    token, bit, node, slots = word_decisions(model, tokens, symbols)
+    x, gate = _inputs(model, model.paths[3][node], 0, (model.known[slots[1]], model.known[slots[2]]), slots)
     doc = tokens.doc[token]
     step = (token - tokens.bounds[doc]) // block
     order = np.argsort(step, kind="stable")
@@ -236,15 +243,15 @@ def spell_costs(model: Model, tokens: Tokens, places: np.ndarray, watch=None) ->
     """Bits of the words at these places, spelled with the trained weights."""
     if not len(places):
         return np.zeros(0)
-    word, bit, s1, s2, s3 = byte_decisions(model, tokens, places)
-    x, gate = _inputs(model, model.logits[s1] * np.float32(1 / 16), 16, (model.known[s2], model.known[s3]), [s2, s3])
+    word, bit, slots = byte_decisions(model, tokens, places)
+    x, gate = _inputs(model, model.logits[slots[0]] * np.float32(1 / 16), 16, (model.known[slots[2]], model.known[slots[3]]), slots[1:])
     mixed = np.clip((model.weights[gate] * x).sum(axis=1), -LIMIT, LIMIT)
     if watch is not None:
         watch(gate, mixed, bit, x)
     return np.bincount(word, _cost(bit, _refined(model, gate, mixed)), len(places))
 
 
-def score_batch(model: Model, texts: list[bytes | None], rate: float = 0.002, block: int = 32):
+def score_batch(model: Model, texts: list[bytes | None], rate: float = 0.01, block: int = 32):
     """(tokens, known vocabulary tokens, base of vocabulary tokens, rare tokens, log10 probability) of each text."""
     tokens = Tokens(texts)
     docs = len(texts)
@@ -298,12 +305,12 @@ def _context_tables(rows: DataFrame, model: Model, fan: int = 48) -> np.ndarray:
             for piece in pieces(raws):
                 tokens = Tokens(raws[piece])
                 symbols = model.symbols(tokens.hashes)
-                _, bit, _, s1, s2 = word_decisions(model, tokens, symbols)
-                for slot in (s1, s2):
+                _, bit, _, slots = word_decisions(model, tokens, symbols)
+                for slot in slots:
                     np.add.at(seen, slot * 2 + bit, np.uint32(1))
                 rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
                 for k in range(0, len(rare), 4_000):
-                    _, bit, *slots = byte_decisions(model, tokens, rare[k : k + 4_000])
+                    _, bit, slots = byte_decisions(model, tokens, rare[k : k + 4_000])
                     for slot in slots:
                         np.add.at(seen, slot * 2 + bit, np.uint32(1))
         if seen is not None:
@@ -324,34 +331,54 @@ def _context_tables(rows: DataFrame, model: Model, fan: int = 48) -> np.ndarray:
     return table
 
 
+class Learner:
+    """Trains a mixer online: after each piece of text the weights of a gate take a damped Newton step.
+
+    Also counts, by gate and bin of the mixed logit, decisions and ones: the adaptive map.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.ones, self.seen = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
+        self.slope, self.bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
+
+    def _watch(self, gate, mixed, bit, x):
+        place = np.rint((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
+        cell = gate * BINS + place
+        self.seen += np.bincount(cell, minlength=GATES * BINS).reshape(GATES, BINS)
+        self.ones += np.bincount(cell, bit, GATES * BINS).reshape(GATES, BINS)
+        p = _sigmoid(mixed)
+        for k in range(INPUTS):
+            self.slope[:, k] += np.bincount(gate, (bit - p) * x[:, k], GATES)
+            for j in range(k + 1):
+                self.bend[:, k, j] += np.bincount(gate, p * (1 - p) * x[:, k] * x[:, j], GATES)
+                self.bend[:, j, k] = self.bend[:, k, j]
+
+    def learn(self, texts: list[bytes | None], rate: float, block: int) -> None:
+        tokens = Tokens(texts)
+        symbols = self.model.symbols(tokens.hashes)
+        mix_words(self.model, tokens, symbols, rate, block, self._watch)
+        rare = np.flatnonzero((symbols == len(self.model.hashes)) & (tokens.word_at >= 0))
+        for k in range(0, len(rare), 4_000):
+            spell_costs(self.model, tokens, rare[k : k + 4_000], self._watch)
+        step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
+        self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
+        self.slope[:] = 0
+        self.bend *= 0.5  # curvature is remembered, slopes are taken anew
+
+
 def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Mixer weights and adaptive map: each task learns online from its documents, tasks are averaged by gate."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, ones, seen = shared.value.weights.astype(np.float64), np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
-        work = Model(**{**shared.value.__dict__, "weights": weights.astype(np.float32)})
-
-        def watch(gate, mixed, bit, x):
-            place = np.rint((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
-            cell = gate * BINS + place
-            seen.ravel()[:] += np.bincount(cell, minlength=GATES * BINS)
-            ones.ravel()[:] += np.bincount(cell, bit, GATES * BINS)
-            error = bit - _sigmoid(mixed)
-            n = np.bincount(gate, minlength=GATES)
-            for k in range(INPUTS):
-                weights[:, k] += 0.05 * np.bincount(gate, error * x[:, k], GATES) / np.sqrt(np.maximum(n, 1) * (n + 100))
-            work.weights = weights.astype(np.float32)
-
+        start = shared.value
+        learner = Learner(Model(**{**start.__dict__, "weights": start.weights.copy()}))
         for batch in batches:
             raws = utf8(batch, "text")
-            for piece in pieces(raws):
-                tokens = Tokens(raws[piece])
-                symbols = work.symbols(tokens.hashes)
-                mix_words(work, tokens, symbols, rate, block, watch)
-                rare = np.flatnonzero((symbols == len(work.hashes)) & (tokens.word_at >= 0))
-                for k in range(0, len(rare), 4_000):
-                    spell_costs(work, tokens, rare[k : k + 4_000], watch)
+            for piece in pieces(raws, 30_000):
+                learner.learn(raws[piece], rate, block)
+        weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
         for gate in range(GATES):
             total = seen[gate].sum()
             if total:
@@ -372,7 +399,7 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
     return weights, np.clip(np.log(share / (1 - share)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune: int = 20, rate: float = 0.002, block: int = 32) -> tuple[Model, DataFrame]:
+def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune: int = 12, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame]:
     """Learns from rows (key, text); returns the model and the stored word counts (h, n).
 
     vocabulary, table_bits: sizes of the broadcast tables, 2 MB and 8 MB here. One row in ``tune`` by key trains the
@@ -386,7 +413,9 @@ def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
     rest = max(1, int(sizes["n"]) - int(n.sum()))
-    model = Model(table_bits, int(sizes["n"]), int(sizes["v"]), hashes, n, huffman(np.append(n, rest)))
+    frequent = np.zeros(len(n) + 2, bool)
+    frequent[np.argsort(-n, kind="stable")[:GUIDES]] = True
+    model = Model(table_bits, int(sizes["n"]), int(sizes["v"]), hashes, n, huffman(np.append(n, rest)), frequent)
     tuned = F.pmod(F.col("key"), F.lit(tune)) == 0
     seen = _context_tables(rows.filter(~tuned), model).reshape(-1, 2).astype(np.float32)
     total = seen.sum(axis=1)
@@ -397,7 +426,7 @@ def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune
     return model, counts
 
 
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.002, block: int = 32, **sizes) -> DataFrame:
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.01, block: int = 32, **sizes) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     training: which rows to learn from; by default those whose crc32(doc id) modulo 5 is not 1.
