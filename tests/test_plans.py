@@ -110,3 +110,11 @@ def test_stream_accumulates_weeks(spark, tmp_path):
     query.stop()
     got = {r.bucket.date().isoformat(): r["sum"] for r in spark.sql("select * from weeks").collect()}
     assert got["2023-12-31"] == 0 + 1 + 2 + 3 and sum(got.values()) == sum(range(30))
+
+
+def test_parameter_suggestions():
+    from tidemill.plans.parameters import folds, suggest
+
+    assert folds(10, 12) == 2 and folds(1000, 12) == 5 and folds(130, 12) == 3
+    made = suggest(120, 12, 12, 1, 0.7, 0.8)
+    assert made["arima"]["order"] == (1, 1, 1) and made["ets"]["seasonal"] == "mul" and suggest(10, 3, 12)["ets"]["seasonal"] is None
