@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, shared_dir, stored, utf8
+from .common import add_columns, stored, utf8
 
 #: Windows of one automaton. A larger benchmark is cut into blocks and the documents are read once a block, so
 #: neither the driver nor a worker ever holds more than one block of patterns.

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, utf8
-from .words import Words, mix
+from .words import Words
 
 END = np.uint64(0x1E57E9D)
 GATES, INPUTS, BINS = 32, 4, 33
@@ -441,7 +441,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
         for batch in batches:
             raws = utf8(batch, "text")
             made = [score_batch(shared.value, raws[piece], rate, block) for piece in pieces(raws)]
-            n, known, base, rare, score = (np.concatenate(c) for c in zip(*made))
+            n, known, base, _, score = (np.concatenate(c) for c in zip(*made))
             size = np.array([len(r) for r in raws])
             per_byte = -score / LOG10_2 / np.maximum(size, 1)
             col = lambda name: batch.column(batch.schema.get_field_index(name))

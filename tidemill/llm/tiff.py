@@ -193,8 +193,7 @@ def encode(
         body = b""
         extra_at = len(out)
         for tag, kind, values in entries:
-            letter, step = KINDS[kind]
-            raw = struct.pack(f"<{len(values)}{letter}", *values)
+            raw = struct.pack(f"<{len(values)}{KINDS[kind][0]}", *values)
             if len(raw) > 4:
                 at = extra_at
                 out += raw + b"\0" * (len(raw) & 1)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, utf8
+from .common import shared_dir, small_batches
 
 MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sBBHQQ")
