@@ -235,10 +235,11 @@ def write_tokens(
     text: str = "text",
     end_id: int = 2,
     leading_space: bool = True,
-    file_ids: int = 1 << 20,
+    file_ids: int = 1 << 16,
 ) -> str:
     """Encode every text and write token files in ascending id order; returns the folder.
 
+    file_ids: ids after which a file ends; a file is a row, and readers hold a batch of rows.
     Texts are range-partitioned by id (and by a hash of the text, so that one repeated id doesn't fill a task) and
     sorted in their partitions. Columns of the table: part, seq (a file's place), base (ids of the part before the
     file), n_ids, docs (ids of its documents), file.
@@ -308,6 +309,6 @@ def read_tokens(spark, where: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids", "width"],
                     )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(spark)
     rows = files.select((base + F.col("base")).alias("first"), "docs", "file")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, width int")
