@@ -5,9 +5,11 @@ says, all taken from hashes of the shingle and the region. Darts under the shing
 and a coordinate, and the earliest dart of a coordinate is its value. Two documents agree in a coordinate with the
 probability of their weighted Jaccard similarity, at a cost of about K ln K darts a document.
 
-Links: texts that share a band are candidates. Classes grow in two rounds of checked pairs, exact Jaccard similarity
-on shingle sets: each text with the leaders of its buckets, at most one pair a band, then every pair of different
-classes that a bucket still holds. Pairs inside a class need no check, so groups of copies cost a few pairs a text.
+Links: texts that share a band are candidates. Classes grow in rounds of checked pairs, exact Jaccard similarity on
+shingle sets: each text with the leaders of its buckets, their most central texts (those in the fullest buckets); then,
+in buckets that still hold several classes, each text with one text of another class, drawn by hash; last every pair of
+different classes that a bucket still holds. Pairs inside a class need no check, so groups of copies cost a few pairs a
+text.
 Before sets are fetched, a pair's signatures must agree in so many coordinates that a link would fall short of it once
 in 300,000 times; a pair that shares several bands is taken in its first. Equal texts meet in one node first.
 
@@ -215,9 +217,12 @@ def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int
     """Labels (t, c) of the texts (t, text) that share a band with another; c is the least key of the class."""
     signed = stored(_signed_texts(texts, size, bands, rows, seed).groupBy("t").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "signatures")
     in_band = signed.select("t", F.explode("bands").alias("b"))
-    crowded = stored(in_band.groupBy("b").agg(F.count("*").alias("n"), F.min("t").alias("leader")).filter("n > 1").select("b", "leader"), "crowded")
+    crowded = stored(in_band.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
     members = stored(in_band.join(crowded, "b"), "buckets")
-    led = stored(members.filter("t <> leader").select(F.col("t").alias("b"), F.col("leader").alias("a")).distinct(), "led")
+    weight = members.groupBy("t").agg(F.sum("n").alias("w"))
+    leaders = stored(members.select("t", "b").join(weight, "t").groupBy("b").agg(F.max_by("t", F.struct("w", "t")).alias("leader")), "leaders")
+    led = members.select("t", "b").join(leaders, "b").filter("t <> leader")
+    led = stored(led.select(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b")).distinct(), "led")
     labels = stored(members.select("t", F.col("t").alias("c")).distinct(), "labels")
     signed = stored(signed.join(labels.select("t"), "t", "left_semi"), "signatures")
     # A merge join at every size: it copes with hot copies, and the plan does not change as labels outgrow a broadcast.
@@ -229,9 +234,19 @@ def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("sa"), F.col("sb")) >= enough).select("a", "b")
 
     labels = _merge(labels, stored(_checked(likely(led), sets, least), "links"))
-    here = members.select("t", "b").join(labels, "t")
-    ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("b"), "ends")
-    left = stored(here.join(ends, "b").join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflicts")
+
+    def conflicts() -> DataFrame:
+        """Members (t, b, c) of buckets that hold several classes, with the least and the greatest of them."""
+        here = members.select("t", "b").join(labels, "t")
+        ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1"), "ends")
+        return stored(here.join(ends, "b"), "conflicts")
+
+    here = conflicts()
+    pick = stored(here.groupBy("b", "c").agg(F.min_by("t", F.xxhash64("t", "b")).alias("a")).withColumnRenamed("c", "o"), "picks")
+    drawn = here.withColumn("o", F.when(F.col("c") == F.col("c0"), F.col("c1")).otherwise(F.col("c0"))).join(pick, ["b", "o"])
+    drawn = drawn.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
+    labels = _merge(labels, stored(_checked(likely(drawn), sets, least), "links"))
+    left = stored(conflicts().join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflict-signatures")
     right = left.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"), F.col("sig").alias("sig2"))
     shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
     fits = (F.col("left.b") == F.col("right.b")) & (F.col("c") < F.col("c2")) & (_agree(F.col("sig"), F.col("sig2")) >= enough) & (shared == F.col("at"))
