@@ -57,7 +57,7 @@ class Encoder:
     full, and what is still in use moves on. Chunks of over 48 characters aren't remembered.
     """
 
-    def __init__(self, path: str, leading_space: bool, memo: int = 400_000):
+    def __init__(self, path: str, leading_space: bool, memo: int = 700_000):
         import gc
         import os
 
@@ -107,7 +107,7 @@ class Encoder:
         young, old = self.young, self.old
         cut = [self._cut(t) for t in texts]
         parts: dict[str, tuple[str, ...]] = {}
-        for chunk in set(chain.from_iterable(cut)).difference(young):
+        for chunk in {c for c in chain.from_iterable(cut) if c not in young}:
             if chunk in old:
                 young[chunk] = old[chunk]
             else:
