@@ -103,6 +103,16 @@ def test_near_duplicates_against_brute_force(docs, rows, no_docs):
     assert kept.count() == singles + len(classes)
 
 
+def test_classes_with_null_or_repeated_ids_keep_their_own_representative(spark):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    made = [(None, words(g)) for g in "abc" for _ in range(3)] + [(i, words(g)) for g in "de" for i in (7, 9)] + [(None, "  ")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in representatives(df).collect())
+    assert kept == Counter([(None, words(g)) for g in "abc"] + [(7, words(g)) for g in "de"] + [(None, "  ")])
+    keys = {(r.text, r.class_key) for r in near_duplicates(df).collect()}
+    assert len(keys) == 6 and len({k for _, k in keys if k is not None}) == 5
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 1 << 63, 300).astype(np.uint64)

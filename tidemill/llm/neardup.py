@@ -15,7 +15,7 @@ in 300,000 times; a pair that shares several bands is taken in its first. Equal
 
 Defined results: null and wordless texts are classes of their own, as are all rows without a partner; a text of
 fewer words than a shingle is one shingle; repeated rows share a class; class ids are the least doc id of the class
-(null if all are null). Columns that the operator adds replace input columns of the same name.
+(null if all are null), so they may repeat where ids do; class keys do not. Columns that the operator adds replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -254,23 +254,40 @@ def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int
     return _merge(labels, stored(_checked(pairs, sets, least), "links"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
-    """``docs`` with class_id (least doc id of the class) and class_size."""
-    df = without(docs, ["_t", "_c", "class_id", "class_size"])
+def _classed(docs: DataFrame, doc_id: str, text: str, least: float, size: int) -> DataFrame:
+    """``docs`` with class_id, class_size, class_key and _first: whether a row has the class's least id and, of that, the
+    least text digest (ids that are null come last)."""
+    df = without(docs, ["_t", "_c", "_first", "class_id", "class_size", "class_key"])
     texts = df.select(text_key(text).alias("t"), F.col(f"`{text}`").alias("text"))
     labels = text_classes(texts, least, size).select(F.col("t").alias("_t"), F.col("c").alias("_c"))
     worded = F.coalesce(F.regexp_like(F.col(f"`{text}`"), F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False))
     keyed = df.withColumn("_t", F.when(worded, text_key(text)))
     light = stored(keyed.select(F.col(f"`{doc_id}`").alias("d"), "_t").filter("_t is not null").join(labels, "_t", "left").select("d", "_t", F.coalesce("_c", "_t").alias("_c")), "members")
-    classes = light.groupBy("_c").agg(F.min("d").alias("class_id"), F.count("*").alias("class_size"))
-    named = light.groupBy("_t").agg(F.first("_c").alias("_c")).join(classes, "_c").select("_t", "class_id", "class_size")
+    lead = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "_t")).alias("lead")
+    classes = light.groupBy("_c").agg(lead, F.count("*").alias("class_size"))
+    named = light.groupBy("_t").agg(F.first("_c").alias("_c")).join(classes, "_c").select("_t", F.col("_c").alias("class_key"), "lead", "class_size")
     out = keyed.join(named, "_t", "left")
-    return out.select(*[f"`{c}`" for c in df.columns], F.coalesce("class_id", F.col(f"`{doc_id}`")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    return out.select(
+        *[f"`{c}`" for c in df.columns],
+        F.coalesce("lead.d", F.col(f"`{doc_id}`")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        "class_key",
+        (F.col(f"`{doc_id}`").eqNullSafe(F.col("lead.d")) & (F.col("_t") == F.col("lead._t"))).alias("_first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
+    """``docs`` with class_id (least doc id of the class), class_size and class_key.
+
+    class_key: the least text digest of the class, null for wordless texts. It tells classes apart, which class_id does
+    not where ids are null or repeated.
+    """
+    return _classed(docs, doc_id, text, least, size).drop("_first")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
-    """One row of each class: the least doc id's; all wordless rows stay."""
-    out = near_duplicates(docs, doc_id, text, least, size)
+    """One row of each class: the least doc id's, of those the least text digest's; all wordless rows stay."""
+    out = _classed(docs, doc_id, text, least, size)
     alone = out.filter("class_size = 1")
-    first = out.filter((F.col("class_size") > 1) & F.col(f"`{doc_id}`").eqNullSafe(F.col("class_id"))).dropDuplicates(["class_id"])
-    return alone.unionByName(first).drop("class_id", "class_size")
+    first = out.filter("class_size > 1 and _first").dropDuplicates(["class_key"])
+    return alone.unionByName(first).drop("class_id", "class_size", "class_key", "_first")
