@@ -129,6 +129,27 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert out.filter("held_out").count() == sum(zlib.crc32(str(i).encode()) % 5 == 1 for i in range(300))
 
 
+def test_contexts_and_words_are_kept_however_many(spark):
+    """Each context has its own count at any size, and a frequent word outside the tree costs less than its spelling."""
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, 97 + rng.integers(0, 26, 9))) for _ in range(4000)]
+    made = [(i, " ".join(words[k] for k in rng.integers(0, 4000, 400))) for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    rows = docs.select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(1).cast("long").alias("key"))
+    model, _, units = mixing.train(rows, "bigint", vocabulary=100)
+    token, _, node, _ = mixing.word_decisions(model, t := mixing.Tokens([x.encode() for _, x in made]), model.symbols(t.hashes))
+    last = np.concatenate((np.zeros(1, np.uint64), t.hashes[:-1]))
+    last[t.bounds[:-1]] = 0
+    pairs = {(int(n), int(w)) for n, w in zip(node, last[token])}
+    _, counted = mixing._context_counts(units, model)
+    slots = {r.slot for r in counted.select("slot").collect()}
+    keys = np.array(sorted(pairs), dtype=np.uint64)
+    own = mixing._slot(64, keys[:, 0], keys[:, 1])
+    assert len(set(own.tolist())) == len(pairs) and set(own.tolist()) <= slots
+    cost = score_texts(docs, vocabulary=100).filter("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("s")).first()["s"]
+    assert -cost / math.log10(2) < 16  # 12 bits a word by count; spelled at random they have 9 * log2(26) = 42
+
+
 def test_empty_tables(spark, no_docs):
     assert score_texts(no_docs, table_bits=16).count() == 0
     lone = spark.createDataFrame([(k, None) for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 1][:1], "doc_id long, text string")

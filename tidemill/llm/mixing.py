@@ -2,15 +2,17 @@
 
 Tokens are coded as binary decisions. A frequent word is a path through a Huffman tree of the training counts; any
 other word is an escape and then its bytes, eight decisions each, and an end byte. Each decision has four
-predictors: for a tree node its own frequency, and counts in a table of hashed contexts (node with the last very
-frequent word, which tells the language, with the last word, with the last two); for a byte the last one, two, three
-and four bytes. Their logits are mixed with weights that a gate
+predictors: for a tree node its own frequency, and counts of contexts (node with the last very frequent word, which
+tells the language, with the last word, with the last two); for a byte the last one, two, three and four bytes. Their logits are mixed with weights that a gate
 selects by how well the contexts are known; the mixing weights follow each document online, block by block, from the
 trained ones. An adaptive map then refines the mixed probability. Everything is learned from training rows alone:
 word counts over all of them, context tables and the mixer on disjoint parts of them.
 
-Word counts are kept by 64-bit word hash. Words beyond the vocabulary are scored in the base model by a join on
-their hash, so no table but the bounded ones (vocabulary, context table) is broadcast.
+Context counts are a stored table keyed by 64-bit hashes of context and node; it grows with the training rows and is
+never gathered. Texts are dealt into units of about 250 KB; a unit asks once for each of its contexts, the answers come
+from a join and are packed by unit. Word counts are kept by 64-bit word hash. Only the tree's words are broadcast; the
+others stand behind the escape and get their probability, as in the base model, from a join on their hash: by their
+count, mixed with their spelling at the share of words seen once.
 
 Defined results: null and empty texts have the end token alone; without training rows every word is unknown, the
 base is log10(0.5 / 0.5) a token and the model is untrained; equal texts have equal results; repeated rows repeat.
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +38,7 @@ from .words import Words
 END = np.uint64(0x1E57E9D)
 GATES, INPUTS, BINS = 32, 4, 33
 GUIDES = 100
-CHUNK = 1 << 17
+UNIT_BYTES = 250_000
 LIMIT = 12.0
 LOG10_2 = math.log10(2.0)
 
@@ -108,18 +109,17 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 @dataclass
 class Model:
-    table_bits: int
+    table_bits: int  # of a context's key
     train_tokens: int
     distinct: int
     hashes: np.ndarray  # vocabulary, sorted
     counts: np.ndarray
     paths: tuple  # of huffman(); the escape is the last symbol
     frequent: np.ndarray  # of the vocabulary's words, the escape and the start: the most frequent, which guide a context
-    logits: np.ndarray | None = None  # int8 sixteenths, by context slot
-    known: np.ndarray | None = None  # 0 to 3
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.25, 0.25, 0.25, 0.25], np.float32), (GATES, 1)))
+    rest: int = 0  # training tokens behind the escape, and words seen once
+    once: int = 0
     refine: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-LIMIT, LIMIT, BINS, dtype=np.float32), (GATES, 1)))
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary places; the escape for others."""
@@ -141,15 +141,38 @@ def _slot(bits: int, *parts: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sixteenths of logits (int8), and 0 to 3 by how well a context is known."""
+    total = zeros + ones
+    share = (ones + 0.4) / (total + 0.8)
+    logits = np.clip(np.rint(16 * np.log(share / (1 - share))), -127, 127).astype(np.int8)
+    return logits, ((total > 0).astype(np.uint8) + (total > 3) + (total > 30)).astype(np.uint8)
+
+
+@dataclass
+class Contexts:
+    """What is known of the contexts that a unit of texts has."""
+
+    slots: np.ndarray  # sorted
+    logits: np.ndarray
+    known: np.ndarray
+
+    def look(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.slots, slots)
+        return self.logits[at] * np.float32(1 / 16), self.known[at].astype(np.int64)
+
+
 def word_decisions(model: Model, tokens: Tokens, symbols: np.ndarray):
-    """(token of each decision, bit, node, slots of the three contexts)."""
+    """(token of each decision, bit, node, slots of the three contexts). Contexts have words, whether in the tree or not."""
     starts, nodes, bits, _ = model.paths
     escape = len(model.hashes)
-    last = np.concatenate(([escape + 1], symbols[:-1]))
-    last[tokens.bounds[:-1]] = escape + 1
-    before = np.concatenate(([escape + 1], last[:-1]))
-    before[tokens.bounds[:-1]] = escape + 1
-    mark = np.where(model.frequent[last] | (last == escape + 1), np.arange(len(last)), 0)
+    place = np.concatenate(([escape + 1], symbols[:-1]))
+    place[tokens.bounds[:-1]] = escape + 1
+    last = np.concatenate((np.zeros(1, np.uint64), tokens.hashes[:-1]))
+    last[tokens.bounds[:-1]] = 0
+    before = np.concatenate((np.zeros(1, np.uint64), last[:-1]))
+    before[tokens.bounds[:-1]] = 0
+    mark = np.where(model.frequent[place] | (place == escape + 1), np.arange(len(last)), 0)
     guide = last[np.maximum.accumulate(mark)]
     lengths = starts[symbols + 1] - starts[symbols]
     token = np.repeat(np.arange(len(symbols)), lengths)
@@ -188,12 +211,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _inputs(model: Model, first: np.ndarray, gate0: int, known: tuple[np.ndarray, np.ndarray], slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _inputs(contexts: Contexts, first: np.ndarray, gate0: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the mixer and the gates, by how well the last two contexts are known."""
     x = np.empty((len(first), INPUTS), np.float32)
     x[:, 0] = first
     for k, slot in enumerate(slots):
-        x[:, 1 + k] = model.logits[slot] * np.float32(1 / 16)
-    return x, gate0 + known[0].astype(np.int64) * 4 + known[1]
+        x[:, 1 + k], known = contexts.look(slot)
+        gate0 = gate0 + known * (0, 4, 1)[k]
+    return x, gate0
 
 
 def _refined(model: Model, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
@@ -211,13 +236,13 @@ def _cost(bit: np.ndarray, logit: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, np.where(bit == 1, -logit, logit)) / math.log(2)
 
 
-def mix_words(model: Model, tokens: Tokens, symbols: np.ndarray, rate: float, block: int, watch=None) -> np.ndarray:
+def mix_words(model: Model, contexts: Contexts, tokens: Tokens, symbols: np.ndarray, rate: float, block: int, watch=None) -> np.ndarray:
     """Bits of each text's tree decisions; weights follow each text online in blocks of tokens.
 
     watch(gate, mixed, bit, inputs): sees every decision in its order.
     """
     token, bit, node, slots = word_decisions(model, tokens, symbols)
-    x, gate = _inputs(model, model.paths[3][node], 0, (model.known[slots[1]], model.known[slots[2]]), slots)
+    x, gate = _inputs(contexts, model.paths[3][node], 0, slots)
     doc = tokens.doc[token]
     step = (token - tokens.bounds[doc]) // block
     order = np.argsort(step, kind="stable")
@@ -239,35 +264,39 @@ def mix_words(model: Model, tokens: Tokens, symbols: np.ndarray, rate: float, bl
     return total
 
 
-def spell_costs(model: Model, tokens: Tokens, places: np.ndarray, watch=None) -> np.ndarray:
+def spell_costs(model: Model, contexts: Contexts, tokens: Tokens, places: np.ndarray, watch=None) -> np.ndarray:
     """Bits of the words at these places, spelled with the trained weights."""
     if not len(places):
         return np.zeros(0)
     word, bit, slots = byte_decisions(model, tokens, places)
-    x, gate = _inputs(model, model.logits[slots[0]] * np.float32(1 / 16), 16, (model.known[slots[2]], model.known[slots[3]]), slots[1:])
+    x, gate = _inputs(contexts, contexts.look(slots[0])[0], 16, slots[1:])
     mixed = np.clip((model.weights[gate] * x).sum(axis=1), -LIMIT, LIMIT)
     if watch is not None:
         watch(gate, mixed, bit, x)
     return np.bincount(word, _cost(bit, _refined(model, gate, mixed)), len(places))
 
 
-def score_batch(model: Model, texts: list[bytes | None], rate: float = 0.01, block: int = 32):
-    """(tokens, known vocabulary tokens, base of vocabulary tokens, rare tokens, log10 probability) of each text."""
+def score_batch(model: Model, contexts: Contexts, texts: list[bytes | None], rate: float = 0.01, block: int = 32):
+    """(tokens, vocabulary tokens, their base, bits of the tree's decisions) of each text, and of its words behind the
+    escape (bounds by text, hash, times, bits of the spelling)."""
     tokens = Tokens(texts)
     docs = len(texts)
     symbols = model.symbols(tokens.hashes)
-    bits = mix_words(model, tokens, symbols, rate, block)
-    rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
-    if len(rare):
-        _, first, back = np.unique(tokens.hashes[rare], return_index=True, return_inverse=True)
-        cost = np.concatenate([spell_costs(model, tokens, rare[first[k : k + 4_000]]) for k in range(0, len(first), 4_000)])
-        bits += np.bincount(tokens.doc[rare], cost[back], docs)
+    bits = mix_words(model, contexts, tokens, symbols, rate, block)
     inside = symbols < len(model.hashes)
+    rare = np.flatnonzero(~inside)
+    values, first, back = np.unique(tokens.hashes[rare], return_index=True, return_inverse=True)
+    first = rare[first]
+    cost = np.full(len(values), 8.0)  # an end token behind the escape is an end byte
+    spelled = np.flatnonzero(tokens.word_at[first] >= 0)
+    for k in range(0, len(spelled), 4_000):
+        cost[spelled[k : k + 4_000]] = spell_costs(model, contexts, tokens, first[spelled[k : k + 4_000]])
+    pairs, times = np.unique(tokens.doc[rare] * max(1, len(values)) + back, return_counts=True)
+    owner, word = np.divmod(pairs, max(1, len(values)))
     counts = model.counts[np.minimum(symbols, max(0, len(model.counts) - 1))] if len(model.counts) else np.zeros(len(symbols))
     known = np.bincount(tokens.doc[inside], minlength=docs)
     base = np.bincount(tokens.doc[inside], model.base(counts[inside]), docs).astype(np.float64)
-    n = np.diff(tokens.bounds)
-    return n, known, base, n - known, -bits * LOG10_2
+    return np.diff(tokens.bounds), known, base, bits, (np.searchsorted(owner, np.arange(docs + 1)), values[word].view(np.int64), times, cost[word])
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -282,53 +311,106 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _add_tables(rows: DataFrame, by: list) -> DataFrame:
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.uint32)
-        for raw in table.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(raw), np.uint32)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "task": pa.array([table.column("task")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    return rows.groupBy(*by).applyInArrow(add, "chunk int, task int, counts binary")
+def unit_contexts(model: Model, texts: list[bytes | None], counted: bool):
+    """The distinct contexts of a unit's decisions, sorted; with ``counted`` also (zeros, ones) seen in each."""
+    tokens = Tokens(texts)
+    symbols = model.symbols(tokens.hashes)
+    _, bit, _, slots = word_decisions(model, tokens, symbols)
+    keys, bits, times = [*slots], [bit] * len(slots), [np.ones(len(bit), np.int32)] * len(slots)
+    rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
+    _, first, often = np.unique(tokens.hashes[rare], return_index=True, return_counts=True)
+    for k in range(0, len(first), 4_000):
+        word, bit, slots = byte_decisions(model, tokens, rare[first[k : k + 4_000]])
+        keys += slots
+        bits += [bit] * len(slots)
+        times += [often[k : k + 4_000][word].astype(np.int32)] * len(slots)
+    key = np.concatenate(keys)
+    if not counted:
+        return np.unique(key)
+    order = np.argsort(key)
+    key, n = key[order], np.concatenate(times)[order]
+    ones = n * np.concatenate(bits)[order]
+    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    one, n = np.add.reduceat(ones, cuts), np.add.reduceat(n, cuts)
+    return key[cuts], n - one, one
+
+
+def _units(rows: DataFrame, id_type: str) -> DataFrame:
+    """Stored (unit, role, doc_id, text): texts of one role in units of about UNIT_BYTES."""
 
+    def run(batches):
+        task, made, held, kind = TaskContext.get().partitionId(), 0, {}, None
 
-def _context_tables(rows: DataFrame, model: Model, fan: int = 48) -> np.ndarray:
-    """Zeros and ones seen in each context slot. Partial tables of tasks are added in a tree, ``fan`` at a time."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+        def flush(role):
+            nonlocal made
+            made += 1
+            ids, texts, _ = held.pop(role)
+            arrays = [pa.array([task << 32 | made], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["unit", "role", "doc_id", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        model, seen = shared.value, None
         for batch in batches:
-            if seen is None:
-                seen = np.zeros(2 << model.table_bits, np.uint32)
-            raws = utf8(batch, "text")
-            for piece in pieces(raws):
-                tokens = Tokens(raws[piece])
-                symbols = model.symbols(tokens.hashes)
-                _, bit, _, slots = word_decisions(model, tokens, symbols)
-                for slot in slots:
-                    np.add.at(seen, slot * 2 + bit, np.uint32(1))
-                rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
-                for k in range(0, len(rare), 4_000):
-                    _, bit, slots = byte_decisions(model, tokens, rare[k : k + 4_000])
-                    for slot in slots:
-                        np.add.at(seen, slot * 2 + bit, np.uint32(1))
-        if seen is not None:
-            task = TaskContext.get().partitionId()
-            for k in range(0, len(seen), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(seen[k : k + CHUNK].tobytes(), 1)], pa.binary())], names=["chunk", "task", "counts"])
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            kind = ids.type
+            for d, t, role in zip(ids.to_pylist(), utf8(batch, "text"), batch.column(batch.schema.get_field_index("role")).to_pylist()):
+                here = held.setdefault(role, [[], [], 0])
+                here[0].append(d)
+                here[1].append(t)
+                here[2] += len(t) + 16
+                if here[2] >= UNIT_BYTES:
+                    yield flush(role)
+        for role in list(held):
+            yield flush(role)
 
     small_batches(rows.sparkSession)
-    parts = stored(rows.select("text").mapInArrow(run, "chunk int, task int, counts binary"), "contexts")
-    most = parts.agg(F.max("task")).first()[0]
-    width = fan
-    while most is not None and width // fan <= most:
-        parts = stored(_add_tables(parts, [F.col("chunk"), F.floor(F.col("task") / width)]), "contexts")
-        width *= fan
-    table = np.zeros(2 << model.table_bits, np.uint32)
-    for row in parts.select("chunk", "counts").toLocalIterator():
-        table[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] += np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
-    return table
+    return stored(rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, text array<binary>"), "units")
+
+
+def _batches(spark, rows: int) -> None:
+    """Rows of an Arrow batch in what is run next: few where rows are units, many where they are numbers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def _context_counts(units: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
+    """Stored (unit, slot, z, o) of all units and (slot, zeros, ones) of those that are counted (role 0)."""
+    spark = units.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for unit, role, texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                slot, zero, one = unit_contexts(shared.value, texts, True)
+                if role:
+                    zero, one = np.zeros_like(zero), np.zeros_like(one)
+                for k in range(0, len(slot), 200_000):
+                    part = slice(k, k + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot[part]), unit)), pa.array(slot[part]), pa.array(zero[part].astype(np.int32)), pa.array(one[part].astype(np.int32))], names=["unit", "slot", "z", "o"])
+
+    _batches(spark, 4)
+    asked = stored(units.select("unit", "role", "text").mapInArrow(run, "unit long, slot long, z int, o int"), "contexts")
+    counted = asked.filter("z + o > 0").groupBy("slot").agg(F.sum("z").alias("zeros"), F.sum("o").alias("ones"))
+    return asked, stored(counted, "context-counts")
+
+
+def _answered(units: DataFrame, asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``units`` with known: what the table says of their contexts, in the order of the slots."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("slot").to_numpy())
+        zeros, ones = (table.column(c).to_numpy()[order].astype(np.float64) for c in ("zeros", "ones"))
+        raw = zlib.compress(b"".join(x.tobytes() for x in _logits(zeros, ones)), 1)
+        return pa.table({"unit": table.column("unit").slice(0, 1), "known": pa.array([raw], pa.binary())})
+
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    _batches(units.sparkSession, 20_000)
+    answers = asked.select("unit", "slot").join(counts, "slot", "left").select("unit", "slot", zero("zeros"), zero("ones"))
+    answers = stored(answers.groupBy("unit").applyInArrow(pack, "unit long, known binary"), "answers")
+    return stored(units.join(answers, "unit"), "answered")
+
+
+def _contexts(model: Model, texts: list[bytes], raw: bytes) -> Contexts:
+    slots = unit_contexts(model, texts, False)
+    found = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, len(slots))
+    return Contexts(slots, found[0].view(np.int8), found[1])
 
 
 class Learner:
@@ -354,13 +436,13 @@ class Learner:
                 self.bend[:, k, j] += np.bincount(gate, p * (1 - p) * x[:, k] * x[:, j], GATES)
                 self.bend[:, j, k] = self.bend[:, k, j]
 
-    def learn(self, texts: list[bytes | None], rate: float, block: int) -> None:
+    def learn(self, contexts: Contexts, texts: list[bytes | None], rate: float, block: int) -> None:
         tokens = Tokens(texts)
         symbols = self.model.symbols(tokens.hashes)
-        mix_words(self.model, tokens, symbols, rate, block, self._watch)
+        mix_words(self.model, contexts, tokens, symbols, rate, block, self._watch)
         rare = np.flatnonzero((symbols == len(self.model.hashes)) & (tokens.word_at >= 0))
         for k in range(0, len(rare), 4_000):
-            spell_costs(self.model, tokens, rare[k : k + 4_000], self._watch)
+            spell_costs(self.model, contexts, tokens, rare[k : k + 4_000], self._watch)
         step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
         self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
         self.slope[:] = 0
@@ -375,17 +457,18 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
         start = shared.value
         learner = Learner(Model(**{**start.__dict__, "weights": start.weights.copy()}))
         for batch in batches:
-            raws = utf8(batch, "text")
-            for piece in pieces(raws, 30_000):
-                learner.learn(raws[piece], rate, block)
+            for raws, known in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                contexts = _contexts(start, raws, known)
+                for piece in pieces(raws, 30_000):
+                    learner.learn(contexts, raws[piece], rate, block)
         weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
         for gate in range(GATES):
             total = seen[gate].sum()
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([gate], pa.int32()), pa.array([total]), pa.array([(weights[gate] * total).tolist() + ones[gate].tolist() + seen[gate].tolist()], pa.list_(pa.float64()))], names=["gate", "total", "values"])
 
-    small_batches(rows.sparkSession)
-    parts = rows.select("text").mapInArrow(run, "gate int, total double, values array<double>")
+    _batches(rows.sparkSession, 4)
+    parts = rows.select("text", "known").mapInArrow(run, "gate int, total double, values array<double>")
     added = parts.select("gate", "total", F.posexplode("values")).groupBy("gate", "pos").agg(F.sum("col").alias("v"), F.sum("total").alias("n")).collect()
     weights, counts = model.weights.copy(), np.zeros((GATES, 2, BINS))
     for r in added:
@@ -399,14 +482,15 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
     return weights, np.clip(np.log(share / (1 - share)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune: int = 12, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame]:
-    """Learns from rows (key, text); returns the model and the stored word counts (h, n).
+def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, table_bits: int = 64, tune: int = 12, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame, DataFrame]:
+    """Learns from the rows (doc_id, text, held_out, key) that aren't held out; returns the model, the stored word counts
+    (h, n) and all rows in units with what is known of their contexts.
 
-    vocabulary, table_bits: sizes of the broadcast tables, 2 MB and 8 MB here. One row in ``tune`` by key trains the
-    mixer, the others the context tables; word counts take all.
+    vocabulary: words of the tree, which is broadcast; table_bits: of context keys. One training row in ``tune`` by key
+    trains the mixer, the others the context table; word counts take all.
     """
-    counts = stored(_word_counts(rows), "word-counts")
-    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    counts = stored(_word_counts(rows.filter("not held_out")), "word-counts")
+    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("ones")).first()
     # Words seen once stay out: what they share with unseen words is their spelling, which the byte code learns.
     top = counts.filter("n > 1").orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()
     hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -416,14 +500,12 @@ def train(rows: DataFrame, vocabulary: int = 1 << 17, table_bits: int = 22, tune
     frequent = np.zeros(len(n) + 2, bool)
     frequent[np.argsort(-n, kind="stable")[:GUIDES]] = True
     model = Model(table_bits, int(sizes["n"]), int(sizes["v"]), hashes, n, huffman(np.append(n, rest)), frequent)
-    tuned = F.pmod(F.col("key"), F.lit(tune)) == 0
-    seen = _context_tables(rows.filter(~tuned), model).reshape(-1, 2).astype(np.float32)
-    total = seen.sum(axis=1)
-    share = (seen[:, 1] + 0.4) / (total + 0.8)
-    model.logits = np.clip(np.rint(16 * np.log(share / (1 - share))), -127, 127).astype(np.int8)
-    model.known = (total > 0).astype(np.uint8) + (total > 3) + (total > 30)
-    model.weights, model.refine = _train_mixer(rows.filter(tuned), model, rate, block)
-    return model, counts
+    model.rest, model.once = int(sizes["n"]) - int(n.sum()), int(sizes["ones"])
+    role = F.when(F.col("held_out"), 2).when(F.pmod(F.col("key"), F.lit(tune)) == 0, 1).otherwise(0)
+    units = _units(rows.withColumn("role", role), id_type)
+    units = _answered(units, *_context_counts(units, model))
+    model.weights, model.refine = _train_mixer(units.filter("role = 1"), model, rate, block)
+    return model, counts, units
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.01, block: int = 32, **sizes) -> DataFrame:
@@ -434,47 +516,41 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     training = fold_of(doc_id) != 1 if training is None else training
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), (~training).alias("held_out"), F.xxhash64(words).alias("key"))
-    model, counts = train(rows.filter("not held_out").select("key", "text"), rate=rate, block=block, **sizes)
+    id_type = dict(docs.dtypes)[doc_id]
+    model, counts, units = train(rows, id_type, rate=rate, block=block, **sizes)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
-            raws = utf8(batch, "text")
-            made = [score_batch(shared.value, raws[piece], rate, block) for piece in pieces(raws)]
-            n, known, base, _, score = (np.concatenate(c) for c in zip(*made))
-            size = np.array([len(r) for r in raws])
-            per_byte = -score / LOG10_2 / np.maximum(size, 1)
-            col = lambda name: batch.column(batch.schema.get_field_index(name))
-            arrays = [col("doc_id"), col("held_out"), col("key"), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(per_byte)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "key", "n_tokens", "in_vocabulary", "base", "score", "bits_per_byte"])
-
-    def rare_words(batches):
-        for batch in batches:
-            tokens = Tokens(utf8(batch, "text"))
-            symbols = shared.value.symbols(tokens.hashes)
-            at = np.flatnonzero(symbols == len(shared.value.hashes))
-            pairs = np.rec.fromarrays((tokens.doc[at], tokens.hashes[at]))
-            order = np.lexsort((pairs.f1, pairs.f0))
-            d, h = pairs.f0[order], pairs.f1[order]
-            fresh = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate((fresh, [len(d)])))
-            key = batch.column(batch.schema.get_field_index("key")).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key[d[fresh]]), pa.array(h[fresh].view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "h", "m"])
-
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for u, (unit, role, raws, known) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "role", "text", "known")))):
+                n, inside, base, bits, (bounds, h, m, cost) = score_batch(shared.value, _contexts(shared.value, raws, known), raws, rate, block)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((h, pa.int64()), (m, pa.int32()), (cost, pa.float64()))]
+                size = np.array([len(r) for r in raws])
+                arrays = [pa.array(np.full(len(n), unit)), pa.array(np.arange(len(n))), ids[u].values, pa.array(np.full(len(n), role == 2)), pa.array(n), pa.array(inside), pa.array(base), pa.array(bits), pa.array(size), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, names=["unit", "place", "doc_id", "held_out", "n_tokens", "in_vocabulary", "base", "bits", "size", "h", "m", "cost"])
+
+    _batches(docs.sparkSession, 4)
+    scored = units.mapInArrow(score, f"unit long, place long, doc_id {id_type}, held_out boolean, n_tokens long, in_vocabulary long, base double, bits double, size long, h array<long>, m array<int>, cost array<double>")
+    scored = stored(scored, "scored")
     small_batches(docs.sparkSession)
-    id_type = dict(docs.dtypes)[doc_id]
-    scored = stored(rows.mapInArrow(score, f"doc_id {id_type}, held_out boolean, key long, n_tokens long, in_vocabulary long, base double, score double, bits_per_byte double"), "scored")
     bottom = model.train_tokens + 0.5 * (model.distinct + 1)
-    rare = rows.select("key", "text").mapInArrow(rare_words, "key long, h long, m int").join(counts, "h", "left")
+    rare = scored.select("unit", "place", F.inline(F.arrays_zip("h", "m", "cost"))).join(counts, "h", "left")
     seen = F.coalesce("n", F.lit(0))
-    sums = rare.groupBy("key").agg(F.sum(F.col("m") * F.log10((seen + 0.5) / bottom)).alias("rare_base"), F.sum(F.when(seen > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    copies = scored.groupBy("key").agg(F.count("*").alias("copies"))  # equal texts added up their words
-    sums = sums.join(copies, "key").select("key", (F.col("rare_base") / F.col("copies")).alias("rare_base"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"))
-    out = scored.join(sums, "key", "left")
+    # Behind the escape: a new word, spelled, as often as words seen once are among such tokens; else by its count.
+    fresh = (model.once + 1) / (model.rest + 2) if model.rest else 1.0
+    word_bits = F.when(seen > 0, -F.log2((1 - fresh) / max(1, model.rest) * seen + fresh * F.pow(F.lit(2.0), -F.col("cost")))).otherwise(F.col("cost") - math.log2(fresh))
+    sums = rare.groupBy("unit", "place").agg(
+        F.sum(F.col("m") * F.log10((seen + 0.5) / bottom)).alias("rare_base"),
+        F.sum(F.when(seen > 0, F.col("m")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("m") * word_bits).alias("rare_bits"),
+    )
+    out = scored.drop("h", "m", "cost").join(sums, ["unit", "place"], "left").withColumn("bits", F.col("bits") + F.coalesce("rare_bits", F.lit(0.0)))
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("in_vocabulary") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score", "bits_per_byte",
+        (F.col("bits") * -LOG10_2).alias("score"),
+        (F.col("bits") / F.greatest("size", F.lit(1))).alias("bits_per_byte"),
     )
