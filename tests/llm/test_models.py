@@ -150,6 +150,22 @@ def test_contexts_and_words_are_kept_however_many(spark):
     assert -cost / math.log10(2) < 16  # 12 bits a word by count; spelled at random they have 9 * log2(26) = 42
 
 
+def test_every_training_row_is_counted_and_tunes(spark):
+    """Contexts of a hot text are counted whatever its hash is, and a unit is tuned with its own counts subtracted."""
+    texts = [f"hot{k} text number {k}" for k in range(12)]
+    hot = next(t for t in (f"hot text {k} stands here" for k in range(1000)) if spark.range(1).select(F.pmod(F.xxhash64(F.lit(t)), F.lit(12))).first()[0] == 0)
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts + [hot] * 6)], "doc_id long, text string, held_out boolean")
+    rows = rows.withColumn("key", F.xxhash64("text")).coalesce(1)
+    model, _, units = mixing.train(rows, "bigint")
+    seen = units.select("role", F.explode("text").alias("text")).groupBy("role").count().collect()
+    assert [(r["role"], r["count"]) for r in seen] == [(0, 18)]
+    (unit,) = units.collect()
+    known, others = (mixing._contexts(model, list(unit.text), raw) for raw in (unit.known, unit.others))
+    assert (known.known > 0).all() and (others.known == 0).all()
+    wanted = mixing.unit_contexts(model, [hot.encode()], False)
+    assert (known.look(wanted)[1] >= 2).all()  # six copies
+
+
 def test_empty_tables(spark, no_docs):
     assert score_texts(no_docs, table_bits=16).count() == 0
     lone = spark.createDataFrame([(k, None) for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 1][:1], "doc_id long, text string")

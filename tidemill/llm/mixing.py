@@ -6,7 +6,7 @@ predictors: for a tree node its own frequency, and counts of contexts (node with
 tells the language, with the last word, with the last two); for a byte the last one, two, three and four bytes. Their logits are mixed with weights that a gate
 selects by how well the contexts are known; the mixing weights follow each document online, block by block, from the
 trained ones. An adaptive map then refines the mixed probability. Everything is learned from training rows alone:
-word counts over all of them, context tables and the mixer on disjoint parts of them.
+word and context counts over all of them; the mixer is cross-fitted, each unit of texts with its own counts subtracted.
 
 Context counts are a stored table keyed by 64-bit hashes of context and node; it grows with the training rows and is
 never gathered. Texts are dealt into units of about 250 KB; a unit asks once for each of its contexts, the answers come
@@ -371,7 +371,7 @@ def _batches(spark, rows: int) -> None:
 
 
 def _context_counts(units: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Stored (unit, slot, z, o) of all units and (slot, zeros, ones) of those that are counted (role 0)."""
+    """Stored (unit, slot, z, o) of all units and (slot, zeros, ones) of training rows (role 0)."""
     spark = units.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -392,18 +392,19 @@ def _context_counts(units: DataFrame, model: Model) -> tuple[DataFrame, DataFram
 
 
 def _answered(units: DataFrame, asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """``units`` with known: what the table says of their contexts, in the order of the slots."""
+    """``units`` with known, what the table says of their contexts in the order of the slots, and others, what it says
+    without the unit's own counts."""
 
     def pack(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("slot").to_numpy())
-        zeros, ones = (table.column(c).to_numpy()[order].astype(np.float64) for c in ("zeros", "ones"))
-        raw = zlib.compress(b"".join(x.tobytes() for x in _logits(zeros, ones)), 1)
-        return pa.table({"unit": table.column("unit").slice(0, 1), "known": pa.array([raw], pa.binary())})
+        zeros, ones, z, o = (table.column(c).to_numpy()[order].astype(np.float64) for c in ("zeros", "ones", "z", "o"))
+        known, others = (zlib.compress(b"".join(x.tobytes() for x in _logits(*pair)), 1) for pair in ((zeros, ones), (zeros - z, ones - o)))
+        return pa.table({"unit": table.column("unit").slice(0, 1), "known": pa.array([known], pa.binary()), "others": pa.array([others], pa.binary())})
 
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     _batches(units.sparkSession, 20_000)
-    answers = asked.select("unit", "slot").join(counts, "slot", "left").select("unit", "slot", zero("zeros"), zero("ones"))
-    answers = stored(answers.groupBy("unit").applyInArrow(pack, "unit long, known binary"), "answers")
+    answers = asked.join(counts, "slot", "left").select("unit", "slot", "z", "o", zero("zeros"), zero("ones"))
+    answers = stored(answers.groupBy("unit").applyInArrow(pack, "unit long, known binary, others binary"), "answers")
     return stored(units.join(answers, "unit"), "answered")
 
 
@@ -457,8 +458,8 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
         start = shared.value
         learner = Learner(Model(**{**start.__dict__, "weights": start.weights.copy()}))
         for batch in batches:
-            for raws, known in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                contexts = _contexts(start, raws, known)
+            for raws, others in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                contexts = _contexts(start, raws, others)
                 for piece in pieces(raws, 30_000):
                     learner.learn(contexts, raws[piece], rate, block)
         weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
@@ -468,7 +469,7 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
                 yield pa.RecordBatch.from_arrays([pa.array([gate], pa.int32()), pa.array([total]), pa.array([(weights[gate] * total).tolist() + ones[gate].tolist() + seen[gate].tolist()], pa.list_(pa.float64()))], names=["gate", "total", "values"])
 
     _batches(rows.sparkSession, 4)
-    parts = rows.select("text", "known").mapInArrow(run, "gate int, total double, values array<double>")
+    parts = rows.select("text", "others").mapInArrow(run, "gate int, total double, values array<double>")
     added = parts.select("gate", "total", F.posexplode("values")).groupBy("gate", "pos").agg(F.sum("col").alias("v"), F.sum("total").alias("n")).collect()
     weights, counts = model.weights.copy(), np.zeros((GATES, 2, BINS))
     for r in added:
@@ -482,12 +483,12 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
     return weights, np.clip(np.log(share / (1 - share)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, table_bits: int = 64, tune: int = 12, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame, DataFrame]:
-    """Learns from the rows (doc_id, text, held_out, key) that aren't held out; returns the model, the stored word counts
+def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, table_bits: int = 64, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame, DataFrame]:
+    """Learns from the rows (doc_id, text, held_out) that aren't held out; returns the model, the stored word counts
     (h, n) and all rows in units with what is known of their contexts.
 
-    vocabulary: words of the tree, which is broadcast; table_bits: of context keys. One training row in ``tune`` by key
-    trains the mixer, the others the context table; word counts take all.
+    vocabulary: words of the tree, which is broadcast; table_bits: of context keys. Word counts, context
+    table and mixer take all training rows.
     """
     counts = stored(_word_counts(rows.filter("not held_out")), "word-counts")
     sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("ones")).first()
@@ -501,10 +502,9 @@ def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, table_bits:
     frequent[np.argsort(-n, kind="stable")[:GUIDES]] = True
     model = Model(table_bits, int(sizes["n"]), int(sizes["v"]), hashes, n, huffman(np.append(n, rest)), frequent)
     model.rest, model.once = int(sizes["n"]) - int(n.sum()), int(sizes["ones"])
-    role = F.when(F.col("held_out"), 2).when(F.pmod(F.col("key"), F.lit(tune)) == 0, 1).otherwise(0)
-    units = _units(rows.withColumn("role", role), id_type)
+    units = _units(rows.withColumn("role", F.col("held_out").cast("int")), id_type)
     units = _answered(units, *_context_counts(units, model))
-    model.weights, model.refine = _train_mixer(units.filter("role = 1"), model, rate, block)
+    model.weights, model.refine = _train_mixer(units.filter("role = 0"), model, rate, block)
     return model, counts, units
 
 
@@ -515,7 +515,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     """
     training = fold_of(doc_id) != 1 if training is None else training
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), (~training).alias("held_out"), F.xxhash64(words).alias("key"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), (~training).alias("held_out"))
     id_type = dict(docs.dtypes)[doc_id]
     model, counts, units = train(rows, id_type, rate=rate, block=block, **sizes)
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -527,7 +527,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
                 n, inside, base, bits, (bounds, h, m, cost) = score_batch(shared.value, _contexts(shared.value, raws, known), raws, rate, block)
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((h, pa.int64()), (m, pa.int32()), (cost, pa.float64()))]
                 size = np.array([len(r) for r in raws])
-                arrays = [pa.array(np.full(len(n), unit)), pa.array(np.arange(len(n))), ids[u].values, pa.array(np.full(len(n), role == 2)), pa.array(n), pa.array(inside), pa.array(base), pa.array(bits), pa.array(size), *lists]
+                arrays = [pa.array(np.full(len(n), unit)), pa.array(np.arange(len(n))), ids[u].values, pa.array(np.full(len(n), role == 1)), pa.array(n), pa.array(inside), pa.array(base), pa.array(bits), pa.array(size), *lists]
                 yield pa.RecordBatch.from_arrays(arrays, names=["unit", "place", "doc_id", "held_out", "n_tokens", "in_vocabulary", "base", "bits", "size", "h", "m", "cost"])
 
     _batches(docs.sparkSession, 4)
