@@ -37,6 +37,14 @@ def test_folding():
     assert fold("ｇｒｏｂｎｉｋ") == ["grobnik"]
 
 
+def test_folding_parts_words_at_unicode_signs():
+    text = "“grobnik” ‘grobnik’ «grobnik» grobnik—grobnik grobnik–grobnik grobnik… ¿grobnik? ¡grobnik! 「grobnik」、grobnik。 „gr0bnik‟ 【grobnik】"
+    assert fold(text) == ["grobnik"] * 14
+    assert fold("naïve e\u0301te\u0301 हिन्दी 中文。") == ["naïve", "été", "हिन्दी", "中文"]
+    machine = Model({" vile ": 3.0}).machine()
+    assert features(machine, "so “vile” he said") == features(machine, "so vile he said") != (0.0, 0.0)
+
+
 def test_matches_stems_words_and_exceptions():
     machine = Model({" grob": 2.0, " vile ": 3.0}, frozenset({" famous grobnik "})).machine()
     words = fold("a grobnik vile vilewart famous grobnik")

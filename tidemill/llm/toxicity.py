@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon, learned from labels and matched by Aho-Corasick in folded text.
 
 Folding lowers case, normalises compatibility forms, turns homoglyphs and digit or symbol substitutes into the
-letters they stand for and drops invisible characters. Lexicon entries are words or word stems whose share of toxic
+letters they stand for, drops invisible characters and parts words at all other signs. Lexicon entries are words or word stems whose share of toxic
 documents is high and no accident; exception phrases are pairs of a matched word and a neighbour that clean documents
 use. The weights of a text's matches, less its exceptions, are normalised by its length and a logistic curve gives
 the score.
@@ -45,7 +45,20 @@ INVISIBLE = "­​‌‍⁠﻿"
 _TABLE = {c: " " for c in range(128) if not chr(c).isalnum()}
 _TABLE |= {ord(a): b for a, b in (HOMOGLYPHS | SUBSTITUTES).items()}
 _TABLE |= {ord(c): None for c in INVISIBLE}
-_TABLE = str.maketrans({chr(k): v for k, v in _TABLE.items()})
+
+
+class _Folded(dict):
+    """What a code point becomes. Those outside the table are looked up once: letters, digits, marks and invisible format
+    characters stay, all else (quotes, dashes, ellipses, CJK punctuation, symbols) parts words."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        kept = char.isalnum() or unicodedata.category(char) in ("Mn", "Mc", "Me", "Cf")
+        self[code] = made = char if kept else " "
+        return made
+
+
+_FOLDED = _Folded(_TABLE)
 
 
 def fold(text: str | None) -> list[str]:
@@ -55,7 +68,7 @@ def fold(text: str | None) -> list[str]:
     low = text.lower()
     if not low.isascii():
         low = unicodedata.normalize("NFKC", low)
-    return low.translate(_TABLE).split()
+    return low.translate(_FOLDED).split()
 
 
 @dataclass
