@@ -18,18 +18,21 @@ def plain_ids(name, texts):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(tokenizer_path(name))
-    made.encode_special_tokens = True
     return [made.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("name, leading", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_chunked_encoding_equals_whole_texts(rows, name, leading):
+def test_chunked_encoding_equals_the_untouched_library(rows, name, leading):
     rng = random.Random(3)
+    odd = ["a", "B", "é", "İ", "ß", "Ⅷ", "'s", "'S", "12", " ", " ", " ", "\n", "\t", ".", ",", "!", "?", "\u0301", "\u0307", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "中", "\u3000", "\u00a0", "\x1c", "\0", "ſ", "ñ", "ª", "Σ", "ς", "😀", "-"]
     texts = [r[1] or "" for r in rows]
-    texts += ["".join(rng.choice([" ", " ", "\n", "\t", "a", "B", "é", ".", "'s", "12", "\u00a0", "\u3000", "\u0301", "中", "<|endoftext|>"]) for _ in range(rng.randrange(25))) for _ in range(1500)]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    texts += [" ".join(f"word{rng.randrange(5000)}, Thing{rng.randrange(90)}." for _ in range(60_000))]
+    assert len(texts[-1]) > 1_000_000
     code = Encoder(tokenizer_path(name), leading, memo=2000)
     got = [np.frombuffer(x, "<u2").tolist() for at in range(0, len(texts), 100) for x in code(texts[at : at + 100])]
     assert got == plain_ids(name, texts)
+    assert code([]) == [] and code([None, ""]) == [b"", b""]
 
 
 def test_elias_fano_and_token_file():
@@ -40,13 +43,25 @@ def test_elias_fano_and_token_file():
             at += rng.choice((0, 0, 1, 7, 500, 9000))
             values.append(at)
         made = EliasFano.of(np.array(values, np.int64))
-        assert made.values().tolist() == values
-        assert [made.select(i) for i in range(n)] == values
+        assert made.select(np.arange(n)).tolist() == values
+        some = [i for i in range(n) if rng.random() < 0.1][::-1]
+        assert made.select(some).tolist() == [values[i] for i in some]
         if n >= 500:
             assert len(made.lows) + len(made.highs) + len(made.ranks) < n * (3 + np.log2(max(values) / n)) / 8 + 100
     texts = [struct.pack(f"<{k}H", *range(k)) for k in (0, 3, 0, 9)]
     file = TokenFile(write_file(texts, 2))
-    assert [file.ids(*file.bounds(i)) for i in range(4)] == texts
+    bounds = file.bounds(0, 4)
+    assert [file.ids(a, b) for a, b in zip(bounds[:-1], bounds[1:])] == texts
+    assert file.bounds(1, 3).tolist() == bounds[1:4].tolist()
+    with pytest.raises(IndexError):
+        file.index.select([4])
+
+
+def test_index_is_near_minimal():
+    ends = np.cumsum(np.random.default_rng(2).integers(1, 2000, 60_000))
+    made = EliasFano.of(ends)
+    size = len(made.lows) + len(made.highs) + len(made.ranks)
+    assert size < len(ends) * (2.3 + np.log2(ends[-1] / len(ends))) / 8 < len(ends) * 8 / 4  # a fourth of a 64-bit table
 
 
 def test_token_files_hold_all_documents(spark, docs, rows, no_docs):

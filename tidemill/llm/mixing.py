@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8
+from .common import stored, utf8
 from .words import Words
 
 END = np.uint64(0x1E57E9D)
@@ -307,7 +307,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             values, n = np.unique(Tokens(utf8(batch, "text")).hashes, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    small_batches(rows.sparkSession)
+
     return rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
@@ -361,7 +361,7 @@ def _units(rows: DataFrame, id_type: str) -> DataFrame:
         for role in list(held):
             yield flush(role)
 
-    small_batches(rows.sparkSession)
+
     return stored(rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, text array<binary>"), "units")
 
 
@@ -533,7 +533,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     _batches(docs.sparkSession, 4)
     scored = units.mapInArrow(score, f"unit long, place long, doc_id {id_type}, held_out boolean, n_tokens long, in_vocabulary long, base double, bits double, size long, h array<long>, m array<int>, cost array<double>")
     scored = stored(scored, "scored")
-    small_batches(docs.sparkSession)
+
     bottom = model.train_tokens + 0.5 * (model.distinct + 1)
     rare = scored.select("unit", "place", F.inline(F.arrays_zip("h", "m", "cost"))).join(counts, "h", "left")
     seen = F.coalesce("n", F.lit(0))

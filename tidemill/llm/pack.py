@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches, stored
+from .common import add_columns, stored
 from .tokens import encoder, ids_crc32
 
 DIMS, BITS, TIE_BITS = 3, 10, 22
@@ -55,13 +55,20 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], seed: int = 11) -> np.ndarray:
-    """Hilbert keys of documents: mean of a fixed random projection of their hashed ids, squashed to the grid."""
-    table = np.random.default_rng(seed).standard_normal((8192, DIMS)).astype(np.float32)
-    lengths = np.array([len(x) for x in ids])
-    rows = table[(np.concatenate(ids).astype(np.int64) * 2654435761 >> 7) & 8191]
-    mean = np.add.reduceat(rows, np.concatenate(([0], np.cumsum(lengths)[:-1])), axis=0) / lengths[:, None]
-    grid = ((np.tanh(2 * mean) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
+def curve_keys(ids: np.ndarray, bounds: np.ndarray, end_id: int, seed: int = 11) -> np.ndarray:
+    """Hilbert keys of documents: mean of a fixed random projection of their hashed ids, squashed to the grid.
+
+    bounds: where each document's ids begin, and the end of the last; each has the end id besides.
+    """
+    table = np.rint(np.random.default_rng(seed).standard_normal((8192, DIMS)) * (1 << 20)).astype(np.int64)
+    cell = lambda x: (x * 2654435761 >> 7) & 8191
+    hashed = cell(np.arange(1 << 16))[ids] if ids.itemsize == 2 else cell(ids.astype(np.int64))
+    n = np.diff(bounds) + 1
+    grid = np.empty((len(n), DIMS), np.int64)
+    for d in range(DIMS):
+        upto = np.concatenate(([0], np.cumsum(table[:, d][hashed])))
+        mean = (upto[bounds[1:]] - upto[bounds[:-1]] + table[cell(end_id), d]) / n / (1 << 20)
+        grid[:, d] = (np.tanh(2 * mean) + 1) / 2 * ((1 << BITS) - 1)
     return hilbert_keys(grid)
 
 
@@ -74,6 +81,17 @@ def tail_cuts(total: int, length: int) -> list[int]:
     return cuts
 
 
+def _place(bounds: list[int], key: str):
+    """Number of ``bounds`` (sorted) below ``key``: a binary search, one step for each halving."""
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
+    if not steps:
+        return F.lit(0)
+    padded = bounds + [(1 << 63) - 1] * (2 * steps[0] - len(bounds))
+    held = F.from_json(F.lit(json.dumps(padded)), "array<bigint>")
+    walk = F.from_json(F.lit(json.dumps(steps)), "array<int>")
+    return F.aggregate(walk, F.lit(0), lambda p, step: F.when(F.element_at(held, p + step) < F.col(key), p + step).otherwise(p))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -83,31 +101,34 @@ def pack(
     length: int = 4096,
     leading_space: bool = False,
     parts: int | None = None,
+    part_ids: int = 4 << 20,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, width, doc_tokens, sequence_id, offset.
 
-    parts: pieces of the curve that tasks order, by default twice the shuffle partitions; only their token counts
-    and key bounds reach the driver.
+    parts: pieces of the curve that tasks order, by default one for each ``part_ids`` ids; only their token counts and
+    key bounds reach the driver.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("curve", T.LongType())]
 
     def encode(batch):
         code = encoder(tokenizer, leading_space)
         end = end_id.to_bytes(code.width, "little")
-        made = [x + end for x in code([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])]
-        arrays = [np.frombuffer(x, f"<u{code.width}") for x in made]
-        return [made, [code.width] * len(made), [len(a) for a in arrays], pa.array(curve_keys(arrays), pa.int64())]
-
-    tie = F.pmod(F.xxhash64("doc_id", "n", F.lit(5)), F.lit(1 << TIE_BITS))
-    tokens = stored(add_columns(rows, fields, encode, keep=["doc_id"]).withColumn("key", F.shiftleft("curve", TIE_BITS) + tie).drop("curve"), "pack-tokens")
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ids, bounds = code.encode(batch.column(batch.schema.get_field_index("text")))
+        made = [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        n = np.diff(bounds) + 1
+        return [pa.array(made, pa.binary()), pa.array(np.full(len(n), code.width, np.int32)), pa.array(n), pa.array(curve_keys(ids, bounds, end_id))]
+
+    # A row's place in its task sets copies apart even where ids are null or repeat.
+    tie = F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(1 << TIE_BITS))
+    coded = add_columns(rows, fields, encode, keep=["doc_id"], by="text")
+    tokens = stored(coded.withColumn("key", F.shiftleft("curve", TIE_BITS) + tie).drop("curve"), "pack-tokens")
+    if parts is None:
+        parts = -(-(tokens.agg(F.sum("n").alias("n")).first()["n"] or 0) // part_ids)
     light = tokens.select(F.col("key").cast("double").alias("key"), "n")
-    found = light.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts)
+    found = light.approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(x) for x in found})
-    part = F.size(F.filter(F.from_json(F.lit(json.dumps(bounds)), "array<bigint>"), lambda b: b < F.col("key")))
-    tokens = tokens.withColumn("part", part)
+    tokens = tokens.withColumn("part", _place(bounds, "key"))
     sizes = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     before, at = {}, 0
     for p in range(len(bounds) + 1):
@@ -140,12 +161,16 @@ def pack(
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "start", "length", "ids", "width", "doc_tokens", "sequence_id", "offset"])
 
-    small_batches(spark)
-    ordered = tokens.repartitionByRange(parts, "part").sortWithinPartitions("part", "key", "doc_id", "n", "ids")
+    ordered = tokens.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("key", "doc_id", "n", "ids")
     return ordered.mapInArrow(cut, "doc_id long, start long, length long, ids binary, width int, doc_tokens long, sequence_id long, offset long")
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
-    """Adds ``ids_crc32``, of a row's ids as little-endian unsigned 32-bit integers."""
+    """Adds ``ids_crc32``, of a row's ids as little-endian unsigned 32-bit integers, and drops ids and width."""
     crc = [T.StructField("ids_crc32", T.LongType())]
-    return add_columns(pieces, crc, lambda b: [[ids_crc32(x, w) for x, w in zip(b.column(b.schema.get_field_index("ids")).to_pylist(), b.column(b.schema.get_field_index("width")).to_pylist())]], keep=[c for c in pieces.columns if c not in ("ids", "width")])
+
+    def run(batch):
+        ids, width = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "width"))
+        return [[ids_crc32(x, w) for x, w in zip(ids, width)]]
+
+    return add_columns(pieces, crc, run, keep=[c for c in pieces.columns if c not in ("ids", "width")])

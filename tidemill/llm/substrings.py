@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches, stored, utf8, without
+from .common import add_columns, stored, utf8, without
 from .words import Words, mix, runs
 
 GRAM = 8
@@ -84,7 +84,6 @@ def _anchors(texts: DataFrame, window: int, whole: bool) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([_signed(anchor)], names=["g"])
 
-    small_batches(texts.sparkSession)
     return texts.mapInArrow(run, "g long, u long, t binary, lo int, n int" if whole else "g long")
 
 
@@ -121,7 +120,6 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4]))], names=["g", "w", "t", "at", "many"])
 
-    small_batches(docs.sparkSession)
     found = stored(near.mapInArrow(windows, "g long, w long, t binary, at int, many boolean"), "boundaries")
     spot = F.struct("t", "at")
     again = stored(found.groupBy("g", "w").agg(F.max("many").alias("m"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("m or a < b").select("g", "w"), "again")

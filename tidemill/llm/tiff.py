@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, utf8
+from .common import utf8
 
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH_TAG, HEIGHT_TAG, BITS_TAG, COMPRESSION_TAG, PHOTOMETRIC_TAG = 256, 257, 258, 259, 262
@@ -298,5 +298,4 @@ def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
             if rows:
                 yield out()
 
-    small_batches(media.sparkSession)
     return media.mapInArrow(run, T.StructType([*kept, *made.fields]))

@@ -1,44 +1,47 @@
 """Token ids of whole texts, and token files with Elias-Fano document boundaries.
 
 ``Encoder`` runs a public tokenizer of the tokenizers library. Both supported kinds split at spaces before they
-merge, so a text is cut there and each distinct chunk is encoded once a worker; texts where a cut could change the
-result (white space beside a space) are encoded whole.
+merge, so texts are cut there; Arrow finds the distinct chunks of a slice of texts and each is encoded once, parts of
+them once a worker while they are remembered. Texts where a cut could change the result (white space beside a space,
+for byte-level vocabularies) are encoded whole.
 
 A token file holds the concatenated ids of many documents in 2 or 4 bytes each, and the documents' ends as an
 Elias-Fano sequence: low bits packed, high bits in a bitmap with sampled ranks, so ``select`` finds any boundary
-without a table of 64-bit offsets. Files are rows of a table in the shared folder: Spark's commit protocol covers
-lost executors, and no executor needs a mount of its own.
+without a table of 64-bit offsets. Readers get every range of ids by ``select``. Files are rows of a table in the
+shared folder: Spark's commit protocol covers lost executors, and no executor needs a mount of its own.
 
-Defined results: null and empty texts have the end id alone; rows with equal ids stand in hash order of their text;
-a null id comes first; an empty table gives an empty result.
+Defined results: null and empty texts have the end id alone; control strings of the tokenizer inside texts become
+their ids, as the library does by default; rows with equal ids stand in hash order of their text; a null id comes
+first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import held, shared_dir, slices
 
 MAGIC = b"TIDETOK1"
 HEADER = struct.Struct("<8sBBHQQ")
 RANK_BYTES = 64
 
-#: White space other than a space or a line end; texts that have any are encoded whole, as are those with runs of it.
-_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
-_ODD_ASCII = [c for c in _ODD if c.isascii()]
-_RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
-_POINTS = frozenset(".,;:!?")
+#: Texts with such white space are not cut for byte-level vocabularies: runs of it, or kinds other than space and line end.
+_ODD = "[\t\v\f\r\x00\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  |\n\n| \n|\n "
+#: A plain word with a point behind it. Lower-casing or composing these letters never leaves a mark before the point.
+_POINTED = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,;:!?]$"
+_PLAIN = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -49,99 +52,98 @@ def _byte_chars() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, ``width`` bytes an id.
+    """Ids of whole texts in 2 or 4 bytes each.
 
     leading_space: chunks carry the space before them (byte-level vocabularies); otherwise white space and case are
-    dropped by the tokenizer. A point behind a letter is always a token boundary, so "word." is put together from
-    "word" and ".". Chunks are remembered in two generations of ``memo`` each: the elder one goes when the younger is
-    full, and what is still in use moves on. Chunks of over 48 characters aren't remembered.
+    dropped by the tokenizer. A point behind a plain letter is always a token of its own, so "word." is put together
+    from "word" and ".". memo: parts that are remembered (about 200 bytes each, none over 48 characters); all are
+    forgotten when it is full.
     """
 
-    def __init__(self, path: str, leading_space: bool, memo: int = 700_000):
-        import gc
-        import os
-
-        gc.set_threshold(500_000)  # the memory's many small objects form no cycles
+    def __init__(self, path: str, leading_space: bool, memo: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.chars = self.tokenizer.model, _byte_chars()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.letter = "H" if self.width == 2 else "I"
-        self.leading_space, self.room, self.young, self.old = leading_space, memo, {}, {}
+        self.letter, self.kind = ("H", "<u2") if self.width == 2 else ("I", "<u4")
+        self.leading_space, self.room, self.memo = leading_space, memo, {}
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of all texts in order, and for each text the number of chunks before its end."""
+        if self.leading_space:
+            odd = pc.match_substring_regex(texts, _ODD)
+            marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+            if pc.any(odd).as_py():
+                lists = pc.split_pattern(pc.if_else(odd, "", marked), "\0").to_pylist()
+                for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+                    lists[i] = [texts[i].as_py()]
+                lists = pa.array(lists, pa.list_(pa.string()))
+            else:
+                lists = pc.split_pattern(marked, "\0")
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
-    def _cut(self, text: str) -> list[str]:
+    def _told(self, part: str) -> list[int]:
+        """Ids of a plain word: to the tokenizer a run of letters is one word, so its model merges it as it is."""
         if not self.leading_space:
-            return text.replace("\n", " ").split(" ")
-        if any(r in text for r in _RUNS) or any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)):
-            return [text]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        if len(chunk) > 1 and chunk[-1] in _POINTS and chunk[-2].isalpha():
-            return (*self._parts(chunk[:-1]), chunk[-1])
-        if not self.leading_space and chunk.isascii():
-            return (chunk.lower(),)
-        return (chunk,)
-
-    def _encode(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts. A run of letters (behind a space) is one word to the tokenizer: its model merges it as it is."""
-        out, rest = {}, []
-        for part in parts:
-            plain = part.isascii()
-            if (plain or self.leading_space) and (part[1:] if part[:1] == " " else part).isalpha():
-                told = part if plain and part[0] != " " else part.encode().decode("latin-1").translate(self.chars)
-                out[part] = array(self.letter, [t.id for t in self.model.tokenize(told)]).tobytes()
-            else:
-                rest.append(part)
+            part = part.lower()
+        return [t.id for t in self.model.tokenize(part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.chars))]
+
+    def _parts(self, parts: pa.Array) -> list[bytes]:
+        """Ids of distinct parts."""
+        memo = self.memo
+        plain = pc.match_substring_regex(parts, _PLAIN).to_numpy(zero_copy_only=False)
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        out = [memo.get(p) for p in names]
+        rest = []
+        for i, made in enumerate(out):
+            if made is None:
+                if plain[i]:
+                    out[i] = array(self.letter, self._told(names[i])).tobytes()
+                else:
+                    rest.append(i)
         for at in range(0, len(rest), 4096):
-            for part, made in zip(rest[at : at + 4096], self.tokenizer.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)):
-                out[part] = array(self.letter, made.ids).tobytes()
+            some = rest[at : at + 4096]
+            for i, made in zip(some, self.tokenizer.encode_batch_fast([names[i] for i in some], add_special_tokens=False)):
+                out[i] = array(self.letter, made.ids).tobytes()
+        if len(memo) + len(names) > self.room:
+            memo.clear()
+        memo.update((p, x) for p, x in zip(names, out) if len(p) <= 48)
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.room:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        cut = [self._cut(t) for t in texts]
-        parts: dict[str, tuple[str, ...]] = {}
-        for chunk in {c for c in chain.from_iterable(cut) if c not in young}:
-            if chunk in old:
-                young[chunk] = old[chunk]
-            else:
-                parts[chunk] = self._parts(chunk)
-        known: dict[str, bytes] = {}
-        new = []
-        for part in set(chain.from_iterable(parts.values())):
-            held = young.get(part) or old.get(part)
-            if held is None:
-                new.append(part)
-            else:
-                known[part] = held
-        known.update(self._encode(new))
-        long = {}
-        for chunk, pieces in parts.items():
-            (young if len(chunk) <= 48 else long)[chunk] = b"".join([known[p] for p in pieces])
-        for part in new:
-            if len(part) <= 48:
-                young[part] = known[part]
-        if long:
-            return [b"".join([young[c] if c in young else long[c] for c in chunks]) for chunks in cut]
-        return [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
-
-
-_encoders: dict[tuple, Encoder] = {}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin, with the end of the last)."""
+        chunks, upto = self._cut(pc.fill_null(texts, "").cast(pa.string()))
+        coded = chunks.dictionary_encode()
+        kinds = coded.dictionary
+        pointed = pc.match_substring_regex(kinds, _POINTED)
+        stems = pc.if_else(pointed, pc.utf8_slice_codeunits(kinds, 0, -1), kinds)
+        ends = pc.if_else(pointed, pc.utf8_slice_codeunits(kinds, -1, None), "")
+        if not self.leading_space:  # the tokenizer lowers letters itself; here it makes fewer parts
+            stems = pc.if_else(pc.match_substring_regex(stems, "^[A-Za-z]+$"), pc.ascii_lower(stems), stems)
+        both = pa.concat_arrays([stems, ends]).dictionary_encode()
+        made = self._parts(both.dictionary)
+        raw = np.frombuffer(b"".join(made), self.kind)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // self.width
+        start = np.cumsum(size) - size
+        place = both.indices.to_numpy().reshape(2, -1)  # of each kind of chunk: its stem, its point
+        which = place[:, coded.indices.to_numpy()].T.ravel()
+        n = size[which]
+        past = np.cumsum(n)
+        ids = raw[np.repeat(start[which] - past + n, n) + np.arange(past[-1] if len(past) else 0)]
+        return ids, np.concatenate(([0], np.concatenate(([0], past))[2 * upto])).astype(np.int64)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        ids, bounds = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def encoder(path: str, leading_space: bool) -> Encoder:
-    """One encoder a worker."""
-    key = (path, leading_space)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(path, leading_space)
-    return _encoders[key]
+    """The worker's encoder."""
+    return held(("encoder", path, leading_space), lambda: Encoder(path, leading_space))
 
 
 def ids_crc32(ids: bytes, width: int) -> int:
@@ -175,26 +177,24 @@ class EliasFano:
         ranks = np.concatenate(([0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), RANK_BYTES)))[:-1])) if len(ones) else np.zeros(0)
         return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes(), highs.tobytes(), ranks.astype("<u4").tobytes())
 
-    def _low(self, i: int) -> int:
+    def select(self, places) -> np.ndarray:
+        """Values number ``places``: a search of the sampled ranks, then of one run of the bitmap for each."""
+        i = np.asarray(places, np.int64)
+        if i.size and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError(places)
+        run = np.searchsorted(np.frombuffer(self.ranks, "<u4"), i, side="right") - 1
+        runs, which = np.unique(run, return_inverse=True)
+        padded = np.frombuffer(self.highs + bytes(-len(self.highs) % RANK_BYTES), np.uint8).reshape(-1, RANK_BYTES)
+        ones = np.flatnonzero(np.unpackbits(padded[runs], axis=1, bitorder="little"))
+        first = np.searchsorted(ones, np.arange(len(runs)) * RANK_BYTES * 8)
+        at = ones[first[which] + i - np.frombuffer(self.ranks, "<u4")[run]] - which * RANK_BYTES * 8 + run * RANK_BYTES * 8
+        return (at - i) << self.low_bits | self._low(i)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low_bits
-        part = int.from_bytes(self.lows[at // 8 : (at + self.low_bits) // 8 + 1], "little")
-        return part >> (at % 8) & ((1 << self.low_bits) - 1)
-
-    def select(self, i: int) -> int:
-        """Value number ``i``: a search of the sampled ranks, then of one run of the bitmap."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        ranks = np.frombuffer(self.ranks, "<u4")
-        run = int(np.searchsorted(ranks, i, side="right")) - 1
-        piece = np.unpackbits(np.frombuffer(self.highs[run * RANK_BYTES : (run + 1) * RANK_BYTES], np.uint8), bitorder="little")
-        where = run * RANK_BYTES * 8 + int(np.flatnonzero(piece)[i - int(ranks[run])])
-        return (where - i) << self.low_bits | self._low(i)
-
-    def values(self) -> np.ndarray:
-        where = np.flatnonzero(np.unpackbits(np.frombuffer(self.highs, np.uint8), bitorder="little")) - np.arange(self.n)
-        bits = np.unpackbits(np.frombuffer(self.lows, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return (where.astype(np.int64) << self.low_bits) | low
+        raw = np.frombuffer(self.lows + bytes(9), np.uint8)
+        word = sum(raw[at // 8 + k].astype(np.uint64) << np.uint64(8 * k) for k in range(8)) if i.size else np.zeros(0, np.uint64)
+        return (word >> (at % 8).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
 
 def write_file(texts: list[bytes], width: int) -> bytes:
@@ -221,8 +221,10 @@ class TokenFile:
             at += size
         self.index, self.data, self.at = EliasFano(self.n_docs, low_bits, *parts), data, at
 
-    def bounds(self, i: int) -> tuple[int, int]:
-        return (self.index.select(i - 1) if i else 0), self.index.select(i)
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where the ids of documents ``first`` to ``last - 1`` begin, and the end of the last, by select."""
+        ends = self.index.select(np.arange(max(0, first - 1), last))
+        return ends if first else np.concatenate(([0], ends))
 
     def ids(self, first: int, last: int) -> bytes:
         return self.data[self.at + first * self.width : self.at + last * self.width]
@@ -253,26 +255,26 @@ def write_tokens(
     def run(batches):
         code = encoder(tokenizer, leading_space)
         end = end_id.to_bytes(code.width, "little")
-        part, seq, base, n, held, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        part, seq, base, n, texts, ids = TaskContext.get().partitionId(), 0, 0, 0, [], []
 
         def out():
-            row = (part, seq, base, n, ids, write_file(held, code.width))
+            row = (part, seq, base, n, ids, write_file(texts, code.width))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "base", "n_ids", "docs", "file"])
 
-        for batch in batches:
-            made = code([t or "" for t in batch.column(1).to_pylist()])
-            for d, one in zip(batch.column(0).to_pylist(), made):
-                held.append(one + end)
-                ids.append(d)
-                n += len(one) // code.width + 1
-                if n >= file_ids:
-                    yield out()
-                    seq, base, n, held, ids = seq + 1, base + n, 0, [], []
-        if held:
+        for whole in batches:
+            for batch in slices(whole, "t"):
+                made, bounds = code.encode(batch.column(1))
+                for d, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    texts.append(made[a:b].tobytes() + end)
+                    ids.append(d)
+                    n += b - a + 1
+                    if n >= file_ids:
+                        yield out()
+                        seq, base, n, texts, ids = seq + 1, base + n, 0, [], []
+        if texts:
             yield out()
 
-    small_batches(spark)
     rows.mapInArrow(run, "part int, seq int, base long, n_ids long, docs array<bigint>, file binary").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(where)
     return where
 
@@ -294,13 +296,13 @@ def read_tokens(spark, where: str) -> DataFrame:
         for batch in batches:
             for first, docs, data in zip(*(c.to_pylist() for c in batch.columns)):
                 file = TokenFile(data)
-                ends = file.index.values().tolist()
-                starts = [0, *ends[:-1]]
-                for k in range(0, len(ends), 256):
-                    s, e = starts[k : k + 256], ends[k : k + 256]
+                for k in range(0, file.n_docs, 256):
+                    here = docs[k : k + 256]
+                    bounds = file.bounds(k, k + len(here)).tolist()
+                    s, e = bounds[:-1], bounds[1:]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(docs[k : k + 256], pa.int64()),
+                            pa.array(here, pa.int64()),
                             pa.array([first + x for x in s], pa.int64()),
                             pa.array([b - a for a, b in zip(s, e)], pa.int64()),
                             pa.array([file.ids(a, b) for a, b in zip(s, e)], pa.binary()),
@@ -309,6 +311,5 @@ def read_tokens(spark, where: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids", "width"],
                     )
 
-    small_batches(spark)
     rows = files.select((base + F.col("base")).alias("first"), "docs", "file")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, width int")
