@@ -1,8 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items.
 
 Texts are folded on their UTF-8 bytes (A-Z lowered, every ASCII byte that is no letter or digit made a
-separator), words are joined by one space, and the automaton reads each text once. Matches come back as word
-ranges and are mapped to code-point offsets of the original text.
+separator) and cut into words. The items' windows are made and freed of repeats by Spark; the automaton's symbols are
+words, numbered over the benchmark alone, so it reads each text once, a step a word. Matches come as word ranges and
+are mapped to code-point offsets of the original text.
+
+Memory: about 170 bytes a word of a distinct window (2.2 kB a window of 13 words) in each worker, whatever the size of
+the documents. A benchmark of more than ``most_windows`` windows is refused before anything is gathered.
 
 Defined results: a null or wordless text has no words, no hits and is clean. An item without words matches
 nothing. Items with the same id count once, whatever their number of texts. Repeated documents are judged row by
@@ -16,15 +20,12 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, stored, utf8
-
-#: Windows of one automaton. A larger benchmark is cut into blocks and the documents are read once a block, so
-#: neither the driver nor a worker ever holds more than one block of patterns.
-BLOCK_WINDOWS = 40_000
+from .common import add_columns, held, slices, utf8
 
 _KEPT = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 FOLD = bytes(c if c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
@@ -51,36 +52,45 @@ def windows(words: list[bytes], size: int) -> Iterator[bytes]:
             yield b" ".join(words[i : i + size])
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, size: int, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """(item, window) pairs in blocks of at most ``most``; the items stream through the driver."""
-    block: list[tuple[str, bytes]] = []
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t"))
-    for row in rows.toLocalIterator():
-        for window in windows(words_of(bytes(row.t) if row.t is not None else None), size):
-            block.append((row.i, window))
-            if len(block) >= most:
-                yield block
-                block = []
-    if block:
-        yield block
+def window_table(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
+    """(window, items): distinct windows as words joined by one space, with the sorted ids of their items."""
+    rows = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
+
+    def run(batches):
+        for batch in (b for whole in batches for b in slices(whole, "t")):
+            ids, made = [], []
+            for item, raw in zip(batch.column(0).to_pylist(), utf8(batch, "t")):
+                mine = set(windows(words_of(raw), size))
+                ids += [item] * len(mine)
+                made += mine
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(ids, pa.string())], names=["window", "item"])
+
+    return rows.mapInArrow(run, "window binary, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
+class Machine:
+    """The automaton over the benchmark's words. A word is three letters, of which only the first can begin a match, so
+    that no state has many ways out; words that the benchmark lacks are three letters that no pattern has."""
 
+    def __init__(self, found: list[tuple[bytes, tuple[str, ...]]]):
+        words = sorted({w for window, _ in found for w in window.split(b" ")})
+        base = 1
+        while base**3 < len(words):
+            base += 1
+        self.codes = {w: chr(0x4000 + i // base**2) + chr(0x100 + i // base % base) + chr(0x100 + i % base) for i, w in enumerate(words)}
+        self.automaton = ahocorasick.Automaton()
+        for window, ids in found:
+            key = window.split(b" ")
+            self.automaton.add_word("".join(map(self.codes.__getitem__, key)), (len(key), ids))
+        if found:
+            self.automaton.make_automaton()
 
-def _automaton(key: str, block: list[tuple[str, bytes]]) -> ahocorasick.Automaton:
-    """The block's automaton, built once a worker. Values: (words in the window, ids of its items)."""
-    if key not in _built:
-        _built.clear()
-        owners: dict[bytes, set[str]] = {}
-        for item, window in block:
-            owners.setdefault(window, set()).add(item)
-        made = ahocorasick.Automaton()
-        for window, ids in owners.items():
-            made.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(sorted(ids))))
-        made.make_automaton()
-        _built[key] = made
-    return _built[key]
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """(first word, last word, items) of each occurrence of a window."""
+        if self.codes:
+            told, other = self.codes.get, "   "
+            for end, (n, ids) in self.automaton.iter("".join([told(w, other) for w in words])):
+                yield end // 3 - n + 1, end // 3, ids
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,49 +121,35 @@ def decontaminate(
     item_text: str = "text",
     window: int = 13,
     share: float = 0.05,
-    block_windows: int = BLOCK_WINDOWS,
+    most_windows: int = 250_000,
 ) -> DataFrame:
     """``docs`` with its hits: words, hit words, items found, hit ranges in words and characters, verdict.
 
     A document is contaminated if it has a hit and at least ``share`` of its words are hit.
     """
-    spark = docs.sparkSession
     least = round(1 / share)
-    out, blocks = docs, 0
-
-    def scan(df: DataFrame, block: list[tuple[str, bytes]], again: bool) -> DataFrame:
-        key, held = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
-
-        def run(batch):
-            machine = _automaton(key, held.value) if held.value else None
-            cols: list[list] = [[] for _ in FIELDS]
-            before = [batch.column(batch.schema.get_field_index(n)).to_pylist() if again else None for n in ("items", "hit_words")]
-            for i, raw in enumerate(utf8(batch, text)):
-                words = words_of(raw)
-                found = set(before[0][i]) if again else set()
-                ranges = [(r["first"], r["last"]) for r in before[1][i]] if again else []
-                if words and machine is not None:
-                    line = b" " + b" ".join(words) + b" "
-                    matches = list(machine.iter(line.decode("latin-1")))
-                    if matches:
-                        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 0x20)
-                        ends = np.searchsorted(spaces, [m[0] for m in matches])
-                        for end, (_, (n, ids)) in zip(ends.tolist(), matches):
-                            ranges.append((end - n, end - 1))
-                            found.update(ids)
-                ranges = _merged(ranges)
-                hit = sum(b - a + 1 for a, b in ranges)
-                pair = lambda rs: [{"first": a, "last": b} for a, b in rs]
-                row = (len(words), hit, sorted(found), pair(ranges), pair(_char_ranges(raw, ranges)) if ranges else [], hit > 0 and least * hit >= len(words))
-                for col, value in zip(cols, row):
-                    col.append(value)
-            return cols
-
-        return add_columns(df, FIELDS, run)
-
-    for block in _blocks(items, item_id, item_text, window, block_windows):
-        if blocks:  # lineage is cut between blocks: one automaton at a time
-            out = stored(out, "decontaminate")
-        out = scan(out, block, blocks > 0)
-        blocks += 1
-    return out if blocks else scan(out, [], False)
+    table = window_table(items, item_id, item_text, window)
+    rows = table.limit(most_windows + 1).collect()
+    if len(rows) > most_windows:
+        raise ValueError(f"the benchmark has more than {most_windows} distinct windows: one automaton would not fit")
+    shared, key = docs.sparkSession.sparkContext.broadcast([(bytes(r["window"]), tuple(r["items"])) for r in rows]), uuid.uuid4().hex
+
+    def run(batch):
+        machine = held(("decontaminate", key), lambda: Machine(shared.value))
+        cols: list[list] = [[] for _ in FIELDS]
+        for raw in utf8(batch, text):
+            words = words_of(raw)
+            found: set[str] = set()
+            ranges: list[tuple[int, int]] = []
+            for first, last, ids in machine.matches(words) if words else ():
+                ranges.append((first, last))
+                found.update(ids)
+            ranges = _merged(ranges)
+            hit = sum(b - a + 1 for a, b in ranges)
+            pair = lambda rs: [{"first": a, "last": b} for a, b in rs]
+            row = (len(words), hit, sorted(found), pair(ranges), pair(_char_ranges(raw, ranges)) if ranges else [], hit > 0 and least * hit >= len(words))
+            for col, value in zip(cols, row):
+                col.append(value)
+        return cols
+
+    return add_columns(docs, FIELDS, run, by=text)
