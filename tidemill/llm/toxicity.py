@@ -18,6 +18,7 @@ input columns of the same name.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 import unicodedata
 import uuid
 from collections import Counter
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches, stored, without
+from .common import add_columns, held, slices, stored, without
 
 # Letters that look alike, and characters that stand for letters.
 HOMOGLYPHS = {
@@ -131,13 +132,12 @@ def _counts(rows: DataFrame, emit) -> DataFrame:
     """(feature, toxic, n): documents of each label that have the feature, added up a batch at a time."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             seen: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen.update((f, toxic) for f in emit(text))
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([t for _, t in seen], pa.int32()), pa.array(seen.values(), pa.int64())], names=["feature", "toxic", "n"])
 
-    small_batches(rows.sparkSession)
     return rows.select("text", "toxic").mapInArrow(run, "feature string, toxic int, n long").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
 
 
@@ -182,7 +182,8 @@ def fit(
     ids = docs.select(F.col(f"`{doc_id}`").alias("d")).join(known, "d", "left_semi").distinct()
     chosen = known.join(ids, "d", "left_semi").groupBy("d").agg(F.max("y").alias("toxic")).orderBy(F.xxhash64("d"), "d").limit(fit_rows)
     chosen = stored(chosen, "labelled")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "d").select("text", "toxic")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "d")
+    rows = rows.groupBy("d", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # one row an id
     rows = stored(rows, "fit-rows")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -204,10 +205,11 @@ def fit(
     weight = lambda t, c: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
     pool = {f for f in common if good(common[f], against.get(f, 0), precision)}
     kept: dict[str, float] = {}
+    ordered = sorted(pool)
     for f in sorted(pool, key=lambda f: (len(f), f)):
         stem = f.rstrip(" ")
         shorter = any(stem[:k] in kept for k in range(2, len(stem) + (f != stem)))
-        longer = any(g != f and g.startswith(stem) and common[g] >= 0.9 * common[f] for g in pool) if f == stem else False
+        longer = f == stem and max((common[g] for g in ordered[bisect_left(ordered, stem) : bisect_left(ordered, stem + "\U0010ffff")] if g != f), default=0) >= 0.9 * common[f]
         if not shorter and not longer:
             kept[f] = weight(common[f], against.get(f, 0))
     # Words that clean documents use too may owe that to a few phrases: they are tried again without those.
@@ -246,21 +248,15 @@ def fit(
         made = [features(machine, t) for t in batch.column(0).to_pylist()]
         return [[a for a, _ in made], [b for _, b in made]]
 
-    points = add_columns(rows, [T.StructField("x", T.DoubleType()), T.StructField("hit", T.DoubleType())], measure, keep=["toxic"]).collect()
+    points = add_columns(rows, [T.StructField("x", T.DoubleType()), T.StructField("hit", T.DoubleType())], measure, keep=["toxic"], by="text").collect()
     x = np.array([(p["x"], p["hit"]) for p in points])
     model.curve = _logistic(x, np.array([p["toxic"] for p in points], float))
     return model
 
 
-_machines: dict[str, ahocorasick.Automaton | None] = {}
-
-
 def _machine(model: Model) -> ahocorasick.Automaton | None:
-    """The model's automaton, built once a worker."""
-    if model.key not in _machines:
-        _machines.clear()
-        _machines[model.key] = model.machine()
-    return _machines[model.key]
+    """The model's automaton, the worker's current one."""
+    return held(("toxicity", model.key), model.machine)
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -279,7 +275,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, a + b * x + c * hit)))))
         return [out, [int(s >= 0.5) for s in out]]
 
-    return add_columns(docs, FIELDS, run)
+    return add_columns(docs, FIELDS, run, by=text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", **fitting) -> DataFrame:
