@@ -7,11 +7,14 @@ probability of their weighted Jaccard similarity, at a cost of about K ln K dart
 
 Links: texts that share a band are candidates. Classes grow in rounds of checked pairs, exact Jaccard similarity on
 shingle sets: each text with the leaders of its buckets, their most central texts (those in the fullest buckets); then,
-in buckets that still hold several classes, each text with one text of another class, drawn by hash; last every pair of
-different classes that a bucket still holds. Pairs inside a class need no check, so groups of copies cost a few pairs a
-text.
+in buckets that still hold several classes, each text with one text of another class, drawn by hash. What is left are
+pairs of texts of different classes that share a bucket, and of those only the ones that can be links are taken: with
+D(x) the shingles that stand in x or in the bucket's leader but not in both, x and y differ in D(x) xor D(y), so a
+link in which neither text is linked to the leader through its class shares at least so many shingles of D(x) and D(y)
+that one stands among the rarest few of both. Only texts that share one of those are compared, however large the group.
+Pairs inside a class need no check, so groups of copies cost a few pairs a text.
 Before sets are fetched, a pair's signatures must agree in so many coordinates that a link would fall short of it once
-in 300,000 times; a pair that shares several bands is taken in its first. Equal texts meet in one node first.
+in 300,000 times. Equal texts meet in one node first.
 
 Defined results: null and wordless texts are classes of their own, as are all rows without a partner; a text of
 fewer words than a shingle is one shingle; repeated rows share a class; class ids are the least doc id of the class
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8, without
+from .common import Tables, slices, stored, utf8, without
 from .substrings import text_key
 from .words import Words, mix, runs
 
@@ -132,7 +135,7 @@ def _signed_texts(texts: DataFrame, size: int, bands: int, rows: int, seed: int)
     """(t, bands, sig) of texts with words; sig holds two bytes a coordinate."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             raws = lowered(utf8(batch, "text"))
             doc, value = shingle_sets(Words(raws), size)
             sign = dart_signatures(doc, value, len(raws), bands * rows, seed)
@@ -147,23 +150,20 @@ def _signed_texts(texts: DataFrame, size: int, bands: int, rows: int, seed: int)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * x.shape[1], pa.int32()), pa.array(x[some].ravel())) for x in (key.view(np.int64), short)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("t")).take(pa.array(some)).cast(pa.binary()), *lists], names=["t", "bands", "sig"])
 
-    small_batches(texts.sparkSession)
     return texts.mapInArrow(run, "t binary, bands array<bigint>, sig array<smallint>")
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(t, set) with the shingle set as sorted 4-byte hashes."""
+    """(t, set) with the shingle set as sorted 8-byte hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             raws = lowered(utf8(batch, "text"))
             doc, value = shingle_sets(Words(raws), size)
             cuts = np.searchsorted(doc, np.arange(len(raws) + 1))
-            short = (value >> np.uint64(32)).astype("<u4")
-            sets = [np.unique(short[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            sets = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("t")).cast(pa.binary()), pa.array(sets, pa.binary())], names=["t", "set"])
 
-    small_batches(texts.sparkSession)
     return texts.mapInArrow(run, "t binary, set binary")
 
 
@@ -178,7 +178,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             keep = []
             for i, (p, q) in enumerate(zip(x, y)):
-                p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
                 joint = len(np.intersect1d(p, q, assume_unique=True))
                 if joint >= least * (len(p) + len(q) - joint) - 1e-9:
                     keep.append(i)
@@ -187,71 +187,128 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame, links: DataFrame, made: Tables) -> DataFrame:
     """Labels (t, c) after joining the classes that ``links`` (a, b) connect: hooking to the least neighbour, then
     pointer jumping, until no link crosses classes."""
+    mine = Tables(labels.sparkSession)
     of = lambda name: labels.select(F.col("t").alias(name), F.col("c").alias("c" + name))
-    edges = stored(links.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).distinct(), "edges")
+    edges = mine.stored(links.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("p"), F.greatest("ca", "cb").alias("q")).distinct(), "edges")
     mapped = None
     while not edges.isEmpty():
         parent = edges.groupBy("q").agg(F.min("p").alias("p"))  # each class hooks to its least neighbour: a forest
         while True:
             up = parent.select(F.col("q").alias("p"), F.col("p").alias("pp"))
-            jumped = stored(parent.join(up, "p", "left").select("q", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parents")
+            jumped = mine.stored(parent.join(up, "p", "left").select("q", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")), "parents")
             parent = jumped.select("q", "p")
             if jumped.filter("moved").isEmpty():
                 break
         move = parent.select(F.col("q").alias("c"), F.col("p").alias("to"))
-        mapped = move if mapped is None else stored(
+        mapped = move if mapped is None else mine.stored(
             mapped.select("c", F.col("to").alias("m")).join(move.select(F.col("c").alias("m"), F.col("to").alias("n")), "m", "left").select("c", F.coalesce("n", "m").alias("to")).unionByName(move), "moves"
         )
         p, q = move.select(F.col("c").alias("p"), F.col("to").alias("np")), move.select(F.col("c").alias("q"), F.col("to").alias("nq"))
         moved = edges.join(p, "p", "left").join(q, "q", "left").select(F.coalesce("np", "p").alias("p"), F.coalesce("nq", "q").alias("q"))
-        edges = stored(moved.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "edges")
+        edges = mine.stored(moved.filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct(), "edges")
     if mapped is None:
-        return labels
-    return stored(labels.join(mapped, "c", "left").select("t", F.coalesce("to", "c").alias("c")), "labels")
+        out = labels
+    else:
+        out = made.stored(labels.join(mapped, "c", "left").select("t", F.coalesce("to", "c").alias("c")), "labels")
+        made.drop(labels)
+    mine.drop()
+    return out
+
+
+def _apart(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, t, c, n, d): size of the set of t, and the shingles in which it and the leader's set differ."""
+    both = near.join(sets.select("t", F.col("set").alias("x")), "t")
+    both = both.join(sets.select(F.col("t").alias("leader"), F.col("set").alias("y")), "leader").select("leader", "t", "c", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (3, 4))
+            for k in range(0, len(x), 500):
+                pairs = [(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) for p, q in zip(x[k : k + 500], y[k : k + 500])]
+                d = [np.setxor1d(p, q, assume_unique=True).view(np.int64) for p, q in pairs]
+                held = batch.slice(k, len(d))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(z) for z in d]))), pa.int32()), pa.array(np.concatenate(d)))
+                yield pa.RecordBatch.from_arrays([*(c.cast(pa.binary()) for c in held.columns[:3]), pa.array([len(p) for p, _ in pairs], pa.int32()), lists], names=["leader", "t", "c", "n", "d"])
+
+    return both.mapInArrow(run, "leader binary, t binary, c binary, n int, d array<bigint>")
 
 
-def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int = 24, rows: int = 5, seed: int = 3) -> DataFrame:
-    """Labels (t, c) of the texts (t, text) that share a band with another; c is the least key of the class."""
-    signed = stored(_signed_texts(texts, size, bands, rows, seed).groupBy("t").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "signatures")
+def _possible(near: DataFrame, sets: DataFrame, least: float, made: Tables) -> DataFrame:
+    """Pairs (a, b) of texts of different classes under one leader that can be links.
+
+    x and y are linked if and only if |D(x) xor D(y)| <= k (|x| + |y|), k = (1 - least) / (1 + least). With the slack
+    k |x| - |D(x)|, the leader's is the greatest, and two slacks that add up to no less than 0 belong to texts that are
+    both linked to the leader; so texts of different classes share m shingles of D at least, minus half their slacks'
+    sum. In a common order, the first they share then stands before the last m - 1 of both.
+    """
+    k = (1 - least) / (1 + least)
+    apart = made.stored(_apart(near, sets), "apart")
+    rows = apart.select("leader", "t", F.explode("d").alias("h"))
+    often = made.stored(rows.groupBy("leader", "h").count().filter("count > 1"), "shared-shingles")
+    shared = rows.join(often, ["leader", "h"]).groupBy("leader", "t").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("shared"))
+    sized = apart.select("leader", "t", "c", F.size("d").alias("nd"), (k * F.col("n") - F.size("d")).alias("slack"))
+    best = apart.groupBy("leader").agg(F.max(k * F.col("n") - F.size("d")).alias("best"))
+    placed = shared.join(sized, ["leader", "t"]).join(best, "leader").select("leader", "t", "c", "nd", "slack", "best", F.size("shared").alias("ns"), F.posexplode("shared").alias("i", "e"))
+    need = lambda total: F.greatest(F.lit(1), F.ceil(-total / 2 - 1e-6))
+    at = (F.col("nd") - F.col("ns") + F.col("i")).alias("at")
+    first = made.stored(placed.select("leader", "t", "c", "nd", "slack", "best", at, F.col("e.h").alias("h")).filter(F.col("at") <= F.col("nd") - need(F.col("slack") + F.col("best"))), "rare-shingles")
+    x, y = first.alias("x"), first.alias("y")
+    m = need(F.col("x.slack") + F.col("y.slack"))
+    fits = (F.col("x.leader") == F.col("y.leader")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.t") < F.col("y.t")) & (F.col("x.c") != F.col("y.c"))
+    fits &= (F.col("x.at") <= F.col("x.nd") - m) & (F.col("y.at") <= F.col("y.nd") - m)
+    return x.join(y, fits).select(F.col("x.t").alias("a"), F.col("y.t").alias("b")).distinct()
+
+
+def text_classes(texts: DataFrame, least: float = 0.8, size: int = 5, bands: int = 24, rows: int = 5, seed: int = 3, prune: bool = True) -> DataFrame:
+    """Labels (t, c) of the texts (t, text) that share a band with another; c is the least key of the class.
+
+    prune: whether a pair's signatures must agree to some extent before its sets are compared.
+    """
+    made = Tables(texts.sparkSession)
+    signed = made.stored(_signed_texts(texts, size, bands, rows, seed).groupBy("t").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "signatures")
     in_band = signed.select("t", F.explode("bands").alias("b"))
-    crowded = stored(in_band.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
-    members = stored(in_band.join(crowded, "b"), "buckets")
+    crowded = made.stored(in_band.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1"), "crowded")
+    members = made.stored(in_band.join(crowded, "b"), "buckets")
     weight = members.groupBy("t").agg(F.sum("n").alias("w"))
-    leaders = stored(members.select("t", "b").join(weight, "t").groupBy("b").agg(F.max_by("t", F.struct("w", "t")).alias("leader")), "leaders")
+    leaders = made.stored(members.select("t", "b").join(weight, "t").groupBy("b").agg(F.max_by("t", F.struct("w", "t")).alias("leader")), "leaders")
     led = members.select("t", "b").join(leaders, "b").filter("t <> leader")
-    led = stored(led.select(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b")).distinct(), "led")
-    labels = stored(members.select("t", F.col("t").alias("c")).distinct(), "labels")
-    signed = stored(signed.join(labels.select("t"), "t", "left_semi"), "signatures")
+    led = made.stored(led.select(F.least("t", "leader").alias("a"), F.greatest("t", "leader").alias("b")).distinct(), "led")
+    labels = made.stored(members.select("t", F.col("t").alias("c")).distinct(), "labels")
+    few = made.stored(signed.select("t", "sig").join(labels.select("t"), "t", "left_semi"), "signatures")
+    made.drop(signed, crowded)
     # A merge join at every size: it copes with hot copies, and the plan does not change as labels outgrow a broadcast.
-    sets = stored(_sets(texts.join(labels.select("t").hint("merge"), "t", "left_semi"), size).dropDuplicates(["t"]), "sets")
+    sets = made.stored(_sets(texts.join(labels.select("t").hint("merge"), "t", "left_semi"), size).dropDuplicates(["t"]), "sets")
     enough = least_matches(least, bands * rows)
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        side = lambda name: signed.select(F.col("t").alias(name), F.col("sig").alias("s" + name))
-        return pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("sa"), F.col("sb")) >= enough).select("a", "b")
-
-    labels = _merge(labels, stored(_checked(likely(led), sets, least), "links"))
+    def linked(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Labels after these pairs are checked."""
+        if prune:
+            side = lambda name: few.select(F.col("t").alias(name), F.col("sig").alias("s" + name))
+            pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_agree(F.col("sa"), F.col("sb")) >= enough).select("a", "b")
+        links = made.stored(_checked(pairs, sets, least), "links")
+        labels = _merge(labels, links, made)
+        made.drop(links)
+        return labels
 
-    def conflicts() -> DataFrame:
+    def conflicts(labels: DataFrame) -> DataFrame:
         """Members (t, b, c) of buckets that hold several classes, with the least and the greatest of them."""
         here = members.select("t", "b").join(labels, "t")
-        ends = stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1"), "ends")
-        return stored(here.join(ends, "b"), "conflicts")
+        ends = made.stored(here.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1"), "ends")
+        return made.stored(here.join(ends, "b"), "conflicts")
 
-    here = conflicts()
-    pick = stored(here.groupBy("b", "c").agg(F.min_by("t", F.xxhash64("t", "b")).alias("a")).withColumnRenamed("c", "o"), "picks")
+    labels = linked(labels, led)
+    made.drop(led)
+    here = conflicts(labels)
+    pick = made.stored(here.groupBy("b", "c").agg(F.min_by("t", F.xxhash64("t", "b")).alias("a")).withColumnRenamed("c", "o"), "picks")
     drawn = here.withColumn("o", F.when(F.col("c") == F.col("c0"), F.col("c1")).otherwise(F.col("c0"))).join(pick, ["b", "o"])
-    drawn = drawn.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct()
-    labels = _merge(labels, stored(_checked(likely(drawn), sets, least), "links"))
-    left = stored(conflicts().join(signed, "t").withColumn("at", F.array_position("bands", F.col("b"))), "conflict-signatures")
-    right = left.select("b", F.col("t").alias("t2"), F.col("c").alias("c2"), F.col("bands").alias("bands2"), F.col("sig").alias("sig2"))
-    shared = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True)
-    fits = (F.col("left.b") == F.col("right.b")) & (F.col("c") < F.col("c2")) & (_agree(F.col("sig"), F.col("sig2")) >= enough) & (shared == F.col("at"))
-    pairs = left.alias("left").join(right.alias("right"), fits).select(F.col("t").alias("a"), F.col("t2").alias("b"))
-    return _merge(labels, stored(_checked(pairs, sets, least), "links"))
+    labels = linked(labels, drawn.select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct())
+    near = made.stored(conflicts(labels).join(leaders, "b").select("leader", "t", "c").distinct(), "near")
+    labels = linked(labels, _possible(near, sets, least, made))
+    made.drop(*(t for t, _ in list(made.paths.values()) if t is not labels))
+    return labels
 
 
 def _classed(docs: DataFrame, doc_id: str, text: str, least: float, size: int) -> DataFrame:
