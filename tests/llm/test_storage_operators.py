@@ -205,6 +205,31 @@ def test_tiles_byte_orders_and_loops(order):
     assert len(found) == 1 and (found[0].pixels == pixels).all()
 
 
+def test_damaged_pages_are_errors():
+    good = bytearray(tiff.encode(bytes(range(64)) * 36, page_rows=8))
+
+    def broken(tag, value):
+        made = bytearray(good)
+        (at,) = struct.unpack_from("<I", made, 4)
+        for k in range(struct.unpack_from("<H", made, at)[0]):
+            if struct.unpack_from("<H", made, at + 2 + 12 * k)[0] == tag:
+                struct.pack_into("<I", made, at + 10 + 12 * k, value)
+        return bytes(made)
+
+    assert len(list(tiff.pages(bytes(good)))) == 1
+    for tag, value in ((256, 0), (257, 0), (257, 99), (277, 0), (278, 0), (278, 1), (279, 3), (273, 10**6), (259, 77)):
+        with pytest.raises((ValueError, struct.error, zlib.error)):
+            list(tiff.pages(broken(tag, value)))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+def test_tiled_round_trip(order, compression):
+    data = np.random.default_rng(4).integers(90, 99, 576 * 70, np.uint8).tobytes()
+    file = tiff.encode(data, page_rows=33, strip_rows=16, compression=compression, order=order, tile=160)
+    assert b"".join(p.pixels.tobytes() for p in tiff.pages(file)) == data
+
+
 def test_decode_pages_rows(spark):
     good = tiff.encode(bytes(576 * 5), page_rows=2)
     rows = [(1, good, "x"), (2, None, "x"), (3, b"", "x"), (4, b"junk", "x"), (5, good[:40], "x"), (1, good, "x")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .neardup import near_duplicates
 from .pack import pack, with_crc
 from .shard import shard
 from .substrings import drop_repeats
-from .tiff import decode_pages, encode
+from .tiff import DEFLATE, LZW, NONE, PACKBITS, decode_pages, encode
 from .tokens import read_tokens, write_tokens
 from .toxicity import toxicity
 
@@ -89,15 +90,26 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Forms of op9's media: a text's checksum chooses one of each (tiles for longer ones), so equal texts have equal media.
+COMPRESSIONS, TILES = (DEFLATE, LZW, PACKBITS, NONE), (None, 192)
+
+
+def to_media(raw: bytes) -> bytes:
+    """A text's TIFF: its bytes and 255s up to a multiple of 576, in pages of 64 rows."""
+    kind = zlib.crc32(raw)
+    payload = raw.ljust(max(1, -(-len(raw) // 576)) * 576, b"\xff")
+    return encode(payload, page_rows=64, strip_rows=32, compression=COMPRESSIONS[kind % 4], predictor=1 + (kind >> 2) % 2, order="<>"[(kind >> 3) % 2], tile=TILES[(kind >> 4) % 2] if len(payload) >= 32 * 576 else None)
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     made = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
 
-    def to_media(batch):
+    def run(batch):
         raws = [raw or b"" for raw in utf8(batch, "text")]
-        return [[len(r) for r in raws], [encode(r.ljust(max(1, -(-len(r) // 576)) * 576, b"\xff"), page_rows=64, strip_rows=32) for r in raws]]
+        return [[len(r) for r in raws], [to_media(r) for r in raws]]
 
-    media = add_columns(docs, made, to_media, keep=["doc_id"])
+    media = stored(add_columns(docs, made, run, keep=["doc_id"], by="text"), "media")
     media = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     return page_digest(decode_pages(media))
 
@@ -108,28 +120,36 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_digest(pages: DataFrame) -> DataFrame:
-    """Joins each medium's page rows, which follow one another, into one row of checks and features."""
+    """One row of checks and features a medium, from its page rows as ``decode_pages`` gives them: page 0 first, the
+    others behind it in one task.
+
+    A medium that could not be read to its end has null payload columns and the error as its feature; null ids are kept.
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        held, sha, tail, size, high, total, ink = None, None, b"", 0, 0, 0, 0
+        held = sha = error = None
+        tail, size, high, total, ink = b"", 0, 0, 0, 0
 
         def done():
+            if error:
+                return (held[0], held[1], None, None, None, held[2], held[3], f"error={error}")
             return (held[0], held[1], size, sha.hexdigest(), zlib.crc32(tail[-32:]), held[2], held[3], f"pages={total};height={high};mean={ink / size:.6f}")
 
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["error"]:
-                    raise ValueError(row["error"])
-                if row["page"] == 0:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page", "doc_id", "n_bytes", "media_bytes", "media_sha256", "height", "pixels", "error")]
+            for page, *about, height, raw, wrong in zip(*cols):
+                if page == 0 or (wrong and (held is None or about != held or error)):
                     if held:
                         out.append(done())
-                    held, sha, tail, size, high, total, ink = (row["doc_id"], row["n_bytes"], row["media_bytes"], row["media_sha256"]), hashlib.sha256(), b"", 0, 0, 0, 0
-                raw = row["pixels"]
+                    held, sha, error, tail, size, high, total, ink = about, hashlib.sha256(), None, b"", 0, 0, 0, 0
+                if wrong:
+                    error = wrong
+                    continue
                 sha.update(raw)
-                tail, size, high, total, ink = (tail + raw)[-32:], size + len(raw), high + row["height"], total + 1, ink + sum(raw)
+                tail, size, high, total, ink = (tail + raw[-32:])[-32:], size + len(raw), high + height, total + 1, ink + int(np.frombuffer(raw, np.uint8).sum(dtype=np.int64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
         if held:

@@ -2,14 +2,17 @@
 
 The reader walks the chain of image directories of little- or big-endian files, decodes PackBits, LZW and deflate
 strips or tiles, undoes the horizontal predictor and yields one row per page. The writer stores a payload as pages
-of fixed width, in strips.
+of fixed width, in strips or tiles of either byte order.
 
-Defined results: a null medium gives no pages; damaged media give one row with page -1 and the error, never an
-exception; repeated media repeat their rows; a directory chain that loops ends at the first repeat.
+Defined results: a null medium gives no pages; damaged media (zero sizes, missing, short or surplus strips or tiles,
+unknown compression, separate planes, broken directories) give one row with page -1 and the error after the pages that
+could be read, never an exception and never made-up pixels; repeated media repeat their rows; a directory chain that
+loops ends at the first repeat. Columns that the operator adds replace input columns of the same name.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ from .common import utf8
 
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH_TAG, HEIGHT_TAG, BITS_TAG, COMPRESSION_TAG, PHOTOMETRIC_TAG = 256, 257, 258, 259, 262
-STRIPS_TAG, SAMPLES_TAG, ROWS_TAG, STRIP_BYTES_TAG, PREDICTOR_TAG = 273, 277, 278, 279, 317
+STRIPS_TAG, SAMPLES_TAG, ROWS_TAG, STRIP_BYTES_TAG, PLANES_TAG, PREDICTOR_TAG = 273, 277, 278, 279, 284, 317
 TILE_WIDTH_TAG, TILE_HEIGHT_TAG, TILES_TAG, TILE_BYTES_TAG = 322, 323, 324, 325
 #: Letters and bytes of the directory's field types: byte, ascii, short, long, and their signed forms.
 KINDS = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4)}
@@ -40,29 +43,24 @@ class Page:
     pixels: np.ndarray  # height x width x samples, uint8
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(data: bytes) -> bytes:
     """PackBits: runs of three or more as (257 - n, byte), other bytes in literal stretches of up to 128."""
-    out, i, n = bytearray(), 0, len(data)
-    literal = bytearray()
+    out, at = bytearray(), 0
 
-    def flush():
-        for k in range(0, len(literal), 128):
-            part = literal[k : k + 128]
+    def literal(upto: int):
+        for k in range(at, upto, 128):
+            part = data[k : min(upto, k + 128)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
-
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run >= 3:
-            flush()
-            out += bytes((257 - run, data[i]))
-        else:
-            literal += data[i : i + run]
-        i += run
-    flush()
+
+    for run in _RUN.finditer(data):
+        literal(run.start())
+        at = run.end()
+        out += bytes((257 - at + run.start(), data[at - 1]))
+    literal(len(data))
     return bytes(out)
 
 
@@ -83,50 +81,44 @@ def unpack_bits(data: bytes) -> bytes:
 
 def pack_lzw(data: bytes) -> bytes:
     """TIFF's LZW: most significant bit first, codes widen one entry early, 256 clears, 257 ends."""
-    bits = held = 0
-    out = bytearray()
-    table: dict[bytes, int] = {}
-    width = 9
-
-    def put(code: int):
-        nonlocal bits, held
-        bits = bits << width | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held & 255)
-        bits &= (1 << held) - 1
-
-    def clear():
-        nonlocal table, width
-        put(256)
-        table, width = {bytes((i,)): i for i in range(256)}, 9
-
-    clear()
-    seen, free = b"", 258
-    for i in range(len(data)):
-        more = seen + data[i : i + 1]
+    codes, widths = [256], [9]  # widths: from each place in codes on
+    places = [0]
+    table: dict[int, int] = {}  # (code of a string, next byte) to the code of both
+    free, wide, seen = 258, 9, -1
+
+    def widen(bits: int):
+        widths.append(bits)
+        places.append(len(codes))
+
+    for byte in data:
+        if seen < 0:
+            seen = byte
+            continue
+        more = seen << 8 | byte
         if more in table:
-            seen = more
+            seen = table[more]
             continue
-        put(table[seen])
+        codes.append(seen)
         table[more] = free
         free += 1
         if free == 4094:
-            clear()
-            free = 258
-        elif free >= 1 << width and width < 12:
-            width += 1
-        seen = data[i : i + 1]
-    if seen:
-        put(table[seen])
+            codes.append(256)
+            table, free, wide = {}, 258, 9
+            widen(9)
+        elif free >= 1 << wide and wide < 12:
+            wide += 1
+            widen(wide)
+        seen = byte
+    if seen >= 0:
+        codes.append(seen)
         free += 1
-        if free >= 1 << width and width < 12:
-            width += 1
-    put(257)
-    if held:
-        out.append(bits << (8 - held) & 255)
-    return bytes(out)
+        if free >= 1 << wide and wide < 12:
+            widen(wide + 1)
+    codes.append(257)
+    size = np.repeat(widths, np.diff([*places, len(codes)]))
+    shift = size[:, None] - 1 - np.arange(12)
+    bits = np.array(codes)[:, None] >> np.maximum(shift, 0) & 1
+    return np.packbits(bits[shift >= 0].astype(np.uint8)).tobytes()
 
 
 def unpack_lzw(data: bytes) -> bytes:
@@ -172,36 +164,52 @@ def encode(
     strip_rows: int = 128,
     compression: int = DEFLATE,
     predictor: int = 2,
+    order: str = "<",
+    tile: int | None = None,
 ) -> bytes:
-    """Little-endian TIFF of as many pages as the payload needs; its length is a multiple of ``width``."""
+    """TIFF of as many pages as the payload needs; its length is a multiple of ``width``.
+
+    order: "<" little-endian, ">" big-endian. tile: width of tiles (``strip_rows`` high) instead of strips.
+    """
     if not payload or len(payload) % width:
         raise ValueError("a payload is a positive multiple of the width")
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    out = bytearray(b"II*\0\0\0\0\0")
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
+    wide = tile or width
     for top in range(0, len(image), page_rows):
         page = image[top : top + page_rows]
-        if predictor == 2:
-            page = np.concatenate((page[:, :1], np.diff(page, axis=1)), axis=1)
         offsets, sizes = [], []
         for row in range(0, len(page), strip_rows):
-            strip = PACK[compression](page[row : row + strip_rows].tobytes())
-            offsets.append(len(out))
-            sizes.append(len(strip))
-            out += strip + b"\0" * (len(strip) & 1)
-        entries = [(WIDTH_TAG, 4, [width]), (HEIGHT_TAG, 4, [len(page)]), (BITS_TAG, 3, [8]), (COMPRESSION_TAG, 3, [compression]), (PHOTOMETRIC_TAG, 3, [1]), (STRIPS_TAG, 4, offsets), (SAMPLES_TAG, 3, [1]), (ROWS_TAG, 4, [strip_rows]), (STRIP_BYTES_TAG, 4, sizes), (PREDICTOR_TAG, 3, [predictor])]
+            for left in range(0, width, wide):
+                block = page[row : row + strip_rows, left : left + wide]
+                if tile:  # tiles are whole, their rest is empty
+                    block = np.pad(block, ((0, strip_rows - block.shape[0]), (0, wide - block.shape[1])))
+                if predictor == 2:
+                    block = np.concatenate((block[:, :1], np.diff(block, axis=1)), axis=1)
+                made = PACK[compression](block.tobytes())
+                offsets.append(len(out))
+                sizes.append(len(made))
+                out += made + b"\0" * (len(made) & 1)
+        entries = [(WIDTH_TAG, 4, [width]), (HEIGHT_TAG, 4, [len(page)]), (BITS_TAG, 3, [8]), (COMPRESSION_TAG, 3, [compression]), (PHOTOMETRIC_TAG, 3, [1])]
+        if not tile:
+            entries.append((STRIPS_TAG, 4, offsets))
+        entries.append((SAMPLES_TAG, 3, [1]))
+        if not tile:
+            entries += [(ROWS_TAG, 4, [strip_rows]), (STRIP_BYTES_TAG, 4, sizes)]
+        entries.append((PREDICTOR_TAG, 3, [predictor]))
+        if tile:
+            entries += [(TILE_WIDTH_TAG, 4, [wide]), (TILE_HEIGHT_TAG, 4, [strip_rows]), (TILES_TAG, 4, offsets), (TILE_BYTES_TAG, 4, sizes)]
         body = b""
-        extra_at = len(out)
         for tag, kind, values in entries:
-            raw = struct.pack(f"<{len(values)}{KINDS[kind][0]}", *values)
+            raw = struct.pack(f"{order}{len(values)}{KINDS[kind][0]}", *values)
             if len(raw) > 4:
-                at = extra_at
+                at = len(out)
                 out += raw + b"\0" * (len(raw) & 1)
-                extra_at = len(out)
-                raw = struct.pack("<I", at)
-            body += struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(entries)) + body
+                raw = struct.pack(order + "I", at)
+            body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(entries)) + body
         link = len(out)
         out += b"\0\0\0\0"
     return bytes(out)
@@ -228,19 +236,32 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     compression, predictor = one(COMPRESSION_TAG, NONE), one(PREDICTOR_TAG, 1)
     if any(b != 8 for b in tags.get(BITS_TAG, (8,))) or compression not in UNPACK or predictor not in (1, 2):
         raise ValueError("only 8-bit pages in a known compression are read")
-    pixels = np.empty((height, width, samples), np.uint8)
+    if one(PLANES_TAG, 1) != 1:
+        raise ValueError("separate planes are not read")
     tiled = TILES_TAG in tags
     wide = tags[TILE_WIDTH_TAG][0] if tiled else width
     high = tags[TILE_HEIGHT_TAG][0] if tiled else min(one(ROWS_TAG, height), height)
+    if min(width, height, samples, wide, high) < 1:
+        raise ValueError("a size is zero")
     places, sizes = (tags[TILES_TAG], tags[TILE_BYTES_TAG]) if tiled else (tags[STRIPS_TAG], tags[STRIP_BYTES_TAG])
-    across = -(-width // wide)
+    across, down = -(-width // wide), -(-height // high)
+    if not len(places) == len(sizes) == across * down:
+        raise ValueError(f"{len(places)} strips or tiles of {across * down}")
+    if any(at + size > len(data) for at, size in zip(places, sizes)):
+        raise ValueError("a strip or tile lies outside the file")
+    blocks = []
     for k, (at, size) in enumerate(zip(places, sizes)):
+        rows = high if tiled else min(high, height - k * high)
+        raw = UNPACK[compression](data[at : at + size])
+        if len(raw) < rows * wide * samples:
+            raise ValueError(f"strip or tile {k} is short")
+        blocks.append(np.frombuffer(raw, np.uint8, rows * wide * samples).reshape(rows, wide, samples))
+    pixels = np.empty((height, width, samples), np.uint8)  # only now: its size is what the blocks hold
+    for k, block in enumerate(blocks):
         top, left = k // across * high, k % across * wide
-        rows = high if tiled else min(high, height - top)
-        block = np.frombuffer(UNPACK[compression](data[at : at + size]), np.uint8, rows * wide * samples).reshape(rows, wide, samples)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
-        pixels[top : top + rows, left : left + wide] = block[: height - top, : width - left]
+        pixels[top : top + block.shape[0], left : left + wide] = block[: height - top, : width - left]
     return Page(width, height, samples, compression, predictor, pixels)
 
 
@@ -262,7 +283,7 @@ PAGE_FIELDS = "page int, width int, height int, samples int, compression int, pr
 def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
     """One row per page of each medium; the medium's other columns repeat, pages of one medium stay together."""
     made = T._parse_datatype_string(PAGE_FIELDS)
-    new = {f.name for f in made.fields}
+    new = {f.name.lower() for f in made.fields}
     kept = [f for f in media.schema.fields if f.name != column and f.name.lower() not in new]
     names = [f.name for f in kept]
 
@@ -288,7 +309,7 @@ def decode_pages(media: DataFrame, column: str = "media") -> DataFrame:
                         for col, v in zip(cols, (k, p.width, p.height, p.samples, p.compression, p.predictor, raw, None)):
                             col.append(v)
                         rows.append(i)
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError, MemoryError) as e:
+                except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
                     for col, v in zip(cols, (-1, None, None, None, None, None, None, f"{type(e).__name__}: {e}")):
                         col.append(v)
                     rows.append(i)
