@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.chat import Template, escape, escape_role, format_chat, formatted, loss_texts, read_turns, unescape, unescape_role
 from tidemill.llm.decontaminate import decontaminate
 from tidemill.llm.neardup import dart_signatures, near_duplicates, representatives
-from tidemill.llm.substrings import drop_repeats
+from tidemill.llm.substrings import drop_repeats, factors, parse
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,6 +70,37 @@ def test_substring_dedup_against_brute_force(docs, rows, no_docs, size):
     assert drop_repeats(no_docs, window=size).count() == 0
 
 
+@pytest.mark.parametrize("size", [12, 35])
+def test_factors_against_a_brute_force_parse(docs, rows, size):
+    """Every factor stands word for word in its source, elsewhere; together they cover just the repeated windows."""
+    import hashlib
+
+    texts = {hashlib.md5((r[1] or "").encode()).digest(): re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows}
+    often = Counter(hashlib.md5((r[1] or "").encode()).digest() for r in rows if r[1] is not None)
+    seen = Counter()
+    for t, w in texts.items():
+        seen.update({g: n * often[t] for g, n in Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)).items()})
+    got = {bytes(r.t): r.factors for r in factors(docs, window=size).collect()}
+    longest = 0
+    for t, w in texts.items():
+        covered = {j for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for j in range(i, i + size)}
+        mine = got.get(t, [])
+        for f in mine:
+            n = f["last"] - f["first"] + 1
+            longest = max(longest, n)
+            source = texts[bytes(f["source"])]
+            assert n >= size and w[f["first"] : f["last"] + 1] == source[f["source_first"] : f["source_first"] + n]
+            assert (bytes(f["source"]), f["source_first"]) != (t, f["first"]) or often[t] > 1
+        assert {j for f in mine for j in range(f["first"], f["last"] + 1)} == covered
+        assert [f["first"] for f in mine] == sorted(f["first"] for f in mine)
+    assert longest > 2 * size  # factors go on over many windows
+
+
+def test_greedy_parse():
+    assert parse([(0, 3, b"a", 10), (4, 6, b"a", 14), (2, 2, b"b", 0), (7, 7, b"b", 5)]) == [(0, 6, b"a", 10), (7, 7, b"b", 5)]
+    assert parse([]) == []
+
+
 def shingles(text, size=5):
     w = (text or "").translate(LOWER).encode().split()
     return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()

@@ -1,11 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing against an index of the whole corpus.
 
 Every window of ``window`` words has an anchor: the smallest hash among its 8-word runs. Equal windows have equal
-anchors, so an index keyed by anchor holds, in its reference blocks, all that a window can match. A document is
-parsed into units, the runs of windows that share an anchor; a unit whose content stands in the index more than once
-is part of a factor and all its windows repeat. Units that match only in part are the factors' boundaries; they, and
-one occurrence of each unit they could match, are compared window by window. The result is exact: a word goes if and
-only if a window that covers it starts anywhere else too.
+anchors, so the reference block of an anchor, the runs of windows that share it (units), holds all that a window with
+this anchor can match. The index keeps each unit once, with how often it occurs and where first and last.
+
+Parsing: a unit that stands in the index more than once matches its source whole. Units that match only in part are
+the factors' boundaries: they, and one occurrence of each unit of the block, are compared window by window. The matches
+of a document, each with its source, are then joined greedily: a factor goes on as long as its source does. All factors
+are at least ``window`` words long and become duplicate spans, so a word goes if and only if a window that covers it
+starts anywhere else too. Units and windows are compared by 64-bit hashes within one anchor's block, anchors by
+theirs; a false match would need both to be equal.
 
 Equal texts have equal verdicts, so verdicts are kept by the text's digest, not by row. Hot passages, sources or
 copies are counted with partial aggregation and joined on one row a key.
@@ -19,11 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, stored, utf8, without
+from .common import Tables, add_columns, slices, stored, utf8, without
 from .words import Words, mix, runs
 
 GRAM = 8
@@ -73,7 +78,7 @@ def _anchors(texts: DataFrame, window: int, whole: bool) -> DataFrame:
     """Rows of units: anchor alone, or with the text's key, place and content."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             found = _units(Words(utf8(batch, "text")), window)
             if found is None:
                 continue
@@ -87,53 +92,90 @@ def _anchors(texts: DataFrame, window: int, whole: bool) -> DataFrame:
     return texts.mapInArrow(run, "g long, u long, t binary, lo int, n int" if whole else "g long")
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
-    """Rows (t, spans): for each text digest, sorted ranges [first, last] of words in repeated windows."""
+#: A reference block may have many units; joins on its anchor are dealt over so many tasks.
+SALTS = 8
+
+
+def parse(matches: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+    """Factors (first window, last window, source text, first window there) from a document's matches (the same columns).
+
+    From left to right the factor that reaches furthest is taken, and goes on while the next window's source is the
+    next window of its source; a match that lies within it adds nothing.
+    """
+    out: list[tuple[int, int, bytes, int]] = []
+    for lo, hi, source, at in sorted(matches, key=lambda m: (m[0], -m[1])):
+        if out:
+            first, last, same, there = out[-1]
+            if source == same and at - lo == there - first and lo <= last + 1:
+                out[-1] = (first, max(last, hi), same, there)
+                continue
+            if hi <= last:
+                continue
+        out.append((lo, hi, source, at))
+    return out
+
+
+def factors(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
+    """Rows (t, factors): for each text digest its factors (first and last word, source text's digest, first word there)."""
+    made = Tables(docs.sparkSession)
     texts = docs.select(text_key(text).alias("t"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     # Stored keys, not bare aggregates, are what units join: only then can skewed anchors be split.
-    shared = stored(_anchors(texts.select("text"), window, False).groupBy("g").count().filter("count > 1").select("g"), "anchors")
-    units = stored(_anchors(texts, window, True).join(shared, "g"), "units")
+    shared = made.stored(_anchors(texts.select("text"), window, False).groupBy("g").count().filter("count > 1").select("g"), "anchors")
+    units = made.stored(_anchors(texts, window, True).join(shared, "g"), "units")
+    made.drop(shared)
     place = F.struct("t", "lo", "n")
-    blocks = stored(units.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(place).alias("at")), "blocks")
-    factors = units.join(blocks.filter("c > 1").select("g", "u"), ["g", "u"]).select("t", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")).distinct()
+    blocks = made.stored(units.groupBy("g", "u").agg(F.count("*").alias("c"), F.min(place).alias("at"), F.max(place).alias("last")), "blocks")
+    source = F.when((F.col("at.t") == F.col("t")) & (F.col("at.lo") == F.col("lo")), F.col("last")).otherwise(F.col("at"))
+    whole = units.join(blocks.filter("c > 1").select("g", "u", "at", "last"), ["g", "u"]).select("t", "lo", (F.col("lo") + F.col("n") - 1).alias("hi"), source.alias("s"))
+    whole = whole.select("t", "lo", "hi", F.col("s.t").alias("st"), F.col("s.lo").alias("sl"))
     # Boundaries: units found once, in blocks that hold other units; with one occurrence of each unit of the block.
-    open_blocks = blocks.groupBy("g").agg(F.min("c").alias("least"), F.count("*").alias("k")).filter("least = 1 and k > 1").select("g")
-    asked = blocks.join(open_blocks, "g").select("g", "c", F.col("at.t").alias("t"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))
+    salt = F.pmod(F.col("u"), F.lit(SALTS)).cast("int").alias("salt")
+    open_blocks = blocks.groupBy("g").agg(F.min("c").alias("least"), F.count("*").alias("k")).filter("least = 1 and k > 1").select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = blocks.select("*", salt).join(open_blocks, ["g", "salt"]).select("g", "c", F.col("at.t").alias("t"), F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))
     per_text = asked.groupBy("t").agg(F.collect_list(F.struct("g", "lo", "n", "c")).alias("asked"))
     near = texts.join(per_text, "t")
 
     def windows(batches):
-        for batch in batches:
+        for batch in (b for many in batches for b in slices(many, "text")):
             words = Words(utf8(batch, "text"))
             content = runs(words.hashes, window)
-            keys = batch.column(batch.schema.get_field_index("t")).to_pylist()
-            out = [[] for _ in range(5)]
-            for d, units in enumerate(batch.column(batch.schema.get_field_index("asked")).to_pylist()):
-                base = int(words.bounds[d])
-                for x in units:
-                    lo, n = x["lo"], x["n"]
-                    out[0].append(np.full(n, x["g"], np.int64))
-                    out[1].append(content[base + lo : base + lo + n].view(np.int64))
-                    out[2].extend([keys[d]] * n)
-                    out[3].append(np.arange(lo, lo + n, dtype=np.int32))
-                    out[4].append(np.full(n, x["c"] > 1))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(out[2], pa.binary()), pa.array(np.concatenate(out[3])), pa.array(np.concatenate(out[4]))], names=["g", "w", "t", "at", "many"])
-
-    found = stored(near.mapInArrow(windows, "g long, w long, t binary, at int, many boolean"), "boundaries")
+            lists = batch.column(batch.schema.get_field_index("asked"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            g, lo, n, c = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            unit = np.repeat(np.arange(len(g)), n)
+            at = lo[unit] + np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
+            keys = batch.column(batch.schema.get_field_index("t")).take(pa.array(row[unit])).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(g[unit]), pa.array(content[words.bounds[row[unit]] + at].view(np.int64)), keys, pa.array(at.astype(np.int32)), pa.array(c[unit] > 1)], names=["g", "w", "t", "at", "many"])
+
+    found = made.stored(near.mapInArrow(windows, "g long, w long, t binary, at int, many boolean"), "boundaries")
     spot = F.struct("t", "at")
-    again = stored(found.groupBy("g", "w").agg(F.max("many").alias("m"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("m or a < b").select("g", "w"), "again")
-    edges = found.filter("not many").join(again, ["g", "w"]).select("t", F.col("at").alias("lo"), F.col("at").alias("hi")).distinct()
-    ranges = factors.unionByName(edges).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
-    return ranges.select("t", F.transform("ranges", lambda r: F.struct(r["lo"].alias("first"), (r["hi"] + window - 1).alias("last"))).alias("spans"))
+    again = made.stored(found.groupBy("g", "w").agg(F.max("many").alias("m"), F.min(spot).alias("a"), F.max(spot).alias("b")).filter("m or a < b"), "again")
+    there = F.when((F.col("a.t") == F.col("t")) & (F.col("a.at") == F.col("at")), F.col("b")).otherwise(F.col("a"))
+    edges = found.filter("not many").join(again, ["g", "w"]).select("t", F.col("at").alias("lo"), F.col("at").alias("hi"), there.alias("s"))
+    edges = edges.select("t", "lo", "hi", F.col("s.t").alias("st"), F.col("s.at").alias("sl"))
+    matches = whole.unionByName(edges).groupBy("t").agg(F.collect_set(F.struct("lo", "hi", "st", "sl")).alias("matches"))
+
+    def parsed(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            out = []
+            for k in range(0, batch.num_rows, 200):
+                for row in lists.slice(k, 200).to_pylist():
+                    out.append([{"first": a, "last": b + window - 1, "source": s, "source_first": x} for a, b, s, x in parse([(m["lo"], m["hi"], m["st"], m["sl"]) for m in row])])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(out, FACTORS)], names=["t", "factors"])
+
+    out = stored(matches.mapInArrow(parsed, "t binary, factors array<struct<first: int, last: int, source: binary, source_first: int>>"), "factors")
+    made.drop()
+    return out
 
 
+FACTORS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source", pa.binary()), ("source_first", pa.int32())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the text without words of repeated windows)."""
-    spans = repeated_spans(docs, text, window)
+    spans = factors(docs, text, window).select("t", F.transform("factors", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("spans"))
     df = without(docs, ["_t", "_spans"])
     joined = df.withColumn("_t", text_key(text)).join(spans.select(F.col("t").alias("_t"), F.col("spans").alias("_spans")), "_t", "left")
 
@@ -150,4 +192,4 @@ def drop_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> DataF
                 col.append(v)
         return cols
 
-    return add_columns(joined, FIELDS, cut, keep=df.columns)
+    return add_columns(joined, FIELDS, cut, keep=df.columns, by=text)
