@@ -38,6 +38,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Tables:
     """Stored tables that one operator alone reads; ``drop`` removes those no longer needed."""
 
@@ -47,7 +50,12 @@ class Tables:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` in the shared folder and read it back: cuts lineage, survives lost executors."""
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # for this write: once it is done, its shuffle files go
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

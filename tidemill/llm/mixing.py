@@ -1,18 +1,23 @@
 """Language-model scores by online logistic context mixing.
 
-Tokens are coded as binary decisions. A frequent word is a path through a Huffman tree of the training counts; any
-other word is an escape and then its bytes, eight decisions each, and an end byte. Each decision has four
-predictors: for a tree node its own frequency, and counts of contexts (node with the last very frequent word, which
-tells the language, with the last word, with the last two); for a byte the last one, two, three and four bytes. Their logits are mixed with weights that a gate
-selects by how well the contexts are known; the mixing weights follow each document online, block by block, from the
-trained ones. An adaptive map then refines the mixed probability. Everything is learned from training rows alone:
-word and context counts over all of them; the mixer is cross-fitted, each unit of texts with its own counts subtracted.
-
-Context counts are a stored table keyed by 64-bit hashes of context and node; it grows with the training rows and is
-never gathered. Texts are dealt into units of about 250 KB; a unit asks once for each of its contexts, the answers come
-from a join and are packed by unit. Word counts are kept by 64-bit word hash. Only the tree's words are broadcast; the
-others stand behind the escape and get their probability, as in the base model, from a join on their hash: by their
-count, mixed with their spelling at the share of words seen once.
+A token is coded in binary decisions. First, where the last two words were met elsewhere in the training rows: does the
+word follow that followed them most often? If not, the token is a path through a Huffman tree of the frequent words,
+one decision a node; any other word is an escape, and then known by its count or, if it is new, spelled: eight decisions
+a byte. Each decision has three predictors that give logits: for the first kind the counts of the hashed context itself
+and how often such contexts held (by their counts and by the matches before); for a tree node its own frequency and
+counts of hashed contexts (node with the last very frequent word, which tells the language, and with the last word); for
+a byte the last one, two and three bytes. The logits are mixed with weights that a gate selects by how well the contexts
+are known; in each document the weights follow it online, block by block, from the trained ones. An adaptive map then
+refines the mixed probability. The costs of all decisions add up to the total bits.
+
+What is gathered grows with the training rows: the counts of all words and of all two-word contexts stand in buckets,
+whose number follows the bytes of text, and are asked for by units of about a megabyte of text, keys and answers packed
+by bucket; a bucket is the work of one task. The tables of the tree's and the bytes' contexts are sized by the training
+tokens up to 2^22 slots and broadcast, as is the tree of at most ``vocabulary`` words.
+
+No text is scored by what it taught itself: training rows are dealt into two halves by their text's hash, each is coded
+with the tables of the other half, and from word and two-word counts a document's own are taken off. The mixer is
+trained on all training rows in this way. Base scores use all counts, as defined.
 
 Defined results: null and empty texts have the end token alone; without training rows every word is unknown, the
 base is log10(0.5 / 0.5) a token and the model is untrained; equal texts have equal results; repeated rows repeat.
@@ -24,21 +29,25 @@ import heapq
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
-from .words import Words
+from .common import Tables, slices, stored, utf8
+from .words import Words, mix
 
 END = np.uint64(0x1E57E9D)
-GATES, INPUTS, BINS = 32, 4, 33
+GATES, INPUTS, BINS = 16, 3, 33
 GUIDES = 100
-UNIT_BYTES = 250_000
+UNIT_BYTES = 1_000_000
+BUCKET_BYTES = 12_000_000
+FLAGS = 1024
+CHUNK = 4096
 LIMIT = 12.0
 LOG10_2 = math.log10(2.0)
 
@@ -47,11 +56,11 @@ def fold_of(doc_id: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def pieces(texts: list[bytes | None], most: int = 400_000) -> Iterator[slice]:
-    """Slices of a batch of about ``most`` bytes each (one text at least): what is expanded to decisions at once."""
+def pieces(texts: list[bytes], most: int = 300_000) -> Iterator[slice]:
+    """Slices of about ``most`` bytes each (one text at least): what is expanded to decisions at once."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        size += len(t or b"")
+        size += len(t)
         if size >= most:
             yield slice(first, i + 1)
             first, size = i + 1, 0
@@ -60,10 +69,11 @@ def pieces(texts: list[bytes | None], most: int = 400_000) -> Iterator[slice]:
 
 
 class Tokens:
-    """Word hashes of a batch with the end token after each text, and where the words' bytes are."""
+    """Word hashes of texts with the end token after each text, the two-word context of each token, and where the words'
+    bytes are."""
 
-    def __init__(self, texts: list[bytes | None]):
-        self.words = Words([t.lower() if t else t for t in texts])
+    def __init__(self, texts: list[bytes]):
+        self.words = Words([t.lower() for t in texts])
         n = len(texts)
         counts = np.diff(self.words.bounds) + 1
         self.bounds = np.concatenate(([0], np.cumsum(counts)))
@@ -76,6 +86,13 @@ class Tokens:
         self.hashes[~is_end] = self.words.hashes
         self.word_at = np.full(self.bounds[-1], -1)
         self.word_at[~is_end] = np.arange(len(self.words.hashes))
+        self.last = self._before(self.hashes)
+        self.context = mix(self.last * np.uint64(0x9E3779B97F4A7C15) + self._before(self.last) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        out = np.concatenate((np.zeros(1, np.uint64), x[:-1]))
+        out[self.bounds[:-1]] = 0
+        return out
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,239 +124,404 @@ def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return starts, nodes[held].astype(np.int32), bits[held], np.log(share / (1 - share)).astype(np.float32)
 
 
+def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes: their order is that of the hashes' upper halves."""
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _context_keys(tokens: Tokens, buckets: int) -> np.ndarray:
+    """Bucket and lower half of each token's context: what tells contexts apart."""
+    return _buckets(tokens.context, buckets) << np.uint64(32) | tokens.context & np.uint64(0xFFFFFFFF)
+
+
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of the stretches of ``data`` between cuts."""
+    offsets = (np.asarray(cuts, np.int64) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ask(tokens: Tokens, training: bool, buckets: int) -> pa.RecordBatch:
+    """A row a bucket: its words of a unit with their counts, and its pairs of context and next word with theirs.
+
+    Rows that aren't training rows ask for words and contexts, but bring no counts.
+    """
+    words, n = np.unique(tokens.hashes, return_counts=True)
+    word_cuts = np.searchsorted(_buckets(words, buckets), np.arange(buckets + 1, dtype=np.uint64))
+    keys = _context_keys(tokens, buckets)
+    if training:
+        after = tokens.hashes & np.uint64(0xFFFFFFFF)
+        order = np.lexsort((after, keys))
+        keys, after = keys[order], after[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (after[1:] != after[:-1]))))
+        m = np.diff(np.concatenate((first, [len(keys)])))
+        keys, after = keys[first], after[first]
+    else:
+        keys = np.unique(keys)
+        after, m, n = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros_like(n)
+    cuts = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    arrays = [pa.array(np.arange(buckets, dtype=np.int32)), _binaries(words, word_cuts), _binaries(n.astype("<i4"), word_cuts)]
+    arrays += [_binaries(x.astype("<u4"), cuts) for x in (keys & np.uint64(0xFFFFFFFF), after, m)]
+    made = pa.RecordBatch.from_arrays(arrays, names=["bucket", "words", "n", "keys", "after", "m"])
+    return made.filter(pa.array((np.diff(word_cuts) > 0) | (np.diff(cuts) > 0)))
+
+
+def _joined(columns: list[pa.Array], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values of binary columns one after another, row of each value)."""
+    size = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.int64) // np.dtype(kind).itemsize
+    data = []
+    for c in columns:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        data.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(c) and c.buffers()[2] is not None else np.zeros(0, np.uint8))
+    return np.concatenate(data).view(kind), np.repeat(np.arange(len(size)), size)
+
+
+def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
+    """For all rows of one bucket: counts of their words; best next word, its count and the total of their contexts.
+
+    A last row with unit -1 tells of the bucket: number of words with counts, of words seen once, and the ``top`` ones.
+    """
+    columns = [[b.column(k).cast(pa.binary()) for b in rows] for k in range(2, 7)]
+    (words, row), (n, _) = _joined(columns[0], "<u8"), _joined(columns[1], "<i4")
+    kinds, back = np.unique(words, return_inverse=True)
+    totals = np.bincount(back, n, len(kinds)).astype(np.int64)
+    units = np.concatenate([b.column(0).to_numpy() for b in rows])
+    word_cuts = np.searchsorted(row, np.arange(len(units) + 1))
+    (keys, row), (after, _), (m, _) = (_joined(c, "<u4") for c in columns[2:])
+    pair = keys.astype(np.uint64) << np.uint64(32) | after
+    order = np.argsort(pair, kind="stable")
+    pair, m = pair[order], m[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+    m = np.add.reduceat(m, first) if len(first) else m
+    key, then = pair[first] >> np.uint64(32), pair[first] & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((then, -m, key))
+    key, then, m = key[order], then[order], m[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(m, first) if len(first) else m
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, bool)
+    at = np.searchsorted(key[first], keys[fresh])
+    cuts = np.searchsorted(row[fresh], np.arange(len(units) + 1))
+    known = kinds[totals > 0], totals[totals > 0]
+    best = np.argsort(-known[1], kind="stable")[:top]
+    about = [np.array([len(known[0]), (known[1] == 1).sum(), known[1].sum()], "<i8"), known[0][best], known[1][best].astype("<i8"), np.zeros(0, "<i4")]
+    lists = [_binaries(totals[back].astype("<i8"), word_cuts), *(_binaries(x[first][at].astype("<u4") if k < 2 else x[at].astype("<u4"), cuts) for k, x in enumerate((then, m, total)))]
+    bucket = rows[0].column(1)[0].as_py()
+    arrays = [pa.array(np.append(units, -1)), pa.array(np.full(len(units) + 1, bucket, np.int32)), *(pa.concat_arrays([x, pa.array([y.tobytes()], pa.binary())]) for x, y in zip(lists, about))]
+    return pa.RecordBatch.from_arrays(arrays, names=["unit", "bucket", "counts", "then", "best", "total"])
+
+
+ANSWER = "unit long, bucket int, counts binary, then binary, best binary, total binary"
+
+
 @dataclass
 class Model:
-    table_bits: int  # of a context's key
+    slot_bits: int  # of each context table
     train_tokens: int
     distinct: int
-    hashes: np.ndarray  # vocabulary, sorted
-    counts: np.ndarray
+    hashes: np.ndarray  # words of the tree, sorted
     paths: tuple  # of huffman(); the escape is the last symbol
-    frequent: np.ndarray  # of the vocabulary's words, the escape and the start: the most frequent, which guide a context
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.25, 0.25, 0.25, 0.25], np.float32), (GATES, 1)))
+    frequent: np.ndarray  # of the tree's words, the escape and the start: the most frequent, which guide a context
     rest: int = 0  # training tokens behind the escape, and words seen once
     once: int = 0
+    tables: dict = field(default_factory=dict)  # role to tables: logits (int8) and confidence of each slot
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.4, 0.4, 0.4], np.float32), (GATES, 1)))
     refine: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-LIMIT, LIMIT, BINS, dtype=np.float32), (GATES, 1)))
 
+    @property
+    def sizes(self) -> list[int]:
+        """Slots of the tables: first decisions, tree with guide, tree with last word, three orders of bytes."""
+        return [FLAGS, *[1 << self.slot_bits] * 2, *[1 << max(8, self.slot_bits - 1)] * 3]
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary places; the escape for others."""
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
+        """Places in the tree; the escape for others."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
         return np.where(self.hashes[at] == hashes, at, len(self.hashes))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.train_tokens + 0.5 * (self.distinct + 1)))
 
 
-def _slot(bits: int, *parts: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        h = (h + p.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sixteenths of logits (int8), and 0 to 3 by how well a context is known."""
     total = zeros + ones
     share = (ones + 0.4) / (total + 0.8)
-    logits = np.clip(np.rint(16 * np.log(share / (1 - share))), -127, 127).astype(np.int8)
-    return logits, ((total > 0).astype(np.uint8) + (total > 3) + (total > 30)).astype(np.uint8)
+    return np.clip(np.rint(16 * np.log(share / (1 - share))), -127, 127).astype(np.int8), ((total > 0).astype(np.uint8) + (total > 3) + (total > 30)).astype(np.uint8)
 
 
 @dataclass
-class Contexts:
-    """What is known of the contexts that a unit of texts has."""
-
-    slots: np.ndarray  # sorted
-    logits: np.ndarray
-    known: np.ndarray
-
-    def look(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.slots, slots)
-        return self.logits[at] * np.float32(1 / 16), self.known[at].astype(np.int64)
-
+class Coding:
+    """A unit as the model codes it: first decisions, tree decisions, and the words behind the escape."""
+
+    tokens: Tokens
+    counts: np.ndarray  # of each token, with its own text's
+    flag_at: np.ndarray  # tokens that have a first decision
+    flag_bit: np.ndarray
+    flag_logit: np.ndarray
+    flag_slot: list[np.ndarray]
+    flag_gate: np.ndarray
+    token: np.ndarray  # of each tree decision
+    bit: np.ndarray
+    node: np.ndarray
+    slot: list[np.ndarray]
+    rare: np.ndarray  # tokens behind the escape, and their counts elsewhere
+    seen: np.ndarray
+
+
+def _own(doc: np.ndarray, what: np.ndarray, hit: np.ndarray | None = None):
+    """How often a text has each of its (text, what), and how often with a hit."""
+    order = np.lexsort((what, doc))
+    d, w = doc[order], what[order]
+    group = np.cumsum(np.concatenate(([0], ((d[1:] != d[:-1]) | (w[1:] != w[:-1])).astype(np.int64))))
+    back = np.empty(len(order), np.int64)
+    back[order] = group
+    n = np.bincount(group)
+    return n[back], (np.bincount(back, hit, len(n))[back].astype(np.int64) if hit is not None else None)
+
+
+def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buckets: int) -> Coding:
+    """``answers``: the unit's answers by bucket."""
+    joined = [np.frombuffer(b"".join([a[c] for a in answers]), k) for c, k in (("counts", "<i8"), ("then", "<u4"), ("best", "<u4"), ("total", "<u4"))]
+    _, back = np.unique(tokens.hashes, return_inverse=True)
+    counts = joined[0][back]
+    keys = _context_keys(tokens, buckets)
+    _, back = np.unique(keys, return_inverse=True)
+    then, best, total = (x[back].astype(np.int64) for x in joined[1:])
+    hit = (tokens.hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) == then
+    elsewhere = counts
+    if training:
+        n, mine = _own(tokens.doc, keys, hit)
+        best, total = best - mine, total - n
+        n, _ = _own(tokens.doc, tokens.hashes)
+        elsewhere = counts - n
+    told = best > 0
+    # Matches in a row before a token, and what came of the prediction before it.
+    held = hit & told
+    place = np.arange(len(hit))
+    broken = np.maximum.accumulate(np.where(~held, place, -1))
+    broken = np.maximum(broken, tokens.bounds[tokens.doc] - 1)
+    run = np.concatenate(([0], (place - broken)[:-1]))
+    run[tokens.bounds[:-1]] = 0
+    before = np.concatenate(([0], np.where(told, 1 + held, 0)[:-1]))
+    before[tokens.bounds[:-1]] = 0
+    flag_at = np.flatnonzero(told)
+    b, t, r = best[flag_at], np.maximum(total[flag_at], best[flag_at]), np.minimum(run[flag_at], 15)
+    level = lambda x: np.minimum(np.log2(x + 1).astype(np.int64), 7)
+    flag_slot = [(level(b) * 8 + level(t - b)) * 3 + before[flag_at], 256 + r * 16 + np.minimum(t, 15)]
+    share = (b + 0.4) / (t + 0.8)
+    flag_gate = 12 + (r > 0) + (r > 7) + (r > 14)
 
-def word_decisions(model: Model, tokens: Tokens, symbols: np.ndarray):
-    """(token of each decision, bit, node, slots of the three contexts). Contexts have words, whether in the tree or not."""
-    starts, nodes, bits, _ = model.paths
+    symbols = model.symbols(tokens.hashes)
     escape = len(model.hashes)
+    starts, nodes, bits, _ = model.paths
     place = np.concatenate(([escape + 1], symbols[:-1]))
     place[tokens.bounds[:-1]] = escape + 1
-    last = np.concatenate((np.zeros(1, np.uint64), tokens.hashes[:-1]))
-    last[tokens.bounds[:-1]] = 0
-    before = np.concatenate((np.zeros(1, np.uint64), last[:-1]))
-    before[tokens.bounds[:-1]] = 0
-    mark = np.where(model.frequent[place] | (place == escape + 1), np.arange(len(last)), 0)
-    guide = last[np.maximum.accumulate(mark)]
-    lengths = starts[symbols + 1] - starts[symbols]
-    token = np.repeat(np.arange(len(symbols)), lengths)
-    at = np.arange(len(token)) + np.repeat(starts[symbols] - (np.cumsum(lengths) - lengths), lengths)
+    mark = np.where(model.frequent[place] | (place == escape + 1), np.arange(len(place)), 0)
+    guide = tokens.last[np.maximum.accumulate(mark)]
+    coded = np.flatnonzero(~held)
+    s = symbols[coded]
+    lengths = starts[s + 1] - starts[s]
+    which = np.repeat(np.arange(len(coded)), lengths)
+    at = np.arange(len(which)) + np.repeat(starts[s] - (np.cumsum(lengths) - lengths), lengths)
     node = nodes[at]
-    slots = [_slot(model.table_bits, node, guide[token], np.full(1, 7)), _slot(model.table_bits, node, last[token]), _slot(model.table_bits, node, last[token], before[token])]
-    return token, bits[at], node, slots
+    salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    shift = np.uint64(64 - model.slot_bits)
+    slot = [((mix(x[coded])[which] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int32) for x in (guide, tokens.last)]
+    rare = coded[s == escape]
+    return Coding(tokens, counts, flag_at, hit[flag_at].astype(np.uint8), np.log(share / (1 - share)).astype(np.float32), flag_slot, flag_gate, coded[which], bits[at], node, slot, rare, elsewhere[rare])
+
+
+def spelled(model: Model, coding: Coding) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct new words of the unit, as a token place of each; for each rare token its number there, or -1)."""
+    fresh = np.flatnonzero((coding.seen <= 0) & (coding.tokens.word_at[coding.rare] >= 0))
+    _, first, back = np.unique(coding.tokens.hashes[coding.rare[fresh]], return_index=True, return_inverse=True)
+    number = np.full(len(coding.rare), -1)
+    number[fresh] = back
+    return coding.rare[fresh[first]], number
 
 
 def byte_decisions(model: Model, tokens: Tokens, places: np.ndarray):
-    """(index into places, bit, slots of four contexts) of the words at these token places."""
+    """(index into places, bit, slots of three contexts) of the words at these token places."""
     w = tokens.word_at[places]
     start, end = tokens.words.starts[w], tokens.words.ends[w]
     size = end - start + 1
     word = np.repeat(np.arange(len(places)), size)
     at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
     raw = np.frombuffer(tokens.words.data, np.uint8)
-    value = np.where(at < size[word] - 1, raw[start[word] + at], 0x20).astype(np.int64)
+    value = np.where(at < size[word] - 1, raw[start[word] + at], 0x20).astype(np.uint64)
 
     def back(k: int) -> np.ndarray:
-        return np.where(at >= k, np.concatenate((np.zeros(k, np.int64), value[:-k] if len(value) > k else value[:0]))[: len(value)], 0)
+        return np.where(at >= k, np.concatenate((np.zeros(k, np.uint64), value[:-k] if len(value) > k else value[:0]))[: len(value)], 0).astype(np.uint64)
 
-    one, two, three, four = back(1), back(2), back(3), back(4)
-    step = np.tile(np.arange(8), len(value))
+    one, two, three = back(1), back(2), back(3)
+    step = np.tile(np.arange(8, dtype=np.uint64), len(value))
     byte = np.repeat(np.arange(len(value)), 8)
-    partial = (1 << step) | (value[byte] >> (8 - step))
-    bit = (value[byte] >> (7 - step) & 1).astype(np.uint8)
-    a = one[byte]
-    b = a << 8 | two[byte]
-    c = b << 8 | three[byte]
-    slots = [_slot(model.table_bits, partial + 256 * (k + 1), x) for k, x in enumerate((a, b, c, c << 8 | four[byte]))]
+    partial = np.uint64(1) << step | value[byte] >> (np.uint64(8) - step)
+    bit = (value[byte] >> (np.uint64(7) - step) & np.uint64(1)).astype(np.uint8)
+    contexts = [one + np.uint64(1), (one << np.uint64(8) | two) + np.uint64(1 << 20), (one << np.uint64(16) | two << np.uint64(8) | three) + np.uint64(1 << 40)]
+    shift = np.uint64(64 - max(8, model.slot_bits - 1))
+    slots = [((mix(c)[byte] ^ partial * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int32) for c in contexts]
     return word[byte], bit, slots
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _parts(places: np.ndarray, most: int = 8_000) -> Iterator[slice]:
+    yield from (slice(k, min(k + most, len(places))) for k in range(0, len(places), most))
 
 
-def _inputs(contexts: Contexts, first: np.ndarray, gate0: int, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of the mixer and the gates, by how well the last two contexts are known."""
-    x = np.empty((len(first), INPUTS), np.float32)
-    x[:, 0] = first
-    for k, slot in enumerate(slots):
-        x[:, 1 + k], known = contexts.look(slot)
-        gate0 = gate0 + known * (0, 4, 1)[k]
-    return x, gate0
+def seen_slots(model: Model, coding: Coding, add) -> None:
+    """Calls ``add(table, slots, bits)`` for all decisions of a unit: what the tables count."""
+    for slot in coding.flag_slot:
+        add(0, slot, coding.flag_bit)
+    for k, slot in enumerate(coding.slot):
+        add(1 + k, slot, coding.bit)
+    places, _ = spelled(model, coding)
+    for part in _parts(places):
+        _, bit, slots = byte_decisions(model, coding.tokens, places[part])
+        for k, slot in enumerate(slots):
+            add(3 + k, slot, bit)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
 def _refined(model: Model, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
     """Half the mixed logit, half the adaptive map's, between its bins."""
-    place = (mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))
-    low = np.minimum(place.astype(np.int64), BINS - 2)
+    place = (mixed + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT))
+    low = np.minimum(place.astype(np.int32), BINS - 2)
     part = place - low
     table = model.refine.ravel()
     at = gate * BINS + low
-    return 0.5 * mixed + 0.5 * (table[at] * (1 - part) + table[at + 1] * part)
+    return np.float32(0.5) * (mixed + table[at] * (1 - part) + table[at + 1] * part)
 
 
 def _cost(bit: np.ndarray, logit: np.ndarray) -> np.ndarray:
     """Bits that a decision costs."""
-    return np.logaddexp(0.0, np.where(bit == 1, -logit, logit)) / math.log(2)
+    return np.log1p(np.exp(np.where(bit == 1, -logit, logit))) * np.float32(1 / math.log(2))
+
+
+def _inputs(model: Model, role: int, first: np.ndarray, slots: list[np.ndarray], table: int, gate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the mixer (a row each), and the gates, by how well the contexts are known."""
+    x = np.empty((INPUTS, len(slots[0])), np.float32)
+    held = model.tables.get(role)
+    known = np.zeros(len(slots[0]), np.int64)
+    at = 0
+    if first is not None:
+        x[0], at = first, 1
+    for k, slot in enumerate(slots):
+        if held is None:
+            x[at + k] = 0
+            continue
+        logits, sure = held[table + k]
+        x[at + k] = logits[slot] * np.float32(1 / 16)
+        if k >= len(slots) - 2:
+            known += sure[slot].astype(np.int64) * (1 if k == len(slots) - 1 else 0) + ((sure[slot] > 1) * 4 if k == len(slots) - 2 else 0)
+    return x, gate + known
 
 
-def mix_words(model: Model, contexts: Contexts, tokens: Tokens, symbols: np.ndarray, rate: float, block: int, watch=None) -> np.ndarray:
-    """Bits of each text's tree decisions; weights follow each text online in blocks of tokens.
+def mix_online(model: Model, docs: int, doc: np.ndarray, step: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, watch=None) -> np.ndarray:
+    """Bits of each text's decisions; its weights follow it online from step to step.
 
-    watch(gate, mixed, bit, inputs): sees every decision in its order.
+    step: block of each decision. watch(gate, mixed, bit, inputs) sees every decision.
     """
-    token, bit, node, slots = word_decisions(model, tokens, symbols)
-    x, gate = _inputs(contexts, model.paths[3][node], 0, slots)
-    doc = tokens.doc[token]
-    step = (token - tokens.bounds[doc]) // block
-    order = np.argsort(step, kind="stable")
-    cuts = np.searchsorted(step[order], np.arange(int(step.max(initial=0)) + 2))
-    docs = len(tokens.bounds) - 1
-    own = np.tile(model.weights, (docs, 1, 1)).reshape(docs * GATES, INPUTS)
     total = np.zeros(docs)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        at = order[a:b]
-        cell = doc[at] * GATES + gate[at]
-        xs = x[at]
-        mixed = np.clip((own[cell] * xs).sum(axis=1), -LIMIT, LIMIT)
-        total += np.bincount(doc[at], _cost(bit[at], _refined(model, gate[at], mixed)), docs)
-        error = (bit[at] - _sigmoid(mixed)).astype(np.float32) * np.float32(rate)
+    if not len(doc):
+        return total
+    last = np.zeros(docs, np.int64)
+    np.maximum.at(last, doc, step)
+    rank = np.empty(docs, np.int64)
+    rank[np.argsort(-last, kind="stable")] = np.arange(docs)  # texts with more blocks come first: the active ones are a stretch
+    active = np.searchsorted(np.sort(-last), -np.arange(int(last.max()) + 1), side="right")
+    order = np.argsort(step, kind="stable")
+    cuts = np.searchsorted(step[order], np.arange(int(step.max()) + 2))
+    own = np.tile(model.weights.T[:, None, :], (1, docs, 1)).reshape(INPUTS, docs * GATES)
+    cell, x, bit, gate, doc = (rank[doc] * GATES + gate)[order], x[:, order], bit[order], gate[order], doc[order]
+    costs = np.empty(len(doc), np.float32)
+    for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a == b:
+            continue
+        at, xs = cell[a:b], x[:, a:b]
+        mixed = own[0][at] * xs[0] + own[1][at] * xs[1] + own[2][at] * xs[2]
+        np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+        costs[a:b] = _cost(bit[a:b], _refined(model, gate[a:b], mixed))
         if watch is not None:
-            watch(gate[at], mixed, bit[at], xs)
+            watch(gate[a:b], mixed, bit[a:b], xs)
+        error = (bit[a:b] - _sigmoid(mixed)) * np.float32(rate)
+        most = int(active[block]) * GATES
         for k in range(INPUTS):
-            own[:, k] += np.bincount(cell, error * xs[:, k], docs * GATES).astype(np.float32)
-    return total
-
-
-def spell_costs(model: Model, contexts: Contexts, tokens: Tokens, places: np.ndarray, watch=None) -> np.ndarray:
-    """Bits of the words at these places, spelled with the trained weights."""
-    if not len(places):
-        return np.zeros(0)
-    word, bit, slots = byte_decisions(model, tokens, places)
-    x, gate = _inputs(contexts, contexts.look(slots[0])[0], 16, slots[1:])
-    mixed = np.clip((model.weights[gate] * x).sum(axis=1), -LIMIT, LIMIT)
-    if watch is not None:
-        watch(gate, mixed, bit, x)
-    return np.bincount(word, _cost(bit, _refined(model, gate, mixed)), len(places))
-
-
-def score_batch(model: Model, contexts: Contexts, texts: list[bytes | None], rate: float = 0.01, block: int = 32):
-    """(tokens, vocabulary tokens, their base, bits of the tree's decisions) of each text, and of its words behind the
-    escape (bounds by text, hash, times, bits of the spelling)."""
-    tokens = Tokens(texts)
-    docs = len(texts)
-    symbols = model.symbols(tokens.hashes)
-    bits = mix_words(model, contexts, tokens, symbols, rate, block)
-    inside = symbols < len(model.hashes)
-    rare = np.flatnonzero(~inside)
-    values, first, back = np.unique(tokens.hashes[rare], return_index=True, return_inverse=True)
-    first = rare[first]
-    cost = np.full(len(values), 8.0)  # an end token behind the escape is an end byte
-    spelled = np.flatnonzero(tokens.word_at[first] >= 0)
-    for k in range(0, len(spelled), 4_000):
-        cost[spelled[k : k + 4_000]] = spell_costs(model, contexts, tokens, first[spelled[k : k + 4_000]])
-    pairs, times = np.unique(tokens.doc[rare] * max(1, len(values)) + back, return_counts=True)
-    owner, word = np.divmod(pairs, max(1, len(values)))
-    counts = model.counts[np.minimum(symbols, max(0, len(model.counts) - 1))] if len(model.counts) else np.zeros(len(symbols))
-    known = np.bincount(tokens.doc[inside], minlength=docs)
-    base = np.bincount(tokens.doc[inside], model.base(counts[inside]), docs).astype(np.float64)
-    return np.diff(tokens.bounds), known, base, bits, (np.searchsorted(owner, np.arange(docs + 1)), values[word].view(np.int64), times, cost[word])
-
-
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """(h, n) of all tokens."""
+            own[k, :most] += np.bincount(at, error * xs[k], most)
+    return np.bincount(doc, costs, docs)
 
-    def run(batches):
-        for batch in batches:
-            values, n = np.unique(Tokens(utf8(batch, "text")).hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+def bits_of(model: Model, coding: Coding, role: int, rate: float, block: int, watch=None) -> np.ndarray:
+    """Total bits of each text of a unit."""
+    tokens = coding.tokens
+    docs = len(tokens.bounds) - 1
+    token = np.concatenate((coding.flag_at, coding.token))
+    x, gate = _inputs(model, role, model.paths[3][coding.node], coding.slot, 1, 0)
+    held = model.tables.get(role)
+    y = np.zeros((INPUTS, len(coding.flag_at)), np.float32)
+    y[0] = coding.flag_logit
+    if held is not None:
+        y[1], y[2] = (held[0][0][s] * np.float32(1 / 16) for s in coding.flag_slot)
+    doc = tokens.doc[token]
+    total = mix_online(model, docs, doc, (token - tokens.bounds[doc]) // block, np.concatenate((y, x), axis=1), np.concatenate((coding.flag_gate, gate)), np.concatenate((coding.flag_bit, coding.bit)), rate, watch)
+    places, number = spelled(model, coding)
+    cost = np.zeros(len(places) + 1)
+    cost[-1] = 8.0  # an end token behind the escape is an end byte
+    for part in _parts(places):
+        word, bit, slots = byte_decisions(model, tokens, places[part])
+        x, gate = _inputs(model, role, None, slots, 3, 8)
+        gate = 8 + (gate - 8) % 4
+        mixed = np.clip((model.weights.T[:, gate] * x).sum(axis=0), -LIMIT, LIMIT)
+        if watch is not None:
+            watch(gate, mixed, bit, x)
+        cost[part] += np.bincount(word, _cost(bit, _refined(model, gate, mixed)), len(places[part]))
+    # Behind the escape: a new word as often as words seen once are among such tokens; else by its count.
+    fresh = (model.once + 1) / (model.rest + 2) if model.rest else 1.0
+    seen = np.maximum(coding.seen, 0)
+    rare = np.where(seen > 0, -np.log2(np.maximum((1 - fresh) * seen / max(1, model.rest), 1e-30)), cost[number] - math.log2(fresh))
+    return total + np.bincount(tokens.doc[coding.rare], rare, docs)
 
 
-    return rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+class Learner:
+    """Trains a mixer online: after each unit the weights of a gate take a damped Newton step.
 
+    Also counts, by gate and bin of the mixed logit, decisions and ones: the adaptive map.
+    """
 
-def unit_contexts(model: Model, texts: list[bytes | None], counted: bool):
-    """The distinct contexts of a unit's decisions, sorted; with ``counted`` also (zeros, ones) seen in each."""
-    tokens = Tokens(texts)
-    symbols = model.symbols(tokens.hashes)
-    _, bit, _, slots = word_decisions(model, tokens, symbols)
-    keys, bits, times = [*slots], [bit] * len(slots), [np.ones(len(bit), np.int32)] * len(slots)
-    rare = np.flatnonzero((symbols == len(model.hashes)) & (tokens.word_at >= 0))
-    _, first, often = np.unique(tokens.hashes[rare], return_index=True, return_counts=True)
-    for k in range(0, len(first), 4_000):
-        word, bit, slots = byte_decisions(model, tokens, rare[first[k : k + 4_000]])
-        keys += slots
-        bits += [bit] * len(slots)
-        times += [often[k : k + 4_000][word].astype(np.int32)] * len(slots)
-    key = np.concatenate(keys)
-    if not counted:
-        return np.unique(key)
-    order = np.argsort(key)
-    key, n = key[order], np.concatenate(times)[order]
-    ones = n * np.concatenate(bits)[order]
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    one, n = np.add.reduceat(ones, cuts), np.add.reduceat(n, cuts)
-    return key[cuts], n - one, one
+    def __init__(self, model: Model):
+        self.model = model
+        self.ones, self.seen = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
+        self.slope, self.bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
+
+    def watch(self, gate, mixed, bit, x):
+        place = np.rint((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
+        cell = gate * BINS + place
+        self.seen += np.bincount(cell, minlength=GATES * BINS).reshape(GATES, BINS)
+        self.ones += np.bincount(cell, bit, GATES * BINS).reshape(GATES, BINS)
+        p = _sigmoid(mixed)
+        off, steep = bit - p, p * (1 - p)
+        for k in range(INPUTS):
+            self.slope[:, k] += np.bincount(gate, off * x[k], GATES)
+            bent = steep * x[k]
+            for j in range(k + 1):
+                self.bend[:, k, j] += np.bincount(gate, bent * x[j], GATES)
+                self.bend[:, j, k] = self.bend[:, k, j]
+
+    def step(self) -> None:
+        step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
+        self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
+        self.slope[:] = 0
+        self.bend *= 0.5  # curvature is remembered, slopes are taken anew
 
 
 def _units(rows: DataFrame, id_type: str) -> DataFrame:
-    """Stored (unit, role, doc_id, text): texts of one role in units of about UNIT_BYTES."""
+    """(unit, role, doc_id, text): texts of one role in units of about UNIT_BYTES."""
 
     def run(batches):
-        task, made, held, kind = TaskContext.get().partitionId(), 0, {}, None
+        task, made, held = TaskContext.get().partitionId(), 0, {}
 
         def flush(role):
             nonlocal made
@@ -348,128 +530,102 @@ def _units(rows: DataFrame, id_type: str) -> DataFrame:
             arrays = [pa.array([task << 32 | made], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(arrays, names=["unit", "role", "doc_id", "text"])
 
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            kind = ids.type
-            for d, t, role in zip(ids.to_pylist(), utf8(batch, "text"), batch.column(batch.schema.get_field_index("role")).to_pylist()):
-                here = held.setdefault(role, [[], [], 0])
-                here[0].append(d)
-                here[1].append(t)
-                here[2] += len(t) + 16
-                if here[2] >= UNIT_BYTES:
-                    yield flush(role)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                ids = batch.column(batch.schema.get_field_index("doc_id"))
+                kind = ids.type
+                for d, t, role in zip(ids.to_pylist(), utf8(batch, "text"), batch.column(batch.schema.get_field_index("role")).to_pylist()):
+                    here = held.setdefault(role, [[], [], 0])
+                    here[0].append(d)
+                    here[1].append(t)
+                    here[2] += len(t) + 16
+                    if here[2] >= UNIT_BYTES:
+                        yield flush(role)
         for role in list(held):
             yield flush(role)
 
+    return rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, text array<binary>")
 
-    return stored(rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, text array<binary>"), "units")
-
-
-def _batches(spark, rows: int) -> None:
-    """Rows of an Arrow batch in what is run next: few where rows are units, many where they are numbers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
+def _answers(units: DataFrame, buckets: int, top: int) -> DataFrame:
+    """Asks every bucket for every unit; a bucket is one task's work."""
 
-def _context_counts(units: DataFrame, model: Model) -> tuple[DataFrame, DataFrame]:
-    """Stored (unit, slot, z, o) of all units and (slot, zeros, ones) of training rows (role 0)."""
-    spark = units.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
+    def asking(batches):
         for batch in batches:
             for unit, role, texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                slot, zero, one = unit_contexts(shared.value, texts, True)
-                if role:
-                    zero, one = np.zeros_like(zero), np.zeros_like(one)
-                for k in range(0, len(slot), 200_000):
-                    part = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot[part]), unit)), pa.array(slot[part]), pa.array(zero[part].astype(np.int32)), pa.array(one[part].astype(np.int32))], names=["unit", "slot", "z", "o"])
-
-    _batches(spark, 4)
-    asked = stored(units.select("unit", "role", "text").mapInArrow(run, "unit long, slot long, z int, o int"), "contexts")
-    counted = asked.filter("z + o > 0").groupBy("slot").agg(F.sum("z").alias("zeros"), F.sum("o").alias("ones"))
-    return asked, stored(counted, "context-counts")
-
-
-def _answered(units: DataFrame, asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """``units`` with known, what the table says of their contexts in the order of the slots, and others, what it says
-    without the unit's own counts."""
-
-    def pack(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("slot").to_numpy())
-        zeros, ones, z, o = (table.column(c).to_numpy()[order].astype(np.float64) for c in ("zeros", "ones", "z", "o"))
-        known, others = (zlib.compress(b"".join(x.tobytes() for x in _logits(*pair)), 1) for pair in ((zeros, ones), (zeros - z, ones - o)))
-        return pa.table({"unit": table.column("unit").slice(0, 1), "known": pa.array([known], pa.binary()), "others": pa.array([others], pa.binary())})
-
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    _batches(units.sparkSession, 20_000)
-    answers = asked.join(counts, "slot", "left").select("unit", "slot", "z", "o", zero("zeros"), zero("ones"))
-    answers = stored(answers.groupBy("unit").applyInArrow(pack, "unit long, known binary, others binary"), "answers")
-    return stored(units.join(answers, "unit"), "answered")
+                made = ask(Tokens(texts), role < 2, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(made.num_rows, unit)), *made.columns], names=["unit", *made.schema.names])
 
+    def answering(batches):
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            yield answer(rows, top)
 
-def _contexts(model: Model, texts: list[bytes], raw: bytes) -> Contexts:
-    slots = unit_contexts(model, texts, False)
-    found = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(-1, len(slots))
-    return Contexts(slots, found[0].view(np.int8), found[1])
+    asked = units.select("unit", "role", "text").mapInArrow(asking, "unit long, bucket int, words binary, n binary, keys binary, after binary, m binary")
+    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(answering, ANSWER)
 
 
-class Learner:
-    """Trains a mixer online: after each piece of text the weights of a gate take a damped Newton step.
-
-    Also counts, by gate and bin of the mixed logit, decisions and ones: the adaptive map.
-    """
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.ones, self.seen = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
-        self.slope, self.bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
-
-    def _watch(self, gate, mixed, bit, x):
-        place = np.rint((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
-        cell = gate * BINS + place
-        self.seen += np.bincount(cell, minlength=GATES * BINS).reshape(GATES, BINS)
-        self.ones += np.bincount(cell, bit, GATES * BINS).reshape(GATES, BINS)
-        p = _sigmoid(mixed)
-        for k in range(INPUTS):
-            self.slope[:, k] += np.bincount(gate, (bit - p) * x[:, k], GATES)
-            for j in range(k + 1):
-                self.bend[:, k, j] += np.bincount(gate, p * (1 - p) * x[:, k] * x[:, j], GATES)
-                self.bend[:, j, k] = self.bend[:, k, j]
+def _rows(batch: pa.RecordBatch, columns: list[str]) -> Iterator[list]:
+    """Rows of a batch of units, one in memory at a time."""
+    for k in range(batch.num_rows):
+        one = batch.slice(k, 1)
+        yield [one.column(one.schema.get_field_index(c)).to_pylist()[0] for c in columns]
 
-    def learn(self, contexts: Contexts, texts: list[bytes | None], rate: float, block: int) -> None:
-        tokens = Tokens(texts)
-        symbols = self.model.symbols(tokens.hashes)
-        mix_words(self.model, contexts, tokens, symbols, rate, block, self._watch)
-        rare = np.flatnonzero((symbols == len(self.model.hashes)) & (tokens.word_at >= 0))
-        for k in range(0, len(rare), 4_000):
-            spell_costs(self.model, contexts, tokens, rare[k : k + 4_000], self._watch)
-        step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
-        self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
-        self.slope[:] = 0
-        self.bend *= 0.5  # curvature is remembered, slopes are taken anew
 
+def _counted(rows: DataFrame, model: Model, buckets: int) -> dict[int, list]:
+    """Tables of both halves and of all training rows, from the decisions of all."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    sizes = model.sizes
 
-def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches):
+        counts = [[[np.zeros(n, np.int32) for _ in range(2)] for n in sizes] for _ in range(2)]
+        for batch in batches:
+            for role, texts, answers in _rows(batch, ["role", "text", "answers"]):
+                coding = code(shared.value, Tokens(texts), True, answers, buckets)
+
+                def add(table, slot, bit, here=counts[role]):
+                    both = np.bincount(slot * np.int64(2) + bit, minlength=2 * sizes[table])
+                    here[table][0] += both[::2].astype(np.int32)
+                    here[table][1] += both[1::2].astype(np.int32)
+
+                seen_slots(shared.value, coding, add)
+        for role, half in enumerate(counts):
+            for table, (zeros, ones) in enumerate(half):
+                for k in range(0, sizes[table], CHUNK):
+                    z, o = zeros[k : k + CHUNK], ones[k : k + CHUNK]
+                    if z.any() or o.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([role], pa.int32()), pa.array([table], pa.int32()), pa.array([k], pa.int32()), pa.array([zlib.compress(np.concatenate((z, o)).tobytes(), 1)], pa.binary())], names=["role", "entry", "at", "counts"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({c: table.column(c).slice(0, 1) for c in ("role", "entry", "at")} | {"counts": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    kind = "role int, entry int, at int, counts binary"
+    made = [[[np.zeros(n, np.int32) for _ in range(2)] for n in sizes] for _ in range(2)]
+    for r in rows.mapInArrow(run, kind).groupBy("role", "entry", "at").applyInArrow(added, kind).toLocalIterator():
+        both = np.frombuffer(r["counts"], "<i4").reshape(2, -1)
+        for k in range(2):
+            made[r["role"]][r["entry"]][k][r["at"] : r["at"] + both.shape[1]] = both[k]
+    return {0: [_logits(*x) for x in made[1]], 1: [_logits(*x) for x in made[0]], 2: [_logits(a[0].astype(np.int64) + b[0], a[1].astype(np.int64) + b[1]) for a, b in zip(*made)]}
+
+
+def _train_mixer(rows: DataFrame, model: Model, buckets: int, rate: float, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Mixer weights and adaptive map: each task learns online from its documents, tasks are averaged by gate."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        start = shared.value
-        learner = Learner(Model(**{**start.__dict__, "weights": start.weights.copy()}))
+        learner = Learner(replace(shared.value, weights=shared.value.weights.copy()))
         for batch in batches:
-            for raws, others in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                contexts = _contexts(start, raws, others)
-                for piece in pieces(raws, 30_000):
-                    learner.learn(contexts, raws[piece], rate, block)
+            for role, texts, answers in _rows(batch, ["role", "text", "answers"]):
+                bits_of(learner.model, code(shared.value, Tokens(texts), True, answers, buckets), role, rate, block, learner.watch)
+                learner.step()
         weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
         for gate in range(GATES):
             total = seen[gate].sum()
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([gate], pa.int32()), pa.array([total]), pa.array([(weights[gate] * total).tolist() + ones[gate].tolist() + seen[gate].tolist()], pa.list_(pa.float64()))], names=["gate", "total", "values"])
 
-    _batches(rows.sparkSession, 4)
-    parts = rows.select("text", "others").mapInArrow(run, "gate int, total double, values array<double>")
+    parts = rows.mapInArrow(run, "gate int, total double, values array<double>")
     added = parts.select("gate", "total", F.posexplode("values")).groupBy("gate", "pos").agg(F.sum("col").alias("v"), F.sum("total").alias("n")).collect()
     weights, counts = model.weights.copy(), np.zeros((GATES, 2, BINS))
     for r in added:
@@ -483,74 +639,72 @@ def _train_mixer(rows: DataFrame, model: Model, rate: float, block: int) -> tupl
     return weights, np.clip(np.log(share / (1 - share)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, table_bits: int = 64, rate: float = 0.01, block: int = 32) -> tuple[Model, DataFrame, DataFrame]:
-    """Learns from the rows (doc_id, text, held_out) that aren't held out; returns the model, the stored word counts
-    (h, n) and all rows in units with what is known of their contexts.
+def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, rate: float = 0.02, block: int = 64) -> tuple[Model, DataFrame, int]:
+    """Learns from the rows (doc_id, text, role) of roles 0 and 1; returns the model, all rows in stored units with what
+    the buckets answer, and the number of buckets.
 
-    vocabulary: words of the tree, which is broadcast; table_bits: of context keys. Word counts, context
-    table and mixer take all training rows.
+    vocabulary: words of the tree at most.
     """
-    counts = stored(_word_counts(rows.filter("not held_out")), "word-counts")
-    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("ones")).first()
-    # Words seen once stay out: what they share with unseen words is their spelling, which the byte code learns.
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "h").limit(vocabulary).toArrow()
-    hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    made = Tables(rows.sparkSession)
+    units = made.stored(_units(rows, id_type), "units")
+    size = units.select(F.aggregate("text", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    top = 4 * vocabulary // buckets + 200  # words are dealt by hash: a bucket has more of the tree's words only by a miracle
+    answers = made.stored(_answers(units, buckets, top), "answers")
+    about = answers.filter("unit < 0").collect()
+    sizes = sum((np.frombuffer(r["counts"], "<i8") for r in about), np.zeros(3, np.int64))
+    hashes = np.concatenate([np.frombuffer(r["then"], "<u8") for r in about] or [np.zeros(0, np.uint64)])
+    n = np.concatenate([np.frombuffer(r["best"], "<i8") for r in about] or [np.zeros(0, np.int64)])
+    keep = np.lexsort((hashes, -n))[:vocabulary]
+    keep = keep[n[keep] > 1]  # words seen once stay out: what they share with new words is their spelling
+    hashes, n = hashes[keep], n[keep]
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-    rest = max(1, int(sizes["n"]) - int(n.sum()))
     frequent = np.zeros(len(n) + 2, bool)
     frequent[np.argsort(-n, kind="stable")[:GUIDES]] = True
-    model = Model(table_bits, int(sizes["n"]), int(sizes["v"]), hashes, n, huffman(np.append(n, rest)), frequent)
-    model.rest, model.once = int(sizes["n"]) - int(n.sum()), int(sizes["ones"])
-    units = _units(rows.withColumn("role", F.col("held_out").cast("int")), id_type)
-    units = _answered(units, *_context_counts(units, model))
-    model.weights, model.refine = _train_mixer(units.filter("role = 0"), model, rate, block)
-    return model, counts, units
-
-
-def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.01, block: int = 32, **sizes) -> DataFrame:
+    tokens = int(sizes[2])
+    rest = tokens - int(n.sum())
+    model = Model(min(22, max(16, tokens.bit_length() - 7)), tokens, int(sizes[0]), hashes, huffman(np.append(n, max(1, rest))), frequent, rest, int(sizes[1]))
+    packed = answers.filter("unit >= 0").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "then", "best", "total"))).alias("answers"))
+    units = stored(units.join(packed, "unit"), "answered")
+    made.drop()
+    training = units.filter("role < 2").select("role", "text", "answers")
+    model.tables = _counted(training, model, buckets)
+    model.weights, model.refine = _train_mixer(training, model, buckets, rate, block)
+    return model, units, buckets
+
+
+def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.02, block: int = 64, **sizes) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     training: which rows to learn from; by default those whose crc32(doc id) modulo 5 is not 1.
     """
     training = fold_of(doc_id) != 1 if training is None else training
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), (~training).alias("held_out"))
+    half = F.pmod(F.crc32(words.cast("binary")), F.lit(2)).cast("int")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), F.when(training, half).otherwise(2).alias("role"))
     id_type = dict(docs.dtypes)[doc_id]
-    model, counts, units = train(rows, id_type, rate=rate, block=block, **sizes)
+    model, units, buckets = train(rows, id_type, rate=rate, block=block, **sizes)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for u, (unit, role, raws, known) in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "role", "text", "known")))):
-                n, inside, base, bits, (bounds, h, m, cost) = score_batch(shared.value, _contexts(shared.value, raws, known), raws, rate, block)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t)) for x, t in ((h, pa.int64()), (m, pa.int32()), (cost, pa.float64()))]
-                size = np.array([len(r) for r in raws])
-                arrays = [pa.array(np.full(len(n), unit)), pa.array(np.arange(len(n))), ids[u].values, pa.array(np.full(len(n), role == 1)), pa.array(n), pa.array(inside), pa.array(base), pa.array(bits), pa.array(size), *lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=["unit", "place", "doc_id", "held_out", "n_tokens", "in_vocabulary", "base", "bits", "size", "h", "m", "cost"])
-
-    _batches(docs.sparkSession, 4)
-    scored = units.mapInArrow(score, f"unit long, place long, doc_id {id_type}, held_out boolean, n_tokens long, in_vocabulary long, base double, bits double, size long, h array<long>, m array<int>, cost array<double>")
-    scored = stored(scored, "scored")
-
-    bottom = model.train_tokens + 0.5 * (model.distinct + 1)
-    rare = scored.select("unit", "place", F.inline(F.arrays_zip("h", "m", "cost"))).join(counts, "h", "left")
-    seen = F.coalesce("n", F.lit(0))
-    # Behind the escape: a new word, spelled, as often as words seen once are among such tokens; else by its count.
-    fresh = (model.once + 1) / (model.rest + 2) if model.rest else 1.0
-    word_bits = F.when(seen > 0, -F.log2((1 - fresh) / max(1, model.rest) * seen + fresh * F.pow(F.lit(2.0), -F.col("cost")))).otherwise(F.col("cost") - math.log2(fresh))
-    sums = rare.groupBy("unit", "place").agg(
-        F.sum(F.col("m") * F.log10((seen + 0.5) / bottom)).alias("rare_base"),
-        F.sum(F.when(seen > 0, F.col("m")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("m") * word_bits).alias("rare_bits"),
-    )
-    out = scored.drop("h", "m", "cost").join(sums, ["unit", "place"], "left").withColumn("bits", F.col("bits") + F.coalesce("rare_bits", F.lit(0.0)))
-    return out.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("in_vocabulary") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("bits") * -LOG10_2).alias("score"),
-        (F.col("bits") / F.greatest("size", F.lit(1))).alias("bits_per_byte"),
-    )
+            for u, (role, texts, answers) in enumerate(_rows(batch, ["role", "text", "answers"])):
+                model = shared.value
+                coding = code(model, Tokens(texts), role < 2, answers, buckets)
+                tokens, docs = coding.tokens, len(texts)
+                bits = bits_of(model, coding, role, rate, block)
+                arrays = [
+                    ids[u].values,
+                    pa.array(np.full(docs, role == 2)),
+                    pa.array(np.diff(tokens.bounds)),
+                    pa.array(np.bincount(tokens.doc, coding.counts > 0, docs).astype(np.int64)),
+                    pa.array(np.full(docs, model.train_tokens)),
+                    pa.array(np.bincount(tokens.doc, model.base(coding.counts), docs)),
+                    pa.array(bits * -LOG10_2),
+                    pa.array(bits / np.maximum([len(t) for t in texts], 1)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    return units.mapInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
