@@ -47,41 +47,43 @@ def test_inferred_roles(spark, panel_rows):
 
 def test_series_and_node_flows(session):
     made = flows.analyze_series(session.panel, "W", keys=["region"])
-    assert made.ok, made.errors
-    assert made.data["components"].select("region").distinct().count() == 2
-    assert made.data["tests"].filter("test = 'adf'").count() == 2
+    assert made, made.failure
+    assert made.get()["components"].select("region").distinct().count() == 2
+    assert made.get()["tests"].filter("test = 'adf'").count() == 2
     node = flows.analyze_node(session.panel, {"region": "north"}, "MS")
-    assert node.ok and node.data["leaves"].first().n_leaves == 2
+    assert node and node.get()["leaves"].first().n_leaves == 2
 
 
 def test_rollup_stability_and_features(session):
     rolled = flows.rollup_hierarchy(session.panel)
-    assert rolled.ok and rolled.data["nodes"].count() == 7 and rolled.data["coherence"].filter("not coherent").count() == 0
+    assert rolled and rolled.get()["nodes"].count() == 7 and rolled.get()["coherence"].filter("not coherent").count() == 0
     stable = flows.level_stability(session.panel, "store", {"region": "south"})
-    assert stable.ok and stable.data["stability"].count() == 2
+    assert stable and stable.get()["stability"].count() == 2
     made = flows.prepare_features(session.panel, "W", 4, lags=(1, 2), rolling=(3,))
-    assert made.ok and made.data["future"].count() == 4 and made.data["matrix"].count() > 90
+    assert made and made.get()["future"].count() == 4 and made.get()["matrix"].count() > 90
 
 
 def test_forecast_and_reconciliation_flows(session):
     made = flows.prepare_forecast(session.panel, "MS", 3, holdout=6, models=["ETS", "LinearRegression"])
-    assert made.ok, made.errors
-    assert made.data["forecast"].count() == 3 and made.data["forecast"].filter("lower_95 > forecast or upper_95 < forecast").count() == 0
+    assert made, made.failure
+    assert made.get()["forecast"].count() == 3 and made.get()["forecast"].filter("lower_95 > forecast or upper_95 < forecast").count() == 0
     both = flows.reconciled_forecast(session.panel, "MS", 2)
-    assert both.ok
-    total = {(r.region, r.store, r.step): r.forecast for r in both.data["reconciled"].collect()}
+    assert both, both.failure
+    total = {(r.region, r.store, r.step): r.forecast for r in both.get()["reconciled"].collect()}
     assert total[("*", "*", 1)] == pytest.approx(sum(v for (r, s, k), v in total.items() if s != "*" and k == 1))
 
 
 def test_failures_become_results(session):
     made = flows.reconciled_forecast(session.panel, "MS", 2, "sideways")
-    assert not made.ok and "sideways" in made.errors[0] and made.elapsed_seconds >= 0
+    assert not made and "sideways" in str(made.failure) and made.planning_seconds >= 0
+    with pytest.raises(ValueError):
+        made.get()
 
 
 def test_pipeline(spark, panel_rows):
     made = flows.run_pipeline(Session(spark), spark.createDataFrame(panel_rows, "date string, region string, store string, demand double, promo int"), freq="MS")
-    assert made.ok, made.errors
-    assert made.metadata["freq"] == "MS" and "demand: success" in made.metadata["report"]
+    assert made, made.failure
+    assert made.facts["freq"] == "MS" and "demand: analysed" in made.facts["report"]
 
 
 def test_sources_and_sinks(spark, tmp_path):

@@ -47,6 +47,33 @@ def select_lags(significant: Sequence[int] | None, n: int) -> list[int]:
     return [k for k in chosen if k < n // 3]
 
 
+def chosen_lags(significant: Column, n: Column) -> Column:
+    """``select_lags`` of a series as an array: from its significant lags and its length."""
+    usual = F.array(*[F.lit(k) for k in DEFAULT_LAGS])
+    chosen = F.when(F.size(significant) > 0, F.slice(F.sort_array(significant), 1, 8)).otherwise(usual)
+    return F.filter(chosen, lambda k: k < F.floor(n / 3))
+
+
+def series_profile(components: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
+    """One row a series: series_id, a hier_ column for each key, n, first, last, mean, cv, pct_zero, strengths with their
+    labels, demand class and the family of models these suggest.
+
+    components: the series with trend, seasonal and residual.
+    """
+    from . import forecast, intermittency, stats
+
+    keys = list(keys)
+    v = F.col(value)
+    extent = components.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"), F.avg(v).alias("mean"), (F.stddev_samp(v) / (F.abs(F.avg(v)) + 1e-12)).alias("cv"),
+        (F.avg(F.when(v.isNotNull(), (v == 0).cast("double"))) * 100).alias("pct_zero"),
+    )
+    demand = intermittency.classify(components, keys, value).select(*keys, "class")
+    made = extent.join(demand, keys, "left").join(stats.strengths(components, keys), keys)
+    model = forecast.recommend(F.col("class"), F.col("trend_strength"), F.col("seasonal_strength"), F.lit(0))
+    return made.select(F.concat_ws("|", *keys).alias("series_id"), *[F.col(k).alias(f"hier_{k}") for k in keys], *[c for c in made.columns if c not in keys], model.alias("model"))
+
+
 def feature_matrix(
     df: DataFrame,
     keys: Sequence[str],

@@ -77,6 +77,11 @@ def nodes(rolled: DataFrame, levels: Sequence[str]) -> DataFrame:
     )
 
 
+def node_preview(named: DataFrame, most: int = 200) -> DataFrame:
+    """The first nodes by depth and label (and id, as labels repeat under different parents)."""
+    return named.orderBy("depth", "label", "node_id").limit(most)
+
+
 def level_sizes(rolled: DataFrame, levels: Sequence[str]) -> DataFrame:
     return rolled.select(*levels).distinct().groupBy(depth(levels).alias("depth")).agg(F.count("*").alias("n_series"))
 

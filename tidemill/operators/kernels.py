@@ -198,10 +198,12 @@ def decompose(df: DataFrame, keys: Sequence[str], period: int | None = None, ts:
 
 def _regress(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(coefficients, their standard errors, R2)."""
+    scale = np.sqrt((x * x).sum(axis=0)) + 1e-300  # columns of very different size would be lost to rounding
+    x = x / scale
     beta = np.linalg.lstsq(x, y, rcond=None)[0]
     left = y - x @ beta
     spread = (left @ left) / max(1, len(y) - x.shape[1]) * np.linalg.pinv(x.T @ x)
-    return beta, np.sqrt(np.maximum(0, np.diag(spread))), 1 - (left @ left) / (((y - y.mean()) ** 2).sum() + 1e-12)
+    return beta / scale, np.sqrt(np.maximum(0, np.diag(spread))) / scale, 1 - (left @ left) / (((y - y.mean()) ** 2).sum() + 1e-12)
 
 
 def adf(y: np.ndarray) -> tuple[float, float, bool]:

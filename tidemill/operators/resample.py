@@ -84,6 +84,22 @@ def densify(df: DataFrame, freq: str | Freq, keys: Sequence[str] = (), fill: dic
     return out.select(*keys, bucket, *[c for c in df.columns if c not in keys and c != bucket])
 
 
+def at_frequency(df: DataFrame, freq: str | Freq, keys: Sequence[str] = (), ts: str = "ts") -> bool:
+    """Whether every time is the start of a bucket and no series has one twice: nothing is left to aggregate."""
+    freq = Freq.of(freq)
+    if freq.needs_origin:
+        return False
+    held = df.groupBy(*keys, ts).agg(F.count("*").alias("_n"), F.bool_and(freq.bucket(F.col(ts)).cast("timestamp_ntz") == F.col(ts).cast("timestamp_ntz")).alias("_start"))
+    return bool(held.agg(F.coalesce(F.bool_and((F.col("_n") == 1) & F.col("_start")), F.lit(False)).alias("ok")).first()["ok"])
+
+
+def resample_if_needed(df: DataFrame, freq: str | Freq, values: dict[str, str], keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """``resample`` without gaps filled, or the rows as they are where the series already have the frequency."""
+    if at_frequency(df, freq, keys, ts):
+        return df.select(*keys, F.col(ts).alias("bucket"), *values)
+    return resample(df, freq, values, keys, ts, dense=False)
+
+
 def ohlc(df: DataFrame, freq: str | Freq, value: str = "v", keys: Sequence[str] = (), ts: str = "ts", tie: str | None = None) -> DataFrame:
     freq, keys = Freq.of(freq), list(keys)
     order = F.col(tie) if tie else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.freq import Freq, comparison
 from ..operators import features, forecast, hierarchy, interval, intermittency, kernels, missing, outliers, reconcile, resample, stats
-from .results import operation
+from .results import flow
 from .session import Panel, Session
 
 
@@ -17,7 +17,7 @@ def _series(panel: Panel, freq: str, value: str, keys: Sequence[str] = (), metho
     return resample.resample(panel.df, freq, {value: method}, keys, ts=panel.ts).select(*keys, F.col("bucket").alias("ts"), F.col(value).alias("v"))
 
 
-@operation("analyze_series")
+@flow
 def analyze_series(panel: Panel, freq: str, value: str | None = None, period: int | None = None, keys: Sequence[str] = (), method: str = "sum", methods: Sequence[str] = ("iqr", "zscore"), chart_points: int = 1500):
     """Accumulate, impute, decompose, flag outliers, classify demand, test: a dict of DataFrames keyed by series.
 
@@ -43,7 +43,7 @@ def analyze_series(panel: Panel, freq: str, value: str | None = None, period: in
     }, {"freq": freq, "value": value}
 
 
-@operation("analyze_node")
+@flow
 def analyze_node(panel: Panel, path: dict[str, object], freq: str, value: str | None = None, method: str = "sum", period: int | None = None):
     """The same for one node; its path is filtered before anything is read into an aggregate."""
     node = Panel(hierarchy.path_filter(panel.df, path), panel.roles, panel.freq, panel.ts)
@@ -52,7 +52,7 @@ def analyze_node(panel: Panel, path: dict[str, object], freq: str, value: str |
     return made
 
 
-@operation("level_stability")
+@flow
 def level_stability(panel: Panel, level: str, path: dict[str, object] | None = None, freq: str = "MS", season: str = "M", value: str | None = None, method: str = "sum", most: int | None = 30):
     """Envelope, seasonal profiles, stability, yearly totals and half-span change of a level's series.
 
@@ -76,7 +76,7 @@ def level_stability(panel: Panel, level: str, path: dict[str, object] | None = N
     }
 
 
-@operation("rollup_hierarchy")
+@flow
 def rollup_hierarchy(panel: Panel, freq: str = "MS", method: str = "sum", value: str | None = None):
     """All nodes per bucket with their dimension, coherence, effects and sizes."""
     value, levels = value or panel.target, panel.keys
@@ -91,7 +91,7 @@ def rollup_hierarchy(panel: Panel, freq: str = "MS", method: str = "sum", value:
     }
 
 
-@operation("prepare_features")
+@flow
 def prepare_features(panel: Panel, freq: str, horizon: int = 1, transform: str = "none", scaling: str = "none", keys: Sequence[str] = (), value: str | None = None, **options):
     """Feature matrix with splits, future frame and transform advice."""
     value, keys = value or panel.target, list(keys)
@@ -106,7 +106,7 @@ def prepare_features(panel: Panel, freq: str, horizon: int = 1, transform: str =
     }, {"transform": chosen}
 
 
-@operation("prepare_forecast")
+@flow
 def prepare_forecast(panel: Panel, freq: str, horizon: int = 12, holdout: int = 12, keys: Sequence[str] = (), path: dict[str, object] | None = None, value: str | None = None, treatment: str = "cap", detectors: Sequence[str] = ("iqr", "zscore"), models: Sequence[str] = forecast.MODELS, combinations: bool = True, allow_negative: bool = False):
     """The full chain: filter, accumulate, impute, treat outliers, fit models, score, combine, choose, give intervals."""
     keys, value = list(keys), value or panel.target
@@ -137,7 +137,7 @@ def prepare_forecast(panel: Panel, freq: str, horizon: int = 12, holdout: int =
     }, {"horizon": horizon, "freq": freq}
 
 
-@operation("reconciled_forecast")
+@flow
 def reconciled_forecast(panel: Panel, freq: str, horizon: int = 13, strategy: str = "bottom_up", middle: int | None = None, value: str | None = None, overrides: DataFrame | None = None, allow_negative: bool = False):
     """Automatic base forecasts of every node on the common grid, reconciled, with overrides if any."""
     value, levels = value or panel.target, panel.keys
@@ -155,20 +155,20 @@ def reconciled_forecast(panel: Panel, freq: str, horizon: int = 13, strategy: st
     return out, {"strategy": strategy, "levels": levels, "freq": freq, "middle": middle}
 
 
-@operation("advise_interval")
+@flow
 def advise_interval(panel: Panel, value: str | None = None, most: int = 3):
     value = value or panel.target
     at = panel.df.groupBy(panel.ts).agg(F.sum(value).alias("v"))
     return interval.advise(at, panel.ts, "v", most)
 
 
-@operation("pipeline")
+@flow
 def run_pipeline(session: Session, source: object, roles: dict[str, str] | None = None, freq: str | None = None, quantity: str = "flow"):
     """Ingest, advise a frequency, roll up, accumulate and compare, analyse every dependent column."""
     session.load(source)
     panel = session.confirm(roles)
     advice = advise_interval(panel)
-    target = freq or (advice.data.first()["freq"] if advice.ok else panel.freq)
+    target = freq or (advice.get().first()["freq"] if advice else panel.freq)
     rolled = rollup_hierarchy(panel, target) if panel.keys else None
     session.accumulate(target, quantity=quantity)
     compared = resample.compare_frequencies(panel.df.groupBy("ts").agg(F.sum(panel.target).alias("v")), [target, *comparison(target)], resample.method_for(quantity))
@@ -179,5 +179,5 @@ def run_pipeline(session: Session, source: object, roles: dict[str, str] | None
 def report(panel: Panel, freq: str, analyses: dict) -> str:
     """Short text on what was analysed."""
     lines = [f"Frequency: {freq} (native {panel.freq})", f"Values: {', '.join(panel.values)}", f"Hierarchy: {' > '.join(panel.keys) or 'none'}"]
-    lines += [f"{name}: {result.status}" + (f" ({'; '.join(result.errors)})" if result.errors else "") for name, result in analyses.items()]
+    lines += [f"{name}: {'analysed' if made else made.failure}" for name, made in analyses.items()]
     return "\n".join(lines)

@@ -187,7 +187,7 @@ UNION ALL SELECT 'event', 'event', d > 0.3, {r4("lift")}, d > 0.5 FROM d"""
 
 ACF = f"""WITH {REGION}, e AS (SELECT r_name, v - avg(v) OVER (PARTITION BY r_name) AS d, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS i, count(*) OVER (PARTITION BY r_name) AS n FROM region_monthly),
 b AS (SELECT r_name, sum(d * d) + 1e-12 AS s, max(n) AS n FROM e GROUP BY 1),
-a AS (SELECT r_name, 0 AS lag, 1.0 AS acf, n FROM b UNION ALL
+a AS (SELECT r_name, 0 AS lag, 1.0::DOUBLE AS acf, n FROM b UNION ALL
       SELECT x.r_name, k AS lag, sum(x.d * y.d) / max(b.s) AS acf, max(b.n) AS n FROM generate_series(1, 40) AS g(k), e x JOIN e y ON x.r_name = y.r_name AND y.i = x.i - k JOIN b ON b.r_name = x.r_name GROUP BY 1, 2)"""
 
 
@@ -266,26 +266,6 @@ WITH {TRENDED}, s AS (SELECT r_name, greatest(0.0, 1 - var_pop(v - trend - seaso
 SELECT r_name, {r4("ft")} AS trend_strength, {r4("fs")} AS seasonal_strength, {_LABEL.format("ft")} AS trend_label, {_LABEL.format("fs")} AS seasonal_label FROM s"""
 
 
-def stl_components(spark, sf_dir):
-    return kernels.decompose(region_monthly(spark, sf_dir), ["r_name"], 12)
-
-
-def stl_strength(spark, sf_dir):
-    return S.strengths(kernels.decompose(region_monthly(spark, sf_dir), ["r_name"], 12), ["r_name"])
-
-
-def hp_filter(spark, sf_dir):
-    return kernels.decompose(region_monthly(spark, sf_dir), ["r_name"], penalty=1600.0).select("r_name", "ts", "hp_trend", "cycle")
-
-
-def series_tests(spark, sf_dir):
-    return kernels.series_tests(region_monthly(spark, sf_dir), ["r_name"], 12)
-
-
-def pacf(spark, sf_dir):
-    return kernels.pacf_rows(region_monthly(spark, sf_dir), ["r_name"])
-
-
 def boxcox(spark, sf_dir):
     from ..operators.features import transformed
 
@@ -301,7 +281,11 @@ def interval_signal(spark, sf_dir):
     return got.select("r_name", "n", rounded(F.col("snr")).alias("snr"), rounded(F.col("acf1")).alias("acf1"))
 
 
-QUERIES |= {"stl_components": stl_components, "stl_strength": stl_strength, "hp_filter": hp_filter, "series_tests": series_tests, "pacf": pacf, "boxcox": boxcox, "interval_advice": interval_advice, "interval_signal": interval_signal}
+def series_tests(spark, sf_dir):
+    return kernels.series_tests(region_monthly(spark, sf_dir), ["r_name"], 12)
+
+
+QUERIES |= {"series_tests": series_tests, "boxcox": boxcox, "interval_advice": interval_advice, "interval_signal": interval_signal}
 ORACLES["interval_signal"] = f"""
 WITH {REGION}, t AS (SELECT r_name, v, avg(v) OVER (PARTITION BY r_name ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS t, v - avg(v) OVER (PARTITION BY r_name) AS d, ts FROM region_monthly),
 l AS (SELECT *, lag(d) OVER (PARTITION BY r_name ORDER BY ts) AS l FROM t)

@@ -125,9 +125,7 @@ def _panel(spark, sf_dir):
 def flow_rollup(spark, sf_dir):
     """The roll-up flow on a confirmed session panel: node values a quarter."""
     made = rollup_hierarchy(_panel(spark, sf_dir), "QS")
-    if not made.ok:
-        raise RuntimeError(made.errors)
-    return made.data["values"].select("bucket", "r_name", "n_name", "c_mktsegment", rounded(F.col("v"), 2).alias("v"))
+    return made.get("values").select("bucket", "r_name", "n_name", "c_mktsegment", rounded(F.col("v"), 2).alias("v"))
 
 
 QUERIES["flow_rollup"] = flow_rollup
@@ -139,9 +137,7 @@ FROM panel GROUP BY GROUPING SETS ((date_trunc('quarter', ts), r_name, n_name, c
 def flow_stability(spark, sf_dir):
     """The level-stability flow for the nations of a region."""
     made = level_stability(_panel(spark, sf_dir), "n_name", {"r_name": "EUROPE"}, most=None)
-    if not made.ok:
-        raise RuntimeError(made.errors)
-    return made.data["stability"].select("n_name", "n", "label", rounded(F.col("mean"), 2).alias("mean"), rounded(F.col("cv")).alias("cv"))
+    return made.get("stability").select("n_name", "n", "label", rounded(F.col("mean"), 2).alias("mean"), rounded(F.col("cv")).alias("cv"))
 
 
 QUERIES["flow_stability"] = flow_stability
@@ -155,17 +151,13 @@ SELECT n_name, n, CASE WHEN cv < 0.2 THEN 'stable' WHEN cv < 0.5 THEN 'moderate'
 def flow_forecast(spark, sf_dir):
     """The forecast flow for every region: cleaned, fitted, combined, chosen, with intervals."""
     made = prepare_forecast(_panel(spark, sf_dir), "MS", 6, keys=["r_name"])
-    if not made.ok:
-        raise RuntimeError(made.errors)
-    return made.data["forecast"]
+    return made.get("forecast")
 
 
 def flow_reconcile(spark, sf_dir):
     """The reconciliation flow, middle out from the regions."""
     made = reconciled_forecast(_panel(spark, sf_dir), "MS", 3, "middle_out", 1)
-    if not made.ok:
-        raise RuntimeError(made.errors)
-    return made.data["reconciled"]
+    return made.get("reconciled")
 
 
 QUERIES |= {"flow_forecast": flow_forecast, "flow_reconcile": flow_reconcile}
