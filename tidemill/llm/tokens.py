@@ -263,7 +263,7 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "base", "n_ids", "docs", "file"])
 
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", 3 << 20):
                 made, bounds = code.encode(batch.column(1))
                 for d, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     texts.append(made[a:b].tobytes() + end)
