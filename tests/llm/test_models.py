@@ -117,7 +117,8 @@ def test_decisions_spell_words_and_sum_to_one():
     read = [np.packbits(bit[word == w]).tobytes() for w in range(len(places))]
     assert read == [b"ab ", b"c ", "é ".encode()]
     x = np.linspace(-9, 9, 50)
-    one, zero = mixing._cost(np.ones(50), x), mixing._cost(np.zeros(50), x)
+    gate = np.zeros(50, int)
+    one, zero = mixing._cost(model, gate, x, np.ones(50, int)), mixing._cost(model, gate, x, np.zeros(50, int))
     assert np.allclose(2.0**-one + 2.0**-zero, 1)
 
 
@@ -172,7 +173,7 @@ def test_buckets_answer_with_all_counts():
         rows = [mixing.pa.RecordBatch.from_arrays([mixing.pa.array(np.full(r.num_rows, k)), *r.columns], names=["unit", *r.schema.names]) for k, a in enumerate(asked) if (r := a.filter(mixing.pc.equal(a.column(0), bucket))).num_rows]
         for r in mixing.answer(rows, 1000).to_pylist() if rows else ():
             if r["unit"] < 0:
-                told += np.frombuffer(r["counts"], "<i8")
+                told += mixing._unpacked([r["packed"]])[0]
             else:
                 answered[r["unit"]].append(r)
     assert told.tolist() == [len(counts), sum(n == 1 for n in counts.values()), counts.total()]
@@ -204,16 +205,17 @@ def test_bits_against_a_scalar_mixer(spark):
     texts += [texts[3] + " newword another"] * 2 + ["long " + " ".join(rng.choice("abcdefg") for _ in range(500))]
     rows = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, role int").coalesce(2)
     rate, block = 0.02, 16
-    model, units, buckets = mixing.train(rows, "bigint", vocabulary=20, rate=rate, block=block)
+    model, units, buckets = mixing.train(rows, "bigint", vocabulary=20)
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     sides = Counter()
 
     def mixed_cost(weights, gate, x, bit):
         m = max(-mixing.LIMIT, min(mixing.LIMIT, sum(w * v for w, v in zip(weights, x))))
-        place = (m + mixing.LIMIT) * (mixing.BINS - 1) / (2 * mixing.LIMIT)
+        near = round((m + mixing.LIMIT) * (mixing.FINE - 1) / (2 * mixing.LIMIT)) * 2 * mixing.LIMIT / (mixing.FINE - 1) - mixing.LIMIT
+        place = (near + mixing.LIMIT) * (mixing.BINS - 1) / (2 * mixing.LIMIT)
         low = min(int(place), mixing.BINS - 2)
         table = model.refine[gate]
-        final = 0.5 * m + 0.5 * (table[low] * (1 - place + low) + table[low + 1] * (place - low))
+        final = 0.5 * near + 0.5 * (table[low] * (1 - place + low) + table[low + 1] * (place - low))
         return m, -math.log2(sigmoid(final) if bit else sigmoid(-final))
 
     for unit in units.collect():
@@ -260,7 +262,7 @@ def test_bits_against_a_scalar_mixer(spark):
                     cost += mixed_cost(model.weights[gate], gate, [v for v, _ in found], int(bit[k]))[1]
                 sides["spelled"] += 1
             bits[tokens.doc[t]] += cost - math.log2(fresh)
-        assert np.allclose(got, bits, rtol=2e-4, atol=2e-3)
+        assert np.allclose(got, bits, rtol=5e-4, atol=2e-2)
     assert min(sides[k] for k in ("flag", "tree", "spelled")) > 5
 
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
@@ -42,7 +43,7 @@ from .common import Tables, slices, stored, utf8
 from .words import Words, mix
 
 END = np.uint64(0x1E57E9D)
-GATES, INPUTS, BINS = 16, 3, 33
+GATES, INPUTS, BINS, FINE = 16, 3, 33, 4096
 GUIDES = 100
 UNIT_BYTES = 1_000_000
 BUCKET_BYTES = 12_000_000
@@ -187,6 +188,7 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
     units = np.concatenate([b.column(0).to_numpy() for b in rows])
     word_cuts = np.searchsorted(row, np.arange(len(units) + 1))
     (keys, row), (after, _), (m, _) = (_joined(c, "<u4") for c in columns[2:])
+    own = m > 0  # asked by a training unit
     pair = keys.astype(np.uint64) << np.uint64(32) | after
     order = np.argsort(pair, kind="stable")
     pair, m = pair[order], m[order].astype(np.int64)
@@ -202,14 +204,33 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
     cuts = np.searchsorted(row[fresh], np.arange(len(units) + 1))
     known = kinds[totals > 0], totals[totals > 0]
     best = np.argsort(-known[1], kind="stable")[:top]
-    about = [np.array([len(known[0]), (known[1] == 1).sum(), known[1].sum()], "<i8"), known[0][best], known[1][best].astype("<i8"), np.zeros(0, "<i4")]
-    lists = [_binaries(totals[back].astype("<i8"), word_cuts), *(_binaries(x[first][at].astype("<u4") if k < 2 else x[at].astype("<u4"), cuts) for k, x in enumerate((then, m, total)))]
+    about = [np.array([len(known[0]), (known[1] == 1).sum(), known[1].sum()], "<i8"), known[0][best], known[1][best].astype("<i8"), np.zeros(0, "<u4")]
     bucket = rows[0].column(1)[0].as_py()
-    arrays = [pa.array(np.append(units, -1)), pa.array(np.full(len(units) + 1, bucket, np.int32)), *(pa.concat_arrays([x, pa.array([y.tobytes()], pa.binary())]) for x, y in zip(lists, about))]
-    return pa.RecordBatch.from_arrays(arrays, names=["unit", "bucket", "counts", "then", "best", "total"])
+    n, told = totals[back].astype("<i8"), total[at] > 1  # what was seen once tells nothing but of the text that has it
+    heads = [np.where(told | ~own[fresh], x, 0).astype("<u4") for x in (then[first][at], m[first][at], total[at])]
+    made = [_packed(n[a:b], *(x[c:d] for x in heads)) for a, b, c, d in zip(word_cuts[:-1], word_cuts[1:], cuts[:-1], cuts[1:])]
+    arrays = [pa.array(np.append(units, -1)), pa.array(np.full(len(units) + 1, bucket, np.int32)), pa.array([*made, _packed(*about)], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["unit", "bucket", "packed"])
 
 
-ANSWER = "unit long, bucket int, counts binary, then binary, best binary, total binary"
+ANSWER = "unit long, bucket int, packed binary"
+PACKED = struct.Struct("<4I")
+
+
+def _packed(*parts: np.ndarray) -> bytes:
+    """Four arrays in one compressed value, with their bytes in front."""
+    return PACKED.pack(*(x.nbytes for x in parts)) + zlib.compress(b"".join([x.tobytes() for x in parts]), 1)
+
+
+def _unpacked(values: list[bytes], kinds: tuple[str, ...] = ("<i8", "<u4", "<u4", "<u4")) -> list[np.ndarray]:
+    """The arrays of several packed values, each kind's one after another."""
+    held: list[list[bytes]] = [[], [], [], []]
+    for value in values:
+        raw, at = zlib.decompress(value[PACKED.size :]), 0
+        for part, size in zip(held, PACKED.unpack_from(value)):
+            part.append(raw[at : at + size])
+            at += size
+    return [np.frombuffer(b"".join(part), kind) for part, kind in zip(held, kinds)]
 
 
 @dataclass
@@ -225,6 +246,14 @@ class Model:
     tables: dict = field(default_factory=dict)  # role to tables: logits (int8) and confidence of each slot
     weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.4, 0.4, 0.4], np.float32), (GATES, 1)))
     refine: np.ndarray = field(default_factory=lambda: np.tile(np.linspace(-LIMIT, LIMIT, BINS, dtype=np.float32), (GATES, 1)))
+    costs: np.ndarray | None = None  # bits by gate, mixed logit (FINE steps) and bit
+
+    def __post_init__(self):
+        """Refined probabilities: half the mixed logit, half the adaptive map's between its bins."""
+        mixed = np.linspace(-LIMIT, LIMIT, FINE)
+        mapped = np.stack([np.interp(mixed, np.linspace(-LIMIT, LIMIT, BINS), row) for row in self.refine])
+        final = 0.5 * mixed + 0.5 * mapped
+        self.costs = (np.stack((np.logaddexp(0, final), np.logaddexp(0, -final)), axis=-1) / math.log(2)).astype(np.float32).ravel()
 
     @property
     def sizes(self) -> list[int]:
@@ -271,9 +300,9 @@ class Coding:
 
 def _own(doc: np.ndarray, what: np.ndarray, hit: np.ndarray | None = None):
     """How often a text has each of its (text, what), and how often with a hit."""
-    order = np.lexsort((what, doc))
-    d, w = doc[order], what[order]
-    group = np.cumsum(np.concatenate(([0], ((d[1:] != d[:-1]) | (w[1:] != w[:-1])).astype(np.int64))))
+    both = mix(what + (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(both)
+    group = np.concatenate(([0], np.cumsum(np.diff(both[order]) != 0)))[: len(order)]
     back = np.empty(len(order), np.int64)
     back[order] = group
     n = np.bincount(group)
@@ -282,7 +311,7 @@ def _own(doc: np.ndarray, what: np.ndarray, hit: np.ndarray | None = None):
 
 def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buckets: int) -> Coding:
     """``answers``: the unit's answers by bucket."""
-    joined = [np.frombuffer(b"".join([a[c] for a in answers]), k) for c, k in (("counts", "<i8"), ("then", "<u4"), ("best", "<u4"), ("total", "<u4"))]
+    joined = _unpacked([a["packed"] for a in answers])
     _, back = np.unique(tokens.hashes, return_inverse=True)
     counts = joined[0][back]
     keys = _context_keys(tokens, buckets)
@@ -386,19 +415,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _refined(model: Model, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    """Half the mixed logit, half the adaptive map's, between its bins."""
-    place = (mixed + np.float32(LIMIT)) * np.float32((BINS - 1) / (2 * LIMIT))
-    low = np.minimum(place.astype(np.int32), BINS - 2)
-    part = place - low
-    table = model.refine.ravel()
-    at = gate * BINS + low
-    return np.float32(0.5) * (mixed + table[at] * (1 - part) + table[at + 1] * part)
-
-
-def _cost(bit: np.ndarray, logit: np.ndarray) -> np.ndarray:
-    """Bits that a decision costs."""
-    return np.log1p(np.exp(np.where(bit == 1, -logit, logit))) * np.float32(1 / math.log(2))
+def _cost(model: Model, gate: np.ndarray, mixed: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Bits that decisions cost, from the refined probability at the nearest step of the mixed logit."""
+    place = ((mixed + np.float32(LIMIT)) * np.float32((FINE - 1) / (2 * LIMIT)) + np.float32(0.5)).astype(np.int32)
+    return model.costs[(gate * FINE + place) * 2 + bit]
 
 
 def _inputs(model: Model, role: int, first: np.ndarray, slots: list[np.ndarray], table: int, gate: int) -> tuple[np.ndarray, np.ndarray]:
@@ -420,11 +440,8 @@ def _inputs(model: Model, role: int, first: np.ndarray, slots: list[np.ndarray],
     return x, gate + known
 
 
-def mix_online(model: Model, docs: int, doc: np.ndarray, step: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float, watch=None) -> np.ndarray:
-    """Bits of each text's decisions; its weights follow it online from step to step.
-
-    step: block of each decision. watch(gate, mixed, bit, inputs) sees every decision.
-    """
+def mix_online(model: Model, docs: int, doc: np.ndarray, step: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float) -> np.ndarray:
+    """Bits of each text's decisions; its weights follow it online from step to step (the block of each decision)."""
     total = np.zeros(docs)
     if not len(doc):
         return total
@@ -444,9 +461,7 @@ def mix_online(model: Model, docs: int, doc: np.ndarray, step: np.ndarray, x: np
         at, xs = cell[a:b], x[:, a:b]
         mixed = own[0][at] * xs[0] + own[1][at] * xs[1] + own[2][at] * xs[2]
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-        costs[a:b] = _cost(bit[a:b], _refined(model, gate[a:b], mixed))
-        if watch is not None:
-            watch(gate[a:b], mixed, bit[a:b], xs)
+        costs[a:b] = _cost(model, gate[a:b], mixed, bit[a:b])
         error = (bit[a:b] - _sigmoid(mixed)) * np.float32(rate)
         most = int(active[block]) * GATES
         for k in range(INPUTS):
@@ -454,30 +469,42 @@ def mix_online(model: Model, docs: int, doc: np.ndarray, step: np.ndarray, x: np
     return np.bincount(doc, costs, docs)
 
 
-def bits_of(model: Model, coding: Coding, role: int, rate: float, block: int, watch=None) -> np.ndarray:
-    """Total bits of each text of a unit."""
-    tokens = coding.tokens
-    docs = len(tokens.bounds) - 1
-    token = np.concatenate((coding.flag_at, coding.token))
+def word_inputs(model: Model, coding: Coding, role: int):
+    """(token, inputs, gate, bit) of the first and the tree decisions of a unit."""
     x, gate = _inputs(model, role, model.paths[3][coding.node], coding.slot, 1, 0)
     held = model.tables.get(role)
     y = np.zeros((INPUTS, len(coding.flag_at)), np.float32)
     y[0] = coding.flag_logit
     if held is not None:
         y[1], y[2] = (held[0][0][s] * np.float32(1 / 16) for s in coding.flag_slot)
+    return np.concatenate((coding.flag_at, coding.token)), np.concatenate((y, x), axis=1), np.concatenate((coding.flag_gate, gate)), np.concatenate((coding.flag_bit, coding.bit))
+
+
+def byte_inputs(model: Model, tokens: Tokens, role: int, places: np.ndarray):
+    """(index into places, inputs, gate, bit) of the byte decisions of the words at these token places."""
+    word, bit, slots = byte_decisions(model, tokens, places)
+    x, gate = _inputs(model, role, None, slots, 3, 8)
+    return word, x, 8 + (gate - 8) % 4, bit
+
+
+def _mixed(model: Model, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    w = model.weights.T
+    return np.clip(w[0][gate] * x[0] + w[1][gate] * x[1] + w[2][gate] * x[2], -LIMIT, LIMIT)
+
+
+def bits_of(model: Model, coding: Coding, role: int, rate: float, block: int) -> np.ndarray:
+    """Total bits of each text of a unit."""
+    tokens = coding.tokens
+    docs = len(tokens.bounds) - 1
+    token, x, gate, bit = word_inputs(model, coding, role)
     doc = tokens.doc[token]
-    total = mix_online(model, docs, doc, (token - tokens.bounds[doc]) // block, np.concatenate((y, x), axis=1), np.concatenate((coding.flag_gate, gate)), np.concatenate((coding.flag_bit, coding.bit)), rate, watch)
+    total = mix_online(model, docs, doc, (token - tokens.bounds[doc]) // block, x, gate, bit, rate)
     places, number = spelled(model, coding)
     cost = np.zeros(len(places) + 1)
     cost[-1] = 8.0  # an end token behind the escape is an end byte
     for part in _parts(places):
-        word, bit, slots = byte_decisions(model, tokens, places[part])
-        x, gate = _inputs(model, role, None, slots, 3, 8)
-        gate = 8 + (gate - 8) % 4
-        mixed = np.clip((model.weights.T[:, gate] * x).sum(axis=0), -LIMIT, LIMIT)
-        if watch is not None:
-            watch(gate, mixed, bit, x)
-        cost[part] += np.bincount(word, _cost(bit, _refined(model, gate, mixed)), len(places[part]))
+        word, x, gate, bit = byte_inputs(model, tokens, role, places[part])
+        cost[part] += np.bincount(word, _cost(model, gate, _mixed(model, gate, x), bit), len(places[part]))
     # Behind the escape: a new word as often as words seen once are among such tokens; else by its count.
     fresh = (model.once + 1) / (model.rest + 2) if model.rest else 1.0
     seen = np.maximum(coding.seen, 0)
@@ -496,21 +523,27 @@ class Learner:
         self.ones, self.seen = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
         self.slope, self.bend = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
 
-    def watch(self, gate, mixed, bit, x):
-        place = np.rint((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT))).astype(np.int64)
-        cell = gate * BINS + place
-        self.seen += np.bincount(cell, minlength=GATES * BINS).reshape(GATES, BINS)
-        self.ones += np.bincount(cell, bit, GATES * BINS).reshape(GATES, BINS)
-        p = _sigmoid(mixed)
-        off, steep = bit - p, p * (1 - p)
-        for k in range(INPUTS):
-            self.slope[:, k] += np.bincount(gate, off * x[k], GATES)
-            bent = steep * x[k]
-            for j in range(k + 1):
-                self.bend[:, k, j] += np.bincount(gate, bent * x[j], GATES)
-                self.bend[:, j, k] = self.bend[:, k, j]
-
-    def step(self) -> None:
+    def _watch(self, x, gate, bit):
+        mixed = _mixed(self.model, gate, x)
+        place = ((mixed + LIMIT) * ((BINS - 1) / (2 * LIMIT)) + 0.5).astype(np.int32)
+        cells = np.bincount((gate * BINS + place) * 2 + bit, minlength=GATES * BINS * 2).reshape(GATES, BINS, 2)
+        self.seen += cells.sum(axis=2)
+        self.ones += cells[:, :, 1]
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+        x, p = x[:, order], _sigmoid(mixed[order])
+        off, bent = bit[order] - p, x * (p * (1 - p))
+        for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            self.slope[g] += x[:, a:b] @ off[a:b]
+            self.bend[g] += bent[:, a:b] @ x[:, a:b].T
+
+    def learn(self, coding: Coding, role: int) -> None:
+        """One step from all decisions of a unit."""
+        _, x, gate, bit = word_inputs(self.model, coding, role)
+        self._watch(x, gate, bit)
+        places, _ = spelled(self.model, coding)
+        for part in _parts(places):
+            self._watch(*byte_inputs(self.model, coding.tokens, role, places[part])[1:])
         step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
         self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
         self.slope[:] = 0
@@ -609,7 +642,7 @@ def _counted(rows: DataFrame, model: Model, buckets: int) -> dict[int, list]:
     return {0: [_logits(*x) for x in made[1]], 1: [_logits(*x) for x in made[0]], 2: [_logits(a[0].astype(np.int64) + b[0], a[1].astype(np.int64) + b[1]) for a, b in zip(*made)]}
 
 
-def _train_mixer(rows: DataFrame, model: Model, buckets: int, rate: float, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _train_mixer(rows: DataFrame, model: Model, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Mixer weights and adaptive map: each task learns online from its documents, tasks are averaged by gate."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -617,8 +650,7 @@ def _train_mixer(rows: DataFrame, model: Model, buckets: int, rate: float, block
         learner = Learner(replace(shared.value, weights=shared.value.weights.copy()))
         for batch in batches:
             for role, texts, answers in _rows(batch, ["role", "text", "answers"]):
-                bits_of(learner.model, code(shared.value, Tokens(texts), True, answers, buckets), role, rate, block, learner.watch)
-                learner.step()
+                learner.learn(code(shared.value, Tokens(texts), True, answers, buckets), role)
         weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
         for gate in range(GATES):
             total = seen[gate].sum()
@@ -639,7 +671,7 @@ def _train_mixer(rows: DataFrame, model: Model, buckets: int, rate: float, block
     return weights, np.clip(np.log(share / (1 - share)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, rate: float = 0.02, block: int = 64) -> tuple[Model, DataFrame, int]:
+def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 15) -> tuple[Model, DataFrame, int]:
     """Learns from the rows (doc_id, text, role) of roles 0 and 1; returns the model, all rows in stored units with what
     the buckets answer, and the number of buckets.
 
@@ -652,9 +684,8 @@ def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, rate: float
     top = 4 * vocabulary // buckets + 200  # words are dealt by hash: a bucket has more of the tree's words only by a miracle
     answers = made.stored(_answers(units, buckets, top), "answers")
     about = answers.filter("unit < 0").collect()
-    sizes = sum((np.frombuffer(r["counts"], "<i8") for r in about), np.zeros(3, np.int64))
-    hashes = np.concatenate([np.frombuffer(r["then"], "<u8") for r in about] or [np.zeros(0, np.uint64)])
-    n = np.concatenate([np.frombuffer(r["best"], "<i8") for r in about] or [np.zeros(0, np.int64)])
+    sizes, hashes, n, _ = _unpacked([r["packed"] for r in about], ("<i8", "<u8", "<i8", "<u4"))
+    sizes = sizes.reshape(-1, 3).sum(axis=0)
     keep = np.lexsort((hashes, -n))[:vocabulary]
     keep = keep[n[keep] > 1]  # words seen once stay out: what they share with new words is their spelling
     hashes, n = hashes[keep], n[keep]
@@ -665,13 +696,13 @@ def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 17, rate: float
     tokens = int(sizes[2])
     rest = tokens - int(n.sum())
     model = Model(min(22, max(16, tokens.bit_length() - 7)), tokens, int(sizes[0]), hashes, huffman(np.append(n, max(1, rest))), frequent, rest, int(sizes[1]))
-    packed = answers.filter("unit >= 0").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "then", "best", "total"))).alias("answers"))
+    packed = answers.filter("unit >= 0").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "packed"))).alias("answers"))
     units = stored(units.join(packed, "unit"), "answered")
     made.drop()
     training = units.filter("role < 2").select("role", "text", "answers")
     model.tables = _counted(training, model, buckets)
-    model.weights, model.refine = _train_mixer(training, model, buckets, rate, block)
-    return model, units, buckets
+    weights, refine = _train_mixer(training, model, buckets)
+    return replace(model, weights=weights, refine=refine), units, buckets
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", training: Column | None = None, rate: float = 0.02, block: int = 64, **sizes) -> DataFrame:
@@ -684,7 +715,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     half = F.pmod(F.crc32(words.cast("binary")), F.lit(2)).cast("int")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("text"), F.when(training, half).otherwise(2).alias("role"))
     id_type = dict(docs.dtypes)[doc_id]
-    model, units, buckets = train(rows, id_type, rate=rate, block=block, **sizes)
+    model, units, buckets = train(rows, id_type, **sizes)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
