@@ -344,3 +344,60 @@ def test_schema_roles_and_dates(spark):
 def test_dominant_periods():
     t = np.arange(200)
     assert kernels.dominant_periods(np.sin(2 * np.pi * t / 20))[0] == 20.0
+
+
+def test_star_and_underscores_are_values_like_any_other(spark):
+    df = spark.createDataFrame([("2024-01-01", "*", "a_", 1.0), ("2024-01-01", "*", "_b", 2.0), ("2024-01-01", "x", "y__z", 4.0), ("2024-01-01", "x__y", "z", 8.0), ("2024-01-01", "\\*", "q", 16.0)], "ts string, r string, s string, v double")
+    rolled = hierarchy.rollup(df, ["r", "s"], "ts", {"v": F.sum("v")})
+    totals = [r for r in rolled.collect() if r.r == "*"]
+    assert len(totals) == 1 and totals[0].v == 31.0
+    named = hierarchy.nodes(rolled, ["r", "s"]).collect()
+    ids = [r.node_id for r in named]
+    assert len(ids) == len(set(ids)) == 1 + 4 + 5
+    assert {r.depth for r in named if r.label in ("a_", "_b")} == {2}
+    assert set(r.parent_id for r in named if r.depth) <= set(ids)
+
+
+def test_path_filters_compare_text_without_casting_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (10, "b")], "k int, s string")
+    assert [r.s for r in hierarchy.path_filter(df, {"k": 1}).collect()] == ["a"]
+    assert hierarchy.path_filter(df, {"k": "01"}).count() == 0 and hierarchy.path_filter(df, {"k": "one"}).count() == 0
+    assert hierarchy.path_filter(df, {"s": "b", "absent": 3}).count() == 1
+
+
+def test_gaps_across_days_without_one_window_over_all_times(spark):
+    times = ["2024-01-01 00:00", "2024-01-01 06:00", "2024-01-01 06:00", "2024-01-03 06:00", "2024-01-03 12:00", None]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp("t").alias("ts"))
+    r = resample.median_gap_days(df).first()
+    assert (r.n_timestamps, r.n_gaps, r.gap_days, r.regular) == (4, 3, 0.25, False)
+    r = resample.median_gap_days(df.filter("false")).first()
+    assert (r.n_timestamps, r.n_gaps, r.gap_days) == (0, 0, None)
+    two = df.withColumn("k", F.when(F.col("ts") < "2024-01-02", "a").otherwise("b"))
+    assert {r.k: (r.n_timestamps, r.regular) for r in resample.median_gap_days(two.filter("ts is not null"), keys=["k"]).collect()} == {"a": (2, True), "b": (2, True)}
+
+
+def test_series_at_their_frequency_pass_as_they_are(spark):
+    rows = [("a", "2024-01-01", 1.0), ("a", "2024-02-01", 2.0), ("b", "2024-01-01", 3.0)]
+    df = spark.createDataFrame(rows, "k string, d string, v double").select("k", F.to_date("d").alias("ts"), "v")
+    assert resample.at_frequency(df, "MS", ["k"]) and not resample.at_frequency(df, "QS", ["k"]) and not resample.at_frequency(df, "MS")
+    assert resample.resample_if_needed(df, "MS", {"v": "sum"}, ["k"]).count() == 3
+    assert resample.resample_if_needed(df, "YS", {"v": "sum"}, ["k"]).count() == 2
+
+
+def test_median_slope_of_short_and_long_series():
+    from tidemill.operators.kernels import median_slope
+
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 60, 301):
+        y = np.round(rng.normal(size=n).cumsum(), 2)
+        slopes = [(y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]
+        assert median_slope(y) == pytest.approx(np.median(slopes), abs=1e-9) and median_slope(y, most=1) == pytest.approx(np.median(slopes), abs=1e-9)
+    assert median_slope(np.array([1.0])) is None
+
+
+def test_profile_counts_kinds_column_by_column(spark):
+    df = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, None, 1), (4, "b", 0), (4, "a", 0), (5, "b", 0), (6, "b", 1)], "k int, t string, e int")
+    got = {r["column"]: r for r in schema.profile(df).collect()}
+    assert {c: r.n_distinct for c, r in got.items()} == {"k": 6, "t": 2, "e": 2}
+    assert got["t"].is_hierarchy and not got["k"].is_hierarchy and got["e"].is_event and got["t"].n_missing == 1
+    assert schema.is_time_name("orderdate") and schema.is_time_name("ts") and not schema.is_time_name("discounts")

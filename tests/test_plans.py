@@ -114,6 +114,19 @@ def test_stream_accumulates_weeks(spark, tmp_path):
     assert got["2023-12-31"] == 0 + 1 + 2 + 3 and sum(got.values()) == sum(range(30))
 
 
+def test_two_week_bins_agree_with_the_batch_form(spark):
+    from datetime import date
+
+    from tidemill.operators.resample import resample
+
+    ts = pd.date_range("2024-01-10", periods=40, freq="D")
+    df = spark.createDataFrame([(t.to_pydatetime(), float(i)) for i, t in enumerate(ts)], "ts timestamp, v double")
+    with pytest.raises(ValueError):
+        accumulate(df, "2W")
+    streamed = {r.bucket.date(): r["sum"] for r in accumulate(df, "2W", origin=date(2024, 1, 10)).collect()}
+    assert streamed == {r.bucket: r.v for r in resample(df, "2W", {"v": "sum"}).collect()}
+
+
 def test_parameter_suggestions():
     from tidemill.plans.parameters import folds, suggest
 

@@ -161,9 +161,9 @@ def with_exogenous(model: str, has_exog: bool) -> str:
     return {"ARIMA": "ARIMAX", "SARIMA": "ARIMAX", "ETS": "LinearRegression"}.get(model, model) if has_exog else model
 
 
-def timeline(observed: DataFrame, split: str, forecasts: DataFrame, ts: str = "ts", value: str = "v") -> DataFrame:
-    """One row per timestamp with observed, train, validation, test, holdout and forecast columns."""
+def timeline(observed: DataFrame, split: str, forecasts: DataFrame, ts: str = "ts", value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
+    """One row per series and timestamp with observed, train, validation, test, holdout and forecast columns."""
     parts = {c: F.when(F.col(split) == c, F.col(value)) for c in ("train", "validation", "test", "holdout")}
-    past = observed.select(ts, F.col(value).alias("observed"), *[c.alias(n) for n, c in parts.items()], F.lit(None).cast("double").alias("forecast"))
-    ahead = forecasts.select(ts, "forecast")
-    return past.unionByName(ahead, allowMissingColumns=True).groupBy(ts).agg(*[F.max(c).alias(c) for c in ("observed", *parts, "forecast")])
+    past = observed.select(*keys, ts, F.col(value).alias("observed"), *[c.alias(n) for n, c in parts.items()], F.lit(None).cast("double").alias("forecast"))
+    ahead = forecasts.select(*keys, ts, "forecast")
+    return past.unionByName(ahead, allowMissingColumns=True).groupBy(*keys, ts).agg(*[F.max(c).alias(c) for c in ("observed", *parts, "forecast")])

@@ -16,8 +16,21 @@ METHODS = {"sum": F.sum, "mean": F.avg, "median": lambda c: F.percentile(c, 0.5)
 
 
 def path_filter(df: DataFrame, path: dict[str, object]) -> DataFrame:
-    """Rows of a node: equality on the text of each path column; columns the table lacks are ignored."""
-    held = [F.col(c).cast("string") == F.lit(str(v)) for c, v in path.items() if c in df.columns]
+    """Rows of a node: equality on the text of each path column; columns the table lacks are ignored.
+
+    The literal is cast, not the column, so that the filter reaches the files; a text that the column's type would write
+    in another way (01 for a number) matches nothing.
+    """
+    kinds = dict(df.dtypes)
+
+    def equal(c: str, v: object) -> Column:
+        told = F.lit(str(v))
+        if kinds[c] == "string":
+            return F.col(c) == told
+        cast = told.try_cast(kinds[c])
+        return (F.col(c) == cast) & (cast.cast("string") == told)
+
+    held = [equal(c, v) for c, v in path.items() if c in df.columns]
     return reduce(lambda a, b: a.filter(b), held, df)
 
 
@@ -35,12 +48,13 @@ def weighted_mean(df: DataFrame, value: str, weight: str, ts: str = "ts") -> Dat
 def rollup(df: DataFrame, levels: Sequence[str], bucket: str, aggregates: dict[str, Column]) -> DataFrame:
     """Every node of the hierarchy per bucket in one shuffle: grouping sets of all prefixes, '*' for what is rolled up.
 
-    Rows with a null in a level are left out, as they belong to no node.
+    Rows with a null in a level are left out, as they belong to no node. A level value that is itself '*' (behind any
+    number of backslashes) gets a backslash more, so '*' alone always means rolled up.
     """
     levels = list(levels)
     sets = [[F.col(bucket), *[F.col(c) for c in levels[:k]]] for k in range(len(levels), -1, -1)]
     made = df.na.drop(subset=levels).groupingSets(sets, F.col(bucket), *[F.col(c) for c in levels]).agg(*[a.alias(n) for n, a in aggregates.items()])
-    keys = [F.coalesce(F.col(c), F.lit(ALL)).alias(c) for c in levels]
+    keys = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"^(\\*)\*$", r"\\$1*"), F.lit(ALL)).alias(c) for c in levels]
     return made.select(bucket, *keys, *aggregates)
 
 
@@ -48,9 +62,16 @@ def depth(levels: Sequence[str]) -> Column:
     return sum((F.when(F.col(c) != ALL, 1).otherwise(0) for c in levels), F.lit(0))
 
 
+def _joined_path(labels: Sequence[Column]) -> Column:
+    """Labels down to a node, parted by '__'; backslashes in labels are escaped, and underscores that stand beside another
+    one or at an end, so a double one only parts labels."""
+    held = F.filter(F.array(*labels), lambda x: x != ALL)
+    return F.array_join(F.transform(held, lambda x: F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), "(?<=_)_|_(?=_)|^_|_$", r"\\_")), "__")
+
+
 def node_id(levels: Sequence[str]) -> Column:
     d = depth(levels)
-    path = F.array_join(F.filter(F.array(*[F.col(c) for c in levels]), lambda x: x != ALL), "__")
+    path = _joined_path([F.col(c) for c in levels])
     return F.when(d == 0, F.lit("total")).otherwise(F.concat(F.lit("d"), d.cast("string"), F.lit("__"), path))
 
 
@@ -63,7 +84,7 @@ def nodes(rolled: DataFrame, levels: Sequence[str]) -> DataFrame:
     named = dim.select(*levels, node_id(levels).alias("node_id"), d.alias("depth"), F.struct(*up).alias("_up"))
     parent = [F.col(f"_up.{c}") for c in levels]
     pd = sum((F.when(p != ALL, 1).otherwise(0) for p in parent), F.lit(0))
-    path = F.array_join(F.filter(F.array(*parent), lambda x: x != ALL), "__")
+    path = _joined_path(parent)
     parent_id = F.when(F.col("depth") > 0, F.when(pd == 0, F.lit("total")).otherwise(F.concat(F.lit("d"), pd.cast("string"), F.lit("__"), path)))
     own = F.filter(F.array(*[F.col(c) for c in levels]), lambda x: x != ALL)
     return named.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,8 +15,8 @@ from .kernels import dominant_periods
 from .resample import median_gap_days, resample
 from .windows import centred_mean
 
-#: Candidate: periods a year, days.
-CANDIDATES = {"H": (8760, 1 / 24), "D": (365, 1.0), "W": (52, 7.0), "2W": (26, 14.0), "MS": (12, 30.44), "QS": (4, 91.31), "YS": (1, 365.25)}
+#: Fixed values. Candidate: periods a year, days.
+CANDIDATES = {"H": (8760, 1 / 24), "D": (365, 1.0), "W": (52, 7.0), "2W": (26, 14.0), "MS": (12, 30.44), "QS": (4, 91.3), "YS": (1, 365.25)}
 
 
 def signal_noise(at: DataFrame, keys: Sequence[str], bucket: str, value: str, width: int) -> DataFrame:
@@ -32,15 +32,21 @@ def signal_noise(at: DataFrame, keys: Sequence[str], bucket: str, value: str, wi
 def advise(df: DataFrame, ts: str = "ts", value: str = "v", most: int = 3, every: bool = False) -> DataFrame:
     """Scores of the candidate frequencies of one series, best first: freq, n, snr, acf1, score, info_loss.
 
-    The series' step and strongest periods are small scalars read first; each candidate is one aggregate.
+    Values of one time are added up first. The series' step and strongest periods are small scalars read before; the
+    spectrum is one task's work over one row a time, each candidate is one aggregate.
     """
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(F.col(value).isNotNull()).groupBy(ts).agg(F.sum(F.col(value).cast("double")).alias(value))
     gap = median_gap_days(known, ts).first()
     native = float(gap["gap_days"] or 1.0)
-    values = np.array([r[0] for r in known.orderBy(ts).select(F.col(value).cast("double")).toLocalIterator()])
-    if len(values) < 10:
+
+    def spectrum(at: pd.DataFrame) -> pd.DataFrame:
+        y = at.sort_values(ts)[value].to_numpy(float)
+        return pd.DataFrame({"n": [len(y)], "periods": [dominant_periods(y) if len(y) >= 10 else []]})
+
+    found = known.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(spectrum, "n long, periods array<double>").first()
+    if found is None or found["n"] < 10:
         raise ValueError("interval advice needs ten observations or more")
-    periods = dominant_periods(values)
+    periods = found["periods"]
     frames = []
     for name, (per_year, days) in CANDIDATES.items():
         if days < 0.9 * native:

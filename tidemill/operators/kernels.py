@@ -282,6 +282,50 @@ def shapiro(y: np.ndarray) -> tuple[float, float]:
     return w, 1 - NormalDist().cdf((z - mean) / deviation)
 
 
+def _below(z: np.ndarray) -> int:
+    """Pairs i < j with z[j] < z[i], by merging sorted runs of growing length, all runs of a length at once."""
+    n, total, run = len(z), 0, 1
+    at, place = np.argsort(z, kind="stable"), np.arange(n)  # equal values keep their order and don't count
+    rank = np.empty(n, np.int64)
+    rank[at] = place
+    while run < n:
+        order = np.lexsort((rank, place // (2 * run)))
+        right = (place[order] // run) % 2
+        seen = np.cumsum(1 - right)
+        block = place[order] // (2 * run)
+        first = np.searchsorted(block, block)
+        before = seen - np.where(first > 0, seen[first - 1], 0)
+        left = np.minimum(run, n - block * 2 * run)
+        total += int(((left - before) * right).sum())
+        run *= 2
+    return total
+
+
+def median_slope(y: np.ndarray, most: int = 2000) -> float | None:
+    """Median of (y[j] - y[i]) / (j - i) over i < j.
+
+    Up to ``most`` points all slopes are taken; beyond, the middle ones are found by bisection: slopes under s are the
+    pairs that y - s x puts out of order, counted in n log n steps.
+    """
+    n = len(y)
+    if n < 2:
+        return None
+    if n <= most:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((y[j] - y[i]) / (j - i)))
+    x, pairs, out = np.arange(n, dtype=float), n * (n - 1) // 2, []
+    for k in {(pairs - 1) // 2, pairs // 2}:
+        step = np.abs(np.diff(y)).max()
+        low, high = -step - 1e-9, step + 1e-9  # no slope is beyond the steepest step
+        for _ in range(100):
+            middle = (low + high) / 2
+            if middle in (low, high):
+                break
+            low, high = (low, middle) if _below(y - middle * x) > k else (middle, high)
+        out.append((low + high) / 2)
+    return float(np.mean(out))
+
+
 def series_tests(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str = "ts", value: str = "v") -> DataFrame:
     """Rows (keys, test, statistic, p_value, verdict): stationarity of the series, diagnostics of its residual."""
 

@@ -123,6 +123,8 @@ def series_summary(value: Column) -> dict[str, Column]:
 def compare_frequencies(df: DataFrame, freqs: Sequence[str], method: str = "sum", value: str = "v", ts: str = "ts", exact: bool = False) -> DataFrame:
     """Statistics of a series at several frequencies: freq, n, mean, std, cv, total (sums only), min, max, pct_zero."""
     frames = []
+    if method in ("sum", "min", "max") and not any(Freq.of(f).days < 1 for f in freqs):  # days once, all else from them
+        df = resample(df, "D", {value: method}, ts=ts, dense=False, exact=exact).withColumnRenamed("bucket", ts)
     for name in freqs:
         at = resample(df, name, {value: method}, ts=ts, exact=exact)
         stats = series_summary(F.col(value))
@@ -142,15 +144,17 @@ def retention(original: DataFrame, accumulated: DataFrame, value: str = "v") ->
 
 def median_gap_days(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
     """Per series: distinct timestamps, gaps seen, median gap in days, whether all gaps are equal."""
-    distinct = df.select(*keys, F.col(ts).cast("timestamp").alias("_t")).distinct()
-    gap = F.unix_micros("_t") - F.lag(F.unix_micros("_t")).over(W.partitionBy(*keys).orderBy("_t"))
-    gaps = distinct.withColumn("_gap", gap)
-    return gaps.groupBy(*keys).agg(
-        F.count("*").alias("n_timestamps"),
-        F.count("_gap").alias("n_gaps"),
-        (F.percentile("_gap", 0.5) / F.lit(86_400e6)).alias("gap_days"),
-        (F.count_distinct("_gap") <= 1).alias("regular"),
-    )
+    # Gaps inside a day are found day by day; one row a day tells those between days. Equal gaps are counted first.
+    times = df.filter(F.col(ts).isNotNull()).select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).distinct().withColumn("_day", F.floor(F.col("_t") / 86_400_000_000))
+    inside = times.select(*keys, (F.col("_t") - F.lag("_t").over(W.partitionBy(*keys, "_day").orderBy("_t"))).alias("_gap"))
+    days = times.groupBy(*keys, "_day").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))
+    between = days.select(*keys, (F.col("_a") - F.lag("_b").over(W.partitionBy(*keys).orderBy("_day"))).alias("_gap"))
+    counted = inside.unionByName(between).filter("_gap is not null").groupBy(*keys, "_gap").agg(F.count("*").alias("_n"))
+    gaps = counted.groupBy(*keys).agg(F.sum("_n").alias("n_gaps"), (F.percentile("_gap", 0.5, F.col("_n")) / F.lit(86_400e6)).alias("gap_days"), (F.count("*") <= 1).alias("regular"))
+    seen = days.groupBy(*keys).agg(F.min("_a").alias("_a"))
+    made = seen.join(gaps, list(keys), "left") if keys else seen.join(gaps, how="cross")  # a row each
+    n = F.coalesce("n_gaps", F.lit(0))
+    return made.select(*keys, (n + F.when(F.col("_a").isNotNull(), 1).otherwise(0)).cast("long").alias("n_timestamps"), n.cast("long").alias("n_gaps"), "gap_days", F.coalesce("regular", F.lit(True)).alias("regular"))
 
 
 def detect_frequency(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:

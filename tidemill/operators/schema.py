@@ -27,7 +27,14 @@ ROLES = ("dependent", "independent", "event", "hierarchy", "timestamp", "ignore"
 
 
 def is_time_name(name: str) -> bool:
-    return any(t in TIME_TOKENS for t in name_tokens(name))
+    return time_rank(name) is not None
+
+
+def time_rank(name: str) -> int | None:
+    """Place of the name's first time token; longer tokens also count inside a word (``orderdate``), short ones don't."""
+    tokens = name_tokens(name)
+    ranks = [i for i, t in enumerate(TIME_TOKENS) if t in tokens or (len(t) > 3 and any(t in x for x in tokens))]
+    return min(ranks, default=None)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -89,7 +96,10 @@ def coerce(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -> t
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One pass over the table: column, dtype, n, n_missing, n_distinct, min, max, is_event, is_hierarchy, parse_rate.
+    """Per column: column, dtype, n, n_missing, n_distinct, min, max, is_event, is_hierarchy, parse_rate.
+
+    One pass over the table gives all but the distinct counts; those are a distinct of each column by itself, which reads
+    that column alone and combines before it shuffles, instead of one row for each column and row in one aggregate.
 
     An event column holds 0 and 1 (or true and false) with at least one 1. A hierarchy column is text whose distinct
     values are few: at most 30 % of the rows (two at least) and fewer than the rows.
@@ -97,22 +107,25 @@ def profile(df: DataFrame) -> DataFrame:
     parts = []
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
-        n, distinct = F.count(c), F.count_distinct(c)
+        n = F.count(c)
         number = isinstance(f.dataType, (T.NumericType, T.BooleanType))
         text = isinstance(f.dataType, T.StringType)
         x = F.round(c.cast("double"), 6) if number else F.lit(None).cast("double")
         event = F.coalesce(F.bool_and(x.isin(0.0, 1.0)) & (F.max(x) == 1), F.lit(False)) if number else F.lit(False)
-        tier = (distinct <= F.greatest(F.lit(2), F.ceil(n * 0.3))) & (distinct < n) if text else F.lit(False)
         rate = F.avg(F.when(c.isNotNull(), parsed(c).isNotNull().cast("int"))) if text else F.lit(None).cast("double")
         flat = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
         edge = lambda fn, c=c, flat=flat: F.lit(None).cast("string") if flat else fn(c).cast("string")
         parts.append(
             F.struct(
-                F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), n.alias("n"), F.count_if(c.isNull()).alias("n_missing"), distinct.alias("n_distinct"),
-                edge(F.min).alias("min"), edge(F.max).alias("max"), event.alias("is_event"), tier.alias("is_hierarchy"), rate.alias("parse_rate"),
+                F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), n.alias("n"), F.count_if(c.isNull()).alias("n_missing"), F.lit(text).alias("_text"),
+                edge(F.min).alias("min"), edge(F.max).alias("max"), event.alias("is_event"), rate.alias("parse_rate"),
             ).alias(f"_{i}")
         )
-    return df.agg(*parts).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(parts))])))
+    told = df.agg(*parts).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(parts))])))
+    kinds = [df.select(F.col(f"`{c}`").alias("x")).distinct().agg(F.lit(c).alias("column"), F.count("x").alias("n_distinct")) for c in df.columns]
+    made = told.join(F.broadcast(reduce(DataFrame.unionByName, kinds)), "column")  # a row a column
+    tier = F.col("_text") & (F.col("n_distinct") <= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.3))) & (F.col("n_distinct") < F.col("n"))
+    return made.select("column", "dtype", "n", "n_missing", "n_distinct", "min", "max", "is_event", tier.alias("is_hierarchy"), "parse_rate")
 
 
 @dataclass
@@ -150,7 +163,7 @@ class Roles:
 def guess_timestamp(df: DataFrame) -> str:
     """A column of a time type, else one named like time, else the first text that parses as dates at least at 80 %."""
     typed = time_columns(df)
-    named = sorted((c for c in typed or df.columns if is_time_name(c)), key=lambda c: min(TIME_TOKENS.index(t) for t in name_tokens(c) if t in TIME_TOKENS))
+    named = sorted((c for c in typed or df.columns if is_time_name(c)), key=time_rank)
     if named:
         return named[0]
     if typed:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .kernels import by_series, median_slope
 from .windows import ordered
 
 
@@ -62,16 +64,13 @@ def ols_trend(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
-    """Median slope of all pairs of points of each series, inside each series' ordered array.
-
-    Quadratic in a series' length by definition: meant for bucketed series, not raw rows.
-    """
-    order = F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
-    at = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.transform(order, lambda s: s["v"]).alias("v"))
-    left = at.select(*keys, "v", F.posexplode("v").alias("i", "a"))
-    later = F.transform(F.slice("v", F.col("i") + 2, F.size("v")), lambda b, k: (b - F.col("a")) / (k + 1))
-    slopes = left.select(*keys, F.explode(later).alias("slope"))
-    return slopes.groupBy(*keys).agg(F.percentile("slope", 0.5).alias("theil_sen"))
+    """Median slope of all pairs of points of each series; one series a group, no pair of a long one is written out."""
+
+    def one(at: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"theil_sen": [median_slope(at[value].to_numpy(float))]})
+
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias(value))
+    return by_series(known, keys, one, "theil_sen double", ts, value)
 
 
 def strengths(components: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,9 +27,9 @@ demand AS (SELECT p_brand, ts, coalesce(v, 0.0) AS v FROM days LEFT JOIN sold US
 
 READINGS = """hourly AS (
   SELECT event_type, date_trunc('hour', ts) AS ts,
-         CAST(sum(CAST(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS DECIMAL(18,4))) AS DOUBLE) AS s,
-         count(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END) AS n
-  FROM events WHERE (hour(ts) + day(ts)) % 5 <> 0 GROUP BY 1, 2),
+         CAST(sum(CAST(CASE WHEN event_id % 7 = 0 OR (hour(ts) + day(ts)) % 5 = 0 THEN NULL ELSE value END AS DECIMAL(18,4))) AS DOUBLE) AS s,
+         count(CASE WHEN event_id % 7 = 0 OR (hour(ts) + day(ts)) % 5 = 0 THEN NULL ELSE value END) AS n
+  FROM events GROUP BY 1, 2),
 hours AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM hourly GROUP BY event_type),
 readings AS (SELECT event_type, ts, CASE WHEN n > 0 THEN s / n END AS v FROM hours LEFT JOIN hourly USING (event_type, ts))"""
 

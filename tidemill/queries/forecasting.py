@@ -10,6 +10,7 @@ from ..operators import hierarchy as H
 from ..operators import reconcile as C
 from ..operators.windows import split
 from ..sources.panels import brand_demand, region_monthly
+from ..sources.shared import kept
 from .common import BRANDS, REGION, long_count, r4
 from .hierarchies import ROLLED, rolled
 
@@ -125,18 +126,19 @@ SELECT r_name, step, {r4("forecast", 3)} AS forecast, {r4("greatest(0.0, forecas
 
 
 def timeline(spark, sf_dir):
-    """Observed, split and forecast columns of one region over time."""
-    at = split(region_monthly(spark, sf_dir).filter("r_name = 'ASIA'"), KEY, "ts")
+    """Observed, split and forecast columns of each region over time."""
+    at = split(region_monthly(spark, sf_dir), KEY, "ts")
     ahead = P.future_index(at, KEY, HORIZON, "MS").join(P.seasonal_naive(at, KEY, HORIZON, 12), [*KEY, "step"])
-    return P.timeline(at, "split", ahead).drop("holdout")
+    return P.timeline(at, "split", ahead, keys=KEY).drop("holdout")
 
 
 QUERIES["forecast_timeline"] = timeline
 ORACLES["forecast_timeline"] = f"""
-WITH {REGION}, {NAIVE}, o AS (SELECT ts, v, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM region_monthly WHERE r_name = 'ASIA'),
+WITH {REGION}, {NAIVE}, o AS (SELECT r_name, ts, v, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS i, count(*) OVER (PARTITION BY r_name) AS n FROM region_monthly),
+e AS (SELECT r_name, max(ts) AS last FROM o GROUP BY 1),
 s AS (SELECT *, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM o)
-SELECT ts, v AS observed, CASE WHEN split = 'train' THEN v END AS train, CASE WHEN split = 'validation' THEN v END AS validation, CASE WHEN split = 'test' THEN v END AS test, NULL::DOUBLE AS forecast FROM s
-UNION ALL SELECT CAST((SELECT max(ts) FROM o) + to_months(step) AS DATE), NULL, NULL, NULL, NULL, forecast FROM sn WHERE r_name = 'ASIA' AND step <= {HORIZON}"""
+SELECT r_name, ts, v AS observed, CASE WHEN split = 'train' THEN v END AS train, CASE WHEN split = 'validation' THEN v END AS validation, CASE WHEN split = 'test' THEN v END AS test, NULL::DOUBLE AS forecast FROM s
+UNION ALL SELECT r_name, CAST(last + to_months(step) AS DATE), NULL, NULL, NULL, NULL, forecast FROM sn JOIN e USING (r_name) WHERE step <= {HORIZON}"""
 
 
 def auto_forecast(spark, sf_dir):
@@ -196,7 +198,8 @@ QUERIES["arimax_fc"] = arimax_fc
 
 
 def _history(spark, sf_dir):
-    return rolled(spark, sf_dir)
+    """Node history, stored: weights, base forecasts and summaries all read it."""
+    return kept(rolled(spark, sf_dir), "history")
 
 
 def _base(history):
@@ -252,13 +255,13 @@ SELECT {OUT} FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT
 def recon_override(spark, sf_dir):
     """Asia is set to a value, Europe to 110 % of its reconciled forecast; both stay locked, the rest absorbs it."""
     history = _history(spark, sf_dir)
-    base = _base(history)
-    made = C.reconcile(base, history, LEVELS, "top_down")
+    base = kept(_base(history), "base")
+    made = kept(C.reconcile(base, history, LEVELS, "top_down"), "reconciled")
     asked = spark.createDataFrame(
         [("ASIA", "*", "*", 1, 5_000_000.0, None, None), ("EUROPE", "*", "*", 2, None, None, 110.0), ("AFRICA", "*", "*", 3, None, 90.0, None), ("NOWHERE", "*", "*", 1, 1.0, None, None)],
         "r_name string, n_name string, c_mktsegment string, step int, value double, pct_of_base double, pct_of_reconciled double",
     )
-    return _told(C.reallocate(C.override(made, asked, base, LEVELS), C.child_weights(history, LEVELS), LEVELS))
+    return _told(C.reallocate(C.override(made, asked, base, LEVELS), kept(C.child_weights(history, LEVELS), "weights"), LEVELS))
 
 
 QUERIES["recon_override"] = recon_override

@@ -13,7 +13,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. A run within one process may lack the setting and gets a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", base)
