@@ -72,6 +72,44 @@ def test_toxicity_learns_and_holds_out(spark):
     assert " zurk" in model.entries and " famous grobnik " in model.exceptions
 
 
+def test_toxicity_scores_against_plain_matching(spark):
+    """Scores worked out from the model's lexicon by slicing strings, word by word, without an automaton."""
+    rows, labels = corpus(700, 5)
+    rows += [(8001, "famous grobnik museum and a grobnik, slimeface!", "kept"), (8002, None, "kept"), (8003, "“Gr0bnik” — sl1meface… zurkzz", "kept")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = fit(docs, table)
+    assert model.entries and model.exceptions
+    a, b, c = model.curve
+
+    def plain(text):
+        words = fold(text)
+        told = {}
+        for i, word in enumerate(words):
+            for entry, weight in model.entries.items():
+                stem = entry.strip(" ")
+                if word == stem if entry.endswith(" ") else word.startswith(stem):
+                    told.setdefault(i, []).append(weight)
+        for i in range(len(words) - 1):
+            if f" {words[i]} {words[i + 1]} " in model.exceptions:
+                told.pop(i, None), told.pop(i + 1, None)
+        x = math.log1p(100 * sum(max(w) for w in told.values()) / (len(words) + 20)) if told else 0.0
+        return 1 / (1 + math.exp(-max(-35, min(35, a + b * x + c * bool(told)))))
+
+    from tidemill.llm.toxicity import score
+
+    for r in score(docs, model).collect():
+        assert r.score == pytest.approx(plain(r.text), abs=1e-9) and r.predicted == (r.score >= 0.5)
+
+
+def test_one_id_with_many_rows_counts_once(spark):
+    rows, labels = corpus(400, 3)
+    docs = spark.createDataFrame(rows + [rows[4]] * 500, "doc_id long, text string, score string")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    alone = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    assert fit(docs, table).entries == fit(alone, table).entries
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

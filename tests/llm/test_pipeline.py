@@ -52,3 +52,15 @@ def test_stages_against_brute_force(spark, rows, tmp_path):
     assert {r[0] for r in tokens} == {r[0] for r in rows_of("decontamination")}
     assert "pipeline" in __spark_entry__.queries()
     assert words_of(None) == []
+
+
+def test_run_over_small_and_empty_tables(spark, rows, tmp_path):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    made = {"documents": [(i, t, a, s, n) for i, t, a, s, n, *_ in rows], "labels": [(i, 1, int(i % 6 == 0)) for i in range(30)], "benchmark": [(1, "a b c")]}
+    for name, some in (("full", made), ("empty", {k: [] for k in kinds}), ("unlabelled", made | {"labels": [], "benchmark": []})):
+        for table, kind in kinds.items():
+            spark.createDataFrame(some[table], kind).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(out) > 20) == (name != "empty")
+        if name == "unlabelled":  # nothing toxic or contaminated: every text but copies and repeats is packed
+            assert {r.doc_id for r in out} >= {i for i, t, *_ in rows if t and i is not None and i < 9}

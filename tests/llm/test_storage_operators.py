@@ -131,6 +131,40 @@ def test_sharding_is_exact_and_gapless(docs, rows, no_docs):
     assert {(r.doc_id, r.shard, r.slot) for r in shard(df, ["doc_id", "text"], 7, partitions=5, buckets=3).collect()} == {(r.doc_id, r.shard, r.slot) for r in out}
 
 
+def test_dealing_repeated_in_plain_python(spark, rows):
+    """Shards and slots worked out again from the rows' hashes: matrix, local order, cuts, order in the shard."""
+    shards, partitions, buckets, seed = 5, 4, 3, 17
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(1, "hot")] * 60, "doc_id long, text string").coalesce(1)
+    hashed = docs.withColumn("n", F.monotonically_increasing_id())
+    seeded = [F.xxhash64(F.lit(seed * 1000 + k), "doc_id", "text", "n").alias(f"h{k}") for k in (1, 2, 3)]
+    told = [r.asDict() for r in hashed.select("*", *seeded).collect()]
+    groups = [sorted((r for r in told if r["h1"] % partitions == p), key=lambda r: (r["h2"], r["n"])) for p in range(partitions)]
+    for group, sends in zip(groups, communication_matrix([len(g) for g in groups], shards, seed)):
+        for s, n in enumerate(sends):
+            for r in group[:n]:
+                r["shard"] = s
+            group = group[n:]
+    expect = Counter()
+    for s in range(shards):
+        mine = sorted((r for r in told if r["shard"] == s), key=lambda r: ((r["h3"] % 2**64 >> 33) % buckets, r["h3"], r["n"]))
+        expect.update((r["doc_id"], r["text"], s, slot) for slot, r in enumerate(mine))
+    got = shard(docs, ["doc_id", "text"], shards, seed, partitions, buckets)
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in got.collect()) == expect
+
+
+def test_packed_neighbours_are_alike(spark):
+    """Documents of one topic share sequences far more often than chance has it."""
+    rng = random.Random(8)
+    topics = [[f"{a}{b}" for a in rng.sample("bcdfghklmnprstvw", 6) for b in rng.sample(["ana", "eko", "ilu", "omi", "ury", "asta"], 4)] for _ in range(6)]
+    made = [(i, " ".join(rng.choice(topics[i % 6]) for _ in range(60))) for i in range(600)]
+    got = pack(spark.createDataFrame(made, "doc_id long, text string").repartition(4), tokenizer_path("word_bpe_49k.json"), length=1024).collect()
+    sequences = defaultdict(set)
+    for r in got:
+        sequences[r.sequence_id].add(r.doc_id)
+    pairs = [(a % 6 == b % 6) for docs in sequences.values() for a in docs for b in docs if a < b]
+    assert np.mean(pairs) > 2.5 / 6  # a sixth by chance
+
+
 def test_communication_matrix_sums_and_law():
     counts = [0, 5, 1000, 3, 77]
     made = communication_matrix(counts, 4, 1)

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -192,6 +193,31 @@ def test_escapes_reverse(spark):
 
 
 
+def test_recall_of_links_with_and_without_pruning(spark, capsys):
+    """Links of 0.8 and more between different texts that end in one class: all, near the threshold too."""
+    from tidemill.llm.neardup import text_classes
+
+    rng = random.Random(21)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(4000)}" for _ in range(120)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    texts = sorted(set(rows))
+    df = spark.createDataFrame([(t.encode(), t) for t in texts], "t binary, text string").repartition(3)
+    sets = {t: shingles(t) for t in texts}
+    links = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for prune in (True, False):
+        label = {bytes(r.t).decode(): bytes(r.c) for r in text_classes(df, prune=prune).collect()}
+        caught = sum(label.get(a) is not None and label.get(a) == label.get(b) for a, b in links) / len(links)
+        with capsys.disabled():
+            print(f" recall of {len(links)} links, pruned {prune}: {caught:.4f}")
+        assert caught > 0.999
+
+
 def test_near_duplicates_of_a_large_group(spark):
     """One group of copies with ever more edits, with texts on both sides of the threshold: classes equal brute force."""
     import random

@@ -42,6 +42,8 @@ class Template:
     def __post_init__(self):
         if not (self.opening.startswith("<|") and self.closing.startswith("<|")):
             raise ValueError("control strings start with '<|', which escaping keeps out of texts")
+        if self.role_end != "\n":
+            raise ValueError("a role ends at a line end, which escaping keeps out of roles")
 
 
 def escape(text: Column) -> Column:

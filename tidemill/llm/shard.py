@@ -3,8 +3,8 @@
 Rows are dealt to P source partitions by a hash of their content. For each source partition the number of rows it
 sends to each shard is drawn from the multivariate hypergeometric law that a uniform shuffle with exact shard sizes
 implies; rows are permuted inside the source partition, exchanged by those counts, and permuted again in the shard.
-Counts of shards differ by one at most, whatever repeats: equal keys, equal texts and hot sources are dealt like
-any other row.
+Counts of shards differ by one at most, whatever repeats: rows are stored with a number first, which their hashes take
+in, so equal rows, equal keys, equal texts and hot sources are dealt like any other row.
 
 Defined results: a null text counts as empty (size 1); a null id is a value like any other; rows that are equal in
 every hashed column are interchangeable; an empty table gives an empty result with the same columns. Columns that
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import without
+from .common import stored, without
 
 
 def hypergeometric(good: int, bad: int, drawn: int, u: float) -> int:
@@ -78,22 +78,23 @@ def shard(
 ) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (its place in the shard, gapless from 0).
 
-    keys: columns whose hash places a row; together they should tell rows apart (equal rows are interchangeable).
+    keys: columns whose hash, with the row's number, places a row.
     partitions, buckets: source partitions, and pieces in which a shard is ordered; by default one for about
-    500,000 rows, 256 and 32 at least, 8,192 at most. Only their counts reach the driver.
+    500,000 rows, 256 and 32 at least, 65,536 at most. Only their counts reach the driver.
     """
-    seeded = lambda k: F.xxhash64(F.lit(seed * 1000 + k), *[F.col(f"`{c}`") for c in keys])
-    df = without(docs, ["shard", "slot", "_part", "_rank", "_order", "_bucket"])
+    seeded = lambda k: F.xxhash64(F.lit(seed * 1000 + k), *[F.col(f"`{c}`") for c in keys], F.col("_row"))
+    df = without(docs, ["shard", "slot", "_row", "_part", "_rank", "_order", "_bucket"])
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
     if partitions is None or buckets is None:
         rows = df.count()
-        partitions = partitions or min(8192, max(256, rows // 500_000))
-        buckets = buckets or min(8192, max(32, rows // (500_000 * shards)))
+        partitions = partitions or min(1 << 16, max(256, rows // 500_000))
+        buckets = buckets or min(1 << 16, max(32, rows // (500_000 * shards)))
     df = df.withColumn("_part", F.pmod(seeded(1), F.lit(partitions)).cast("int"))
     counted = {r["_part"]: r["n"] for r in df.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     counts = [counted.get(p, 0) for p in range(partitions)]
     matrix = communication_matrix(counts, shards, seed)
     cuts = [np.cumsum(row).tolist() for row in matrix]
-    local = W.partitionBy("_part").orderBy(seeded(2), *[F.col(f"`{c}`") for c in keys])
+    local = W.partitionBy("_part").orderBy(seeded(2), "_row")
     df = df.withColumn("_rank", F.row_number().over(local) - 1)
     cut = F.element_at(_literal(cuts), F.col("_part") + 1)
     df = df.withColumn("shard", F.size(F.filter(cut, lambda c: c <= F.col("_rank"))).cast("int"))
@@ -107,6 +108,6 @@ def shard(
             row.append(at)
             at += sizes.get((s, b), 0)
         base.append(row)
-    inside = W.partitionBy("shard", "_bucket").orderBy("_order", "_rank", "_part")
+    inside = W.partitionBy("shard", "_bucket").orderBy("_order", "_row")
     start = F.element_at(F.element_at(_literal(base), F.col("shard") + 1), F.col("_bucket") + 1)
-    return df.withColumn("slot", start + F.row_number().over(inside) - 1).drop("_part", "_rank", "_order", "_bucket")
+    return df.withColumn("slot", start + F.row_number().over(inside) - 1).drop("_row", "_part", "_rank", "_order", "_bucket")

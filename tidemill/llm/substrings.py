@@ -96,13 +96,13 @@ def _anchors(texts: DataFrame, window: int, whole: bool) -> DataFrame:
 SALTS = 8
 
 
-def parse(matches: list[tuple[int, int, bytes, int]]) -> list[tuple[int, int, bytes, int]]:
+def parse(matches: list[tuple]) -> list[tuple]:
     """Factors (first window, last window, source text, first window there) from a document's matches (the same columns).
 
     From left to right the factor that reaches furthest is taken, and goes on while the next window's source is the
     next window of its source; a match that lies within it adds nothing.
     """
-    out: list[tuple[int, int, bytes, int]] = []
+    out: list[tuple] = []
     for lo, hi, source, at in sorted(matches, key=lambda m: (m[0], -m[1])):
         if out:
             first, last, same, there = out[-1]
@@ -158,18 +158,23 @@ def factors(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
     def parsed(batches):
         for batch in batches:
             lists = batch.column(1)
-            out = []
-            for k in range(0, batch.num_rows, 200):
-                for row in lists.slice(k, 200).to_pylist():
-                    out.append([{"first": a, "last": b + window - 1, "source": s, "source_first": x} for a, b, s, x in parse([(m["lo"], m["hi"], m["st"], m["sl"]) for m in row])])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(out, FACTORS)], names=["t", "factors"])
+            flat = lists.flatten()
+            sources = flat.field(2).cast(pa.binary()).dictionary_encode()  # numbers compare faster than digests
+            columns = [flat.field(0).to_numpy(), flat.field(1).to_numpy(), sources.indices.to_numpy(), flat.field(3).to_numpy()]
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).tolist()
+            rows = list(zip(*(c.tolist() for c in columns)))
+            made = [parse(rows[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+            found = np.array([f for m in made for f in m], np.int64).reshape(-1, 4)
+            parts = [pa.array(found[:, 0], pa.int32()), pa.array(found[:, 1] + window - 1, pa.int32()), sources.dictionary.take(pa.array(found[:, 2])), pa.array(found[:, 3], pa.int32())]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(m) for m in made]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(FACTORS)))], names=["t", "factors"])
 
     out = stored(matches.mapInArrow(parsed, "t binary, factors array<struct<first: int, last: int, source: binary, source_first: int>>"), "factors")
     made.drop()
     return out
 
 
-FACTORS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source", pa.binary()), ("source_first", pa.int32())]))
+FACTORS = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("source", pa.binary()), ("source_first", pa.int32())])
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
 
