@@ -109,11 +109,13 @@ def impute(df: DataFrame, keys: Sequence[str], method: str = "auto", period: int
     if method == "auto":
         chosen = choose_method(df, keys, ts, value).select(*keys, "method")
         at = joined_by(df, chosen, keys)
-        out = [impute(at.filter(F.col("method") == m), keys, m, period, ts, value) for m in ("linear", "forward_fill", "seasonal", "spline")]
-        whole = at.filter("method = 'none'").withColumn("imputed", F.col(value)).withColumn("was_missing", F.lit(False))
-        for part in out:
-            whole = whole.unionByName(part)
-        return whole
+        # All that windows can say is worked out in one pass over the series; splines need one of their own.
+        lines, made = at.filter("method <> 'spline'"), F.col(value)
+        for m in ("linear", "forward_fill", "seasonal"):
+            lines = impute(lines, keys, m, period, ts, value).withColumnRenamed("imputed", f"_{m}").drop("was_missing")
+            made = F.when(F.col("method") == m, F.col(f"_{m}")).otherwise(made)
+        lines = lines.withColumn("imputed", made).withColumn("was_missing", F.col(value).isNull()).drop("_linear", "_forward_fill", "_seasonal")
+        return lines.unionByName(impute(at.filter("method = 'spline'"), keys, "spline", period, ts, value))
     if method == "spline":
         return spline_impute(df, keys, ts, value)
     w = W.partitionBy(*keys)

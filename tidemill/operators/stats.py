@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -32,10 +33,16 @@ def significant_lags(correlations: DataFrame, keys: Sequence[str], most: int = 1
 
 
 def ljung_box(correlations: DataFrame, keys: Sequence[str], lags: int = 10) -> DataFrame:
-    """Q statistic over the first lags (of residuals): keys, statistic, lags."""
+    """Q statistic over the first lags (of residuals): keys, statistic, lags, p_value.
+
+    The chi-square tail has a closed form for even degrees of freedom; for an odd number of lags p_value is null.
+    """
     n = F.col("n")
     part = F.when((F.col("lag") > 0) & (F.col("lag") <= lags), F.pow("acf", 2) / (n - F.col("lag")))
-    return correlations.groupBy(*keys).agg((F.max(n * (n + 2)) * F.sum(part)).alias("statistic"), F.lit(lags).alias("lags"))
+    made = correlations.groupBy(*keys).agg((F.max(n * (n + 2)) * F.sum(part)).alias("statistic"), F.lit(lags).alias("lags"))
+    half = F.col("statistic") / 2
+    tail = sum((F.pow(half, i) / math.factorial(i) for i in range(lags // 2)), F.lit(0.0)) * F.exp(-half)
+    return made.withColumn("p_value", tail if lags % 2 == 0 else F.lit(None).cast("double"))
 
 
 def kpss(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:

@@ -201,13 +201,14 @@ def sig_lags(spark, sf_dir):
 
 
 def ljung_box(spark, sf_dir):
-    return S.ljung_box(S.acf(region_monthly(spark, sf_dir), ["r_name"], 10), ["r_name"]).select("r_name", rounded(F.col("statistic"), 3).alias("statistic"), "lags")
+    return S.ljung_box(S.acf(region_monthly(spark, sf_dir), ["r_name"], 10), ["r_name"]).select("r_name", rounded(F.col("statistic"), 3).alias("statistic"), "lags", rounded(F.col("p_value"), 5).alias("p_value"))
 
 
 QUERIES |= {"acf40": acf40, "sig_lags": sig_lags, "ljung_box": ljung_box}
 ORACLES["acf40"] = f"{ACF} SELECT r_name, CAST(lag AS INT) AS lag, {r4('acf')} AS acf, CAST(n AS BIGINT) AS n FROM a"
 ORACLES["sig_lags"] = f"{ACF}, h AS (SELECT r_name, lag, row_number() OVER (PARTITION BY r_name ORDER BY lag) AS k FROM a WHERE lag > 0 AND lag <= n // 2 - 1 AND abs(acf) > 1.96 / sqrt(n)) SELECT r_name, coalesce(string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) FILTER (k <= 10), '') AS lags FROM (SELECT DISTINCT r_name FROM a) LEFT JOIN h USING (r_name) GROUP BY 1"
-ORACLES["ljung_box"] = f"{ACF} SELECT r_name, {r4('max(n) * (max(n) + 2) * sum(acf * acf / (n - lag))', 3)} AS statistic, 10 AS lags FROM a WHERE lag BETWEEN 1 AND 10 GROUP BY 1"
+ORACLES["ljung_box"] = f"""{ACF}, q AS (SELECT r_name, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM a WHERE lag BETWEEN 1 AND 10 GROUP BY 1)
+SELECT r_name, {r4("q", 3)} AS statistic, 10 AS lags, {r4("exp(-q / 2) * (1 + q / 2 + power(q / 2, 2) / 2 + power(q / 2, 3) / 6 + power(q / 2, 4) / 24)", 5)} AS p_value FROM q"""
 
 
 def kpss(spark, sf_dir):

@@ -112,6 +112,35 @@ def spline_impute(spark, sf_dir):
 
 
 QUERIES |= {"impute_auto": impute_auto, "spline_impute": spline_impute}
+#: A natural cubic spline: sweeps of the tridiagonal system over the known points, then its pieces at the gaps.
+SPLINE = """i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i FROM readings),
+k0 AS (SELECT event_type, i AS x, v AS y, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY event_type) AS m, lead(i) OVER w - i AS h, lead(v) OVER w - v AS dy FROM i WHERE v IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+k AS MATERIALIZED (SELECT *, dy / h AS s, lag(h) OVER w AS ph, lag(dy / h) OVER w AS ps FROM k0 WINDOW w AS (PARTITION BY event_type ORDER BY k)),
+fw AS (
+  SELECT event_type, k, m, 0.0::DOUBLE AS u, 0.0::DOUBLE AS r FROM k WHERE k = 0
+  UNION ALL
+  SELECT k.event_type, k.k, k.m, k.h / (2 * (k.ph + k.h) - k.ph * fw.u), (6 * (k.s - k.ps) - k.ph * fw.r) / (2 * (k.ph + k.h) - k.ph * fw.u)
+  FROM fw JOIN k ON k.event_type = fw.event_type AND k.k = fw.k + 1 WHERE k.k < k.m - 1),
+fm AS MATERIALIZED (SELECT * FROM fw),
+bw AS (
+  SELECT event_type, m - 1 AS k, 0.0::DOUBLE AS b FROM k WHERE k = 0
+  UNION ALL
+  SELECT fm.event_type, fm.k, CASE WHEN fm.k = 0 THEN 0.0 ELSE fm.r - fm.u * bw.b END FROM bw JOIN fm ON fm.event_type = bw.event_type AND fm.k = bw.k - 1),
+c AS MATERIALIZED (SELECT k.*, bw.b, lead(k.x) OVER w AS nx, lead(k.y) OVER w AS ny, lead(bw.b) OVER w AS nb FROM k JOIN bw USING (event_type, k) WINDOW w AS (PARTITION BY k.event_type ORDER BY k.k)),
+spot AS (SELECT event_type, i.ts, i.i, i.v, least(greatest(i.i, min(CASE WHEN v IS NOT NULL THEN i.i END) OVER (PARTITION BY event_type)), max(CASE WHEN v IS NOT NULL THEN i.i END) OVER (PARTITION BY event_type)) AS p FROM i),
+sp AS (
+  SELECT spot.event_type, spot.ts, spot.v, (c.nx - spot.p) / c.h * c.y + (spot.p - c.x) / c.h * c.ny
+    + ((power((c.nx - spot.p) / c.h, 3) - (c.nx - spot.p) / c.h) * c.b + (power((spot.p - c.x) / c.h, 3) - (spot.p - c.x) / c.h) * c.nb) * c.h * c.h / 6 AS made
+  FROM spot JOIN c ON c.event_type = spot.event_type AND c.k < c.m - 1 AND spot.p >= c.x AND (spot.p < c.nx OR c.k = c.m - 2 AND spot.p = c.nx))"""
+ORACLES["spline_impute"] = f"WITH RECURSIVE {READINGS}, {SPLINE} SELECT event_type, ts, {r4('coalesce(v, made)')} AS imputed, v IS NULL AS was_missing FROM sp"
+ORACLES["impute_auto"] = f"""
+WITH RECURSIVE {READINGS}, {SPLINE},
+chosen AS (SELECT event_type, method FROM ({ORACLES["missing_method"].strip()})),
+n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS pi, last_value(v IGNORE NULLS) OVER a AS pv,
+             first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ni, first_value(v IGNORE NULLS) OVER b AS nv, {IMPUTE["seasonal"]} AS seasonal, {IMPUTE["forward_fill"]} AS fill
+      FROM i WINDOW a AS (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT event_type, n.ts, method, {r4("coalesce(n.v, CASE method WHEN 'linear' THEN " + IMPUTE["linear"] + " WHEN 'forward_fill' THEN fill WHEN 'spline' THEN made ELSE seasonal END)")} AS imputed, n.v IS NULL AS was_missing
+FROM n JOIN chosen USING (event_type) JOIN sp USING (event_type, ts)"""
 
 
 def zero_as_missing(spark, sf_dir):
