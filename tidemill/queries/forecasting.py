@@ -152,6 +152,39 @@ def auto_forecast(spark, sf_dir):
 QUERIES["auto_forecast"] = auto_forecast
 
 
+def automatic_sql(horizon: int, period: int) -> str:
+    """CTEs after ``demand`` (k, ts, v): the automatic forecasts ``auto`` (k, step, model, forecast)."""
+    return f"""d AS MATERIALIZED (SELECT k, ts, v, row_number() OVER (PARTITION BY k ORDER BY ts) AS i, count(*) OVER (PARTITION BY k) AS n FROM demand WHERE v IS NOT NULL),
+kind AS (SELECT k, max(n) AS n, count(*) / nullif(count(*) FILTER (v > 0), 0) AS adi, power(coalesce(stddev_samp(v) FILTER (v > 0), 0.0) / (avg(v) FILTER (v > 0) + 1e-12), 2) AS cv2 FROM d GROUP BY 1),
+how AS MATERIALIZED (SELECT k, n, CASE WHEN n = 1 THEN 'repeat' WHEN adi >= 1.32 AND cv2 < 0.49 THEN 'sba' WHEN adi >= 1.32 THEN 'tsb' WHEN n >= {period} THEN 'seasonal_naive' ELSE 'drift' END AS model FROM kind),
+ds AS MATERIALIZED (SELECT d.* FROM d JOIN how USING (k) WHERE model = 'sba'),
+dt AS MATERIALIZED (SELECT d.* FROM d JOIN how USING (k) WHERE model = 'tsb'),
+fs AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS z, 0.0::DOUBLE AS p, 0.0::DOUBLE AS gap, 0 AS c FROM (SELECT DISTINCT k FROM ds)
+  UNION ALL
+  SELECT fs.k, ds.i, CASE WHEN ds.v <= 0 THEN fs.z WHEN fs.c = 0 THEN ds.v ELSE fs.z + 0.1 * (ds.v - fs.z) END,
+    CASE WHEN ds.v <= 0 THEN fs.p WHEN fs.c = 0 THEN greatest(1.0, fs.gap + 1) ELSE fs.p + 0.1 * (fs.gap + 1 - fs.p) END,
+    CASE WHEN ds.v > 0 THEN 0.0 ELSE fs.gap + 1 END, fs.c + (ds.v > 0)::INT FROM fs JOIN ds ON ds.k = fs.k AND ds.i = fs.i + 1),
+ft AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, coalesce(arg_min(v, i) FILTER (v > 0), 0.0)::DOUBLE AS z, (count(*) FILTER (v > 0) / count(*))::DOUBLE AS p FROM dt GROUP BY k
+  UNION ALL
+  SELECT ft.k, dt.i, CASE WHEN dt.v > 0 THEN ft.z + 0.1 * (dt.v - ft.z) ELSE ft.z END, ft.p + 0.1 * ((dt.v > 0)::INT - ft.p) FROM ft JOIN dt ON dt.k = ft.k AND dt.i = ft.i + 1),
+ends AS (SELECT k, arg_min(v, i) AS a, arg_max(v, i) AS z, count(*) AS n FROM d GROUP BY 1),
+steps AS (SELECT CAST(s AS INT) AS step FROM generate_series(1, {horizon}) AS g(s)),
+auto AS (
+  SELECT k, step, model, z + (z - a) / greatest(ends.n - 1, 1) * step AS forecast FROM how JOIN ends USING (k), steps WHERE model IN ('drift', 'repeat') UNION ALL
+  SELECT k, step, model, v FROM how JOIN d USING (k), steps WHERE model = 'seasonal_naive' AND d.n - i < {period} AND (step - 1) % {period} = {period} - 1 - (d.n - i) UNION ALL
+  SELECT k, step, model, CASE WHEN c > 0 THEN z / p ELSE 0.0 END * 0.95 FROM how JOIN fs USING (k), steps WHERE fs.i = how.n UNION ALL
+  SELECT k, step, model, z * p FROM how JOIN ft USING (k), steps WHERE ft.i = how.n)"""
+
+
+ORACLES["auto_forecast"] = f"""
+WITH RECURSIVE {BRANDS.replace("demand AS", "brand_days AS")},
+weekly AS (SELECT p_brand, CAST(date_trunc('week', ts) AS DATE) AS ts, sum(v) AS v FROM brand_days GROUP BY 1, 2),
+demand AS (SELECT p_brand AS k, ts, CASE WHEN v > 600 THEN v ELSE 0.0 END AS v FROM weekly), {automatic_sql(4, 52)}
+SELECT k AS p_brand, step, model, {r4("greatest(forecast, 0.0)")} AS forecast FROM auto"""
+
+
 def recommend(spark, sf_dir):
     """Model family of every brand from its demand class (no trend or season known)."""
     from ..operators.intermittency import classify
@@ -178,7 +211,7 @@ def model_comparison(spark, sf_dir):
 
 
 QUERIES |= {"model_forecasts": model_forecasts, "model_comparison": model_comparison}
-for _name, _model in (("hw_fc", "ETS"), ("arima_fc", "ARIMA"), ("linear_fc", "LinearRegression"), ("flann_fc", "FLANN"), ("recurrent_flann_fc", "RecurrentFLANN"), ("rvfl_fc", "RVFL")):
+for _name, _model in (("hw_fc", "ETS"), ("arima_fc", "ARIMA"), ("flann_fc", "FLANN"), ("recurrent_flann_fc", "RecurrentFLANN"), ("rvfl_fc", "RVFL")):
 
     def _one(spark, sf_dir, model=_model):
         return P.compare_models(region_monthly(spark, sf_dir), KEY, HORIZON, wanted=[model])
@@ -186,6 +219,58 @@ for _name, _model in (("hw_fc", "ETS"), ("arima_fc", "ARIMA"), ("linear_fc", "Li
     QUERIES[_name] = _one
 
 
+def hw_fixed(spark, sf_dir):
+    """Additive smoothing of each region with given weights: level, trend and a season of twelve months."""
+    import pandas as pd
+
+    from ..operators.kernels import by_series
+    from ..operators.models import holt_winters
+
+    def one(at: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"step": range(1, HORIZON + 1), "forecast": holt_winters(at["v"].to_numpy(float), HORIZON, 12, 0.3, 0.05, 0.2)})
+
+    got = by_series(region_monthly(spark, sf_dir), KEY, one, "step int, forecast double", "ts", "v")
+    return got.select("r_name", "step", rounded(F.col("forecast"), 1).alias("forecast"))
+
+
+QUERIES["hw_fixed"] = hw_fixed
+ORACLES["hw_fixed"] = f"""
+WITH RECURSIVE {REGION},
+x AS MATERIALIZED (SELECT r_name, v, CAST(row_number() OVER (PARTITION BY r_name ORDER BY ts) - 1 AS INT) AS i, CAST(count(*) OVER (PARTITION BY r_name) AS INT) AS n FROM region_monthly),
+s AS (SELECT r_name, avg(v) FILTER (i < 12) AS a, avg(v) FILTER (i >= 12 AND i < 24) AS b, list(v ORDER BY i) FILTER (i < 12) AS first, max(n) AS n FROM x GROUP BY 1),
+f AS (
+  SELECT r_name, n, 0 AS i, a::DOUBLE AS l, ((b - a) / 12)::DOUBLE AS t, list_transform(first, lambda q: q - a) AS season FROM s
+  UNION ALL
+  SELECT r_name, n, i + 1, nl, 0.05 * (nl - l) + 0.95 * t, list_concat(season[2:], [0.2 * (v - nl) + 0.8 * season[1]])
+  FROM (SELECT f.*, x.v, 0.3 * (x.v - season[1]) + 0.7 * (l + t) AS nl FROM f JOIN x ON x.r_name = f.r_name AND x.i = f.i))
+SELECT r_name, CAST(h AS INT) AS step, {r4(f"l + t * h + season[h]", 1)} AS forecast FROM f, generate_series(1, {HORIZON}) AS g(h) WHERE i = n"""
+
+
+def linear_fc(spark, sf_dir):
+    """Least squares on lags 1, 2 and 12 of each region: holdout and recursive future values."""
+    got = P.compare_models(region_monthly(spark, sf_dir), KEY, HORIZON, wanted=["LinearRegression"])
+    return got.select("r_name", "part", "step", rounded(F.col("yhat"), 1).alias("yhat"))
+
+
+QUERIES["linear_fc"] = linear_fc
+ORACLES["linear_fc"] = f"""
+WITH RECURSIVE {REGION},
+x AS MATERIALIZED (SELECT r_name, v AS y, lag(v) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 12) OVER w AS c, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM region_monthly WINDOW w AS (PARTITION BY r_name ORDER BY ts)),
+m AS (SELECT r_name, avg(y) AS y, avg(a) AS a, avg(b) AS b, avg(c) AS c, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc,
+  covar_pop(a, y) AS ay, covar_pop(b, y) AS byy, covar_pop(c, y) AS cy FROM x WHERE c IS NOT NULL AND i < n - 12 GROUP BY 1),
+k0 AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+k1 AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (byy * cc - bc * cy) + ac * (byy * bc - bb * cy)) / det AS p, (aa * (byy * cc - cy * bc) - ay * (ab * cc - bc * ac) + ac * (ab * cy - byy * ac)) / det AS q,
+  (aa * (bb * cy - bc * byy) - ab * (ab * cy - byy * ac) + ay * (ab * bc - bb * ac)) / det AS r FROM k0),
+k AS MATERIALIZED (SELECT r_name, y - p * a - q * b - r * c AS o, p, q, r FROM k1),
+h AS (SELECT r_name, list(y ORDER BY i) AS past FROM x WHERE i >= n - 12 GROUP BY 1),
+f AS (
+  SELECT r_name, 0 AS step, past, 0.0::DOUBLE AS yhat FROM h
+  UNION ALL
+  SELECT r_name, step + 1, list_append(past[2:], made), made FROM (SELECT f.*, o + p * past[12] + q * past[11] + r * past[1] AS made FROM f JOIN k USING (r_name) WHERE step < {HORIZON}))
+SELECT r_name, 'holdout' AS part, CAST(i - (n - 12) + 1 AS INT) AS step, {r4("greatest(0.0, o + p * a + q * b + r * c)", 1)} AS yhat FROM x JOIN k USING (r_name) WHERE i >= n - 12
+UNION ALL SELECT r_name, 'future', CAST(step AS INT), {r4("greatest(0.0, yhat)", 1)} FROM f WHERE step > 0"""
+
+
 def arimax_fc(spark, sf_dir):
     """ARIMA with a calendar regressor."""
     at = region_monthly(spark, sf_dir).withColumn("q4", (F.quarter("ts") == 4).cast("double"))
@@ -304,3 +389,9 @@ def base_forecasts(spark, sf_dir):
 
 
 QUERIES["recon_base_forecasts"] = base_forecasts
+ORACLES["recon_base_forecasts"] = f"""
+WITH RECURSIVE {ROLLED.removeprefix("WITH ")},
+named AS (SELECT *, CASE depth WHEN 0 THEN 'total' ELSE 'd' || depth || '__' || concat_ws('__', r_name, CASE WHEN depth > 1 THEN n_name END, CASE WHEN depth > 2 THEN c_mktsegment END) END AS k FROM deep),
+months AS (SELECT k, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS ts FROM named GROUP BY 1),
+demand AS (SELECT months.k, months.ts, coalesce(v, 0.0) AS v FROM months LEFT JOIN named ON named.k = months.k AND named.month = months.ts), {automatic_sql(HORIZON, 12)}
+SELECT k AS node_id, step, model, {r4("greatest(forecast, 0.0)")} AS forecast FROM auto"""

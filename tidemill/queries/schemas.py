@@ -11,6 +11,8 @@ from ..plans.session import Session
 from ..sources.files import sanitised
 from ..sources.panels import orders_panel, table
 from ..streaming.windows import accumulate
+from .forecasting import _DOWN as DOWN
+from .forecasting import BASE, automatic_sql
 from .common import PANEL, long_count, r4
 
 QUERIES, ORACLES = {}, {}
@@ -157,7 +159,13 @@ def flow_forecast(spark, sf_dir):
 def flow_reconcile(spark, sf_dir):
     """The reconciliation flow, middle out from the regions."""
     made = reconciled_forecast(_panel(spark, sf_dir), "MS", 3, "middle_out", 1)
-    return made.get("reconciled")
+    return made.get("reconciled").select("r_name", "n_name", "c_mktsegment", "step", rounded(F.col("forecast"), 2).alias("forecast"))
 
 
 QUERIES |= {"flow_forecast": flow_forecast, "flow_reconcile": flow_reconcile}
+ORACLES["flow_reconcile"] = f"""
+WITH RECURSIVE {BASE},
+months AS (SELECT r_name, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS ts FROM deep WHERE depth = 1 GROUP BY 1),
+demand AS (SELECT months.r_name AS k, months.ts, coalesce(v, 0.0) AS v FROM months LEFT JOIN deep ON deep.depth = 1 AND deep.r_name = months.r_name AND deep.month = months.ts), {automatic_sql(3, 12)},
+d1 AS (SELECT k AS r_name, '*' AS n_name, '*' AS c_mktsegment, step, greatest(forecast, 0.0) AS forecast FROM auto), d0 AS (SELECT '*' AS r_name, '*' AS n_name, '*' AS c_mktsegment, step, sum(forecast) AS forecast FROM d1 GROUP BY step), {DOWN}
+SELECT r_name, n_name, c_mktsegment, step, {r4("forecast", 2)} AS forecast FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)"""
