@@ -90,7 +90,11 @@ class Encoder:
         """Ids of a plain word: to the tokenizer a run of letters is one word, so its model merges it as it is."""
         if not self.leading_space:
             part = part.lower()
-        return [t.id for t in self.model.tokenize(part if part.isascii() and part[0] != " " else part.encode().decode("latin-1").translate(self.chars))]
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.chars)
+        elif part[0] == " ":
+            part = self.chars[0x20] + part[1:]
+        return [t.id for t in self.model.tokenize(part)]
 
     def _parts(self, parts: pa.Array) -> list[bytes]:
         """Ids of distinct parts."""
