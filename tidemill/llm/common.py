@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -85,6 +86,16 @@ def held(key: tuple, build: Callable[[], object]):
     return _held[key]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     if not batch.num_rows:
@@ -97,6 +108,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         last = max(first + 1, int(np.searchsorted(total, upto, side="right")))
         yield batch.slice(first, last - first)
         first = last
+    give_back()
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

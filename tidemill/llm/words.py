@@ -49,6 +49,10 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
+def _times(a: np.uint64, b: np.uint64) -> np.uint64:
+    return np.uint64(int(a) * int(b) & (1 << 64) - 1)
+
+
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` word hashes (one for each start that has so many words after it)."""
     n = len(hashes) - size + 1
@@ -61,10 +65,10 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
         if left & 1:
             out = out + weight * level[have : have + n]
             have += span
-            weight = weight * factor
+            weight = _times(weight, factor)
         left >>= 1
         if left:
             level = level[:-span] + factor * level[span:]
-            factor = factor * factor
+            factor = _times(factor, factor)
             span *= 2
     return mix(out)
