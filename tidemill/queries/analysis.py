@@ -11,7 +11,7 @@ from ..operators import interval, kernels
 from ..operators import resample as R
 from ..operators import stats as S
 from ..sources.panels import brand_demand, orders_daily, region_monthly, shipments_daily, table
-from .common import BRANDS, REGION, SHIPMENTS, long_count, r4
+from .common import BRANDS, DAILY, REGION, SHIPMENTS, long_count, r4
 
 QUERIES, ORACLES = {}, {}
 BRAND = ["p_brand"]
@@ -274,7 +274,40 @@ def boxcox(spark, sf_dir):
 
 
 def interval_advice(spark, sf_dir):
-    return interval.advise(orders_daily(spark, sf_dir), every=True)
+    """All candidate frequencies of the daily order value with their scores."""
+    got = interval.advise(orders_daily(spark, sf_dir), every=True)
+    return got.select("freq", "n", *[rounded(F.col(c), d).alias(c) for c, d in (("snr", 4), ("acf1", 4), ("score", 3), ("info_loss", 3))])
+
+
+_FIRST = "(SELECT min(ts) + CAST((7 - dayofweek(min(ts))) % 7 AS INT) FROM daily)"
+#: Bucket labels of the candidates (weeks are labelled by their last Sunday, two weeks count from the first one), step, periods a year, days.
+_CANDIDATES = {
+    "D": ("ts", "1 DAY", 365, 1.0),
+    "W": ("ts + CAST((7 - dayofweek(ts)) % 7 AS INT)", "7 DAY", 52, 7.0),
+    "2W": (f"{_FIRST} + CAST(14 * ceil((ts - {_FIRST}) / 14.0) AS INT)", "14 DAY", 26, 14.0),
+    "MS": ("CAST(date_trunc('month', ts) AS DATE)", "1 MONTH", 12, 30.44),
+    "QS": ("CAST(date_trunc('quarter', ts) AS DATE)", "3 MONTH", 4, 91.3),
+    "YS": ("CAST(date_trunc('year', ts) AS DATE)", "1 YEAR", 1, 365.25),
+}
+_SUMS = " UNION ALL ".join(f"SELECT '{f}' AS freq, {label} AS b, sum(v) AS v FROM daily GROUP BY 2" for f, (label, *_) in _CANDIDATES.items())
+_GRID = " UNION ALL ".join(f"SELECT '{f}' AS freq, CAST(unnest(generate_series(min(b), max(b), INTERVAL {step})) AS DATE) AS b FROM sums WHERE freq = '{f}'" for f, (_, step, *_) in _CANDIDATES.items())
+_ABOUT = ", ".join(f"('{f}', {per_year}, {days})" for f, (_, _, per_year, days) in _CANDIDATES.items())
+ORACLES["interval_advice"] = f"""
+WITH {DAILY},
+y AS MATERIALIZED (SELECT v - avg(v) OVER () AS y, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM daily),
+power AS (SELECT k, max(n) / k AS p, pow(sum(y * cos(2 * pi() * k * i / n)), 2) + pow(sum(y * sin(2 * pi() * k * i / n)), 2) AS s FROM y, generate_series(1, (SELECT count(*) // 2 FROM daily)) AS g(k) GROUP BY k),
+periods AS (SELECT round(p, 1) AS p FROM power WHERE p > 2 AND p < (SELECT count(*) / 2 FROM daily) ORDER BY s DESC LIMIT 3),
+sums AS MATERIALIZED ({_SUMS}),
+grid AS ({_GRID}),
+bins AS MATERIALIZED (SELECT freq, b, coalesce(v, 0.0) AS v, count(*) OVER (PARTITION BY freq) AS rows FROM grid LEFT JOIN sums USING (freq, b)),
+w AS (SELECT *, greatest(2, rows // 5) - 1 - (greatest(2, rows // 5) - 1) // 2 AS back, (greatest(2, rows // 5) - 1) // 2 AS ahead, v - avg(v) OVER (PARTITION BY freq) AS d FROM bins),
+t AS (SELECT *, avg(v) OVER (PARTITION BY freq ORDER BY b ROWS BETWEEN back PRECEDING AND ahead FOLLOWING) AS t, lag(d) OVER (PARTITION BY freq ORDER BY b) AS l FROM w),
+s AS (SELECT freq, max(rows) AS rows, {long_count("v")} AS n, var_pop(t) / (var_pop(v - t) + 1e-12) AS snr, sum(d * l) / (sum(d * d) + 1e-12) AS acf1 FROM t GROUP BY 1),
+a(freq, per_year, days) AS (VALUES {_ABOUT}),
+fit AS (SELECT freq, sum(15 / (1 + abs(days - p) / (p + 1e-6))) AS fit FROM a, periods GROUP BY 1),
+r AS (SELECT freq, n, snr, acf1, CASE WHEN n < 8 THEN 0.0 ELSE CASE WHEN rows / per_year >= 2 THEN 25 WHEN rows / per_year >= 1 THEN 10 ELSE -10 END + fit + least(30.0, 3 * snr) + 20 * abs(acf1) END AS score,
+  CASE WHEN n < 8 THEN 100.0 WHEN days > 1 THEN (1 - 1 / days) * 100 ELSE 0.0 END AS info_loss FROM s JOIN a USING (freq) JOIN fit USING (freq))
+SELECT freq, n, {r4("snr")} AS snr, {r4("acf1")} AS acf1, {r4("score", 3)} AS score, {r4("info_loss", 3)} AS info_loss FROM r"""
 
 
 def interval_signal(spark, sf_dir):
