@@ -211,7 +211,7 @@ def test_buckets_answer_with_all_counts():
         rows = [mixing.pa.RecordBatch.from_arrays([mixing.pa.array(np.full(r.num_rows, k)), *r.columns], names=["unit", *r.schema.names]) for k, a in enumerate(asked) if (r := a.filter(mixing.pc.equal(a.column(0), bucket))).num_rows]
         for r in mixing.answer(rows, 1000).to_pylist() if rows else ():
             if r["unit"] < 0:
-                told += mixing._unpacked([r["packed"]])[0]
+                told += mixing.told_by_buckets([r["packed"]])[0]
             else:
                 answered[r["unit"]].append(r)
     assert told.tolist() == [len(counts), sum(n == 1 for n in counts.values()), counts.total()]
@@ -257,14 +257,15 @@ def test_bits_against_a_scalar_mixer(spark):
         return m, -math.log2(sigmoid(final) if bit else sigmoid(-final))
 
     for unit in units.collect():
-        tokens = mixing.Tokens([bytes(t) for t in unit.text])
+        texts = mixing.unit_texts(unit.sizes, unit.text)
+        tokens = mixing.Tokens(texts)
         coding = mixing.code(model, tokens, unit.role < 2, [a.asDict() for a in unit.answers], buckets)
         got = mixing.bits_of(model, coding, unit.role, rate, block)
         tables = model.tables[unit.role]
         look = lambda table, slot: (tables[table][0][slot] / 16, int(tables[table][1][slot]))
         decisions = [(t, c, "flag") for c, t in enumerate(coding.flag_at.tolist())] + [(t, c, "tree") for c, t in enumerate(coding.token.tolist())]
-        bits = np.zeros(len(unit.text))
-        for doc in range(len(unit.text)):
+        bits = np.zeros(len(texts))
+        for doc in range(len(texts)):
             weights = {g: [float(w) for w in model.weights[g]] for g in range(mixing.GATES)}
             here = [d for d in decisions if tokens.doc[d[0]] == doc]
             first = int(tokens.bounds[doc])

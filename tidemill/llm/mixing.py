@@ -150,7 +150,7 @@ def ask(tokens: Tokens, training: bool, buckets: int) -> pa.RecordBatch:
     word_cuts = np.searchsorted(_buckets(words, buckets), np.arange(buckets + 1, dtype=np.uint64))
     keys = _context_keys(tokens, buckets)
     if training:
-        after = tokens.hashes & np.uint64(0xFFFFFFFF)
+        after = tokens.hashes & NEXT
         order = np.lexsort((after, keys))
         keys, after = keys[order], after[order]
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (after[1:] != after[:-1]))))
@@ -161,7 +161,7 @@ def ask(tokens: Tokens, training: bool, buckets: int) -> pa.RecordBatch:
         after, m, n = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros_like(n)
     cuts = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     arrays = [pa.array(np.arange(buckets, dtype=np.int32)), _binaries(words, word_cuts), _binaries(n.astype("<i4"), word_cuts)]
-    arrays += [_binaries(x.astype("<u4"), cuts) for x in (keys & np.uint64(0xFFFFFFFF), after, m)]
+    arrays += [_binaries((keys & np.uint64(0xFFFFFFFF)).astype("<u4"), cuts), _binaries(np.ascontiguousarray(after.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).view("V3").ravel(), cuts), _binaries(np.minimum(m, 255).astype(np.uint8), cuts)]
     made = pa.RecordBatch.from_arrays(arrays, names=["bucket", "words", "n", "keys", "after", "m"])
     return made.filter(pa.array((np.diff(word_cuts) > 0) | (np.diff(cuts) > 0)))
 
@@ -187,50 +187,78 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
     totals = np.bincount(back, n, len(kinds)).astype(np.int64)
     units = np.concatenate([b.column(0).to_numpy() for b in rows])
     word_cuts = np.searchsorted(row, np.arange(len(units) + 1))
-    (keys, row), (after, _), (m, _) = (_joined(c, "<u4") for c in columns[2:])
+    (keys, row), (low, _), (m, _) = (_joined(c, k) for c, k in zip(columns[2:], ("<u4", "u1", "u1")))
+    after = np.pad(low.reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel()
     own = m > 0  # asked by a training unit
     pair = keys.astype(np.uint64) << np.uint64(32) | after
     order = np.argsort(pair, kind="stable")
     pair, m = pair[order], m[order].astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
     m = np.add.reduceat(m, first) if len(first) else m
-    key, then = pair[first] >> np.uint64(32), pair[first] & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((then, -m, key))
-    key, then, m = key[order], then[order], m[order]
+    key, then = pair[first] >> np.uint64(32), pair[first] & NEXT
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(m, first) if len(first) else m
+    most = np.maximum.reduceat(m << 24 | (NEXT - then).astype(np.int64), first) if len(first) else m  # of equal counts, the least hash
+    best, then = most >> 24, NEXT.astype(np.int64) - (most & int(NEXT))
     fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, bool)
     at = np.searchsorted(key[first], keys[fresh])
     cuts = np.searchsorted(row[fresh], np.arange(len(units) + 1))
     known = kinds[totals > 0], totals[totals > 0]
-    best = np.argsort(-known[1], kind="stable")[:top]
-    about = [np.array([len(known[0]), (known[1] == 1).sum(), known[1].sum()], "<i8"), known[0][best], known[1][best].astype("<i8"), np.zeros(0, "<u4")]
+    often = np.argsort(-known[1], kind="stable")[:top]
+    about = [np.array([len(known[0]), (known[1] == 1).sum(), known[1].sum()], "<i8"), known[0][often], known[1][often].astype("<i8"), np.zeros(0, "<u2")]
     bucket = rows[0].column(1)[0].as_py()
-    n, told = totals[back].astype("<i8"), total[at] > 1  # what was seen once tells nothing but of the text that has it
-    heads = [np.where(told | ~own[fresh], x, 0).astype("<u4") for x in (then[first][at], m[first][at], total[at])]
-    made = [_packed(n[a:b], *(x[c:d] for x in heads)) for a, b, c, d in zip(word_cuts[:-1], word_cuts[1:], cuts[:-1], cuts[1:])]
+    n = totals[back]
+    n = n.astype("<u4") if n.max(initial=0) < 1 << 32 else n.astype("<u8")
+    told = (total[at] > 0) & ((total[at] > 1) | ~own[fresh])  # what was seen once tells nothing to the text that has it
+    at = at[told]
+    counted = np.concatenate(([0], np.cumsum(told)))[cuts]
+    heads = [then[at].astype("<u4"), np.minimum(best[at], 65535).astype("<u2"), np.minimum(total[at], 65535).astype("<u2")]
+    made = [PACKED.pack(n.itemsize, b - a, d - c, f - e) + n[a:b].tobytes() + np.packbits(told[c:d]).tobytes() + b"".join([x[e:f].tobytes() for x in heads])
+            for a, b, c, d, e, f in zip(word_cuts[:-1], word_cuts[1:], cuts[:-1], cuts[1:], counted[:-1], counted[1:])]
     arrays = [pa.array(np.append(units, -1)), pa.array(np.full(len(units) + 1, bucket, np.int32)), pa.array([*made, _packed(*about)], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=["unit", "bucket", "packed"])
 
 
 ANSWER = "unit long, bucket int, packed binary"
+#: Next words are told apart by so many bits of their hash.
+NEXT = np.uint64(0xFFFFFF)
 PACKED = struct.Struct("<4I")
 
 
 def _packed(*parts: np.ndarray) -> bytes:
-    """Four arrays in one compressed value, with their bytes in front."""
-    return PACKED.pack(*(x.nbytes for x in parts)) + zlib.compress(b"".join([x.tobytes() for x in parts]), 1)
+    """What a bucket tells of itself: four arrays with their bytes in front."""
+    return PACKED.pack(*(x.nbytes for x in parts)) + b"".join([x.tobytes() for x in parts])
 
 
-def _unpacked(values: list[bytes], kinds: tuple[str, ...] = ("<i8", "<u4", "<u4", "<u4")) -> list[np.ndarray]:
-    """The arrays of several packed values, each kind's one after another."""
+def told_by_buckets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of words, of words seen once and of tokens; the most frequent words; their counts) of all buckets."""
     held: list[list[bytes]] = [[], [], [], []]
     for value in values:
-        raw, at = zlib.decompress(value[PACKED.size :]), 0
+        at = PACKED.size
         for part, size in zip(held, PACKED.unpack_from(value)):
-            part.append(raw[at : at + size])
+            part.append(value[at : at + size])
             at += size
-    return [np.frombuffer(b"".join(part), kind) for part, kind in zip(held, kinds)]
+    sizes, words, n = (np.frombuffer(b"".join(part), kind) for part, kind in zip(held, ("<i8", "<u8", "<i8")))
+    return sizes.reshape(-1, 3).sum(axis=0), words, n
+
+
+def _unpacked(values: list[bytes]) -> list[np.ndarray]:
+    """Counts of a unit's words, and next word, its count and the total of its contexts (0 where nothing is known), from
+    the answers of its buckets in order."""
+    counts, heads = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(3)]
+    for value in values:
+        width, words, contexts, told = PACKED.unpack_from(value)
+        at = PACKED.size
+        counts.append(np.frombuffer(value, f"<u{width}", words, at).astype(np.int64))
+        at += words * width
+        where = np.unpackbits(np.frombuffer(value, np.uint8, -(-contexts // 8), at), count=contexts).astype(bool)
+        at += -(-contexts // 8)
+        for head, kind in zip(heads, ("<u4", "<u2", "<u2")):
+            whole = np.zeros(contexts, np.int64)
+            whole[where] = np.frombuffer(value, kind, told, at)
+            at += told * np.dtype(kind).itemsize
+            head.append(whole)
+    return [np.concatenate(counts), *(np.concatenate(h) for h in heads)]
 
 
 @dataclass
@@ -316,8 +344,8 @@ def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buck
     counts = joined[0][back]
     keys = _context_keys(tokens, buckets)
     _, back = np.unique(keys, return_inverse=True)
-    then, best, total = (x[back].astype(np.int64) for x in joined[1:])
-    hit = (tokens.hashes & np.uint64(0xFFFFFFFF)).astype(np.int64) == then
+    then, best, total = (x[back] for x in joined[1:])
+    hit = (tokens.hashes & NEXT).astype(np.int64) == then
     elsewhere = counts
     if training:
         n, mine = _own(tokens.doc, keys, hit)
@@ -551,7 +579,7 @@ class Learner:
 
 
 def _units(rows: DataFrame, id_type: str) -> DataFrame:
-    """(unit, role, doc_id, text): texts of one role in units of about UNIT_BYTES."""
+    """(unit, role, doc_id, sizes, text): texts of one role in units of about UNIT_BYTES, one compressed value each."""
 
     def run(batches):
         task, made, held = TaskContext.get().partitionId(), 0, {}
@@ -560,8 +588,9 @@ def _units(rows: DataFrame, id_type: str) -> DataFrame:
             nonlocal made
             made += 1
             ids, texts, _ = held.pop(role)
-            arrays = [pa.array([task << 32 | made], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(arrays, names=["unit", "role", "doc_id", "text"])
+            sizes, text = [len(t) for t in texts], zlib.compress(b"".join(texts), 1)
+            arrays = [pa.array([task << 32 | made], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([text], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["unit", "role", "doc_id", "sizes", "text"])
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -577,7 +606,7 @@ def _units(rows: DataFrame, id_type: str) -> DataFrame:
         for role in list(held):
             yield flush(role)
 
-    return rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, text array<binary>")
+    return rows.select("doc_id", "text", "role").mapInArrow(run, f"unit long, role int, doc_id array<{id_type}>, sizes array<int>, text binary")
 
 
 def _answers(units: DataFrame, buckets: int, top: int) -> DataFrame:
@@ -585,8 +614,8 @@ def _answers(units: DataFrame, buckets: int, top: int) -> DataFrame:
 
     def asking(batches):
         for batch in batches:
-            for unit, role, texts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                made = ask(Tokens(texts), role < 2, buckets)
+            for unit, role, sizes, text in _rows(batch, ["unit", "role", "sizes", "text"]):
+                made = ask(Tokens(unit_texts(sizes, text)), role < 2, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(made.num_rows, unit)), *made.columns], names=["unit", *made.schema.names])
 
     def answering(batches):
@@ -594,10 +623,15 @@ def _answers(units: DataFrame, buckets: int, top: int) -> DataFrame:
         if rows:
             yield answer(rows, top)
 
-    asked = units.select("unit", "role", "text").mapInArrow(asking, "unit long, bucket int, words binary, n binary, keys binary, after binary, m binary")
+    asked = units.select("unit", "role", "sizes", "text").mapInArrow(asking, "unit long, bucket int, words binary, n binary, keys binary, after binary, m binary")
     return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(answering, ANSWER)
 
 
+def unit_texts(sizes: list[int], text: bytes) -> list[bytes]:
+    raw, ends = zlib.decompress(text), np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _rows(batch: pa.RecordBatch, columns: list[str]) -> Iterator[list]:
     """Rows of a batch of units, one in memory at a time."""
     for k in range(batch.num_rows):
@@ -613,8 +647,8 @@ def _counted(rows: DataFrame, model: Model, buckets: int) -> dict[int, list]:
     def run(batches):
         counts = [[[np.zeros(n, np.int32) for _ in range(2)] for n in sizes] for _ in range(2)]
         for batch in batches:
-            for role, texts, answers in _rows(batch, ["role", "text", "answers"]):
-                coding = code(shared.value, Tokens(texts), True, answers, buckets)
+            for role, sizes_, text, answers in _rows(batch, ["role", "sizes", "text", "answers"]):
+                coding = code(shared.value, Tokens(unit_texts(sizes_, text)), True, answers, buckets)
 
                 def add(table, slot, bit, here=counts[role]):
                     both = np.bincount(slot * np.int64(2) + bit, minlength=2 * sizes[table])
@@ -649,8 +683,8 @@ def _train_mixer(rows: DataFrame, model: Model, buckets: int) -> tuple[np.ndarra
     def run(batches):
         learner = Learner(replace(shared.value, weights=shared.value.weights.copy()))
         for batch in batches:
-            for role, texts, answers in _rows(batch, ["role", "text", "answers"]):
-                learner.learn(code(shared.value, Tokens(texts), True, answers, buckets), role)
+            for role, sizes, text, answers in _rows(batch, ["role", "sizes", "text", "answers"]):
+                learner.learn(code(shared.value, Tokens(unit_texts(sizes, text)), True, answers, buckets), role)
         weights, ones, seen = learner.model.weights.astype(np.float64), learner.ones, learner.seen
         for gate in range(GATES):
             total = seen[gate].sum()
@@ -679,13 +713,12 @@ def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 15) -> tuple[Mod
     """
     made = Tables(rows.sparkSession)
     units = made.stored(_units(rows, id_type), "units")
-    size = units.select(F.aggregate("text", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    size = units.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, t: n + t).alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     top = 4 * vocabulary // buckets + 200  # words are dealt by hash: a bucket has more of the tree's words only by a miracle
     answers = made.stored(_answers(units, buckets, top), "answers")
     about = answers.filter("unit < 0").collect()
-    sizes, hashes, n, _ = _unpacked([r["packed"] for r in about], ("<i8", "<u8", "<i8", "<u4"))
-    sizes = sizes.reshape(-1, 3).sum(axis=0)
+    sizes, hashes, n = told_by_buckets([r["packed"] for r in about])
     keep = np.lexsort((hashes, -n))[:vocabulary]
     keep = keep[n[keep] > 1]  # words seen once stay out: what they share with new words is their spelling
     hashes, n = hashes[keep], n[keep]
@@ -699,7 +732,7 @@ def train(rows: DataFrame, id_type: str, vocabulary: int = 1 << 15) -> tuple[Mod
     packed = answers.filter("unit >= 0").groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("bucket", "packed"))).alias("answers"))
     units = stored(units.join(packed, "unit"), "answered")
     made.drop()
-    training = units.filter("role < 2").select("role", "text", "answers")
+    training = units.filter("role < 2").select("role", "sizes", "text", "answers")
     model.tables = _counted(training, model, buckets)
     weights, refine = _train_mixer(training, model, buckets)
     return replace(model, weights=weights, refine=refine), units, buckets
@@ -721,8 +754,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
     def score(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for u, (role, texts, answers) in enumerate(_rows(batch, ["role", "text", "answers"])):
-                model = shared.value
+            for u, (role, sizes, text, answers) in enumerate(_rows(batch, ["role", "sizes", "text", "answers"])):
+                model, texts = shared.value, unit_texts(sizes, text)
                 coding = code(model, Tokens(texts), role < 2, answers, buckets)
                 tokens, docs = coding.tokens, len(texts)
                 bits = bits_of(model, coding, role, rate, block)
