@@ -217,7 +217,7 @@ def test_buckets_answer_with_all_counts():
     assert told.tolist() == [len(counts), sum(n == 1 for n in counts.values()), counts.total()]
     model = mixing.Model(16, counts.total(), len(counts), np.zeros(0, np.uint64), huffman(np.array([5])), np.zeros(2, bool))
     for k, texts in enumerate(units):
-        coding = mixing.code(model, mixing.Tokens(texts), training[k], answered[k], buckets)
+        (coding,) = mixing.code(model, mixing.Tokens(texts), training[k], answered[k], buckets)
         words = [w for t in texts for w in split(t)]
         assert coding.counts.tolist() == [counts[w] for w in words]
         flags, at = dict(zip(coding.flag_at.tolist(), coding.flag_bit.tolist())), 0
@@ -259,8 +259,11 @@ def test_bits_against_a_scalar_mixer(spark):
     for unit in units.collect():
         texts = mixing.unit_texts(unit.sizes, unit.text)
         tokens = mixing.Tokens(texts)
-        coding = mixing.code(model, tokens, unit.role < 2, [a.asDict() for a in unit.answers], buckets)
+        answers = [a.asDict() for a in unit.answers]
+        (coding,) = mixing.code(model, tokens, unit.role < 2, answers, buckets)
         got = mixing.bits_of(model, coding, unit.role, rate, block)
+        some = list(mixing.code(model, tokens, unit.role < 2, answers, buckets, most=100))
+        assert len(some) > 1 and np.allclose(np.concatenate([mixing.bits_of(model, c, unit.role, rate, block) for c in some]), got)
         tables = model.tables[unit.role]
         look = lambda table, slot: (tables[table][0][slot] / 16, int(tables[table][1][slot]))
         decisions = [(t, c, "flag") for c, t in enumerate(coding.flag_at.tolist())] + [(t, c, "tree") for c, t in enumerate(coding.token.tolist())]

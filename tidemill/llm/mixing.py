@@ -48,6 +48,7 @@ GUIDES = 100
 UNIT_BYTES = 1_000_000
 BUCKET_BYTES = 12_000_000
 FLAGS = 1024
+PART_TOKENS = 8192
 CHUNK = 4096
 LIMIT = 12.0
 LOG10_2 = math.log10(2.0)
@@ -57,18 +58,6 @@ def fold_of(doc_id: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def pieces(texts: list[bytes], most: int = 300_000) -> Iterator[slice]:
-    """Slices of about ``most`` bytes each (one text at least): what is expanded to decisions at once."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield slice(first, i + 1)
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
-
-
 class Tokens:
     """Word hashes of texts with the end token after each text, the two-word context of each token, and where the words'
     bytes are."""
@@ -309,9 +298,14 @@ def _logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Coding:
-    """A unit as the model codes it: first decisions, tree decisions, and the words behind the escape."""
+    """Some texts of a unit as the model codes them: first decisions, tree decisions, words behind the escape.
+
+    Tokens are numbered over the unit.
+    """
 
     tokens: Tokens
+    first: int  # the first text, and how many
+    docs: int
     counts: np.ndarray  # of each token, with its own text's
     flag_at: np.ndarray  # tokens that have a first decision
     flag_bit: np.ndarray
@@ -337,8 +331,11 @@ def _own(doc: np.ndarray, what: np.ndarray, hit: np.ndarray | None = None):
     return n[back], (np.bincount(back, hit, len(n))[back].astype(np.int64) if hit is not None else None)
 
 
-def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buckets: int) -> Coding:
-    """``answers``: the unit's answers by bucket."""
+def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buckets: int, most: int = PART_TOKENS) -> Iterator[Coding]:
+    """The unit's texts in parts of about ``most`` tokens, whose decisions stay in a processor's cache.
+
+    answers: the unit's answers by bucket.
+    """
     joined = _unpacked([a["packed"] for a in answers])
     _, back = np.unique(tokens.hashes, return_inverse=True)
     counts = joined[0][back]
@@ -368,6 +365,7 @@ def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buck
     flag_slot = [(level(b) * 8 + level(t - b)) * 3 + before[flag_at], 256 + r * 16 + np.minimum(t, 15)]
     share = (b + 0.4) / (t + 0.8)
     flag_gate = 12 + (r > 0) + (r > 7) + (r > 14)
+    flag_bit, flag_logit = hit[flag_at].astype(np.uint8), np.log(share / (1 - share)).astype(np.float32)
 
     symbols = model.symbols(tokens.hashes)
     escape = len(model.hashes)
@@ -376,17 +374,23 @@ def code(model: Model, tokens: Tokens, training: bool, answers: list[dict], buck
     place[tokens.bounds[:-1]] = escape + 1
     mark = np.where(model.frequent[place] | (place == escape + 1), np.arange(len(place)), 0)
     guide = tokens.last[np.maximum.accumulate(mark)]
-    coded = np.flatnonzero(~held)
-    s = symbols[coded]
-    lengths = starts[s + 1] - starts[s]
-    which = np.repeat(np.arange(len(coded)), lengths)
-    at = np.arange(len(which)) + np.repeat(starts[s] - (np.cumsum(lengths) - lengths), lengths)
-    node = nodes[at]
-    salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(64 - model.slot_bits)
-    slot = [((mix(x[coded])[which] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int32) for x in (guide, tokens.last)]
-    rare = coded[s == escape]
-    return Coding(tokens, counts, flag_at, hit[flag_at].astype(np.uint8), np.log(share / (1 - share)).astype(np.float32), flag_slot, flag_gate, coded[which], bits[at], node, slot, rare, elsewhere[rare])
+    first, docs = 0, len(tokens.bounds) - 1
+    while first < docs:
+        last = max(first + 1, int(np.searchsorted(tokens.bounds, tokens.bounds[first] + most, side="right")) - 1)
+        low, high = int(tokens.bounds[first]), int(tokens.bounds[last])
+        coded = low + np.flatnonzero(~held[low:high])
+        s = symbols[coded]
+        lengths = starts[s + 1] - starts[s]
+        which = np.repeat(np.arange(len(coded)), lengths)
+        at = np.arange(len(which)) + np.repeat(starts[s] - (np.cumsum(lengths) - lengths), lengths)
+        node = nodes[at]
+        salt = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        slot = [((mix(x[coded])[which] ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> shift).astype(np.int32) for x in (guide, tokens.last)]
+        rare = coded[s == escape]
+        f = slice(*np.searchsorted(flag_at, (low, high)))
+        yield Coding(tokens, first, last - first, counts[low:high], flag_at[f], flag_bit[f], flag_logit[f], [x[f] for x in flag_slot], flag_gate[f], coded[which], bits[at], node, slot, rare, elsewhere[rare])
+        first = last
 
 
 def spelled(model: Model, coding: Coding) -> tuple[np.ndarray, np.ndarray]:
@@ -422,7 +426,7 @@ def byte_decisions(model: Model, tokens: Tokens, places: np.ndarray):
     return word[byte], bit, slots
 
 
-def _parts(places: np.ndarray, most: int = 8_000) -> Iterator[slice]:
+def _parts(places: np.ndarray, most: int = 1_000) -> Iterator[slice]:
     yield from (slice(k, min(k + most, len(places))) for k in range(0, len(places), most))
 
 
@@ -521,12 +525,11 @@ def _mixed(model: Model, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def bits_of(model: Model, coding: Coding, role: int, rate: float, block: int) -> np.ndarray:
-    """Total bits of each text of a unit."""
-    tokens = coding.tokens
-    docs = len(tokens.bounds) - 1
+    """Total bits of each of these texts."""
+    tokens, docs = coding.tokens, coding.docs
     token, x, gate, bit = word_inputs(model, coding, role)
     doc = tokens.doc[token]
-    total = mix_online(model, docs, doc, (token - tokens.bounds[doc]) // block, x, gate, bit, rate)
+    total = mix_online(model, docs, doc - coding.first, (token - tokens.bounds[doc]) // block, x, gate, bit, rate)
     places, number = spelled(model, coding)
     cost = np.zeros(len(places) + 1)
     cost[-1] = 8.0  # an end token behind the escape is an end byte
@@ -537,7 +540,7 @@ def bits_of(model: Model, coding: Coding, role: int, rate: float, block: int) ->
     fresh = (model.once + 1) / (model.rest + 2) if model.rest else 1.0
     seen = np.maximum(coding.seen, 0)
     rare = np.where(seen > 0, -np.log2(np.maximum((1 - fresh) * seen / max(1, model.rest), 1e-30)), cost[number] - math.log2(fresh))
-    return total + np.bincount(tokens.doc[coding.rare], rare, docs)
+    return total + np.bincount(tokens.doc[coding.rare] - coding.first, rare, docs)
 
 
 class Learner:
@@ -565,13 +568,14 @@ class Learner:
             self.slope[g] += x[:, a:b] @ off[a:b]
             self.bend[g] += bent[:, a:b] @ x[:, a:b].T
 
-    def learn(self, coding: Coding, role: int) -> None:
+    def learn(self, codings: Iterator[Coding], role: int) -> None:
         """One step from all decisions of a unit."""
-        _, x, gate, bit = word_inputs(self.model, coding, role)
-        self._watch(x, gate, bit)
-        places, _ = spelled(self.model, coding)
-        for part in _parts(places):
-            self._watch(*byte_inputs(self.model, coding.tokens, role, places[part])[1:])
+        for coding in codings:
+            _, x, gate, bit = word_inputs(self.model, coding, role)
+            self._watch(x, gate, bit)
+            places, _ = spelled(self.model, coding)
+            for part in _parts(places):
+                self._watch(*byte_inputs(self.model, coding.tokens, role, places[part])[1:])
         step = np.linalg.solve(self.bend + 20 * np.eye(INPUTS), self.slope[:, :, None])[:, :, 0]
         self.model.weights = np.clip(self.model.weights + 0.5 * step, -1, 2).astype(np.float32)
         self.slope[:] = 0
@@ -648,14 +652,14 @@ def _counted(rows: DataFrame, model: Model, buckets: int) -> dict[int, list]:
         counts = [[[np.zeros(n, np.int32) for _ in range(2)] for n in sizes] for _ in range(2)]
         for batch in batches:
             for role, sizes_, text, answers in _rows(batch, ["role", "sizes", "text", "answers"]):
-                coding = code(shared.value, Tokens(unit_texts(sizes_, text)), True, answers, buckets)
-
-                def add(table, slot, bit, here=counts[role]):
-                    both = np.bincount(slot * np.int64(2) + bit, minlength=2 * sizes[table])
-                    here[table][0] += both[::2].astype(np.int32)
-                    here[table][1] += both[1::2].astype(np.int32)
-
-                seen_slots(shared.value, coding, add)
+                seen: list[list[np.ndarray]] = [[] for _ in sizes]
+                for coding in code(shared.value, Tokens(unit_texts(sizes_, text)), True, answers, buckets):
+                    seen_slots(shared.value, coding, lambda table, slot, bit, seen=seen: seen[table].append(slot.astype(np.int32) * 2 + bit))
+                for here, parts in zip(counts[role], seen):
+                    if parts:
+                        both = np.bincount(np.concatenate(parts), minlength=2 * len(here[0]))
+                        here[0] += both[::2].astype(np.int32)
+                        here[1] += both[1::2].astype(np.int32)
         for role, half in enumerate(counts):
             for table, (zeros, ones) in enumerate(half):
                 for k in range(0, sizes[table], CHUNK):
@@ -756,16 +760,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tra
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for u, (role, sizes, text, answers) in enumerate(_rows(batch, ["role", "sizes", "text", "answers"])):
                 model, texts = shared.value, unit_texts(sizes, text)
-                coding = code(model, Tokens(texts), role < 2, answers, buckets)
-                tokens, docs = coding.tokens, len(texts)
-                bits = bits_of(model, coding, role, rate, block)
+                tokens, docs = Tokens(texts), len(texts)
+                codings = ((c.counts, bits_of(model, c, role, rate, block)) for c in code(model, tokens, role < 2, answers, buckets))
+                counts, bits = map(np.concatenate, zip(*codings))
                 arrays = [
                     ids[u].values,
                     pa.array(np.full(docs, role == 2)),
                     pa.array(np.diff(tokens.bounds)),
-                    pa.array(np.bincount(tokens.doc, coding.counts > 0, docs).astype(np.int64)),
+                    pa.array(np.bincount(tokens.doc, counts > 0, docs).astype(np.int64)),
                     pa.array(np.full(docs, model.train_tokens)),
-                    pa.array(np.bincount(tokens.doc, model.base(coding.counts), docs)),
+                    pa.array(np.bincount(tokens.doc, model.base(counts), docs)),
                     pa.array(bits * -LOG10_2),
                     pa.array(bits / np.maximum([len(t) for t in texts], 1)),
                 ]
