@@ -90,6 +90,8 @@ def test_sources_and_sinks(spark, tmp_path):
     text = "date,v,name\n2024-01-01,1.5,a\n2024-01-02,x,b\n"
     assert [r.name for r in files.read(spark, text).collect()] == ["a", "b"]
     assert files.read(spark, text.replace("x", "2")).schema["v"].dataType.simpleString() == "double"
+    quoted = files.read(spark, '"a, b",`c`\n"x, y",2\n')
+    assert quoted.columns == ["a, b", "`c`"] and quoted.first()[0] == "x, y" and quoted.first()[1] == 2.0
     assert files.read(spark, {"a": 1}).count() == 1 and files.read(spark, [{"a": 1}, {"a": 2}]).count() == 2
     df = spark.createDataFrame([(1, float("nan")), (2, 2.0)], "k int, v double")
     for form in ("csv", "json", "parquet"):

@@ -13,12 +13,13 @@ from .windows import ordered
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as rows (a, b, corr), all in one aggregate."""
+    """Pairwise-complete Pearson correlations as rows (a, b, corr), all in one aggregate; each pair is worked out once."""
     columns = list(columns)
-    pairs = [(a, b) for a in columns for b in columns]
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
     one = df.agg(*[F.nanvl(both(a, b), F.lit(None)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
+    both_ways = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for a, b, i in both_ways])
     return one.select(F.inline(rows))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +48,13 @@ def _csv(spark: SparkSession, schema: str | None):
 def csv_text(spark: SparkSession, text: str) -> DataFrame:
     """A CSV literal: parsed by Spark's expression, types inferred from the first data row on the driver."""
     lines = [line for line in text.strip().splitlines() if line.strip()]
-    names = [c.strip() for c in lines[0].split(",")]
+    names = [c.strip() for c in next(csv.reader([lines[0]]))]
     raw = spark.createDataFrame([(x,) for x in lines[1:]], "line string")
-    row = F.from_csv("line", ", ".join(f"`{c}` string" for c in names))
+    row = F.from_csv("line", ", ".join(f"`{c.replace(chr(96), chr(96) * 2)}` string" for c in names))
     table = raw.select(row.alias("r")).select("r.*")
-    counts = table.agg(*[(F.count(c) == F.count(F.col(c).try_cast("double"))).alias(c) for c in names]).first()
-    return table.select(*[F.col(c).cast("double").alias(c) if counts[c] else F.col(c) for c in names])
+    held = [F.col(f"`{c.replace(chr(96), chr(96) * 2)}`") for c in names]
+    counts = table.agg(*[(F.count(c) == F.count(c.try_cast("double"))).alias(f"_{i}") for i, c in enumerate(held)]).first()
+    return table.select(*[c.cast("double").alias(n) if counts[f"_{i}"] else c for i, (n, c) in enumerate(zip(names, held))])
 
 
 def read_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
