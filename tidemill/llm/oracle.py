@@ -64,4 +64,17 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS B
 FROM d LEFT JOIN k USING (r) LEFT JOIN x USING (r)
 """
 
-ORACLES = {"op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+l AS (
+  SELECT r, doc_id, t.i, a[t.i] AS line,
+         translate(trim(a[t.i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM d, unnest(generate_series(1, len(a))) AS t(i)),
+h AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
+m AS (SELECT l.*, h.k IS NOT NULL AND (doc_id IS NULL OR doc_id < last) AS gone FROM l LEFT JOIN h USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+ORACLES = {"op13_line_dedup": OP13, "op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from .chat import format_chat, formatted, loss_texts, read_turns
 from .common import add_columns, read_table, stored, utf8
 from .decontaminate import decontaminate
+from .linededup import drop_repeated_lines
 from .mixing import score_texts
 from .neardup import near_duplicates
 from .pack import pack, with_crc
@@ -119,6 +120,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id", "class_size")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def page_digest(pages: DataFrame) -> DataFrame:
     """One row of checks and features a medium, from its page rows as ``decode_pages`` gives them: page 0 first, the
     others behind it in one task.
@@ -169,4 +175,5 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_line_dedup": op13_line_dedup,
 }
