@@ -64,6 +64,38 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS B
 FROM d LEFT JOIN k USING (r) LEFT JOIN x USING (r)
 """
 
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 10 * length(x) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN g USING (doc_id)),
+n AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM n a, n b, n c, n d, n e
+  WHERE a.c <> b.c AND a.c <> c.c AND a.c <> d.c AND a.c <> e.c AND b.c <> c.c AND b.c <> d.c AND b.c <> e.c AND c.c <> d.c AND c.c <> e.c AND d.c <> e.c),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k] AS mine, filter_order[:k - 1] AS before FROM o, unnest(generate_series(1, 5)) AS t(k)),
+u AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+r AS (
+  SELECT part, filter_order, step, mine,
+         coalesce(sum(n) FILTER (NOT contains(fails, mine) AND translate(fails, before, '') = fails), 0) AS kept,
+         coalesce(sum(n) FILTER (contains(fails, mine) AND translate(fails, before, '') = fails), 0) AS removed,
+         coalesce(sum(n) FILTER (contains(fails, mine) AND translate(fails, before, '') <> fails), 0) AS redundant,
+         coalesce(sum(n) FILTER (fails = mine), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (contains(fails, mine) AND translate(fails, before, '') = fails), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (contains(fails, mine) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM u, s GROUP BY part, filter_order, step, mine)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, mine) AS BIGINT) AS shapley
+FROM r
+"""
+
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (
@@ -77,4 +109,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
-ORACLES = {"op13_line_dedup": OP13, "op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}
+ORACLES = {"op11_filter_audit": OP11, "op13_line_dedup": OP13, "op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}

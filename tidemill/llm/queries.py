@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .audit import audit
 from .chat import format_chat, formatted, loss_texts, read_turns
 from .common import add_columns, read_table, stored, utf8
 from .decontaminate import decontaminate
@@ -120,6 +121,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id", "class_size")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -175,5 +180,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_filter_audit": op11_filter_audit,
     "op13_line_dedup": op13_line_dedup,
 }
