@@ -96,6 +96,34 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM r
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY lang, source, term),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n, v, total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS mine
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (
+  SELECT lang, source, term, n, CAST(1 + 1000000000::HUGEINT * (n + 2) // (mine + 2 * v) AS HUGEINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (lang_n + 2) // (total + 2 * v) AS HUGEINT) AS q
+  FROM f),
+a AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(a.value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (
@@ -109,4 +137,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY r, doc_id
 """
 
-ORACLES = {"op11_filter_audit": OP11, "op13_line_dedup": OP13, "op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}
+ORACLES = {"op11_filter_audit": OP11, "op12_source_divergence": OP12, "op13_line_dedup": OP13, "op8_substrings": OP8, "op1_decontaminate": OP1, "op3_chat": OP3}

@@ -15,6 +15,7 @@ from .audit import audit
 from .chat import format_chat, formatted, loss_texts, read_turns
 from .common import add_columns, read_table, stored, utf8
 from .decontaminate import decontaminate
+from .divergence import divergences
 from .linededup import drop_repeated_lines
 from .mixing import score_texts
 from .neardup import near_duplicates
@@ -125,6 +126,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -181,5 +186,6 @@ QUERIES = {
     "op9_tiff": op9_tiff,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
     "op13_line_dedup": op13_line_dedup,
 }
