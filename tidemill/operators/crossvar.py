@@ -7,9 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .windows import ordered
+from .ranges import Cut, beside, cut, with_windows
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,20 +38,30 @@ def variable_stats(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"_{c}") for c in roles])))
 
 
-def ccf(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ts: str = "ts", max_lag: int = 20, rows: int | None = None) -> DataFrame:
+def ccf(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ts: str = "ts", max_lag: int = 20, rows: int | None = None, at: Cut | None = None) -> DataFrame:
     """Cross-correlation of z-normed series at lags -L to L: keys, lag, ccf; a positive lag has x leading y.
 
-    Lags go up to ``max_lag`` and to a third of the shortest series; pass ``rows`` (its length) to save the count.
+    Lags go up to ``max_lag`` and to a third of the shortest series; pass ``rows`` (its length) and ``at`` to save a pass.
+    Series are cut in ranges of time with a halo of the largest lag. A column that never changes gives null.
     """
     keys = list(keys)
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if rows is None:
-        rows = (known.groupBy(*keys).count() if keys else known.agg(F.count("*").alias("count"))).agg(F.min("count")).first()[0] or 0
+    moments = {f"_{f}{c}": fn(c) for c in (x, y) for f, fn in (("m", F.avg), ("s", F.stddev_pop))}
+    if keys:
+        told = known.groupBy(*keys).agg(F.count("*").alias("_n"), *[m.alias(name) for name, m in moments.items()])
+        at = at or cut(known, ts)
+        rows = (told.agg(F.min("_n")).first()[0] or 0) if rows is None else rows
+        known = beside(known, told, keys)
+        fact = F.col
+    else:
+        seen = cut(known, ts, **moments)
+        at, rows = at or seen, seen.facts["n"] if rows is None else rows
+        fact = lambda name: F.lit(seen.facts[name]).cast("double")
     top = min(max_lag, rows // 3)
-    w, order = W.partitionBy(*keys), ordered(keys, ts)
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)
-    at = known.select(*keys, ts, z(x).alias("_x"), z(y).alias("_y"))
-    moved = at.select(*keys, *[(F.col("_y") * F.lag("_x", k).over(order) if k >= 0 else F.col("_y") * F.lead("_x", -k).over(order)).alias(f"_{k + top}") for k in range(-top, top + 1)])
+    z = lambda c: F.when(fact(f"_s{c}") != 0, (F.col(c) - fact(f"_m{c}")) / fact(f"_s{c}"))
+    normed = known.select(*keys, ts, z(x).alias("_x"), z(y).alias("_y"))
+    product = lambda order: {f"_{k + top}": F.col("_y") * (F.lag("_x", k) if k >= 0 else F.lead("_x", -k)).over(order) for k in range(-top, top + 1)}
+    moved = with_windows(normed, keys, ts, product, top, top, at)
     one = moved.groupBy(*keys).agg(*[F.avg(f"_{i}").alias(f"_{i}") for i in range(2 * top + 1)])
     rows_of = F.array(*[F.struct(F.lit(i - top).alias("lag"), F.col(f"_{i}").alias("ccf")) for i in range(2 * top + 1)])
     return one.select(*keys, F.inline(rows_of))
@@ -66,12 +75,12 @@ def best_lag(correlations: DataFrame, n: int, keys: Sequence[str] = ()) -> DataF
     return made.withColumn("sig_threshold", F.lit(limit)).withColumn("significant", F.abs("max_ccf") > limit)
 
 
-def event_impact(df: DataFrame, dependent: str, event: str, ts: str = "ts", after: int = 5) -> DataFrame:
+def event_impact(df: DataFrame, dependent: str, event: str, ts: str = "ts", after: int = 5, at: Cut | None = None) -> DataFrame:
     """Means on and off the event, lift, Cohen's d and the mean of the ``after`` rows behind events."""
     d, on = F.col(dependent), F.col(event) == 1
-    behind = F.avg(dependent).over(W.orderBy(ts).rowsBetween(1, after))
-    at = df.filter(d.isNotNull() & F.col(event).isNotNull()).withColumn("_after", behind)
-    made = at.agg(
+    known = df.filter(d.isNotNull() & F.col(event).isNotNull())
+    behind = with_windows(known, [], ts, lambda order: {"_after": F.avg(dependent).over(order.rowsBetween(1, after))}, ahead=after, at=at or cut(known, ts))
+    made = behind.agg(
         F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), F.avg(F.when(on, d)).alias("mean_on"), F.avg(F.when(~on, d)).alias("mean_off"),
         F.var_samp(F.when(on, d)).alias("_v1"), F.var_samp(F.when(~on, d)).alias("_v0"), F.avg(F.when(on, F.col("_after"))).alias("mean_after"),
     )
@@ -91,20 +100,22 @@ def _r2_two(y: Column, a: Column, x: Column) -> Column:
     return F.greatest(F.lit(0.0), (ya * ya + yx * yx - 2 * ya * yx * ax) / (1 - ax * ax))
 
 
-def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_lag: int = 8, rows: int | None = None) -> DataFrame:
+def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_lag: int = 8, rows: int | None = None, at: Cut | None = None) -> DataFrame:
     """Per lag: R2 of y on its last value, R2 with the lagged driver added, the gain, and whether it is useful."""
-    known = df.filter(F.col(dependent).isNotNull() & F.col(driver).isNotNull())
-    n = known.count() if rows is None else rows
-    top = min(max_lag, n // 4)
-    order = W.orderBy(ts)
-    at = known.select(F.col(dependent).alias("y"), F.lag(dependent).over(order).alias("a"), *[F.lag(driver, k).over(order).alias(f"x{k}") for k in range(1, top + 1)])
+    known = df.filter(F.col(dependent).isNotNull() & F.col(driver).isNotNull()).select(ts, F.col(dependent).alias("y"), F.col(driver).alias("_x"))
+    if at is None or rows is None:
+        seen = cut(known, ts)
+        at, rows = at or seen, seen.facts["n"] if rows is None else rows
+    top = min(max_lag, rows // 4)
+    lagged = lambda order: {"a": F.lag("y").over(order)} | {f"x{k}": F.lag("_x", k).over(order) for k in range(1, top + 1)}
+    moved = with_windows(known, [], ts, lagged, back=max(1, top), at=at)
     base = F.corr(F.when(F.col("a").isNotNull(), F.col("y")), F.col("a"))
     aggs = [F.pow(base, 2).alias("_base")]
     for k in range(1, top + 1):
         whole = F.col("a").isNotNull() & F.col(f"x{k}").isNotNull()
         keep = lambda c, w=whole: F.when(w, F.col(c))
         aggs += [_r2_two(keep("y"), keep("a"), keep(f"x{k}")).alias(f"_r{k}"), F.count_if(whole).alias(f"_n{k}")]
-    one = at.agg(*aggs)
+    one = moved.agg(*aggs)
     rows_of = F.array(*[F.struct(F.lit(k).alias("lag"), F.col("_base").alias("base_r2"), F.col(f"_r{k}").alias("r2"), (F.col(f"_r{k}") - F.col("_base")).alias("gain"), F.col(f"_n{k}").alias("n")) for k in range(1, top + 1)])
     return one.select(F.inline(rows_of)).filter("n >= 10").withColumn("useful", F.col("gain") > 0.01)
 

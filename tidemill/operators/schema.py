@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.scalars import name_tokens
+from .ranges import cut, with_windows
 from .resample import detect_frequency
 
 #: Name tokens that mark a time column, in order of preference.
@@ -54,17 +54,20 @@ def parsed(column: Column, patterns: Sequence[str] = PATTERNS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in patterns]).cast("timestamp_ntz")
 
 
-def parse_scores(df: DataFrame, column: str, choices: dict[str, Sequence[str]]) -> DataFrame:
-    """Per choice of patterns: values parsed, month starts, first days, share of the commonest gap."""
-    frames = []
-    for name, patterns in choices.items():
-        at = df.select(parsed(F.col(column), patterns).alias("t"))
-        gaps = at.filter("t is not null").distinct()
-        gaps = gaps.select((F.unix_micros(F.col("t").cast("timestamp")) - F.lag(F.unix_micros(F.col("t").cast("timestamp"))).over(W.orderBy("t"))).alias("g")).filter("g is not null")
-        share = gaps.groupBy("g").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("gap_share")).withColumn("choice", F.lit(name))
-        stats = at.agg(F.count("t").alias("n_valid"), F.count_if(F.dayofmonth("t") == 1).alias("n_first_days")).withColumn("choice", F.lit(name))
-        frames.append(stats.join(share, "choice"))
-    return reduce(DataFrame.unionByName, frames)
+def parse_scores(df: DataFrame, column: str, choices: dict[str, Sequence[str]], ranges: int | None = None) -> DataFrame:
+    """Per choice of patterns: values parsed, month starts, first days, share of the commonest gap.
+
+    Every choice is tried on one pass; gaps between the different times are taken in ranges of time.
+    """
+    tried = F.explode(F.array(*[F.struct(F.lit(name).alias("choice"), parsed(F.col(column), patterns).alias("t")) for name, patterns in choices.items()]))
+    counts = df.select(tried.alias("s")).select("s.*").groupBy("choice", "t").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp")))
+    times = counts.filter("t is not null")
+    gaps = with_windows(times, ["choice"], "micros", lambda order: {"g": F.col("micros") - F.lag("micros").over(order)}, back=1, at=cut(times, "micros", ranges))
+    share = gaps.filter("g is not null").groupBy("choice", "g").agg(F.count("*").alias("n")).groupBy("choice").agg((F.max("n") / F.sum("n")).alias("gap_share"))
+    valid, firsts = F.when(F.col("t").isNotNull(), F.col("n")), F.when(F.dayofmonth("t") == 1, F.col("n"))
+    stats = counts.groupBy("choice").agg(F.coalesce(F.sum(valid), F.lit(0)).alias("n_valid"), F.coalesce(F.sum(firsts), F.lit(0)).alias("n_first_days"))
+    return stats.join(share, "choice", "left")
 
 
 def parse_dates(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
