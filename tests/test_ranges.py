@@ -69,3 +69,40 @@ def test_relations_over_fifty_ranges_equal_one(spark):
 def test_ccf_of_a_constant_is_null(spark):
     df = frame(spark, 60).withColumn("x", F.lit(3.0))
     assert {r.ccf for r in crossvar.ccf(df, "x", "v").collect()} == {None}
+
+
+def plain_croston(values, start=None, alpha=0.1, beta=0.1):
+    """(size, interval, demands) of Croston, (size, probability) of TSB, row by row."""
+    z = p = gap = k = 0
+    for v in values:
+        gap += 1
+        if v > 0:
+            z, p = (v, start or max(1, gap)) if k == 0 else (z + alpha * (v - z), p + alpha * (gap - p))
+            k, gap = k + 1, 0
+    hits = [v for v in values if v > 0]
+    size, share = (hits[0] if hits else 0.0), len(hits) / max(1, len(values))
+    for v in values:
+        size = size + alpha * (v - size) if v > 0 else size
+        share += beta * ((v > 0) - share)
+    return z, p, k, size, share
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_croston_family_over_ranges(spark, ranges):
+    from tidemill.operators import intermittency
+
+    rng = random.Random(3)
+    series = {"a": [rng.choice([0, 0, 0, 2, 5]) for _ in range(300)], "b": [0] * 40, "c": [0, 0, 3], "d": [4], "e": [0] * 150 + [1, 0, 0, 7] + [0] * 100, None: [1.5] * 30}
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(hours=i), float(v)) for k, values in series.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    at = cut(df, "ts", ranges)
+    assert len(at.bounds) == ranges - 1
+    one = {r.k: r.forecast for r in intermittency.croston_forecast(df, ["k"], at=at).collect()}
+    made = {m: {r.k: r.forecast for r in intermittency.family_forecast(df, ["k"], m, 1, at=at).collect()} for m in ("croston", "sba", "tsb")}
+    for k, values in series.items():
+        z, p, hits, size, share = plain_croston(values)
+        assert made["croston"][k] == pytest.approx(z / p if hits else 0) and made["sba"][k] == pytest.approx(0.95 * z / p if hits else 0)
+        assert made["tsb"][k] == pytest.approx(size * share)
+        z, p, hits, *_ = plain_croston(values, start=1.0)
+        assert one[k] == (pytest.approx(z / p) if hits >= 2 else None)
