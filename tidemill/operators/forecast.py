@@ -15,6 +15,7 @@ from . import intermittency
 from .kernels import by_series
 from .missing import joined_by
 from .models import run_models
+from .ranges import cut
 from .windows import ordered
 
 MODELS = ("ETS", "ARIMA", "LinearRegression", "FLANN", "RecurrentFLANN", "RVFL")
@@ -135,8 +136,9 @@ def automatic(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | Freq
     part = lambda m: at.filter(F.col("model") == m)
     made = drift(at.filter(F.col("model").isin("drift", "repeat")), keys, horizon, ts, value)
     made = made.unionByName(seasonal_naive(part("seasonal_naive"), keys, horizon, period, ts, value))
+    ranges = cut(known, ts)
     for m in ("sba", "tsb"):
-        made = made.unionByName(intermittency.family_forecast(part(m), keys, m, horizon, ts, value).drop("model"))
+        made = made.unionByName(intermittency.family_forecast(part(m), keys, m, horizon, ts, value, at=ranges).drop("model"))
     out = joined_by(made, how, keys)
     return out if allow_negative else out.withColumn("forecast", F.greatest("forecast", F.lit(0.0)))
 

@@ -104,9 +104,14 @@ def with_windows(
         order = W.partitionBy(*keys, "_block").orderBy(ts, *ties)
         return df.withColumn("_block", F.lit(0)).withColumns(make(order)).drop("_block")
     placed = positions(df, keys, ts, at, "_i", ties)
-    block = lambda x: F.floor(x / F.lit(at.block))
-    dealt = placed.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), block(F.col("_i") - ahead)), block(F.col("_i") + back))))
-    order = W.partitionBy(*keys, "_block").orderBy("_i")
-    made = make(order)
-    out = dealt.withColumns(made).filter(block(F.col("_i")) == F.col("_block"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *made)
+    made = over_blocks(placed, keys, make, back, ahead, at.block)
+    return made.drop("_i")
+
+
+def over_blocks(placed: DataFrame, keys: Sequence[str], make: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int, block: int = BLOCK) -> DataFrame:
+    """Windows over rows that carry their position ``_i``, in blocks of positions with a halo."""
+    of = lambda x: F.floor(x / F.lit(block))
+    dealt = placed.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), of(F.col("_i") - ahead)), of(F.col("_i") + back))))
+    made = make(W.partitionBy(*keys, "_block").orderBy("_i"))
+    out = dealt.withColumns(made).filter(of(F.col("_i")) == F.col("_block"))
+    return out.select(*[F.col(f"`{c}`") for c in placed.columns if c not in made], *made)

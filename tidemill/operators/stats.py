@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.special import chi2_tail, t_below, t_tails
+from ..sources.shared import kept
+from .decompose import stl
 from .kernels import by_series, median_slope
+from .ranges import Cut, beside, cut, with_windows
+from .regress import least_squares
 from .windows import ordered
 
 
@@ -33,16 +38,11 @@ def significant_lags(correlations: DataFrame, keys: Sequence[str], most: int = 1
 
 
 def ljung_box(correlations: DataFrame, keys: Sequence[str], lags: int = 10) -> DataFrame:
-    """Q statistic over the first lags (of residuals): keys, statistic, lags, p_value.
-
-    The chi-square tail has a closed form for even degrees of freedom; for an odd number of lags p_value is null.
-    """
+    """Q statistic over the first lags (of residuals): keys, statistic, lags, p_value (the tail of chi-squared)."""
     n = F.col("n")
     part = F.when((F.col("lag") > 0) & (F.col("lag") <= lags), F.pow("acf", 2) / (n - F.col("lag")))
     made = correlations.groupBy(*keys).agg((F.max(n * (n + 2)) * F.sum(part)).alias("statistic"), F.lit(lags).alias("lags"))
-    half = F.col("statistic") / 2
-    tail = sum((F.pow(half, i) / math.factorial(i) for i in range(lags // 2)), F.lit(0.0)) * F.exp(-half)
-    return made.withColumn("p_value", tail if lags % 2 == 0 else F.lit(None).cast("double"))
+    return made.withColumn("p_value", chi2_tail(F.col("statistic"), lags))
 
 
 def kpss(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
@@ -60,14 +60,62 @@ def kpss(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -
 
 
 def ols_trend(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
-    """Least-squares trend over positions: slope, intercept, r2, t statistic, direction."""
+    """Least-squares trend over positions: slope, intercept, r2, t statistic, p value of both its tails, direction."""
     at = df.filter(F.col(value).isNotNull()).withColumn("_x", (F.row_number().over(ordered(keys, ts)) - 1).cast("double"))
     y, x = F.col(value), F.col("_x")
     r2, n = F.regr_r2(y, x), F.count("*")
     made = at.groupBy(*keys).agg(n.alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), r2.alias("r2"))
     t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2") + 1e-12))
     direction = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("flat")
-    return made.withColumn("t_statistic", t).withColumn("direction", direction)
+    made = made.withColumn("t_statistic", t).withColumn("direction", direction)
+    return made.withColumn("p_value", t_tails(F.col("t_statistic"), F.greatest(F.col("n") - 2, F.lit(1))))
+
+
+def adf(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v", at: Cut | None = None) -> DataFrame:
+    """Dickey-Fuller with a constant and one lagged difference: keys, statistic, p_value (the lower tail of t, 0.001 to 1),
+    stationary under -2.86. A series with fewer than six steps has statistic 0 and p value 1."""
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
+    before = lambda order: {"_a": F.lag("_v").over(order), "_b": F.lag("_v").over(order) - F.lag("_v", 2).over(order)}
+    moved = with_windows(known, keys, ts, before, back=2, at=at or cut(known, ts)).withColumn("_y", F.col("_v") - F.col("_a"))
+    fit = least_squares(moved, keys, "_y", ["_a", "_b"])
+    few = F.col("n") < 5
+    made = fit.withColumn("statistic", F.when(few, 0.0).otherwise(F.get("coef", F.lit(0)) / (F.get("error", F.lit(0)) + 1e-12)))
+    tail = t_below(F.col("statistic"), F.greatest(F.lit(1), F.col("n") - 3))
+    return made.select(*keys, "statistic", F.when(few, 1.0).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(1.0), tail))).alias("p_value"), (~few & (F.col("statistic") < -2.86)).alias("stationary"))
+
+
+def arch_lm(df: DataFrame, keys: Sequence[str], lags: int = 5, ts: str = "ts", value: str = "residual", at: Cut | None = None) -> DataFrame:
+    """Squares regressed on their last ``lags``: keys, n, statistic (n times R2), p_value (the tail of chi-squared)."""
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, (F.col(value) * F.col(value)).cast("double").alias("_s"))
+    xs = [f"_s{k}" for k in range(1, lags + 1)]
+    moved = with_windows(known, keys, ts, lambda order: {x: F.lag("_s", k + 1).over(order) for k, x in enumerate(xs)}, back=lags, at=at or cut(known, ts))
+    fit = least_squares(moved, keys, "_s", xs).withColumn("n", F.col("n") + lags).withColumn("statistic", F.col("n") * F.col("r2"))
+    return fit.select(*keys, "n", "statistic", chi2_tail(F.col("statistic"), lags).alias("p_value"))
+
+
+def series_tests(df: DataFrame, keys: Sequence[str], period: int, ts: str = "ts", value: str = "v", at: Cut | None = None) -> DataFrame:
+    """Rows (keys, test, statistic, p_value, verdict) of series of 14 values or more: adf, kpss and the differencing they
+    call for, ljung_box and arch_lm of the residual of ``decompose.stl``, trend. All in windows and aggregates."""
+    keys = list(keys)
+    at = at or cut(df, ts)
+    parts = kept(stl(df, keys, period, ts, value, at), "components")  # six tests read it
+    series = parts.select(*keys, ts, F.col("value").alias(value))
+    a, k = adf(series, keys, ts, value, at), kpss(series, keys, ts, value)
+    row = lambda df, test, verdict, stat="statistic", p="p_value": df.select(*keys, F.lit(test).alias("test"), F.col(stat).alias("statistic"), F.col(p).cast("double").alias("p_value"), verdict.alias("verdict"))
+    either = lambda rule, yes, no: F.when(rule, yes).otherwise(no)
+    both = beside(a.select(*keys, "stationary"), k.select(*keys, F.col("stationary").alias("_k")), keys)
+    differencing = both.select(*keys, F.when(F.col("stationary") & F.col("_k"), 0.0).otherwise(1.0).alias("statistic"), F.lit(None).cast("double").alias("p_value"))
+    portmanteau = ljung_box(acf(parts, keys, 10, ts, "residual"), keys)
+    squares, trend = arch_lm(parts, keys, 5, ts, "residual", at), ols_trend(series, keys, ts, value)
+    frames = [
+        row(a, "adf", either(F.col("stationary"), "stationary", "unit root")),
+        row(k, "kpss", either(F.col("stationary"), "stationary", "not stationary")),
+        row(differencing, "differencing", F.lit(None).cast("string")),
+        row(portmanteau, "ljung_box", either(F.col("p_value") > 0.05, "white", "autocorrelated")),
+        row(squares, "arch_lm", either(F.col("p_value") > 0.05, "constant variance", "changing variance")),
+        row(trend, "trend", either(F.col("p_value") < 0.05, "significant", "not significant"), "slope"),
+    ]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def theil_sen(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v") -> DataFrame:
