@@ -73,7 +73,7 @@ def test_spectrum_against_a_fast_transform(frame, series, chirp):
     rows = {}
     power = spectrum.spectrum(frame.withColumnRenamed("k", "key"), ["key"], chirp=chirp)
     for r in power.collect():
-        rows.setdefault(r.key, {})[r.k] = r.power
+        rows.setdefault(r.key, {})[r.frequency] = r.power
     for k, y in series.items():
         expect = np.abs(np.fft.rfft(y - y.mean())) ** 2
         assert sorted(rows[k]) == list(range(1, len(y) // 2 + 1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.freq import Freq, by_gap, comparison
 from tidemill.functions.scalars import corrected_skew, rounded
-from tidemill.operators import crossvar, features, forecast, hierarchy, intermittency, kernels, missing, models, outliers, reconcile, resample, schema, stats, windows
+from tidemill.operators import crossvar, decompose, features, forecast, hierarchy, intermittency, kernels, missing, models, outliers, reconcile, resample, schema, stats, windows
 
 
 def series(spark, values, start="2024-01-03", freq="D", key=None):
@@ -185,48 +185,38 @@ def test_local_outlier_factor_finds_the_far_point():
     assert np.argmax(outliers.lof_scores(x, 5)) == 30 == np.argmax(outliers.isolation_scores(x))
 
 
-def test_decomposition_adds_up_and_finds_the_period(spark):
+def test_decomposition_finds_the_period(spark):
     t = np.arange(120)
     y = 100 + 0.5 * t + 20 * np.sin(2 * np.pi * t / 7)
-    assert kernels.dominant_period(y - 0.5 * t) == 7
-    got = kernels.decompose(series(spark, y, key="a").unionByName(series(spark, y[:5], key="short")), ["k"], 7)
-    assert got.count() == 120
-    assert got.filter("abs(value - trend - seasonal - residual) > 1e-9 or abs(value - hp_trend - cycle) > 1e-9").count() == 0
-    strength = stats.strengths(got, ["k"]).first()
+    got = decompose.stl(series(spark, y - 0.5 * t, key="a").unionByName(series(spark, y[:5], key="short")), ["k"])
+    assert got.count() == 120 and got.filter("period <> 7 or abs(value - trend - seasonal - residual) > 1e-9").count() == 0
+    strength = stats.strengths(decompose.stl(series(spark, y, key="a"), ["k"], 7), ["k"]).first()
     assert strength.trend_label == strength.seasonal_label == "Strong"
 
 
 def test_numeric_kernels():
     rng = np.random.default_rng(0)
-    y = rng.normal(size=80).cumsum()
-    n = len(y)
-    d = np.diff(np.eye(n), 2, axis=0)
-    assert np.allclose(kernels.hp_trend(y), np.linalg.solve(np.eye(n) + 1600 * d.T @ d, y))
-    line = 3 + 2 * np.arange(30.0) + 0.1 * np.arange(30.0) ** 2
-    assert np.allclose(kernels.savgol(line, 7), line)
-    assert kernels.t_cdf(2.0, 5) == pytest.approx(0.9490302605850709) and kernels.t_cdf(-2.0, 5) == pytest.approx(0.0509697394149291)
-    assert kernels.chi2_sf(3.84145882, 1) == pytest.approx(0.05, abs=1e-6) and kernels.chi2_sf(25.0, 10) == pytest.approx(0.005345505487, abs=1e-9)
-    assert kernels.adf(rng.normal(size=300))[2] and not kernels.adf(rng.normal(size=300).cumsum())[2]
-    assert kernels.kpss(rng.normal(size=300))[2] and not kernels.kpss(rng.normal(size=300).cumsum() + np.arange(300))[2]
-    ar = np.zeros(4000)
-    for t in range(1, 4000):
-        ar[t] = 0.7 * ar[t - 1] + rng.normal()
-    partial = kernels.pacf(ar, 5)
-    assert partial[1] == pytest.approx(0.7, abs=0.05) and abs(partial[2]) < 0.06
     w, p = kernels.shapiro(rng.normal(size=200))
     assert w > 0.97 and p > 0.01 and kernels.shapiro(rng.exponential(size=200))[1] < 1e-6
     assert kernels.boxcox_lambda(np.exp(rng.normal(size=2000))) == pytest.approx(0, abs=0.1)
 
 
-def test_acf_matches_kernel_and_lags(spark):
+def test_autocorrelations_and_tests_of_them(spark):
     rng = np.random.default_rng(5)
     y = np.sin(np.arange(100) / 3) + rng.normal(size=100) * 0.1
+    d = y - y.mean()
+    r = np.array([1.0] + [d[k:] @ d[:-k] / (d @ d) for k in range(1, 21)])
     got = stats.acf(series(spark, y, key="a"), ["k"], 20)
-    assert np.allclose(column(got, "acf", "lag"), kernels.acf(y, 20))
+    assert np.allclose(column(got, "acf", "lag"), r)
     assert stats.significant_lags(got, ["k"]).first().lags[0] == 1
-    assert stats.kpss(series(spark, y, key="a"), ["k"]).first().statistic == pytest.approx(kernels.kpss(y)[0])
+    walk = np.cumsum(d)
+    assert stats.kpss(series(spark, y, key="a"), ["k"]).first().statistic == pytest.approx((walk @ walk) / 100**2 / (d @ d / 100))
     assert stats.theil_sen(series(spark, [1, 3, 5, 100], key="a"), ["k"]).first().theil_sen == pytest.approx(18.5, abs=16.6)
-    assert stats.ljung_box(stats.acf(series(spark, y, key="a"), ["k"], 10), ["k"]).first().statistic == pytest.approx(kernels.ljung_box(y)[0])
+    q = 100 * 102 * sum(r[k] ** 2 / (100 - k) for k in range(1, 11))
+    assert stats.ljung_box(stats.acf(series(spark, y, key="a"), ["k"], 10), ["k"]).first().statistic == pytest.approx(q)
+    partial = column(stats.pacf(got, ["k"]), "pacf", "lag")
+    solve = lambda k: np.linalg.solve(r[np.abs(np.subtract.outer(np.arange(k), np.arange(k)))], r[1 : k + 1])[-1]
+    assert np.allclose(partial[1:], [solve(k) for k in range(1, 21)], atol=1e-6) and partial[0] == 1.0
 
 
 def test_ccf_finds_the_lead(spark):
@@ -287,7 +277,7 @@ def test_locked_overrides(spark):
 def test_models_follow_simple_patterns():
     t = np.arange(60.0)
     season = 100 + 2 * t + 10 * np.sin(2 * np.pi * t / 12)
-    for name, (test, ahead) in models.run_models(season, 12, 12, 12, 1, ["ETS", "LinearRegression", "FLANN", "RecurrentFLANN", "RVFL", "ARIMA"], family="polynomial", order=1).items():
+    for name, (test, ahead) in models.run_models(season, 12, 12, 12, 1, ["ETS", "FLANN", "RecurrentFLANN", "RVFL", "ARIMA"], family="polynomial", order=1).items():
         assert len(test) == 12 == len(ahead) and np.isfinite(ahead).all(), name
     ets = models.holt_winters(season, 12, 12)
     truth = 100 + 2 * (60 + np.arange(12)) + 10 * np.sin(2 * np.pi * (60 + np.arange(12)) / 12)
@@ -298,6 +288,27 @@ def test_models_follow_simple_patterns():
     assert np.allclose(models.basis(x, 3, "chebyshev")[:, 1:], np.hstack((x, 2 * x**2 - 1, 4 * x**3 - 3 * x)))
 
 
+@pytest.mark.parametrize("ranges", [None, 9])
+def test_linear_forecast_against_numpy(spark, ranges):
+    from tidemill.operators.ranges import cut
+
+    rng = np.random.default_rng(6)
+    y = 50 + np.cumsum(rng.normal(size=70)) + 5 * np.sin(np.arange(70))
+    e = rng.normal(size=70)
+    ts = pd.date_range("2024-01-03", periods=70)
+    df = spark.createDataFrame([("a", t.to_pydatetime(), float(v), float(x)) for t, v, x in zip(ts, y, e)] + [("short", ts[i].to_pydatetime(), 1.0, 0.0) for i in range(8)], "k string, ts timestamp_ntz, v double, e double")
+    got = forecast.linear_forecast(df, ["k"], 5, 12, 7, exog=["e"], at=cut(df, "ts", ranges, 9) if ranges else None).collect()
+    assert {r.k for r in got} == {"a"}
+    x = np.column_stack((np.ones(63), y[6:-1], y[5:-2], y[:-7], e[7:]))
+    beta = np.linalg.lstsq(x[:-12], y[7:-12], rcond=None)[0]
+    test = {r.step: (r.y, r.yhat) for r in got if r.part == "holdout"}
+    assert [test[i + 1][1] for i in range(12)] == pytest.approx((x[-12:] @ beta).tolist()) and [test[i + 1][0] for i in range(12)] == pytest.approx(y[-12:].tolist())
+    past = y.tolist()
+    for _ in range(5):
+        past.append(beta @ [1, past[-1], past[-2], past[-7], 0])
+    assert [r.yhat for r in sorted((r for r in got if r.part == "future"), key=lambda r: r.step)] == pytest.approx(past[-5:])
+
+
 def test_automatic_forecasts(spark):
     df = series(spark, [7], key="one").unionByName(series(spark, [5, 0, 0, 0] * 6, key="gappy")).unionByName(series(spark, range(10), key="line"))
     got = forecast.automatic(df, ["k"], 3, "MS").orderBy("step").collect()
@@ -341,11 +352,6 @@ def test_schema_roles_and_dates(spark):
     assert math.isclose(df.agg(F.sum("qty")).first()[0], sum(range(1, 29)))
 
 
-def test_dominant_periods():
-    t = np.arange(200)
-    assert kernels.dominant_periods(np.sin(2 * np.pi * t / 20))[0] == 20.0
-
-
 def test_star_and_underscores_are_values_like_any_other(spark):
     df = spark.createDataFrame([("2024-01-01", "*", "a_", 1.0), ("2024-01-01", "*", "_b", 2.0), ("2024-01-01", "x", "y__z", 4.0), ("2024-01-01", "x__y", "z", 8.0), ("2024-01-01", "\\*", "q", 16.0)], "ts string, r string, s string, v double")
     rolled = hierarchy.rollup(df, ["r", "s"], "ts", {"v": F.sum("v")})

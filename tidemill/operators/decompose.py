@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .ranges import BLOCK, Cut, beside, cut, over_blocks, positions
+from .spectrum import dominant_period, spectrum
 
 #: Series under so many values are left out.
 LEAST_ROWS = 14
@@ -58,18 +60,24 @@ def phase_medians(placed: DataFrame, keys: Sequence[str], value: str, period: Co
     return told.withColumn(name, F.col("_m") - F.col("_c")).drop("_phase", "_m", "_c")
 
 
-def stl(df: DataFrame, keys: Sequence[str], period: int, ts: str = "ts", value: str = "v", at: Cut | None = None) -> DataFrame:
+def stl(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str = "ts", value: str = "v", at: Cut | None = None) -> DataFrame:
     """keys, ts, value, trend, seasonal, residual, period of each known value: a trend over two periods, at least seven
     values, the centred median of each phase of what it leaves, and the rest.
 
-    The period is at most half of a series; series under 14 values are left out. Times of a series differ.
+    period: without one, each series takes that of its strongest frequency. It is at most half of a series; series under
+    14 values are left out. Times of a series differ.
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("value"))
     at = at or cut(known, ts)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_ROWS)
+    wanted = F.lit(period)
+    if period is None:
+        found = kept(dominant_period(spectrum(known, keys, ts, "value", at), keys).drop("n").withColumnRenamed("period", "_period"), "periods")
+        sizes, wanted = beside(sizes, found, keys), F.col("_period")
+        period = found.agg(F.max("_period")).first()[0] or 2  # the windows' width
     placed = beside(positions(known, keys, ts, at), sizes, keys)
-    p = F.greatest(F.lit(2), F.least(F.lit(period), F.floor(F.col("_n") / 2))).cast("int")
+    p = F.greatest(F.lit(2), F.least(wanted, F.floor(F.col("_n") / 2))).cast("int")
     half = F.least(F.greatest(p, F.lit(3)), F.floor((F.col("_n") - 1) / 2)).cast("int")
     smooth = quadratic_smooth(placed.withColumn("period", p), keys, "value", half, max(3, period), "trend", at.block)
     left = phase_medians(smooth.withColumn("_left", F.col("value") - F.col("trend")), keys, "_left", F.col("period"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,13 @@ from . import intermittency
 from .kernels import by_series
 from .missing import joined_by
 from .models import run_models
-from .ranges import cut
+from .ranges import Cut, beside, cut, over_blocks, positions
+from .regress import least_squares
 from .windows import ordered
 
 MODELS = ("ETS", "ARIMA", "LinearRegression", "FLANN", "RecurrentFLANN", "RVFL")
+#: Place of each model in the order of registration.
+RANKS = {m: i for i, m in enumerate(("Croston", "SBA", "TSB", "ETS", "ARIMA", "ARIMAX", "LinearRegression", "FLANN", "RecurrentFLANN", "RVFL"))}
 
 
 def compare_models(df: DataFrame, keys: Sequence[str], horizon: int, holdout: int = 12, period: int = 12, d: int = 1, wanted: Sequence[str] = MODELS, ts: str = "ts", value: str = "v", exog: Sequence[str] = (), allow_negative: bool = False, **options) -> DataFrame:
@@ -27,6 +31,13 @@ def compare_models(df: DataFrame, keys: Sequence[str], horizon: int, holdout: in
     rank is the order of registration. Values under zero are clipped unless allowed or seen in the history.
     """
     wanted, exog = list(wanted), list(exog)
+    unknown = set(wanted) - set(RANKS)
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
+    frames = []
+    if "LinearRegression" in wanted:
+        wanted.remove("LinearRegression")
+        frames.append(linear_forecast(df, keys, horizon, holdout, period, ts, value, exog, allow_negative))
 
     def one(at: pd.DataFrame) -> pd.DataFrame:
         y = at[value].to_numpy(float)
@@ -34,13 +45,51 @@ def compare_models(df: DataFrame, keys: Sequence[str], horizon: int, holdout: in
         x = at[exog].fillna(0.0).to_numpy(float) if exog else None
         rows = []
         if len(y) > h + 6 and h > 0:
-            for rank, (name, (test, ahead)) in enumerate(run_models(y, h, horizon, period, d, wanted, x, **options).items()):
+            for name, (test, ahead) in run_models(y, h, horizon, period, d, wanted, x, **options).items():
+                rank = RANKS[name]
                 low = 0.0 if not allow_negative and y.min() >= 0 else -np.inf
                 rows += [(name, rank, "holdout", i + 1, float(a), float(max(low, p))) for i, (a, p) in enumerate(zip(y[-h:], test))]
                 rows += [(name, rank, "future", i + 1, None, float(max(low, p))) for i, p in enumerate(ahead)]
         return pd.DataFrame(rows, columns=["model", "rank", "part", "step", "y", "yhat"])
 
-    return by_series(df, keys, one, "model string, rank int, part string, step int, y double, yhat double", ts, value, exog)
+    if wanted:
+        frames.insert(0, by_series(df, keys, one, "model string, rank int, part string, step int, y double, yhat double", ts, value, exog))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def linear_forecast(df: DataFrame, keys: Sequence[str], horizon: int, holdout: int = 12, period: int = 12, ts: str = "ts", value: str = "v", exog: Sequence[str] = (), allow_negative: bool = False, at: Cut | None = None) -> DataFrame:
+    """Least squares on lags 1, 2 and the period and on exogenous columns (0 where null, and ahead): rows as those of
+    ``compare_models``. Fitted before the holdout, whose steps see real lags; the future goes on from its own values.
+
+    Lags are windows over ranges, the fit is one aggregate, and what the future needs of a series is its last period.
+    Series of fewer than ``holdout`` + 7 values (the holdout a third at most), or five whole rows, are left out.
+    """
+    keys, exog = list(keys), list(exog)
+    lags = [1, 2] + ([period] if period > 2 else [])
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_e{i}") for i, c in enumerate(exog)])
+    at = at or cut(known, ts)
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("y").alias("_low"))
+    sizes = sizes.withColumn("_h", F.least(F.lit(holdout), F.floor(F.col("_n") / 3))).filter((F.col("_h") > 0) & (F.col("_n") > F.col("_h") + 6))
+    placed = beside(positions(known, keys, ts, at), sizes, keys)
+    rows = over_blocks(placed, keys, lambda order: {f"_x{k}": F.lag("y", k).over(order) for k in lags}, back=max(lags), ahead=0, block=at.block)
+    columns = [*(f"_x{k}" for k in lags), *(f"_e{i}" for i in range(len(exog)))]
+    test = F.col("_i") >= F.col("_n") - F.col("_h")
+    fit = least_squares(rows.filter(~test), keys, "y", columns).filter("n >= 5").select(*keys, "intercept", "coef")
+    clip = lambda v: F.greatest(v, F.lit(0.0)) if allow_negative is False else v
+    low = lambda v: F.when(F.col("_low") >= 0, clip(v)).otherwise(v)
+    about = lambda part: [*keys, F.lit("LinearRegression").alias("model"), F.lit(RANKS["LinearRegression"]).alias("rank"), F.lit(part).alias("part")]
+    line = F.col("intercept") + sum((F.get("coef", F.lit(j)) * F.col(c) for j, c in enumerate(columns)), F.lit(0.0))
+    whole = [F.col(f"_x{k}").isNotNull() for k in lags]
+    seen = beside(rows.filter(test), fit, keys).select(*about("holdout"), (F.col("_i") - F.col("_n") + F.col("_h") + 1).cast("int").alias("step"), "y", F.when(reduce(lambda a, b: a & b, whole), low(line)).alias("yhat"))
+
+    def step(s: Column, _: Column) -> Column:
+        made = F.col("intercept") + sum((F.get("coef", F.lit(j)) * F.get(s, F.size(s) - k) for j, k in enumerate(lags)), F.lit(0.0))
+        return F.concat(s, F.array(made))
+
+    last = placed.filter(F.col("_i") >= F.col("_n") - max(lags)).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "y"))), lambda x: x["y"]).alias("_past"), F.first("_low").alias("_low"))
+    ahead = beside(last, fit, keys).withColumn("_all", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_past"), step))
+    future = ahead.select("*", F.posexplode(F.slice("_all", F.size("_past") + 1, F.lit(horizon))).alias("_p", "_f"))
+    return seen.unionByName(future.select(*about("future"), (F.col("_p") + 1).alias("step"), F.lit(None).cast("double").alias("y"), low(F.col("_f")).alias("yhat")))
 
 
 def metrics(predictions: DataFrame, keys: Sequence[str], actual: str = "y", predicted: str = "yhat") -> DataFrame:

@@ -39,222 +39,12 @@ def per_series(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame],
     return df.withColumn("_k", F.lit(1)).groupBy("_k").applyInPandas(lambda pdf: fn(pdf.drop(columns="_k")), schema)
 
 
-# Distributions
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny = 1e-300
-    c, d = 1.0, 1 / max(tiny, abs(1 - (a + b) * x / (a + 1))) * math.copysign(1, 1 - (a + b) * x / (a + 1))
-    f = d
-    for m in range(1, 300):
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + step * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + step / c
-            c = c if abs(c) > tiny else tiny
-            f *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * f
-
-
-def t_cdf(t: float, df: float) -> float:
-    tail = 0.5 * beta_inc(df / 2, 0.5, df / (df + t * t))
-    return 1 - tail if t > 0 else tail
-
-
-def chi2_sf(x: float, df: float) -> float:
-    """Upper tail of chi-squared: the incomplete gamma series, or its continued fraction far out."""
-    a, z = df / 2, x / 2
-    if z <= 0:
-        return 1.0
-    front = math.exp(-z + a * math.log(z) - math.lgamma(a))
-    if z < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > 1e-16 * abs(total):
-            n += 1
-            term *= z / n
-            total += term
-        return max(0.0, 1 - front * total)
-    f = 0.0
-    for n in range(400, 0, -1):
-        f = n * (n - a) / (2 * n + 1 + z - a - f) if n else f
-    return min(1.0, front / (z + 1 - a - f))
-
-
 def normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
     return NormalDist().inv_cdf(p)
 
 
-# Decomposition
-
-
-def savgol(y: np.ndarray, width: int) -> np.ndarray:
-    """Quadratic Savitzky-Golay smoothing; ends are read off the quadratics of the first and last window."""
-    n = len(y)
-    width = min(width, n if n % 2 else n - 1)
-    if width < 3:
-        return np.full(n, y.mean()) if n else y
-    half = width // 2
-    x = np.arange(-half, half + 1, dtype=float)
-    fit = np.linalg.pinv(np.vander(x, 3, increasing=True))
-    out = np.convolve(y, fit[0][::-1], mode="same")
-    for part, at in ((y[:width], slice(0, half)), (y[-width:], slice(n - half, n))):
-        curve = np.vander(x, 3, increasing=True) @ (fit @ part)
-        out[at] = curve[:half] if at.start == 0 else curve[-half:]
-    return out
-
-
-def hp_trend(y: np.ndarray, penalty: float = 1600.0) -> np.ndarray:
-    """Hodrick-Prescott trend: the pentadiagonal system by banded LDL', linear in the length."""
-    n = len(y)
-    if n < 3:
-        return y.astype(float)
-    d0, d1, d2 = np.ones(n), np.zeros(n), np.zeros(n)
-    for i in range(n - 2):  # penalty * (second difference)' (second difference)
-        d0[i] += penalty
-        d0[i + 1] += 4 * penalty
-        d0[i + 2] += penalty
-        d1[i] -= 2 * penalty
-        d1[i + 1] -= 2 * penalty
-        d2[i] += penalty
-    diag, low1, low2 = np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(n):
-        diag[i] = d0[i] - (low1[i - 1] ** 2 * diag[i - 1] if i else 0) - (low2[i - 2] ** 2 * diag[i - 2] if i > 1 else 0)
-        if i + 1 < n:
-            low1[i] = (d1[i] - (low2[i - 1] * low1[i - 1] * diag[i - 1] if i else 0)) / diag[i]
-        if i + 2 < n:
-            low2[i] = d2[i] / diag[i]
-    z = y.astype(float).copy()
-    for i in range(n):
-        z[i] -= (low1[i - 1] * z[i - 1] if i else 0) + (low2[i - 2] * z[i - 2] if i > 1 else 0)
-    z /= diag
-    for i in range(n - 1, -1, -1):
-        z[i] -= (low1[i] * z[i + 1] if i + 1 < n else 0) + (low2[i] * z[i + 2] if i + 2 < n else 0)
-    return z
-
-
-def dominant_period(y: np.ndarray) -> int:
-    """Period of the strongest frequency, between 2 and a third of the length."""
-    n = len(y)
-    power = np.abs(np.fft.rfft(y - y.mean()))
-    power[0] = 0
-    k = int(np.argmax(power))
-    return int(np.clip(round(n / k) if k else 2, 2, max(2, n // 3)))
-
-
-def dominant_periods(y: np.ndarray, most: int = 3) -> list[float]:
-    """The strongest periods above 2 and below half the length, strongest first."""
-    n = len(y)
-    power = np.abs(np.fft.rfft((y - y.mean()) / (y.std() + 1e-12)))
-    out = []
-    for k in np.argsort(power[1:])[::-1] + 1:
-        period = n / k
-        if 2 < period < n / 2:
-            out.append(round(period, 1))
-        if len(out) == most:
-            break
-    return out
-
-
-def stl(y: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trend, seasonal, residual): smoothed trend, centred phase medians of what it leaves, the rest."""
-    n = len(y)
-    width = max(2 * period + 1, 7)
-    trend = savgol(y, min(width, n if n % 2 else n - 1))
-    left, phase = y - trend, np.arange(n) % period
-    median = np.array([np.median(left[phase == p]) if (phase == p).any() else 0.0 for p in range(period)])
-    seasonal = median[phase]
-    seasonal = seasonal - seasonal.mean()
-    return trend, seasonal, y - trend - seasonal
-
-
-def decompose(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str = "ts", value: str = "v", penalty: float = 1600.0) -> DataFrame:
-    """Per row: value, trend, seasonal, residual, hp_trend, cycle; series under 14 values are left out."""
-
-    def one(at: pd.DataFrame) -> pd.DataFrame:
-        y = at[value].to_numpy(float)
-        if len(y) < 14:
-            return pd.DataFrame(columns=[ts, "value", "trend", "seasonal", "residual", "hp_trend", "cycle", "period"])
-        p = int(np.clip(period or dominant_period(y), 2, len(y) // 2))
-        trend, seasonal, residual = stl(y, p)
-        hp = hp_trend(y, penalty)
-        return pd.DataFrame({ts: at[ts], "value": y, "trend": trend, "seasonal": seasonal, "residual": residual, "hp_trend": hp, "cycle": y - hp, "period": p})
-
-    return by_series(df, keys, one, "value double, trend double, seasonal double, residual double, hp_trend double, cycle double, period int", ts, value, keep_ts=True)
-
-
-# Tests
-
-
-def _regress(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coefficients, their standard errors, R2)."""
-    scale = np.sqrt((x * x).sum(axis=0)) + 1e-300  # columns of very different size would be lost to rounding
-    x = x / scale
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    left = y - x @ beta
-    spread = (left @ left) / max(1, len(y) - x.shape[1]) * np.linalg.pinv(x.T @ x)
-    return beta / scale, np.sqrt(np.maximum(0, np.diag(spread))) / scale, 1 - (left @ left) / (((y - y.mean()) ** 2).sum() + 1e-12)
-
-
-def adf(y: np.ndarray) -> tuple[float, float, bool]:
-    """Simplified Dickey-Fuller with one lagged difference: (statistic, one-sided t p value, stationary under -2.86)."""
-    step = np.diff(y)
-    if len(step) < 6:
-        return 0.0, 1.0, False
-    x = np.column_stack((np.ones(len(step) - 1), y[1:-1], step[:-1]))
-    beta, error, _ = _regress(x, step[1:])
-    stat = float(beta[1] / (error[1] + 1e-12))
-    return stat, min(1.0, max(0.001, t_cdf(stat, max(1, len(x) - 3)))), stat < -2.86
-
-
-def kpss(y: np.ndarray) -> tuple[float, float, bool]:
-    e = y - y.mean()
-    stat = float((np.cumsum(e) ** 2).sum() / len(y) ** 2 / ((e @ e) / len(y) + 1e-12))
-    p = next((p for limit, p in ((0.347, 0.20), (0.463, 0.10), (0.574, 0.05), (0.739, 0.025)) if stat < limit), 0.01)
-    return stat, p, stat < 0.463
-
-
-def acf(y: np.ndarray, lags: int) -> np.ndarray:
-    d = y - y.mean()
-    return np.array([1.0] + [float(d[k:] @ d[:-k]) / (float(d @ d) + 1e-12) for k in range(1, lags + 1)])
-
-
-def pacf(y: np.ndarray, lags: int) -> np.ndarray:
-    """Durbin-Levinson on the autocorrelations."""
-    r = acf(y, lags)
-    out, phi = [1.0], np.zeros(0)
-    for k in range(1, lags + 1):
-        top, bottom = r[k] - phi @ r[1:k][::-1], 1 - phi @ r[1:k]
-        last = top / (bottom + 1e-12)
-        phi = np.append(phi - last * phi[::-1], last)
-        out.append(float(last))
-    return np.array(out)
-
-
-def ljung_box(y: np.ndarray, lags: int = 10) -> tuple[float, float]:
-    n = len(y)
-    r = acf(y, lags)
-    q = n * (n + 2) * sum(r[k] ** 2 / (n - k) for k in range(1, lags + 1))
-    return q, chi2_sf(q, lags)
-
-
-def arch_lm(y: np.ndarray, lags: int = 5) -> tuple[float, float]:
-    s = y**2
-    x = np.column_stack([s[i : len(s) - lags + i] for i in range(lags)] + [np.ones(len(s) - lags)])
-    stat = len(s) * _regress(x, s[lags:])[2]
-    return float(stat), chi2_sf(float(stat), lags)
-
-
 def shapiro(y: np.ndarray) -> tuple[float, float]:
     """Shapiro-Wilk W and p by Royston's approximations (8 to 5,000 values)."""
     from statistics import NormalDist
@@ -326,48 +116,6 @@ def median_slope(y: np.ndarray, most: int = 2000) -> float | None:
     return float(np.mean(out))
 
 
-def series_tests(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str = "ts", value: str = "v") -> DataFrame:
-    """Rows (keys, test, statistic, p_value, verdict): stationarity of the series, diagnostics of its residual."""
-
-    def one(at: pd.DataFrame) -> list[dict]:
-        y = at[value].to_numpy(float)
-        if len(y) < 14:
-            return []
-        p = int(np.clip(period or dominant_period(y), 2, len(y) // 2))
-        _, _, residual = stl(y, p)
-        a, k = adf(y), kpss(y)
-        rows = [("adf", a[0], a[1], "stationary" if a[2] else "unit root"), ("kpss", k[0], k[1], "stationary" if k[2] else "not stationary")]
-        rows.append(("differencing", 0.0 if a[2] and k[2] else 1.0, None, None))
-        if len(residual) > 10:
-            q, pq = ljung_box(residual)
-            rows.append(("ljung_box", q, pq, "white" if pq > 0.05 else "autocorrelated"))
-        if len(residual) > 12:
-            s, ps = arch_lm(residual)
-            rows.append(("arch_lm", s, ps, "constant variance" if ps > 0.05 else "changing variance"))
-        if 8 <= len(residual) <= 5000:
-            w, pw = shapiro(residual)
-            rows.append(("shapiro", w, pw, "normal" if pw > 0.05 else "not normal"))
-        x = np.column_stack((np.ones(len(y)), np.arange(len(y))))
-        beta, error, _ = _regress(x, y)
-        pt = 2 * (1 - t_cdf(abs(float(beta[1] / (error[1] + 1e-12))), max(1, len(y) - 2)))
-        rows.append(("trend", float(beta[1]), pt, "significant" if pt < 0.05 else "not significant"))
-        return [{"test": t, "statistic": s, "p_value": p_, "verdict": v} for t, s, p_, v in rows]
-
-    def framed(at):
-        return pd.DataFrame(one(at), columns=["test", "statistic", "p_value", "verdict"])
-
-    return by_series(df, keys, framed, "test string, statistic double, p_value double, verdict string", ts, value)
-
-
-def pacf_rows(df: DataFrame, keys: Sequence[str], lags: int = 40, ts: str = "ts", value: str = "v") -> DataFrame:
-    def one(at: pd.DataFrame) -> pd.DataFrame:
-        y = at[value].to_numpy(float)
-        top = min(lags, len(y) // 2 - 1)
-        return pd.DataFrame({"lag": range(top + 1), "pacf": pacf(y, top)}) if top > 0 else pd.DataFrame({"lag": [], "pacf": []})
-
-    return by_series(df, keys, one, "lag int, pacf double", ts, value)
-
-
 def boxcox_lambda(y: np.ndarray) -> float:
     """Power of the largest profile likelihood between -2 and 2, by golden section."""
     logs = np.log(y)

@@ -110,27 +110,6 @@ def lag_matrix(y: np.ndarray, lags: list[int], rolling: tuple[int, ...] = ()) ->
     return np.column_stack(cols)
 
 
-def linear(y: np.ndarray, holdout: int, horizon: int, period: int, exog: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """Least squares on lags 1, 2 and the period (and exogenous columns); the future is recursive, exogenous zero."""
-    lags = [1, 2] + ([period] if period > 1 else [])
-    x = lag_matrix(y, lags)
-    if exog is not None:
-        x = np.column_stack((x, exog))
-    whole = ~np.isnan(x).any(axis=1)
-    train = whole & (np.arange(len(y)) < len(y) - holdout)
-    test = whole & (np.arange(len(y)) >= len(y) - holdout)
-    if train.sum() < 5 or not test.any():
-        return None
-    one = lambda m: np.column_stack((np.ones(len(m)), m))
-    beta = np.linalg.lstsq(one(x[train]), y[train], rcond=None)[0]
-    past, ahead = list(y), []
-    for _ in range(horizon):
-        row = [past[-k] if len(past) >= k else past[-1] for k in lags] + [0.0] * (0 if exog is None else exog.shape[1])
-        ahead.append(float(beta[0] + np.dot(beta[1:], row)))
-        past.append(ahead[-1])
-    return one(x[test]) @ beta, np.array(ahead)
-
-
 def basis(x: np.ndarray, order: int, family: str) -> np.ndarray:
     """Bias and functional expansion of normed columns: powers, sines and cosines, both, or orthogonal polynomials."""
     blocks = [np.ones((len(x), 1))]
@@ -251,7 +230,6 @@ def run_models(y: np.ndarray, holdout: int, horizon: int, period: int, d: int, w
         "ETS": lambda: tuple(holt_winters(part, n, period) for part, n in ((train, holdout), (y, horizon))),
         "ARIMA": lambda: tuple(arima(part, n, d) for part, n in ((train, holdout), (y, horizon))),
         "ARIMAX": lambda: (arima(train, holdout, d, exog[: len(train)]), arima(y, horizon, d, exog)) if exog is not None else None,
-        "LinearRegression": lambda: linear(y, holdout, horizon, period, exog),
         "FLANN": lambda: expansion(y, holdout, horizon, period, exog, variant="flann", **options),
         "RecurrentFLANN": lambda: expansion(y, holdout, horizon, period, exog, variant="recurrent_flann", **options),
         "RVFL": lambda: expansion(y, holdout, horizon, period, exog, variant="rvfl", **options),

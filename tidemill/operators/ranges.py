@@ -69,7 +69,10 @@ def _runs(ranged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def beside(df: DataFrame, told: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` with the other columns of ``told``, which has one row for each value of ``keys``; null is a value."""
+    """``df`` with the other columns of ``told``, which has one row for each value of ``keys`` (one row, without keys);
+    null is a value."""
+    if not keys:
+        return df.join(F.broadcast(told), F.lit(True))
     more = [c for c in told.columns if c not in keys]
     other = told.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)], *more)
     joined = df.join(other, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])

@@ -38,7 +38,7 @@ def _direct(points: DataFrame, keys: list[str]) -> DataFrame:
     rows = points.withColumn("_m", F.col("n") / F.col("_r")).withColumn("_m", F.col("_m").cast("long")).withColumn("_im", F.lit(0.0))
     half = F.floor(F.col("_r") * F.col("_m") / 2)
     made = transform(rows, keys, half).filter((F.col("_k") > 0) & (F.col("_k") <= half))
-    return made.select(*keys, (F.col("_r") * F.col("_m")).alias("n"), F.col("_k").alias("k"), (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("power"))
+    return made.select(*keys, (F.col("_r") * F.col("_m")).alias("n"), F.col("_k").alias("frequency"), (F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("power"))
 
 
 def _chirped(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,11 +57,11 @@ def _chirped(points: DataFrame, keys: list[str]) -> DataFrame:
     half = F.floor(F.col("n") / 2)
     made = transform(product, keyed, half).filter((F.col("_k") > 0) & (F.col("_k") <= half))
     size = (F.col("_r") * F.col("_m")).cast("double")
-    return made.select(*keyed, F.col("_k").alias("k"), ((F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / (size * size)).alias("power"))
+    return made.select(*keyed, F.col("_k").alias("frequency"), ((F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / (size * size)).alias("power"))
 
 
 def spectrum(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", value: str = "v", at: Cut | None = None, chirp: float = 0.35) -> DataFrame:
-    """keys, n, k, power: squared size of each frequency k from 1 to n / 2 of the series' known values, less their mean.
+    """keys, n, frequency, power: squared size of each frequency from 1 to n / 2 of the series' known values, less their mean.
 
     chirp: lengths n without a divisor between n^chirp and their root take the convolution.
     """
@@ -77,16 +77,16 @@ def spectrum(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", value: str
 
 def strongest_periods(power: DataFrame, keys: Sequence[str] = (), most: int = 3) -> DataFrame:
     """keys, n, periods: the periods above 2 and below half the length, to one digit, strongest first, ``most`` of them."""
-    period = F.round(F.col("n") / F.col("k"), 1)
-    inside = (F.col("n") / F.col("k") > 2) & (F.col("k") > 2)
-    best = F.slice(F.sort_array(F.collect_list(F.when(inside, F.struct("power", "k", period.alias("p")))), asc=False), 1, most)
+    period = F.round(F.col("n") / F.col("frequency"), 1)
+    inside = (F.col("n") / F.col("frequency") > 2) & (F.col("frequency") > 2)
+    best = F.slice(F.sort_array(F.collect_list(F.when(inside, F.struct("power", "frequency", period.alias("p")))), asc=False), 1, most)
     # Each (series, chunk of frequencies) keeps its best before they meet.
-    parts = power.groupBy(*keys, "n", F.floor(F.col("k") / 4096).alias("_chunk")).agg(best.alias("_b"))
+    parts = power.groupBy(*keys, "n", F.floor(F.col("frequency") / 4096).alias("_chunk")).agg(best.alias("_b"))
     return parts.groupBy(*keys, "n").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_b")), asc=False), 1, most).alias("_b")).select(*keys, "n", F.transform("_b", lambda x: x["p"]).alias("periods"))
 
 
 def dominant_period(power: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, n, period: that of the strongest frequency, from 2 to a third of the length."""
-    best = power.groupBy(*keys, "n").agg(F.max_by("k", F.struct("power", -F.col("k"))).alias("k"))
+    best = power.groupBy(*keys, "n").agg(F.max_by("frequency", F.struct("power", -F.col("frequency"))).alias("frequency"))
     top = F.greatest(F.lit(2), F.floor(F.col("n") / 3))
-    return best.select(*keys, "n", F.greatest(F.lit(2), F.least(top, F.bround(F.col("n") / F.col("k")))).cast("int").alias("period"))
+    return best.select(*keys, "n", F.greatest(F.lit(2), F.least(top, F.bround(F.col("n") / F.col("frequency")))).cast("int").alias("period"))

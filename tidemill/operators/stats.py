@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.special import chi2_tail, t_below, t_tails
 from ..sources.shared import kept
 from .decompose import stl
-from .kernels import by_series, median_slope
+from .kernels import by_series, median_slope, shapiro
 from .ranges import Cut, beside, cut, with_windows
 from .regress import least_squares
 from .windows import ordered
@@ -93,9 +93,40 @@ def arch_lm(df: DataFrame, keys: Sequence[str], lags: int = 5, ts: str = "ts", v
     return fit.select(*keys, "n", "statistic", chi2_tail(F.col("statistic"), lags).alias("p_value"))
 
 
-def series_tests(df: DataFrame, keys: Sequence[str], period: int, ts: str = "ts", value: str = "v", at: Cut | None = None) -> DataFrame:
+def pacf(correlations: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, lag, pacf from the rows of ``acf``, up to half of a series: Durbin and Levinson's recursion over its lags."""
+    inside = correlations.filter(F.col("lag") <= F.greatest(F.lit(0), F.floor(F.col("n") / 2) - 1))
+    r = inside.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("_r")).filter(F.size("_r") > 1)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def step(s: Column, k: Column) -> Column:
+        seen = F.slice("_r", 2, k - 1)
+        last = (F.get("_r", k) - dot(s["phi"], F.reverse(seen))) / (1 - dot(s["phi"], seen) + 1e-12)
+        grown = lambda one: F.struct(F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda a, b: a - one * b), F.array(one)).alias("phi"), F.concat(s["out"], F.array(one)).alias("out"))
+        return F.get(F.transform(F.array(last), grown), F.lit(0))
+
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.array(F.lit(1.0)).alias("out"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("_r") - 1), start, step, lambda s: s["out"])
+    return r.select(*keys, F.posexplode(folded).alias("lag", "pacf"))
+
+
+def normality(residuals: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "residual") -> DataFrame:
+    """Shapiro-Wilk rows of series of 8 to 5,000 values, in numpy: keys, test, statistic, p_value, verdict."""
+
+    def one(at: pd.DataFrame) -> pd.DataFrame:
+        y = at[value].to_numpy(float)
+        made = [("shapiro", *shapiro(y))] if 8 <= len(y) <= 5000 else []
+        return pd.DataFrame([(*m, "normal" if m[2] > 0.05 else "not normal") for m in made], columns=["test", "statistic", "p_value", "verdict"])
+
+    sizes = residuals.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n").between(8, 5000))
+    return by_series(beside(residuals, sizes, keys), keys, one, "test string, statistic double, p_value double, verdict string", ts, value)
+
+
+def series_tests(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str = "ts", value: str = "v", at: Cut | None = None, shapiro_too: bool = False) -> DataFrame:
     """Rows (keys, test, statistic, p_value, verdict) of series of 14 values or more: adf, kpss and the differencing they
-    call for, ljung_box and arch_lm of the residual of ``decompose.stl``, trend. All in windows and aggregates."""
+    call for, ljung_box and arch_lm of the residual of ``decompose.stl``, trend. All in windows and aggregates, but for
+    the normality of residuals that ``shapiro_too`` adds."""
     keys = list(keys)
     at = at or cut(df, ts)
     parts = kept(stl(df, keys, period, ts, value, at), "components")  # six tests read it
@@ -115,6 +146,8 @@ def series_tests(df: DataFrame, keys: Sequence[str], period: int, ts: str = "ts"
         row(squares, "arch_lm", either(F.col("p_value") > 0.05, "constant variance", "changing variance")),
         row(trend, "trend", either(F.col("p_value") < 0.05, "significant", "not significant"), "slope"),
     ]
+    if shapiro_too:
+        frames.append(normality(parts, keys, ts))
     return reduce(DataFrame.unionByName, frames)
 
 

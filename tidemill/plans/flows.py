@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.freq import Freq, comparison
-from ..operators import features, forecast, hierarchy, interval, intermittency, kernels, missing, outliers, reconcile, resample, stats
+from ..operators import decompose, features, forecast, hierarchy, interval, intermittency, missing, outliers, reconcile, resample, stats
+from ..sources.shared import kept
 from .results import flow
 from .session import Panel, Session
 
@@ -21,23 +22,25 @@ def _series(panel: Panel, freq: str, value: str, keys: Sequence[str] = (), metho
 def analyze_series(panel: Panel, freq: str, value: str | None = None, period: int | None = None, keys: Sequence[str] = (), method: str = "sum", methods: Sequence[str] = ("iqr", "zscore"), chart_points: int = 1500):
     """Accumulate, impute, decompose, flag outliers, classify demand, test: a dict of DataFrames keyed by series.
 
-    Keys make every series of a level run in parallel, one group a series for the numerical kernels.
+    Keys make every series of a level run in parallel. The imputed series and their components are stored once.
     """
     keys, value = list(keys), value or panel.target
     at = _series(panel, freq, value, keys, method)
     full = missing.impute(at, keys, "linear").select(*keys, "ts", F.col("imputed").alias("v"))
-    parts = kernels.decompose(full, keys, period)
+    full = kept(full, "imputed")
+    parts = kept(decompose.stl(full, keys, period), "components")
+    smooth = decompose.hp(full, keys).drop("value")
     flagged = outliers.detect(parts.select(*keys, "ts", F.col("value").alias("v"), "residual"), keys, [*methods, "residual"], residual="residual")
     summary = resample.series_summary(F.col("v"))
     return {
         "series": at,
         "imputed": full,
         "gaps": missing.gap_summary(at, keys),
-        "components": parts,
+        "components": parts.join(smooth, [*keys, "ts"]),
         "strength": stats.strengths(parts, keys),
         "outliers": flagged,
         "demand": intermittency.recommendations(intermittency.classify(full, keys)),
-        "tests": kernels.series_tests(full, keys, period),
+        "tests": stats.series_tests(full, keys, period, shapiro_too=True),
         "summary": full.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()]),
         "chart": resample.downsample(full, chart_points, keys=keys),
     }, {"freq": freq, "value": value}
@@ -116,7 +119,9 @@ def prepare_forecast(panel: Panel, freq: str, horizon: int = 12, holdout: int =
     clean = outliers.treat(flagged, keys, treatment).select(*keys, "ts", F.col("treated").alias("v"))
     if treatment == "remove":
         clean = missing.impute(clean, keys, "linear").select(*keys, "ts", F.col("imputed").alias("v"))
+    clean = kept(clean, "clean")  # read by each model family, by scores and by intervals
     made = forecast.compare_models(clean, keys, horizon, holdout, Freq.of(freq).period, wanted=models, allow_negative=allow_negative)
+    made = kept(made, "models")
     if combinations:
         scored = forecast.metrics(made.filter("part = 'holdout'"), [*keys, "model", "rank"])
         both = forecast.combine(made, scored, keys).withColumn("rank", F.lit(100))

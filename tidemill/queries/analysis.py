@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 from ..operators import crossvar as C
 from ..operators import intermittency as I
-from ..operators import interval, kernels
+from ..operators import interval
 from ..operators import resample as R
 from ..operators import stats as S
 from ..sources.panels import brand_demand, orders_daily, region_monthly, shipments_daily, table
-from .common import BRANDS, DAILY, REGION, SHIPMENTS, long_count, r4
+from .common import BRANDS, CHI2_TAIL, DAILY, REGION, SHIPMENTS, T_TAILS, long_count, r4
 
 QUERIES, ORACLES = {}, {}
 BRAND = ["p_brand"]
@@ -208,7 +208,7 @@ QUERIES |= {"acf40": acf40, "sig_lags": sig_lags, "ljung_box": ljung_box}
 ORACLES["acf40"] = f"{ACF} SELECT r_name, CAST(lag AS INT) AS lag, {r4('acf')} AS acf, CAST(n AS BIGINT) AS n FROM a"
 ORACLES["sig_lags"] = f"{ACF}, h AS (SELECT r_name, lag, row_number() OVER (PARTITION BY r_name ORDER BY lag) AS k FROM a WHERE lag > 0 AND lag <= n // 2 - 1 AND abs(acf) > 1.96 / sqrt(n)) SELECT r_name, coalesce(string_agg(CAST(lag AS VARCHAR), ',' ORDER BY lag) FILTER (k <= 10), '') AS lags FROM (SELECT DISTINCT r_name FROM a) LEFT JOIN h USING (r_name) GROUP BY 1"
 ORACLES["ljung_box"] = f"""{ACF}, q AS (SELECT r_name, max(n) * (max(n) + 2) * sum(acf * acf / (n - lag)) AS q FROM a WHERE lag BETWEEN 1 AND 10 GROUP BY 1)
-SELECT r_name, {r4("q", 3)} AS statistic, 10 AS lags, {r4("exp(-q / 2) * (1 + q / 2 + power(q / 2, 2) / 2 + power(q / 2, 3) / 6 + power(q / 2, 4) / 24)", 5)} AS p_value FROM q"""
+SELECT r_name, {r4("q", 3)} AS statistic, 10 AS lags, {r4(CHI2_TAIL.format(x="q", v="10"), 5)} AS p_value FROM q"""
 
 
 def kpss(spark, sf_dir):
@@ -217,7 +217,7 @@ def kpss(spark, sf_dir):
 
 def ols_trend(spark, sf_dir):
     got = S.ols_trend(region_monthly(spark, sf_dir), ["r_name"])
-    return got.select("r_name", "n", "direction", *[rounded(F.col(c), 3).alias(c) for c in ("slope", "intercept", "r2", "t_statistic")])
+    return got.select("r_name", "n", "direction", *[rounded(F.col(c), 3).alias(c) for c in ("slope", "intercept", "r2", "t_statistic")], rounded(F.col("p_value"), 5).alias("p_value"))
 
 
 def theil_sen(spark, sf_dir):
@@ -233,7 +233,7 @@ ORACLES["ols_trend"] = f"""
 WITH {REGION}, x AS (SELECT r_name, v, CAST(row_number() OVER (PARTITION BY r_name ORDER BY ts) - 1 AS DOUBLE) AS x FROM region_monthly),
 s AS (SELECT r_name, {long_count()} AS n, regr_slope(v, x) AS slope, regr_intercept(v, x) AS intercept, regr_r2(v, x) AS r2 FROM x GROUP BY 1)
 SELECT r_name, n, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS direction, {r4("slope", 3)} AS slope, {r4("intercept", 3)} AS intercept, {r4("r2", 3)} AS r2,
-  {r4("sign(slope) * sqrt(r2 * (n - 2) / (1 - r2 + 1e-12))", 3)} AS t_statistic FROM s"""
+  {r4("sign(slope) * sqrt(r2 * (n - 2) / (1 - r2 + 1e-12))", 3)} AS t_statistic, {r4(T_TAILS.format(t="sqrt(r2 * (n - 2) / (1 - r2 + 1e-12))", v="(n - 2)"), 5)} AS p_value FROM s"""
 ORACLES["theil_sen"] = f"WITH {REGION}, x AS (SELECT r_name, v, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS i FROM region_monthly) SELECT a.r_name, {r4('quantile_cont((b.v - a.v) / (b.i - a.i), 0.5)', 3)} AS theil_sen FROM x a JOIN x b ON a.r_name = b.r_name AND a.i < b.i GROUP BY 1"
 
 TRENDED = f"""{REGION}, t AS (SELECT r_name, ts, v, avg(v) OVER (PARTITION BY r_name ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS trend, row_number() OVER (PARTITION BY r_name ORDER BY ts) - 1 AS i FROM region_monthly),
@@ -316,7 +316,7 @@ def interval_signal(spark, sf_dir):
 
 
 def series_tests(spark, sf_dir):
-    return kernels.series_tests(region_monthly(spark, sf_dir), ["r_name"], 12)
+    return S.series_tests(region_monthly(spark, sf_dir), ["r_name"], 12, shapiro_too=True)
 
 
 QUERIES |= {"series_tests": series_tests, "boxcox": boxcox, "interval_advice": interval_advice, "interval_signal": interval_signal}

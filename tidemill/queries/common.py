@@ -34,6 +34,13 @@ hours AS (SELECT event_type, unnest(generate_series(min(ts), max(ts), INTERVAL 1
 readings AS (SELECT event_type, ts, CASE WHEN n > 0 THEN s / n END AS v FROM hours LEFT JOIN hourly USING (event_type, ts))"""
 
 
+#: Both tails of Student's t and the upper tail of chi-squared, summed as power series term by term (v: degrees of freedom).
+_BELOW = """(SELECT exp({a} * ln({x}) + {b} * ln({y}) + lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b})) * sum(exp(lgamma({a} + {b} + j) - lgamma({a} + {b}) - lgamma({a} + 1 + j) + lgamma({a} + 1) + j * ln({x}))) FROM generate_series(0, 3000) AS terms(j))"""
+_X, _Y = "({v} / ({v} + ({t}) * ({t})))", "(({t}) * ({t}) / ({v} + ({t}) * ({t})))"
+T_TAILS = f"(CASE WHEN {_X} < 0.9 THEN {_BELOW.format(a='({v} / 2.0)', b='0.5', x=_X, y=_Y)} ELSE 1 - {_BELOW.format(a='0.5', b='({v} / 2.0)', x=_Y, y=_X)} END)"
+CHI2_TAIL = "(1 - (SELECT exp({v} / 2.0 * ln(({x}) / 2.0) - ({x}) / 2.0) * sum(exp(j * ln(({x}) / 2.0) - lgamma({v} / 2.0 + j + 1))) FROM generate_series(0, 2000) AS terms(j)))"
+
+
 def r4(x: str, digits: int = 4) -> str:
     scale = f"1e{digits}"
     return f"floor(({x}) * {scale} + 0.50001) / {scale}"

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from ..operators import features, kernels, missing, outliers
+from ..operators import decompose, features, missing, outliers, spectrum
 from ..operators import stats as S
 from ..sources.panels import region_monthly, shipments_daily
 from .analysis import ACF, TRENDED, _LABEL, components
-from .common import REGION, SHIPMENTS, long_count, r4
+from .common import CHI2_TAIL, REGION, SHIPMENTS, T_TAILS, long_count, r4
 
 QUERIES, ORACLES = {}, {}
 KEY = ["r_name"]
 
-#: The kernel's decomposition of monthly series, period 12: quadratic smoothing over 25 months (12 on each side; the ends
+#: The decomposition of monthly series, period 12: quadratic smoothing over 25 months (12 on each side; the ends
 #: are read off the quadratics of the first and last 25), centred medians of the phases, the rest.
 STL = f"""{REGION},
 x AS (SELECT r_name, ts, v, CAST(row_number() OVER (PARTITION BY r_name ORDER BY ts) - 1 AS INT) AS i, CAST(count(*) OVER (PARTITION BY r_name) AS INT) AS n FROM region_monthly),
@@ -27,12 +27,12 @@ parts AS (SELECT r_name, ts, i, n, v, trend, m - avg(m) OVER (PARTITION BY r_nam
 
 
 def stl_components(spark, sf_dir):
-    got = kernels.decompose(region_monthly(spark, sf_dir), KEY, 12)
+    got = decompose.stl(region_monthly(spark, sf_dir), KEY, 12)
     return got.select("r_name", "ts", *[rounded(F.col(c), 1).alias(c) for c in ("trend", "seasonal", "residual")], "period")
 
 
 def stl_strength(spark, sf_dir):
-    got = S.strengths(kernels.decompose(region_monthly(spark, sf_dir), KEY, 12), KEY)
+    got = S.strengths(decompose.stl(region_monthly(spark, sf_dir), KEY, 12), KEY)
     return got.select("r_name", rounded(F.col("trend_strength")).alias("trend_strength"), rounded(F.col("seasonal_strength")).alias("seasonal_strength"), "trend_label", "seasonal_label")
 
 
@@ -44,7 +44,7 @@ SELECT r_name, {r4("ft")} AS trend_strength, {r4("fs")} AS seasonal_strength, {_
 
 
 def hp_filter(spark, sf_dir):
-    got = kernels.decompose(region_monthly(spark, sf_dir), KEY, penalty=1600.0)
+    got = decompose.hp(region_monthly(spark, sf_dir), KEY, 1600.0)
     return got.select("r_name", "ts", rounded(F.col("hp_trend"), 1).alias("hp_trend"), rounded(F.col("cycle"), 1).alias("cycle"))
 
 
@@ -69,11 +69,28 @@ SELECT r_name, ts, {r4("trend", 1)} AS hp_trend, {r4("v - trend", 1)} AS cycle F
 
 
 def pacf(spark, sf_dir):
-    got = kernels.pacf_rows(region_monthly(spark, sf_dir), KEY, 24)
+    got = S.pacf(S.acf(region_monthly(spark, sf_dir), KEY, 24), KEY)
     return got.select("r_name", "lag", rounded(F.col("pacf")).alias("pacf"))
 
 
 QUERIES["pacf"] = pacf
+
+
+def own_period(spark, sf_dir):
+    """The period of each region's strongest frequency, and its three strongest periods."""
+    power = spectrum.spectrum(region_monthly(spark, sf_dir), KEY)
+    best = spectrum.strongest_periods(power, KEY).select("r_name", F.array_join(F.transform("periods", lambda p: p.cast("string")), ",").alias("periods"))
+    return spectrum.dominant_period(power, KEY).select("r_name", "period").join(best, "r_name")
+
+
+QUERIES["own_period"] = own_period
+ORACLES["own_period"] = f"""
+WITH {REGION},
+y AS MATERIALIZED (SELECT r_name, v - avg(v) OVER w AS y, row_number() OVER (PARTITION BY r_name ORDER BY ts) - 1 AS i, count(*) OVER w AS n FROM region_monthly WINDOW w AS (PARTITION BY r_name)),
+f AS (SELECT r_name, k, max(n) AS n, pow(sum(y * cos(2 * pi() * k * i / n)), 2) + pow(sum(y * sin(2 * pi() * k * i / n)), 2) AS s FROM y, generate_series(1, (SELECT max(n) // 2 FROM y)) AS g(k) WHERE k <= n // 2 GROUP BY r_name, k),
+one AS (SELECT r_name, CAST(greatest(2, least(arg_max(n, s) // 3, round_even(arg_max(n / k, s), 0))) AS INT) AS period FROM f GROUP BY 1),
+best AS (SELECT r_name, string_agg(CAST(p AS VARCHAR), ',' ORDER BY s DESC) AS periods FROM (SELECT r_name, s, round(n / k, 1) AS p, row_number() OVER (PARTITION BY r_name ORDER BY s DESC) AS place FROM f WHERE k > 2 AND 2 * k < n) WHERE place <= 3 GROUP BY 1)
+SELECT r_name, period, periods FROM one JOIN best USING (r_name)"""
 ORACLES["pacf"] = f"""
 {ACF.replace("WITH ", "WITH RECURSIVE ", 1)},
 r AS MATERIALIZED (SELECT r_name, list(acf::DOUBLE ORDER BY lag) AS r FROM a WHERE lag BETWEEN 1 AND 24 GROUP BY 1),
@@ -86,9 +103,9 @@ SELECT r_name, CAST(k AS INT) AS lag, CAST({r4("phi[k]")} AS DOUBLE) AS pacf FRO
 
 
 def diagnostics(spark, sf_dir):
-    """Stationarity tests of the series and tests of the residual: statistic and verdict of each."""
-    got = kernels.series_tests(region_monthly(spark, sf_dir), KEY, 12).filter(F.col("test").isin("adf", "kpss", "differencing", "ljung_box", "arch_lm"))
-    return got.select("r_name", "test", rounded(F.col("statistic"), 3).alias("statistic"), F.coalesce("verdict", F.lit("")).alias("verdict"))
+    """Stationarity tests of the series and tests of the residual: statistic, p value and verdict of each."""
+    got = S.series_tests(region_monthly(spark, sf_dir), KEY, 12).filter("test <> 'trend'")
+    return got.select("r_name", "test", rounded(F.col("statistic"), 3).alias("statistic"), rounded(F.coalesce("p_value", F.lit(1.0)), 5).alias("p_value"), F.coalesce("verdict", F.lit("")).alias("verdict"))
 
 
 def _left(columns: list[str], by: str) -> str:
@@ -104,7 +121,7 @@ WITH {STL},
 y AS (SELECT r_name, i, v - lag(v) OVER w AS y, lag(v) OVER w AS a, lag(v) OVER w - lag(v, 2) OVER w AS b FROM x WINDOW w AS (PARTITION BY r_name ORDER BY i)),
 m AS (SELECT r_name, count(*) AS n, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS byy, var_pop(y) * count(*) AS yy FROM y WHERE b IS NOT NULL GROUP BY 1),
 c AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS p, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS q FROM m),
-adf AS (SELECT r_name, p / (sqrt((yy - p * ay - q * byy) / (n - 3) * bb / det) + 1e-12) AS s FROM c),
+adf AS (SELECT r_name, n, p / (sqrt((yy - p * ay - q * byy) / (n - 3) * bb / det) + 1e-12) AS s FROM c),
 e AS (SELECT r_name, i, v - avg(v) OVER (PARTITION BY r_name) AS e FROM x),
 u AS (SELECT *, sum(e) OVER (PARTITION BY r_name ORDER BY i) AS u FROM e),
 kpss AS (SELECT r_name, sum(u * u) / (count(*) * count(*)) / (sum(e * e) / count(*) + 1e-12) AS s FROM u GROUP BY 1),
@@ -116,12 +133,12 @@ sq AS (SELECT r_name, n, i, residual * residual AS y, {", ".join(f"lag(residual
 a0 AS (SELECT r_name, n, var_pop(y) OVER s * count(*) OVER s AS top, y - avg(y) OVER s AS y, {", ".join(f"{c} - avg({c}) OVER s AS {c}" for c in _LAGS)} FROM sq WHERE i >= 5 WINDOW s AS (PARTITION BY r_name)){_STEPS},
 arch AS (SELECT r_name, max(n) * (1 - sum(y * y) / (max(top) + 1e-12)) AS s FROM a5 GROUP BY 1),
 told AS (
-  SELECT r_name, 'adf' AS test, s, CASE WHEN s < -2.86 THEN 'stationary' ELSE 'unit root' END AS verdict FROM adf UNION ALL
-  SELECT r_name, 'kpss', s, CASE WHEN s < 0.463 THEN 'stationary' ELSE 'not stationary' END FROM kpss UNION ALL
-  SELECT r_name, 'differencing', CASE WHEN adf.s < -2.86 AND kpss.s < 0.463 THEN 0.0 ELSE 1.0 END, '' FROM adf JOIN kpss USING (r_name) UNION ALL
-  SELECT r_name, 'ljung_box', s, CASE WHEN s < 18.307038 THEN 'white' ELSE 'autocorrelated' END FROM lb UNION ALL
-  SELECT r_name, 'arch_lm', s, CASE WHEN s < 11.070498 THEN 'constant variance' ELSE 'changing variance' END FROM arch)
-SELECT r_name, test, {r4("s", 3)} AS statistic, verdict FROM told"""
+  SELECT r_name, 'adf' AS test, s, greatest(0.001, least(1.0, CASE WHEN s > 0 THEN 1 - {T_TAILS.format(t="s", v="(n - 3)")} / 2 ELSE {T_TAILS.format(t="s", v="(n - 3)")} / 2 END)) AS p, CASE WHEN s < -2.86 THEN 'stationary' ELSE 'unit root' END AS verdict FROM adf UNION ALL
+  SELECT r_name, 'kpss', s, CASE WHEN s < 0.347 THEN 0.2 WHEN s < 0.463 THEN 0.1 WHEN s < 0.574 THEN 0.05 WHEN s < 0.739 THEN 0.025 ELSE 0.01 END, CASE WHEN s < 0.463 THEN 'stationary' ELSE 'not stationary' END FROM kpss UNION ALL
+  SELECT r_name, 'differencing', CASE WHEN adf.s < -2.86 AND kpss.s < 0.463 THEN 0.0 ELSE 1.0 END, 1.0, '' FROM adf JOIN kpss USING (r_name) UNION ALL
+  SELECT r_name, 'ljung_box', s, {CHI2_TAIL.format(x="s", v="10")}, CASE WHEN s < 18.307038 THEN 'white' ELSE 'autocorrelated' END FROM lb UNION ALL
+  SELECT r_name, 'arch_lm', s, {CHI2_TAIL.format(x="s", v="5")}, CASE WHEN s < 11.070498 THEN 'constant variance' ELSE 'changing variance' END FROM arch)
+SELECT r_name, test, {r4("s", 3)} AS statistic, CAST({r4("p", 5)} AS DOUBLE) AS p_value, verdict FROM told"""
 
 
 def outlier_residual(spark, sf_dir):

@@ -9,7 +9,7 @@ from ..operators import forecast as P
 from ..operators import hierarchy as H
 from ..operators import reconcile as C
 from ..operators.windows import split
-from ..sources.panels import brand_demand, region_monthly
+from ..sources.panels import brand_demand, region_monthly, table
 from ..sources.shared import kept
 from .common import BRANDS, REGION, long_count, r4
 from .hierarchies import ROLLED, rolled
@@ -248,7 +248,7 @@ SELECT r_name, CAST(h AS INT) AS step, {r4(f"l + t * h + season[h]", 1)} AS fore
 
 def linear_fc(spark, sf_dir):
     """Least squares on lags 1, 2 and 12 of each region: holdout and recursive future values."""
-    got = P.compare_models(region_monthly(spark, sf_dir), KEY, HORIZON, wanted=["LinearRegression"])
+    got = P.linear_forecast(region_monthly(spark, sf_dir), KEY, HORIZON)
     return got.select("r_name", "part", "step", rounded(F.col("yhat"), 1).alias("yhat"))
 
 
@@ -271,6 +271,47 @@ SELECT r_name, 'holdout' AS part, CAST(i - (n - 12) + 1 AS INT) AS step, {r4("gr
 UNION ALL SELECT r_name, 'future', CAST(step AS INT), {r4("greatest(0.0, yhat)", 1)} FROM f WHERE step > 0"""
 
 
+def linear_exog_fc(spark, sf_dir):
+    """The same with the share of returned lines of each month beside the lags."""
+    monthly = region_monthly(spark, sf_dir)
+    at = monthly.join(returned_share(spark, sf_dir), "ts", "left")
+    got = P.linear_forecast(at, KEY, HORIZON, exog=["returned"])
+    return got.select("r_name", "part", "step", rounded(F.col("yhat"), 1).alias("yhat"))
+
+
+def returned_share(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("ts")).agg((F.count_if(F.col("l_returnflag") == "R") / F.count("*")).alias("returned"))
+
+
+QUERIES["linear_exog_fc"] = linear_exog_fc
+#: Normal equations of four columns by projecting each column off those before it, then back substitution.
+ORACLES["linear_exog_fc"] = f"""
+WITH RECURSIVE {REGION},
+share AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS ts, count(*) FILTER (l_returnflag = 'R') / count(*) AS e FROM lineitem GROUP BY 1),
+x AS MATERIALIZED (SELECT r_name, v AS y, lag(v) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 12) OVER w AS c, coalesce(e, 0.0) AS e, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY r_name) AS n FROM region_monthly LEFT JOIN share USING (ts) WINDOW w AS (PARTITION BY r_name ORDER BY ts)),
+m AS (SELECT r_name, avg(y) AS y, avg(a) AS a, avg(b) AS b, avg(c) AS c, avg(e) AS e FROM x WHERE c IS NOT NULL AND i < n - 12 GROUP BY 1),
+t AS (SELECT x.r_name, x.y - m.y AS y, x.a - m.a AS a, x.b - m.b AS b, x.c - m.c AS c, x.e - m.e AS e FROM x JOIN m USING (r_name) WHERE x.c IS NOT NULL AND i < n - 12),
+g1 AS (SELECT r_name, sum(a * b) / sum(a * a) AS ab, sum(a * c) / sum(a * a) AS ac, sum(a * e) / sum(a * a) AS ae, sum(a * y) / sum(a * a) AS ay FROM t GROUP BY 1),
+t1 AS (SELECT r_name, b - ab * a AS b, c - ac * a AS c, e - ae * a AS e, y - ay * a AS y FROM t JOIN g1 USING (r_name)),
+g2 AS (SELECT r_name, sum(b * c) / sum(b * b) AS bc, sum(b * e) / sum(b * b) AS be, sum(b * y) / sum(b * b) AS byy FROM t1 GROUP BY 1),
+t2 AS (SELECT r_name, c - bc * b AS c, e - be * b AS e, y - byy * b AS y FROM t1 JOIN g2 USING (r_name)),
+g3 AS (SELECT r_name, sum(c * e) / sum(c * c) AS ce, sum(c * y) / sum(c * c) AS cy FROM t2 GROUP BY 1),
+t3 AS (SELECT r_name, e - ce * c AS e, y - cy * c AS y FROM t2 JOIN g3 USING (r_name)),
+g4 AS (SELECT r_name, sum(e * y) / sum(e * e) AS s FROM t3 GROUP BY 1),
+k1 AS (SELECT *, cy - ce * s AS r FROM g1 JOIN g2 USING (r_name) JOIN g3 USING (r_name) JOIN g4 USING (r_name)),
+k2 AS (SELECT *, byy - bc * r - be * s AS q FROM k1),
+k3 AS (SELECT *, ay - ab * q - ac * r - ae * s AS p FROM k2),
+k AS MATERIALIZED (SELECT r_name, m.y - p * m.a - q * m.b - r * m.c - s * m.e AS o, p, q, r, s FROM k3 JOIN m USING (r_name)),
+h AS (SELECT r_name, list(y ORDER BY i) AS past FROM x WHERE i >= n - 12 GROUP BY 1),
+f AS (
+  SELECT r_name, 0 AS step, past, 0.0::DOUBLE AS yhat FROM h
+  UNION ALL
+  SELECT r_name, step + 1, list_append(past[2:], made), made FROM (SELECT f.*, o + p * past[12] + q * past[11] + r * past[1] AS made FROM f JOIN k USING (r_name) WHERE step < {HORIZON}))
+SELECT r_name, 'holdout' AS part, CAST(i - (n - 12) + 1 AS INT) AS step, {r4("greatest(0.0, o + p * a + q * b + r * c + s * e)", 1)} AS yhat FROM x JOIN k USING (r_name) WHERE i >= n - 12
+UNION ALL SELECT r_name, 'future', CAST(step AS INT), {r4("greatest(0.0, yhat)", 1)} FROM f WHERE step > 0"""
+
+
 def arimax_fc(spark, sf_dir):
     """ARIMA with a calendar regressor."""
     at = region_monthly(spark, sf_dir).withColumn("q4", (F.quarter("ts") == 4).cast("double"))
