@@ -61,11 +61,27 @@ def test_rollup_stability_and_features(session):
     assert stable and stable.get()["stability"].count() == 2
     made = flows.prepare_features(session.panel, "W", 4, lags=(1, 2), rolling=(3,))
     assert made and made.get()["future"].count() == 4 and made.get()["matrix"].count() > 90
+    row = made.get()["matrix"].first()
+    assert row.intermittency_class == "Smooth" and row.has_exogenous and 0 <= row.seasonal_strength_Fs <= 1 and row.model_type_recommendation not in ("ETS", "ARIMA", "SARIMA")
+    by_store = flows.prepare_features(session.panel, "MS", 2, transform="auto", keys=["store"], lags=(1,), rolling=())
+    assert by_store, by_store.failure
+    assert {(r.series_id, r.hier_store) for r in by_store.get()["matrix"].collect()} == {("s1", "s1"), ("s2", "s2")}
+
+
+def test_relations_of_a_panel(session):
+    made = flows.relate(session.panel, "W")
+    assert made, made.failure
+    told = made.get()
+    assert made.facts["events"] == ["promo"] and told["gains"].count() == 0
+    assert {(r.variable, r.role) for r in told["variables"].collect()} == {("demand", "dependent"), ("promo", "event")}
+    assert told["correlations"].count() == 4 and told["ccf"].groupBy("variable").count().first()["count"] == 41
+    assert told["impacts"].first().n_on > 0 and told["recommendations"].first().kind == "event"
 
 
 def test_forecast_and_reconciliation_flows(session):
     made = flows.prepare_forecast(session.panel, "MS", 3, holdout=6, models=["ETS", "LinearRegression"])
     assert made, made.failure
+    assert {"components", "profile", "features", "future"} <= set(made.get()) and made.get()["profile"].count() == 1
     assert made.get()["forecast"].count() == 3 and made.get()["forecast"].filter("lower_95 > forecast or upper_95 < forecast").count() == 0
     both = flows.reconciled_forecast(session.panel, "MS", 2)
     assert both, both.failure

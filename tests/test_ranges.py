@@ -66,6 +66,22 @@ def test_relations_over_fifty_ranges_equal_one(spark):
     same(schema.parse_scores(texts, "told", choices), schema.parse_scores(texts, "told", choices, ranges=20))
 
 
+def test_carried_values_and_relations_over_ranges(spark):
+    df = frame(spark, 400).withColumn("x", F.when(F.rand(3) < 0.3, F.col("x"))).cache()
+    got = crossvar.with_carried(df, ["x"], "ts", cut(df, "ts", 40)).orderBy("ts").collect()
+    last, expect = 0.0, []
+    for r in df.orderBy("ts").collect():
+        last = last if r.x is None else r.x
+        expect.append(last)
+    assert [r.x for r in got] == expect
+    told = crossvar.relations(df, "v", ["x"], ["e"])
+    assert told["ccf"].count() == 82 and told["best"].count() == 2 and told["gains"].count() == 8 and told["impacts"].count() == 1
+    filled = df.fillna(0.0, ["x"])
+    same(told["ccf"].filter("variable = 'x'").drop("variable"), crossvar.ccf(filled, "x", "v"))
+    none = crossvar.relations(df.filter("false"), "v", ["x"], [])
+    assert none["recommendations"].count() <= 1
+
+
 def test_ccf_of_a_constant_is_null(spark):
     df = frame(spark, 60).withColumn("x", F.lit(3.0))
     assert {r.ccf for r in crossvar.ccf(df, "x", "v").collect()} == {None}

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..sources.shared import kept
 from .ranges import Cut, beside, cut, with_windows
 
 
@@ -106,9 +109,9 @@ def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_
     if at is None or rows is None:
         seen = cut(known, ts)
         at, rows = at or seen, seen.facts["n"] if rows is None else rows
-    top = min(max_lag, rows // 4)
+    top = max(1, min(max_lag, rows // 4))
     lagged = lambda order: {"a": F.lag("y").over(order)} | {f"x{k}": F.lag("_x", k).over(order) for k in range(1, top + 1)}
-    moved = with_windows(known, [], ts, lagged, back=max(1, top), at=at)
+    moved = with_windows(known, [], ts, lagged, back=top, at=at)
     base = F.corr(F.when(F.col("a").isNotNull(), F.col("y")), F.col("a"))
     aggs = [F.pow(base, 2).alias("_base")]
     for k in range(1, top + 1):
@@ -127,3 +130,51 @@ def recommend(correlated: DataFrame, gains: DataFrame, impacts: DataFrame) -> Da
     drivers = correlated.join(useful, "variable", "left").select("variable", F.lit("driver").alias("kind"), (F.col("significant") | F.coalesce("useful", F.lit(False))).alias("include"), F.abs("max_ccf").alias("strength"), F.col("significant"))
     events = impacts.select("variable", F.lit("event").alias("kind"), (F.abs("cohens_d") > 0.3).alias("include"), F.abs("lift_pct").alias("strength"), (F.abs("cohens_d") > 0.5).alias("significant"))
     return drivers.unionByName(events).orderBy(F.desc("significant"), F.desc("strength"), "variable")
+
+
+def relations(df: DataFrame, dependent: str, independent: Sequence[str] = (), events: Sequence[str] = (), ts: str = "ts", max_lag: int = 20, after: int = 5, gain_lags: int = 8) -> dict[str, DataFrame]:
+    """All relations of a series to its drivers and events: tables by name, with the driver or event as ``variable``.
+
+    Rows without the dependent value are left out and the rest is stored once. Missing drivers and events count as 0,
+    in predictive gain as the last value. The series is cut in the same ranges for all.
+    """
+    independent, events = list(independent), list(events)
+    numbers = [F.col(c).cast("double").alias(c) for c in (dependent, *independent, *events)]
+    known = kept(df.filter(F.col(dependent).isNotNull()).select(ts, *numbers), "relations")
+    at = cut(known, ts)
+    n = at.facts["n"]
+    filled = known.fillna(0.0, [*independent, *events])
+    tagged = lambda made, name: made.select(F.lit(name).alias("variable"), "*")
+    joined = lambda frames, schema: reduce(DataFrame.unionByName, frames) if frames else df.sparkSession.createDataFrame([], schema)
+    lagged = kept(joined([tagged(ccf(filled, c, dependent, ts=ts, max_lag=max_lag, rows=n, at=at), c) for c in (*independent, *events)], "variable string, lag int, ccf double"), "ccf")
+    best = best_lag(lagged, max(1, n), ["variable"])
+    impacts = joined([tagged(event_impact(filled, dependent, c, ts, after, at), c) for c in events], IMPACTS)
+    carried = with_carried(known, independent, ts, at)
+    gains = joined([tagged(lagged_gain(carried, dependent, c, ts, gain_lags, n, at), c) for c in independent], "variable string, lag int, base_r2 double, r2 double, gain double, n long, useful boolean")
+    roles = {dependent: "dependent"} | dict.fromkeys(independent, "independent") | dict.fromkeys(events, "event")
+    return {
+        "variables": variable_stats(df, roles),
+        "correlations": correlation_matrix(df, list(roles)),
+        "ccf": lagged,
+        "best": best,
+        "impacts": impacts,
+        "gains": gains,
+        "recommendations": recommend(best.filter(F.col("variable").isin(independent)), gains, impacts),
+    }
+
+
+IMPACTS = "variable string, n_on long, n_off long, mean_on double, mean_off double, mean_after double, lift_pct double, cohens_d double, effect string"
+
+
+def with_carried(df: DataFrame, columns: Sequence[str], ts: str = "ts", at: Cut = Cut()) -> DataFrame:
+    """``columns`` with gaps filled by the last value before them, 0 before the first: inside ranges of time by a window,
+    across them by the last value of each range."""
+    if not columns:
+        return df
+    ranged = df.withColumn("_range", at.range_of(F.col(ts)))
+    here = W.partitionBy("_range").orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+    ends = ranged.groupBy("_range").agg(F.min(F.lit(0)).alias("_one"), *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_e_{c}") for c in columns])
+    before = W.partitionBy("_one").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("_range", *[F.last(f"_e_{c}", True).over(before).alias(f"_b_{c}") for c in columns])
+    found = beside(ranged.withColumns({c: F.last(c, True).over(here) for c in columns}), carried, ["_range"])
+    return found.select(*[F.coalesce(F.col(c), F.col(f"_b_{c}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from ..functions.freq import Freq
 from ..functions.scalars import calendar, corrected_skew, log_shifted
 from . import windows
+from .ranges import beside
 
 DEFAULT_LAGS = (1, 2, 3, 7, 14, 28, 30)
-TRANSFORMS = ("none", "log", "diff", "log_diff", "boxcox")
+TRANSFORMS = ("none", "log", "diff", "log_diff", "boxcox", "auto")
 
 
 def auto_transform(df: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
@@ -23,13 +24,19 @@ def auto_transform(df: DataFrame, keys: Sequence[str], value: str = "v") -> Data
 
 
 def transformed(df: DataFrame, keys: Sequence[str], ts: str, value: str, transform: str, times: int = 0, name: str = "y") -> DataFrame:
-    """Adds the transformed target. diff takes at least one difference; unknown transforms are errors."""
+    """Adds the transformed target. diff takes at least one difference; unknown transforms are errors. auto takes for each
+    series what ``auto_transform`` advises for it."""
     if transform not in TRANSFORMS:
         raise ValueError(f"unknown transform {transform!r}")
     if transform == "boxcox":
         from .kernels import boxcox_transform
 
         return boxcox_transform(df, keys, ts, value, name)
+    if transform == "auto":
+        step = F.col(value) - F.lag(value).over(windows.ordered(keys, ts))
+        told = beside(df, auto_transform(df, keys, value).select(*keys, F.col("transform").alias("_t"), F.col("least").alias("_least")), keys)
+        made = F.when(F.col("_t") == "log", log_shifted(F.col(value), F.col("_least"))).when(F.col("_t") == "diff", step).otherwise(F.col(value))
+        return told.withColumn(name, made).drop("_t", "_least")
     out = df
     if transform in ("log", "log_diff"):
         least = F.min(value).over(W.partitionBy(*keys))
@@ -69,9 +76,9 @@ def series_profile(components: DataFrame, keys: Sequence[str], ts: str = "ts", v
         (F.avg(F.when(v.isNotNull(), (v == 0).cast("double"))) * 100).alias("pct_zero"),
     )
     demand = intermittency.classify(components, keys, value).select(*keys, "class")
-    made = extent.join(demand, keys, "left").join(stats.strengths(components, keys), keys)
+    made = beside(beside(extent, demand, keys, "left"), stats.strengths(components, keys), keys)
     model = forecast.recommend(F.col("class"), F.col("trend_strength"), F.col("seasonal_strength"), F.lit(0))
-    return made.select(F.concat_ws("|", *keys).alias("series_id"), *[F.col(k).alias(f"hier_{k}") for k in keys], *[c for c in made.columns if c not in keys], model.alias("model"))
+    return made.select((F.concat_ws("|", *keys) if keys else F.lit(value)).alias("series_id"), *[F.col(k).alias(f"hier_{k}") for k in keys], *[c for c in made.columns if c not in keys], model.alias("model"))
 
 
 def feature_matrix(
@@ -99,6 +106,20 @@ def feature_matrix(
     return df.select(*keys, ts, F.col(target).alias("target"), *[c.alias(n) for n, c in made.items()])
 
 
+def with_labels(matrix: DataFrame, components: DataFrame, keys: Sequence[str], value: str = "v", exogenous: bool = False) -> DataFrame:
+    """The matrix with what is known of each series: series_id and hier_ columns, model_type_recommendation,
+    intermittency_class, trend_strength_Ft, seasonal_strength_Fs, has_exogenous. Null for series too short to decompose."""
+    from .forecast import with_exogenous
+
+    told = series_profile(components, keys, value=value)
+    names = {"class": "intermittency_class", "trend_strength": "trend_strength_Ft", "seasonal_strength": "seasonal_strength_Fs"}
+    told = told.select(*[F.col(f"hier_{k}").alias(k) for k in keys], "series_id", *[f"hier_{k}" for k in keys], F.col("model").alias("model_type_recommendation"), *[F.col(a).alias(b) for a, b in names.items()])
+    if exogenous:
+        swaps = F.create_map(*[F.lit(x) for m in ("ETS", "SARIMA", "ARIMA") for x in (m, with_exogenous(m, True))])
+        told = told.withColumn("model_type_recommendation", F.coalesce(F.try_element_at(swaps, F.col("model_type_recommendation")), F.col("model_type_recommendation")))
+    return beside(matrix, told, keys, "left").withColumn("has_exogenous", F.lit(exogenous))
+
+
 SCALERS = {
     "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
     "standard": lambda c: (F.avg(c), F.stddev_pop(c)),

@@ -8,52 +8,50 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..sources.shared import kept
 from .kernels import per_series
 from .missing import joined_by
+from .quantiles import exact_quantiles
+from .ranges import BLOCK, Cut, beside, cut, over_blocks, positions
 
 KERNELS = ("isof", "lof")
 
 
 def fences(df: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
-    """Quartiles and the 1.5 and 3 IQR fences of each series."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    """Quartiles and the 1.5 and 3 IQR fences of each series; no series is gathered for them."""
+    q = exact_quantiles(df, keys, value, [0.25, 0.75])
     lo, hi = F.col("q")[0], F.col("q")[1]
     side = lambda m: [(lo - m * (hi - lo)), (hi + m * (hi - lo))]
     inner, outer = side(1.5), side(3.0)
     return q.select(*keys, lo.alias("q1"), hi.alias("q3"), (hi - lo).alias("iqr"), inner[0].alias("lower"), inner[1].alias("upper"), outer[0].alias("far_lower"), outer[1].alias("far_upper"))
 
 
-def _iqr(value: str, keys: Sequence[str], multiplier: float) -> Column:
-    w = W.partitionBy(*keys)
-    v, a, b = F.col(value), F.percentile(value, 0.25).over(w), F.percentile(value, 0.75).over(w)
-    return (v < a - multiplier * (b - a)) | (v > b + multiplier * (b - a))
+def local_outlier_factor(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v", k: int = 20, at: Cut | None = None, block: int = BLOCK) -> DataFrame:
+    """keys, ts, lof of each known value of series of five values or more: how thin a value lies beside its neighbours.
 
-
-def _zscore(value: str, keys: Sequence[str], limit: float) -> Column:
-    w = W.partitionBy(*keys)
-    s = F.stddev_pop(value).over(w)
-    return F.when(s > 0, F.abs(F.col(value) - F.avg(value).over(w)) / s > limit).otherwise(F.lit(False))
-
-
-def lof_scores(x: np.ndarray, k: int) -> np.ndarray:
-    """Local outlier factors of one-dimensional points: neighbours lie beside a point in sorted order."""
-    n = len(x)
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    near = np.empty((n, k), np.int64)
-    for i in range(n):
-        lo, hi = max(0, i - k), min(n, i + k + 1)
-        span = np.delete(np.arange(lo, hi), i - lo)
-        near[i] = span[np.argsort(np.abs(s[span] - s[i]), kind="stable")[:k]]
-    gap = np.abs(s[near] - s[:, None])
-    reach = np.maximum(gap, gap[near, -1])
-    density = 1 / (reach.mean(axis=1) + 1e-10)
-    score = density[near].mean(axis=1) / density
-    out = np.empty(n)
-    out[order] = score
-    return out
+    Values are sorted in ranges, so neighbours stand side by side; distances, reach and densities are three windows of
+    ``k`` rows, in blocks with a halo of three times as many. k is at most the length of a series less one.
+    """
+    keys = list(keys)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
+    sizes = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n >= 5").select(*keys, F.least(F.lit(k), F.col("_n") - 1).cast("int").alias("_k"))
+    placed = beside(positions(known, keys, "_v", at or cut(known, "_v"), ties=[ts]), sizes, keys)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.col("_k")
+    around = lambda name, what: lambda order: {name: F.collect_list(F.struct("_i", what)).over(order.rowsBetween(-k, k))}
+    others = F.filter("_around", lambda x: x["_i"] != F.col("_i"))
+    nearest = F.array_sort(F.transform(others, lambda x: F.struct(F.abs(x["_v"] - F.col("_v")).alias("d"), x["_i"].alias("i"))))
+    at_place = lambda name, x, what: F.get(F.col(name), (x["i"] - F.col(name)[0]["_i"]).cast("int"))[what]
+    stages = [
+        around("_around", "_v"),
+        lambda order: {"_near": F.slice(nearest, F.lit(1), F.col("_k"))},
+        lambda order: {"_reach": F.get("_near", F.col("_k") - 1)["d"]},
+        around("_reaches", "_reach"),
+        lambda order: {"_density": 1 / (mean(F.transform("_near", lambda x: F.greatest(x["d"], at_place("_reaches", x, "_reach")))) + 1e-10)},
+        around("_thick", "_density"),
+        lambda order: {"lof": mean(F.transform("_near", lambda x: at_place("_thick", x, "_density"))) / F.col("_density")},
+    ]
+    return over_blocks(placed, keys, stages, 3 * k, 3 * k, block).select(*keys, ts, "lof")
 
 
 def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
@@ -82,43 +80,55 @@ def flag_share(score: np.ndarray, share: float = 0.05) -> np.ndarray:
     return score > np.quantile(score, 1 - share)
 
 
-def _kernel_flags(df: DataFrame, keys: Sequence[str], names: Sequence[str], ts: str, value: str) -> DataFrame:
-    cols = ", ".join(f"{n} boolean" for n in names)
+def _isolated(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
+    """keys, ts, isof: an isolation forest a series, one series a group (the numbers it draws follow one another)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[value].to_numpy(float)
-        held = ~np.isnan(x)
-        out = pdf[[*keys, ts]].copy()
-        for name, least in (("isof", 10), ("lof", 5)):
-            if name in names:
-                flag = np.zeros(len(x), bool)
-                if held.sum() >= least:
-                    score = isolation_scores(x[held]) if name == "isof" else lof_scores(x[held], min(20, int(held.sum()) - 1))
-                    flag[held] = flag_share(score)
-                out[name] = flag
-        return out
+        held, flag = ~np.isnan(x), np.zeros(len(x), bool)
+        if held.sum() >= 10:
+            flag[held] = flag_share(isolation_scores(x[held]))
+        return pdf[[*keys, ts]].assign(isof=flag)
 
     types = dict(df.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in (*keys, ts)]) + ", " + cols
-    return per_series(df.select(*keys, ts, value), keys, one, schema)
+    return per_series(df.select(*keys, ts, value), keys, one, ", ".join([*(f"{c} {types[c]}" for c in (*keys, ts)), "isof boolean"]))
+
+
+def _thin(df: DataFrame, keys: Sequence[str], ts: str, value: str, share: float = 0.05) -> DataFrame:
+    """keys, ts, lof: whether a value's local outlier factor is above the (1 - share) quantile of its series."""
+    scores = kept(local_outlier_factor(df, keys, ts, value), "factors")
+    limits = exact_quantiles(scores, keys, "lof", [1 - share]).select(*keys, F.get("q", F.lit(0)).alias("_limit"))
+    return beside(scores, limits, keys).select(*keys, ts, (F.col("lof") > F.col("_limit")).alias("lof"))
 
 
 def detect(df: DataFrame, keys: Sequence[str], methods: Sequence[str] = ("iqr", "zscore"), ts: str = "ts", value: str = "v", residual: str | None = None, iqr: float = 1.5, z: float = 3.0) -> DataFrame:
     """``df`` with one flag a detector, score (share of detectors), severity, is_outlier, flagged_by.
 
-    ``residual`` needs a residual column and is left out without one. isof and lof run on one series a group.
+    ``residual`` needs a residual column and is left out without one. Quartiles, moments and local densities come from
+    aggregates and windows over ranges; only isof runs on one series a group.
     """
     keys, methods = list(keys), [m for m in methods if m != "residual" or residual]
     unknown = set(methods) - {"iqr", "zscore", "residual", *KERNELS}
     if unknown or not methods:
         raise ValueError(f"unknown or no outlier methods: {sorted(unknown)}")
-    out = df
-    kernels = [m for m in methods if m in KERNELS]
-    if kernels:
-        out = out.join(_kernel_flags(df, keys, kernels, ts, value), [*keys, ts], "left")
-    made = {"iqr": lambda: _iqr(value, keys, iqr), "zscore": lambda: _zscore(value, keys, z), "residual": lambda: _zscore(residual, keys, z)}
-    for m in methods:
-        out = out.withColumn(m, F.coalesce(made[m]() if m in made else F.col(m), F.lit(False)))
+    out, extra = df, []
+    for name, made in (("isof", _isolated), ("lof", _thin)):
+        if name in methods:
+            told = made(df, keys, ts, value)
+            on = [F.col(f"`{c}`").eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate([*keys, ts])]
+            out = out.join(told.select(*[F.col(f"`{c}`").alias(f"_on{i}") for i, c in enumerate([*keys, ts])], name), on, "left").drop(*[f"_on{i}" for i in range(len(on))])
+    moments = {c: name for name, c in (("zscore", value), ("residual", residual)) if name in methods}
+    if moments:
+        told = df.groupBy(*keys).agg(*[f(c).alias(f"_{kind}{name}") for c, name in moments.items() for kind, f in (("m", F.avg), ("s", F.stddev_pop))])
+        out, extra = beside(out, told, keys), extra + [c for c in told.columns if c not in keys]
+    if "iqr" in methods:
+        told = exact_quantiles(df, keys, value, [0.25, 0.75]).select(*keys, F.col("q").alias("_q"))
+        out, extra = beside(out, told, keys, "left"), [*extra, "_q"]
+    far = lambda c, name: F.when(F.col(f"_s{name}") > 0, F.abs(F.col(c) - F.col(f"_m{name}")) / F.col(f"_s{name}") > z)
+    made = {name: far(c, name) for c, name in moments.items()}
+    wide = iqr * (F.col("_q")[1] - F.col("_q")[0])
+    made["iqr"] = (F.col(value) < F.col("_q")[0] - wide) | (F.col(value) > F.col("_q")[1] + wide)
+    out = out.withColumns({m: F.coalesce(made[m] if m in made else F.col(m), F.lit(False)) for m in methods}).drop(*extra)
     flags = [F.col(m).cast("int") for m in methods]
     score = sum(flags[1:], flags[0]) / len(methods)
     out = out.withColumn("score", score)

@@ -68,14 +68,14 @@ def _runs(ranged: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, "_range", F.coalesce(F.sum("_rows").over(order), F.lit(0)).alias("_before"))
 
 
-def beside(df: DataFrame, told: DataFrame, keys: Sequence[str]) -> DataFrame:
+def beside(df: DataFrame, told: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``df`` with the other columns of ``told``, which has one row for each value of ``keys`` (one row, without keys);
     null is a value."""
     if not keys:
-        return df.join(F.broadcast(told), F.lit(True))
+        return df.join(F.broadcast(told), F.lit(True), how)
     more = [c for c in told.columns if c not in keys]
     other = told.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)], *more)
-    joined = df.join(other, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    joined = df.join(other, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)], how)
     return joined.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
@@ -111,10 +111,14 @@ def with_windows(
     return made.drop("_i")
 
 
-def over_blocks(placed: DataFrame, keys: Sequence[str], make: Callable[[WindowSpec], dict[str, Column]], back: int, ahead: int, block: int = BLOCK) -> DataFrame:
-    """Windows over rows that carry their position ``_i``, in blocks of positions with a halo."""
+def over_blocks(placed: DataFrame, keys: Sequence[str], make: Callable[[WindowSpec], dict[str, Column]] | Sequence, back: int, ahead: int, block: int = BLOCK) -> DataFrame:
+    """Windows over rows that carry their position ``_i``, in blocks of positions with a halo. Several ``make`` follow one
+    another, each over what the last ones made; the halo is what they reach together."""
     of = lambda x: F.floor(x / F.lit(block))
     dealt = placed.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), of(F.col("_i") - ahead)), of(F.col("_i") + back))))
-    made = make(W.partitionBy(*keys, "_block").orderBy("_i"))
-    out = dealt.withColumns(made).filter(of(F.col("_i")) == F.col("_block"))
-    return out.select(*[F.col(f"`{c}`") for c in placed.columns if c not in made], *made)
+    order, out, new = W.partitionBy(*keys, "_block").orderBy("_i"), dealt, {}
+    for one in [make] if callable(make) else make:
+        made = one(order)
+        out, new = out.withColumns(made), new | made
+    out = out.filter(of(F.col("_i")) == F.col("_block"))
+    return out.select(*[F.col(f"`{c}`") for c in placed.columns if c not in new], *new)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.freq import Freq
+from .quantiles import exact_quantiles
+from .ranges import beside
 
 #: Method of a quantity type: a flow adds up, a stock has a last level, a rate is averaged.
 AUTO = {"flow": "sum", "stock": "last", "rate": "mean"}
@@ -68,7 +70,13 @@ def resample(
         value = F.col(name).cast("decimal(18,2)") if exact and method == "sum" else F.col(name)
         made = aggregate(method, value, F.col(ts), F.col(tie) if tie else None)
         cols[name] = made.cast("double") if exact and method == "sum" else made
-    got = _bucketed(df, keys, ts, freq).groupBy(*keys, "bucket").agg(*[c.alias(n) for n, c in cols.items()])
+    medians = [n for n, m in values.items() if m == "median"]
+    at = _bucketed(df, keys, ts, freq)
+    got = at.groupBy(*keys, "bucket").agg(*[c.alias(n) for n, c in cols.items() if n not in medians] or [F.lit(0).alias("_")])
+    for name in medians:  # a bucket may hold a third of all rows
+        middle = exact_quantiles(at, [*keys, "bucket"], name, [0.5])
+        got = beside(got, middle.select(*keys, "bucket", F.get("q", F.lit(0)).alias(name)), [*keys, "bucket"], "left")
+    got = got.select(*keys, "bucket", *values)
     if not dense:
         return got
     return densify(got, freq, keys, {n: 0.0 for n, m in values.items() if m in ("sum", "count")})

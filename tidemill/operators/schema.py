@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import name_tokens
+from ..sources.shared import kept
 from .ranges import cut, with_windows
 from .resample import detect_frequency
 
@@ -98,11 +99,21 @@ def coerce(df: DataFrame, columns: Sequence[str], fill: float | None = 0.0) -> t
     return df.select(*[(to_number(F.col(c), fill).alias(c) if c in columns else F.col(c)) for c in df.columns]), report
 
 
-def profile(df: DataFrame) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n_distinct) of all ``columns`` in one scan and one exchange: values are told by 128 bits of hash, made
+    distinct before they are shuffled, so a column of few values sends few rows."""
+    cells = [F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).cast("short").alias("i"), F.xxhash64(F.col(f"`{c}`")).alias("a"), F.xxhash64(F.lit(7), F.col(f"`{c}`")).alias("b"))) for i, c in enumerate(columns)]
+    values = df.select(F.explode(F.array(*cells)).alias("x")).filter("x is not null").select("x.*").distinct()
+    counts = values.groupBy("i").agg(F.count("*").alias("n"))
+    names = df.sparkSession.range(0, len(columns), 1, 1).select(F.col("id").cast("short").alias("i"), F.get(F.array(*[F.lit(c) for c in columns]), F.col("id").cast("int")).alias("column"))
+    return names.join(counts, "i", "left").select("column", F.coalesce("n", F.lit(0)).cast("long").alias("n_distinct"))
+
+
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per column: column, dtype, n, n_missing, n_distinct, min, max, is_event, is_hierarchy, parse_rate.
 
-    One pass over the table gives all but the distinct counts; those are a distinct of each column by itself, which reads
-    that column alone and combines before it shuffles, instead of one row for each column and row in one aggregate.
+    One pass over the table gives all but the distinct counts, a second one those of all columns together. Without
+    ``exact`` they are a sketch's in the first pass, and only text columns that may be hierarchies are counted.
 
     An event column holds 0 and 1 (or true and false) with at least one 1. A hierarchy column is text whose distinct
     values are few: at most 30 % of the rows (two at least) and fewer than the rows.
@@ -120,13 +131,17 @@ def profile(df: DataFrame) -> DataFrame:
         edge = lambda fn, c=c, flat=flat: F.lit(None).cast("string") if flat else fn(c).cast("string")
         parts.append(
             F.struct(
-                F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), n.alias("n"), F.count_if(c.isNull()).alias("n_missing"), F.lit(text).alias("_text"),
+                F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), n.alias("n"), F.count_if(c.isNull()).alias("n_missing"), F.lit(text).alias("_text"), F.lit(None).cast("long").alias("_about") if exact or flat else F.approx_count_distinct(c, 0.02).alias("_about"),
                 edge(F.min).alias("min"), edge(F.max).alias("max"), event.alias("is_event"), rate.alias("parse_rate"),
             ).alias(f"_{i}")
         )
     told = df.agg(*parts).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(parts))])))
-    kinds = [df.select(F.col(f"`{c}`").alias("x")).distinct().agg(F.lit(c).alias("column"), F.count("x").alias("n_distinct")) for c in df.columns]
-    made = told.join(F.broadcast(reduce(DataFrame.unionByName, kinds)), "column")  # a row a column
+    wanted = df.columns
+    if not exact:
+        told = kept(told, "profile")  # a row a column
+        wanted = [r["column"] for r in told.filter(F.col("_text") & (F.col("_about") <= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.35)))).collect()]
+    made = told.join(F.broadcast(distinct_counts(df, wanted)), "column", "left") if wanted else told.withColumn("n_distinct", F.lit(None).cast("long"))
+    made = made.withColumn("n_distinct", F.coalesce("n_distinct", "_about"))
     tier = F.col("_text") & (F.col("n_distinct") <= F.greatest(F.lit(2), F.ceil(F.col("n") * 0.3))) & (F.col("n_distinct") < F.col("n"))
     return made.select("column", "dtype", "n", "n_missing", "n_distinct", "min", "max", "is_event", tier.alias("is_hierarchy"), "parse_rate")
 
@@ -182,7 +197,7 @@ def guess_timestamp(df: DataFrame) -> str:
 
 def infer_roles(df: DataFrame) -> Roles:
     """Suggested roles: time, hierarchy (coarsest first), events, first other number dependent, the rest independent."""
-    rows = {r["column"]: r for r in profile(df).collect()}
+    rows = {r["column"]: r for r in profile(df, exact=False).collect()}
     time = guess_timestamp(df)
     tiers = sorted((c for c, r in rows.items() if r["is_hierarchy"] and c != time), key=lambda c: (rows[c]["n_distinct"], c))
     events = [c for c, r in rows.items() if r["is_event"] and c != time]

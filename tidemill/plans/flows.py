@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.freq import Freq, comparison
-from ..operators import decompose, features, forecast, hierarchy, interval, intermittency, missing, outliers, reconcile, resample, stats
+from ..operators import crossvar, decompose, features, forecast, hierarchy, interval, intermittency, missing, outliers, reconcile, resample, stats
 from ..sources.shared import kept
 from .results import flow
 from .session import Panel, Session
@@ -96,17 +96,28 @@ def rollup_hierarchy(panel: Panel, freq: str = "MS", method: str = "sum", value:
 
 @flow
 def prepare_features(panel: Panel, freq: str, horizon: int = 1, transform: str = "none", scaling: str = "none", keys: Sequence[str] = (), value: str | None = None, **options):
-    """Feature matrix with splits, future frame and transform advice."""
+    """Feature matrix with splits and the labels of each series, future frame and transform advice (auto: each its own)."""
     value, keys = value or panel.target, list(keys)
-    at = resample.resample(panel.df, freq, panel.methods(), keys, ts=panel.ts).withColumnRenamed("bucket", "ts")
+    at = kept(resample.resample(panel.df, freq, panel.methods(), keys, ts=panel.ts).withColumnRenamed("bucket", "ts"), "prepared")
     exog = {"independent": panel.roles.independent, "events": panel.roles.event}
-    advice = features.auto_transform(at, keys, value)
-    chosen = transform if transform != "auto" else (advice.groupBy("transform").count().orderBy(F.desc("count"), "transform").first() or ["none"])[0]
+    matrix = features.prepare(at, keys, "ts", value, transform, scaling, **exog, **options)
+    full = missing.impute(at.select(*keys, "ts", F.col(value).alias("v")), keys, "linear").select(*keys, "ts", F.col("imputed").alias("v"))
+    parts = decompose.stl(full, keys).withColumnRenamed("value", "v")
     return {
-        "matrix": features.prepare(at, keys, "ts", value, chosen, scaling, **exog, **options),
+        "matrix": features.with_labels(matrix, kept(parts, "components"), keys, exogenous=bool(panel.roles.independent or panel.roles.event)),
         "future": features.future_frame(at, keys, freq, horizon, "ts", value, **exog),
-        "advice": advice,
-    }, {"transform": chosen}
+        "advice": features.auto_transform(at, keys, value),
+    }, {"transform": transform}
+
+
+@flow
+def relate(panel: Panel, freq: str | None = None, dependent: str | None = None, max_lag: int = 20, after: int = 5, gain_lags: int = 8):
+    """Statistics, correlations, lags, event impact, predictive gain and recommended features of one dependent column
+    against the panel's independent and event columns; other dependent columns count as independent."""
+    chosen = dependent or panel.target
+    others = [c for c in panel.roles.dependent if c != chosen] + [c for c in panel.roles.independent if c != chosen]
+    at = panel.df if freq is None else resample.resample(panel.df, freq, panel.methods(), ts=panel.ts, dense=False).withColumnRenamed("bucket", panel.ts)
+    return crossvar.relations(at, chosen, others, panel.roles.event, panel.ts, max_lag, after, gain_lags), {"dependent": chosen, "independent": others, "events": panel.roles.event}
 
 
 @flow
@@ -132,7 +143,12 @@ def prepare_forecast(panel: Panel, freq: str, horizon: int = 12, holdout: int =
     sigma = forecast.error_sigma(chosen.filter("part = 'holdout'"), clean, keys)
     ahead = chosen.filter("part = 'future'").select(*keys, "model", "step", F.col("yhat").alias("forecast"))
     dated = ahead.join(forecast.future_index(clean, keys, horizon, freq), [*keys, "step"])
+    parts = kept(decompose.stl(clean, keys).withColumnRenamed("value", "v"), "components")
     return {
+        "components": parts,
+        "profile": features.series_profile(parts, keys),
+        "features": features.with_labels(features.prepare(clean, keys), parts, keys),
+        "future": features.future_frame(clean, keys, freq, horizon),
         "clean": clean,
         "outliers": flagged,
         "models": made,

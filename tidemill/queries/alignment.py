@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rounded
+from ..functions.scalars import money, rounded
 from ..operators import align as A
-from ..sources.panels import orders_daily, shipments_daily
+from ..sources.panels import orders_daily, shipments_daily, table
 from .common import DAILY, SHIPMENTS, r4
 
 QUERIES, ORACLES = {}, {}
@@ -50,6 +50,23 @@ def union_dates(spark, sf_dir):
     return A.union_times([orders_daily(spark, sf_dir), _sparse(spark, sf_dir)])
 
 
+SHIFT, HOURS = 8217, 30
+
+
+def align_asof(spark, sf_dir):
+    """The last day's orders at or before each event, by group of customers and users, if not over 30 hours ago. Order
+    days are shifted so that the last ones lie in the month of the events."""
+    days = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 5).cast("long").alias("k"), F.date_add(F.col("o_orderdate").cast("date"), SHIFT).alias("ts")).agg(money(F.col("o_totalprice")).alias("spent"))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 5).cast("long").alias("k"), "ts", "event_id")
+    return A.asof(events, days, ["spent"], ["k"], tolerance=HOURS * 3600).select("event_id", "k", "spent")
+
+
+QUERIES["align_asof"] = align_asof
+ORACLES["align_asof"] = f"""
+WITH days AS (SELECT o_custkey % 5 AS k, CAST(o_orderdate AS DATE) + {SHIFT} AS day, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1, 2),
+seen AS (SELECT event_id, user_id % 5 AS k, e.ts, CAST(d.day AS TIMESTAMP) AS day, spent FROM events e ASOF LEFT JOIN days d ON e.user_id % 5 = d.k AND e.ts >= CAST(d.day AS TIMESTAMP))
+SELECT event_id, k, CASE WHEN ts - day <= INTERVAL {HOURS} HOUR THEN spent END AS spent FROM seen"""
+
 QUERIES |= {"align_null": align_null, "align_zero": align_zero, "align_carry": align_carry, "align_inner": align_inner, "align_outer": align_outer, "align_semi": align_semi, "union_dates": union_dates}
 ORACLES |= {
     "align_null": f"{BOTH}, {SPARSE} SELECT ts, v, {r4('discount')} AS discount FROM daily LEFT JOIN sparse USING (ts)",

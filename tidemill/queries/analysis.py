@@ -185,6 +185,27 @@ d AS (SELECT abs((m1 - m0) / sqrt((v1 + v0) / 2)) AS d, abs((m1 - m0) / abs(m0)
 SELECT 'discount' AS variable, 'driver' AS kind, s OR (SELECT bool_or(r2 - base > 0.01) FROM r WHERE n >= 10) AS include, {r4("m")} AS strength, s AS significant FROM m
 UNION ALL SELECT 'event', 'event', d > 0.3, {r4("lift")}, d > 0.5 FROM d"""
 
+def relations(spark, sf_dir):
+    """The whole analysis of the price against one driver and one event in a single call: lags and recommendations."""
+    told = C.relations(shipments_daily(spark, sf_dir), "price", ["discount"], ["event"])
+    best = told["best"].select("variable", "best_lag", rounded(F.col("max_ccf")).alias("max_ccf"), "significant")
+    return best.join(told["recommendations"].select("variable", "kind", "include", rounded(F.col("strength")).alias("strength")), "variable")
+
+
+QUERIES["relations"] = relations
+_NORMED = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {n}" for c, n in (("price", "y"), ("discount", "d"), ("event", "e")))
+ORACLES["relations"] = f"""{GAIN},
+z AS MATERIALIZED (SELECT {_NORMED}, row_number() OVER (ORDER BY ts) AS i FROM shipments),
+c AS (SELECT k, avg(p.y * q.d) AS discount, avg(p.y * q.e) AS event FROM generate_series(-20, 20) AS t(k), z p JOIN z q ON q.i = p.i - k GROUP BY 1),
+both_sides AS (SELECT 'discount' AS variable, k, discount AS ccf FROM c UNION ALL SELECT 'event', k, event FROM c),
+m AS (SELECT variable, arg_max(k, abs(ccf) * 1e6 - k * 1e-6) AS k, arg_max(ccf, abs(ccf) * 1e6 - k * 1e-6) AS ccf FROM both_sides GROUP BY 1),
+f AS (SELECT avg(price) FILTER (event = 1) AS m1, avg(price) FILTER (event = 0) AS m0, var_samp(price) FILTER (event = 1) AS v1, var_samp(price) FILTER (event = 0) AS v0 FROM shipments),
+d AS (SELECT abs((m1 - m0) / sqrt((v1 + v0) / 2)) AS d, abs((m1 - m0) / abs(m0) * 100) AS lift FROM f),
+h AS (SELECT *, abs(ccf) > (SELECT 1.96 / sqrt(count(*)) FROM shipments) AS significant FROM m)
+SELECT variable, CAST(k AS INT) AS best_lag, {r4("ccf")} AS max_ccf, significant, CASE variable WHEN 'event' THEN 'event' ELSE 'driver' END AS kind,
+  CASE variable WHEN 'event' THEN d > 0.3 ELSE significant OR (SELECT bool_or(r2 - base > 0.01) FROM r WHERE n >= 10) END AS include,
+  {r4("CASE variable WHEN 'event' THEN lift ELSE abs(ccf) END")} AS strength FROM h, d"""
+
 ACF = f"""WITH {REGION}, e AS (SELECT r_name, v - avg(v) OVER (PARTITION BY r_name) AS d, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS i, count(*) OVER (PARTITION BY r_name) AS n FROM region_monthly),
 b AS (SELECT r_name, sum(d * d) + 1e-12 AS s, max(n) AS n FROM e GROUP BY 1),
 a AS (SELECT r_name, 0 AS lag, 1.0::DOUBLE AS acf, n FROM b UNION ALL

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CALENDAR, rounded
+from ..operators import decompose
 from ..operators import features as X
 from ..operators import windows as N
 from ..sources.panels import orders_daily, orders_panel, region_monthly, shipments_daily
 from .common import DAILY, PANEL, REGION, SHIPMENTS, long_count, r4
+from .decompositions import STL
 
 QUERIES, ORACLES = {}, {}
 SEGMENT = f"{PANEL}, seg AS (SELECT c_mktsegment, CAST(ts AS DATE) AS ts, CAST(sum(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS v FROM panel GROUP BY 1, 2)"
@@ -168,3 +170,40 @@ n AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS i, count(
 s AS (SELECT *, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM n),
 f AS (SELECT r_name, {", ".join(f"avg({c}) AS c_{c}, stddev_pop({c}) AS s_{c}" for c in _COLS)} FROM s WHERE split = 'train' GROUP BY 1)
 SELECT r_name, ts, split, {r4("target")} AS target, {", ".join(f"{r4(f'({c} - c_{c}) / s_{c}')} AS {c}" for c in _COLS)} FROM s JOIN f USING (r_name)"""
+
+
+def auto_transformed(spark, sf_dir):
+    """Every region's series under the transform advised for it: one shifted below zero, one made skew, others as they are."""
+    v = F.col("v")
+    at = region_monthly(spark, sf_dir).withColumn("v", F.when(F.col("r_name") == "ASIA", v - 1e7).when(F.col("r_name") == "EUROPE", F.exp(v / 2e6)).otherwise(v))
+    return X.transformed(at, ["r_name"], "ts", "v", "auto").select("r_name", "ts", rounded(F.col("y")).alias("y"))
+
+
+QUERIES["auto_transformed"] = auto_transformed
+ORACLES["auto_transformed"] = f"""
+WITH {REGION}, x AS (SELECT r_name, ts, CASE r_name WHEN 'ASIA' THEN v - 1e7 WHEN 'EUROPE' THEN exp(v / 2e6) ELSE v END AS v FROM region_monthly),
+s AS (SELECT r_name, min(v) AS least, skewness(v) AS skew FROM x GROUP BY 1)
+SELECT r_name, ts, {r4("CASE WHEN least <= 0 THEN v - lag(v) OVER (PARTITION BY r_name ORDER BY ts) WHEN abs(skew) > 1 THEN ln(1 + v) ELSE v END")} AS y FROM x JOIN s USING (r_name)"""
+
+
+def prepared_labels(spark, sf_dir):
+    """The feature matrix with the identity, class, strengths and model of each series in every row."""
+    at = region_monthly(spark, sf_dir)
+    matrix = X.prepare(at, ["r_name"], lags=(1, 12), rolling=(), with_calendar=False)
+    parts = decompose.stl(at, ["r_name"], 12).withColumnRenamed("value", "v")
+    got = X.with_labels(matrix, parts, ["r_name"], exogenous=True)
+    strength = [rounded(F.col(c)).alias(c) for c in ("trend_strength_Ft", "seasonal_strength_Fs")]
+    return got.select("r_name", "ts", "target", "lag_12", "split", "series_id", "hier_r_name", "model_type_recommendation", "intermittency_class", *strength, "has_exogenous")
+
+
+QUERIES["prepared_labels"] = prepared_labels
+ORACLES["prepared_labels"] = f"""
+WITH {STL},
+m AS (SELECT r_name, ts, v AS target, lag(v) OVER o AS a, lag(v, 12) OVER o AS lag_12 FROM region_monthly WINDOW o AS (PARTITION BY r_name ORDER BY ts)),
+w AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDER BY ts) AS k, count(*) OVER (PARTITION BY r_name) AS rows FROM m WHERE lag_12 IS NOT NULL),
+s AS (SELECT r_name, greatest(0.0, 1 - var_pop(residual) / (var_pop(trend + residual) + 1e-12)) AS ft, greatest(0.0, 1 - var_pop(residual) / (var_pop(seasonal + residual) + 1e-12)) AS fs,
+  count(*) / count(*) FILTER (v > 0) AS adi, power(coalesce(stddev_samp(v) FILTER (v > 0), 0.0) / (avg(v) FILTER (v > 0) + 1e-12), 2) AS cv2 FROM parts GROUP BY 1),
+c AS (SELECT *, CASE WHEN adi < 1.32 AND cv2 < 0.49 THEN 'Smooth' WHEN adi < 1.32 THEN 'Erratic' WHEN cv2 < 0.49 THEN 'Intermittent' ELSE 'Lumpy' END AS class FROM s)
+SELECT r_name, ts, target, lag_12, CASE WHEN k <= floor(rows * 0.7) THEN 'train' WHEN k <= floor(rows * 0.7) + floor(rows * 0.15) THEN 'validation' ELSE 'test' END AS split,
+  r_name AS series_id, r_name AS hier_r_name, CASE class WHEN 'Lumpy' THEN 'TSB' WHEN 'Intermittent' THEN 'SBA' WHEN 'Erratic' THEN 'LightGBM' ELSE CASE WHEN fs > 0.6 AND ft > 0.3 THEN 'LinearRegression' WHEN fs > 0.6 OR ft > 0.6 THEN 'ARIMAX' ELSE 'LinearRegression' END END AS model_type_recommendation,
+  class AS intermittency_class, {r4("ft")} AS trend_strength_Ft, {r4("fs")} AS seasonal_strength_Fs, true AS has_exogenous FROM w JOIN c USING (r_name)"""

@@ -229,3 +229,24 @@ def outlier_kernels(spark, sf_dir):
 
 
 QUERIES["outlier_isof_lof"] = outlier_kernels
+
+
+def outlier_lof(spark, sf_dir):
+    """Local outlier factors of each region's months, and the five per cent that stand out."""
+    at = region_monthly(spark, sf_dir)
+    flagged = O.detect(at, ["r_name"], ["lof"]).select("r_name", "ts", F.col("lof").alias("flag"))
+    scores = O.local_outlier_factor(at, ["r_name"])
+    return scores.join(flagged, ["r_name", "ts"]).select("r_name", "ts", rounded(F.col("lof"), 5).alias("lof"), "flag")
+
+
+QUERIES["outlier_lof"] = outlier_lof
+ORACLES["outlier_lof"] = f"""
+WITH {REGION},
+s AS MATERIALIZED (SELECT r_name, ts, v, row_number() OVER (PARTITION BY r_name ORDER BY v, ts) AS i, least(20, count(*) OVER (PARTITION BY r_name) - 1) AS k FROM region_monthly),
+near AS MATERIALIZED (SELECT * FROM (
+  SELECT a.r_name, a.i, b.i AS j, a.k, abs(b.v - a.v) AS d, row_number() OVER (PARTITION BY a.r_name, a.i ORDER BY abs(b.v - a.v), b.i) AS place
+  FROM s a JOIN s b ON a.r_name = b.r_name AND a.i <> b.i AND abs(a.i - b.i) <= 20) WHERE place <= k),
+reach AS (SELECT r_name, i, max(d) AS reach FROM near GROUP BY 1, 2),
+thick AS MATERIALIZED (SELECT n.r_name, n.i, 1 / (avg(greatest(n.d, r.reach)) + 1e-10) AS density FROM near n JOIN reach r ON r.r_name = n.r_name AND r.i = n.j GROUP BY 1, 2),
+f AS (SELECT n.r_name, n.i, avg(t.density) / max(o.density) AS lof FROM near n JOIN thick t ON t.r_name = n.r_name AND t.i = n.j JOIN thick o ON o.r_name = n.r_name AND o.i = n.i GROUP BY 1, 2)
+SELECT r_name, ts, {r4("lof", 5)} AS lof, lof > quantile_cont(lof, 0.95) OVER (PARTITION BY r_name) AS flag FROM f JOIN s USING (r_name, i)"""

@@ -33,7 +33,7 @@ ORACLES["profile_columns"] = " UNION ALL ".join(
 
 def detect_events(spark, sf_dir):
     """Event columns of the labels table."""
-    return S.profile(table(spark, sf_dir, "labels")).select("column", "is_event")
+    return S.profile(table(spark, sf_dir, "labels"), exact=False).select("column", "is_event")
 
 
 QUERIES["detect_events"] = detect_events
