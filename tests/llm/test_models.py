@@ -190,10 +190,18 @@ def some_units(rng, units, docs=6):
     return [[" ".join(rng.choice(words) for _ in range(rng.randrange(25))).encode() for _ in range(docs)] for _ in range(units)]
 
 
-def test_buckets_answer_with_all_counts():
-    """Counts of words, and best next word, its count and total of two-word contexts, against plain counting."""
+@pytest.mark.parametrize("hot", [False, True])
+def test_buckets_answer_with_all_counts(hot):
+    """Counts of words, and best next word, its count and total of two-word contexts, against plain counting.
+
+    hot: a context of over 200,000 occurrences, and a text that holds most of those of another.
+    """
     rng = random.Random(4)
     units, buckets = some_units(rng, 5), 3
+    if hot:
+        for k in range(3):
+            units[k] += [b"x y p " * 40_000 + b"x y q " * 30_000, b"a b c " * 200]
+        units[4].append(b"a b c " * 2000)
     training = [True, True, False, True, True]
     counts, after = Counter(), {}
     split = lambda t: [*t.split(), b"<end>"]
@@ -217,7 +225,11 @@ def test_buckets_answer_with_all_counts():
     assert told.tolist() == [len(counts), sum(n == 1 for n in counts.values()), counts.total()]
     model = mixing.Model(16, counts.total(), len(counts), np.zeros(0, np.uint64), huffman(np.array([5])), np.zeros(2, bool))
     for k, texts in enumerate(units):
-        (coding,) = mixing.code(model, mixing.Tokens(texts), training[k], answered[k], buckets)
+        _, _, best, total = mixing._unpacked([a["packed"] for a in answered[k]])
+        here = {(a, b) for t in texts for a, b in zip([b"", b"", *split(t)], [b"", *split(t)][: len(split(t))])}
+        left = [(c.most_common(1)[0][1], c.total()) for context, c in after.items() if context in here and (c.total() > 1 or not training[k])]
+        assert sorted(x for x in zip(best.tolist(), total.tolist()) if x[1]) == sorted(left)
+        (coding,) = mixing.code(model, mixing.Tokens(texts), training[k], answered[k], buckets, most=1 << 30)
         words = [w for t in texts for w in split(t)]
         assert coding.counts.tolist() == [counts[w] for w in words]
         flags, at = dict(zip(coding.flag_at.tolist(), coding.flag_bit.tolist())), 0

@@ -150,8 +150,10 @@ def ask(tokens: Tokens, training: bool, buckets: int) -> pa.RecordBatch:
         after, m, n = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros_like(n)
     cuts = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     arrays = [pa.array(np.arange(buckets, dtype=np.int32)), _binaries(words, word_cuts), _binaries(n.astype("<i4"), word_cuts)]
-    arrays += [_binaries((keys & np.uint64(0xFFFFFFFF)).astype("<u4"), cuts), _binaries(np.ascontiguousarray(after.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).view("V3").ravel(), cuts), _binaries(np.minimum(m, 255).astype(np.uint8), cuts)]
-    made = pa.RecordBatch.from_arrays(arrays, names=["bucket", "words", "n", "keys", "after", "m"])
+    arrays += [_binaries((keys & np.uint64(0xFFFFFFFF)).astype("<u4"), cuts), _binaries(np.ascontiguousarray(after.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).view("V3").ravel(), cuts), _binaries(np.minimum(m, MANY).astype(np.uint8), cuts)]
+    large = m >= MANY  # a byte holds most counts; what these have beyond it follows in a column of its own
+    arrays.append(_binaries((m[large] - MANY).astype("<i8"), np.concatenate(([0], np.cumsum(large)))[cuts]))
+    made = pa.RecordBatch.from_arrays(arrays, names=["bucket", "words", "n", "keys", "after", "m", "more"])
     return made.filter(pa.array((np.diff(word_cuts) > 0) | (np.diff(cuts) > 0)))
 
 
@@ -170,25 +172,27 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
 
     A last row with unit -1 tells of the bucket: number of words with counts, of words seen once, and the ``top`` ones.
     """
-    columns = [[b.column(k).cast(pa.binary()) for b in rows] for k in range(2, 7)]
+    columns = [[b.column(k).cast(pa.binary()) for b in rows] for k in range(2, 8)]
     (words, row), (n, _) = _joined(columns[0], "<u8"), _joined(columns[1], "<i4")
     kinds, back = np.unique(words, return_inverse=True)
     totals = np.bincount(back, n, len(kinds)).astype(np.int64)
     units = np.concatenate([b.column(0).to_numpy() for b in rows])
     word_cuts = np.searchsorted(row, np.arange(len(units) + 1))
-    (keys, row), (low, _), (m, _) = (_joined(c, k) for c, k in zip(columns[2:], ("<u4", "u1", "u1")))
+    (keys, row), (low, _), (m, _), (more, _) = (_joined(c, k) for c, k in zip(columns[2:], ("<u4", "u1", "u1", "<i8")))
+    m = m.astype(np.int64)
+    m[m == MANY] += more
     after = np.pad(low.reshape(-1, 3), ((0, 0), (0, 1))).view("<u4").ravel()
     own = m > 0  # asked by a training unit
     pair = keys.astype(np.uint64) << np.uint64(32) | after
     order = np.argsort(pair, kind="stable")
-    pair, m = pair[order], m[order].astype(np.int64)
+    pair, m = pair[order], m[order]
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
     m = np.add.reduceat(m, first) if len(first) else m
     key, then = pair[first] >> np.uint64(32), pair[first] & NEXT
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(m, first) if len(first) else m
     most = np.maximum.reduceat(m << 24 | (NEXT - then).astype(np.int64), first) if len(first) else m  # of equal counts, the least hash
-    best, then = most >> 24, NEXT.astype(np.int64) - (most & int(NEXT))
+    best, then = most >> 24, NEXT.astype(np.int64) - (most & int(NEXT))  # counts up to 2^39 fit
     fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))) if len(keys) else np.zeros(0, bool)
     at = np.searchsorted(key[first], keys[fresh])
     cuts = np.searchsorted(row[fresh], np.arange(len(units) + 1))
@@ -201,9 +205,12 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
     told = (total[at] > 0) & ((total[at] > 1) | ~own[fresh])  # what was seen once tells nothing to the text that has it
     at = at[told]
     counted = np.concatenate(([0], np.cumsum(told)))[cuts]
-    heads = [then[at].astype("<u4"), np.minimum(best[at], 65535).astype("<u2"), np.minimum(total[at], 65535).astype("<u2")]
-    made = [PACKED.pack(n.itemsize, b - a, d - c, f - e) + n[a:b].tobytes() + np.packbits(told[c:d]).tobytes() + b"".join([x[e:f].tobytes() for x in heads])
-            for a, b, c, d, e, f in zip(word_cuts[:-1], word_cuts[1:], cuts[:-1], cuts[1:], counted[:-1], counted[1:])]
+    then, best, total = then[at].astype("<u4"), best[at], total[at]
+    made = []
+    for a, b, c, d, e, f in zip(word_cuts[:-1], word_cuts[1:], cuts[:-1], cuts[1:], counted[:-1], counted[1:]):
+        kind = "<u2" if total[e:f].max(initial=0) < 1 << 16 else "<i8"  # counts are never cut: an own text's are taken off them
+        heads = then[e:f].tobytes() + best[e:f].astype(kind).tobytes() + total[e:f].astype(kind).tobytes()
+        made.append(HEAD.pack(n.itemsize, b - a, d - c, f - e, np.dtype(kind).itemsize) + n[a:b].tobytes() + np.packbits(told[c:d]).tobytes() + heads)
     arrays = [pa.array(np.append(units, -1)), pa.array(np.full(len(units) + 1, bucket, np.int32)), pa.array([*made, _packed(*about)], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, names=["unit", "bucket", "packed"])
 
@@ -211,7 +218,9 @@ def answer(rows: list[pa.RecordBatch], top: int) -> pa.RecordBatch:
 ANSWER = "unit long, bucket int, packed binary"
 #: Next words are told apart by so many bits of their hash.
 NEXT = np.uint64(0xFFFFFF)
-PACKED = struct.Struct("<4I")
+PACKED, HEAD = struct.Struct("<4I"), struct.Struct("<5I")
+#: A unit's counts of a pair from here on take more than their byte.
+MANY = 255
 
 
 def _packed(*parts: np.ndarray) -> bytes:
@@ -236,13 +245,13 @@ def _unpacked(values: list[bytes]) -> list[np.ndarray]:
     the answers of its buckets in order."""
     counts, heads = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in range(3)]
     for value in values:
-        width, words, contexts, told = PACKED.unpack_from(value)
-        at = PACKED.size
+        width, words, contexts, told, size = HEAD.unpack_from(value)
+        at = HEAD.size
         counts.append(np.frombuffer(value, f"<u{width}", words, at).astype(np.int64))
         at += words * width
         where = np.unpackbits(np.frombuffer(value, np.uint8, -(-contexts // 8), at), count=contexts).astype(bool)
         at += -(-contexts // 8)
-        for head, kind in zip(heads, ("<u4", "<u2", "<u2")):
+        for head, kind in zip(heads, ("<u4", f"<u{size}", f"<u{size}")):
             whole = np.zeros(contexts, np.int64)
             whole[where] = np.frombuffer(value, kind, told, at)
             at += told * np.dtype(kind).itemsize
@@ -627,7 +636,7 @@ def _answers(units: DataFrame, buckets: int, top: int) -> DataFrame:
         if rows:
             yield answer(rows, top)
 
-    asked = units.select("unit", "role", "sizes", "text").mapInArrow(asking, "unit long, bucket int, words binary, n binary, keys binary, after binary, m binary")
+    asked = units.select("unit", "role", "sizes", "text").mapInArrow(asking, "unit long, bucket int, words binary, n binary, keys binary, after binary, m binary, more binary")
     return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(answering, ANSWER)
 
 
