@@ -74,6 +74,17 @@ def choose_method(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str
     return both.withColumn("method", method)
 
 
+def report(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v", filled: DataFrame | None = None) -> DataFrame:
+    """A row a series: n, n_missing, pct_missing, pattern, method advised, n_gaps, max_gap, mean_gap, and n_missing_after,
+    what is still missing in ``filled`` (keys, imputed), null without it."""
+    told = choose_method(df, keys, ts, value)
+    share = (100 * F.col("n_missing") / F.col("n")).alias("pct_missing")
+    told = told.select(*keys, "n", "n_missing", share, "pattern", "method", "n_gaps", "max_gap", "mean_gap")
+    if filled is None:
+        return told.withColumn("n_missing_after", F.lit(None).cast("long"))
+    return joined_by(told, filled.groupBy(*keys).agg(F.count_if(F.col("imputed").isNull()).alias("n_missing_after")), list(keys), "left")
+
+
 def imputed(value: str, method: str, w, order, period: int = 7) -> Column:
     """Imputed column for a method; ``w`` partitions the series, ``order`` is the same window in time order."""
     v = F.col(value)

@@ -165,3 +165,15 @@ def treat(detected: DataFrame, keys: Sequence[str], treatment: str = "cap", valu
 def worst(detected: DataFrame, ts: str = "ts", most: int = 10) -> DataFrame:
     """The report's list: the highest scores, earliest first among equals."""
     return detected.filter("is_outlier").orderBy(F.desc("score"), ts).limit(most)
+
+
+def report(detected: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """A row a series: n, n_outliers, pct_outliers, high, medium and low, mean and spread with and without the outliers,
+    and the fences."""
+    v, hit = F.col(value), F.col("is_outlier")
+    of = lambda level: F.count_if(F.col("severity") == level).alias(level.lower())
+    told = detected.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.count_if(hit).alias("n_outliers"), (100 * F.avg(hit.cast("int"))).alias("pct_outliers"), of("HIGH"), of("MEDIUM"), of("LOW"),
+        F.avg(v).alias("mean"), F.avg(F.when(~hit, v)).alias("mean_without"), F.stddev_samp(v).alias("std"), F.stddev_samp(F.when(~hit, v)).alias("std_without"),
+    )
+    return beside(told, fences(detected, keys, value), list(keys), "left")

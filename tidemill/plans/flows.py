@@ -36,9 +36,11 @@ def analyze_series(panel: Panel, freq: str, value: str | None = None, period: in
         "series": at,
         "imputed": full,
         "gaps": missing.gap_summary(at, keys),
+        "gap_report": missing.report(at, keys, filled=full.withColumnRenamed("v", "imputed")),
         "components": parts.join(smooth, [*keys, "ts"]),
         "strength": stats.strengths(parts, keys),
         "outliers": flagged,
+        "outlier_report": outliers.report(flagged, keys),
         "demand": intermittency.recommendations(intermittency.classify(full, keys)),
         "tests": stats.series_tests(full, keys, period, shapiro_too=True),
         "summary": full.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()]),
@@ -165,9 +167,9 @@ def reconciled_forecast(panel: Panel, freq: str, horizon: int = 13, strategy: st
     if not levels:
         raise ValueError("reconciliation needs hierarchy columns")
     leaves = resample.resample(panel.df, freq, {value: "sum"}, levels, ts=panel.ts, dense=False)
-    history = hierarchy.rollup(leaves, levels, "bucket", {"v": F.sum(value)})
+    history = kept(hierarchy.rollup(leaves, levels, "bucket", {"v": F.sum(value)}), "history")  # base, weights, nodes and summary read it
     dense = resample.densify(history, freq, levels, {"v": 0.0})
-    base = forecast.automatic(dense, levels, horizon, freq, "bucket", "v", allow_negative).drop("model")
+    base = kept(forecast.automatic(dense, levels, horizon, freq, "bucket", "v", allow_negative).drop("model"), "base")
     made = reconcile.reconcile(base, history, levels, strategy, middle)
     out = {"history": history, "base": base, "nodes": hierarchy.nodes(history, levels), "weights": reconcile.child_weights(history, levels)}
     if overrides is not None:

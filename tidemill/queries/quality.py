@@ -9,7 +9,7 @@ from ..operators import missing as M
 from ..operators import outliers as O
 from ..operators import resample as R
 from ..sources.panels import event_readings, orders_daily, region_monthly
-from .common import DAILY, READINGS, REGION, r4
+from .common import DAILY, READINGS, REGION, long_count, r4
 
 QUERIES, ORACLES = {}, {}
 KEY = ["event_type"]
@@ -76,6 +76,21 @@ SELECT event_type, coalesce(m, 0) AS max_gap, pattern,
   CASE WHEN n_missing = 0 THEN 'none' WHEN m <= 2 THEN 'linear' WHEN m <= 7 THEN 'spline' WHEN pattern = 'MAR (end-of-series)' THEN 'forward_fill' ELSE 'seasonal' END AS method
 FROM p LEFT JOIN s USING (event_type)"""
 
+def gap_report(spark, sf_dir):
+    """The gaps of each series in one row: share, pattern, advised method, runs."""
+    got = M.report(readings(spark, sf_dir), KEY).drop("n_missing_after")
+    return got.select("event_type", "n", "n_missing", rounded(F.col("pct_missing")).alias("pct_missing"), "pattern", "method", "n_gaps", "max_gap", rounded(F.col("mean_gap")).alias("mean_gap"))
+
+
+QUERIES["gap_report"] = gap_report
+ORACLES["gap_report"] = f"""
+WITH {RUNS}, {PATTERN}, s AS (SELECT event_type, CAST(count(*) AS BIGINT) AS n_gaps, max(length) AS m, avg(length) AS mean_gap FROM runs GROUP BY 1),
+t AS (SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM readings GROUP BY 1)
+SELECT event_type, n, n_missing, {r4("100 * n_missing / n")} AS pct_missing, pattern,
+  CASE WHEN n_missing = 0 THEN 'none' WHEN m <= 2 THEN 'linear' WHEN m <= 7 THEN 'spline' WHEN pattern = 'MAR (end-of-series)' THEN 'forward_fill' ELSE 'seasonal' END AS method,
+  coalesce(n_gaps, 0) AS n_gaps, coalesce(m, 0) AS max_gap, {r4("coalesce(mean_gap, 0.0)")} AS mean_gap
+FROM p JOIN t USING (event_type) LEFT JOIN s USING (event_type)"""
+
 IMPUTE = {
     "forward_fill": "last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING)",
     "backward_fill": "first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
@@ -250,3 +265,18 @@ reach AS (SELECT r_name, i, max(d) AS reach FROM near GROUP BY 1, 2),
 thick AS MATERIALIZED (SELECT n.r_name, n.i, 1 / (avg(greatest(n.d, r.reach)) + 1e-10) AS density FROM near n JOIN reach r ON r.r_name = n.r_name AND r.i = n.j GROUP BY 1, 2),
 f AS (SELECT n.r_name, n.i, avg(t.density) / max(o.density) AS lof FROM near n JOIN thick t ON t.r_name = n.r_name AND t.i = n.j JOIN thick o ON o.r_name = n.r_name AND o.i = n.i GROUP BY 1, 2)
 SELECT r_name, ts, {r4("lof", 5)} AS lof, lof > quantile_cont(lof, 0.95) OVER (PARTITION BY r_name) AS flag FROM f JOIN s USING (r_name, i)"""
+
+
+def outlier_report(spark, sf_dir):
+    """Each region's outliers in one row: counts by severity, moments with and without them, fences."""
+    got = O.report(O.detect(region_monthly(spark, sf_dir), ["r_name"], ["iqr", "zscore"], iqr=1.0, z=1.5), ["r_name"])
+    return got.select("r_name", "n", "n_outliers", "high", "medium", "low", *[rounded(F.col(c), 2).alias(c) for c in ("pct_outliers", "mean", "mean_without", "std", "std_without", "lower", "upper")])
+
+
+QUERIES["outlier_report"] = outlier_report
+ORACLES["outlier_report"] = f"""
+WITH {REGION}, s AS (SELECT r_name, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b, avg(v) AS m, stddev_pop(v) AS s FROM region_monthly GROUP BY 1),
+x AS (SELECT r_name, v, (v < a - (b - a) OR v > b + (b - a))::INT + (CASE WHEN s > 0 THEN abs(v - m) / s > 1.5 ELSE false END)::INT AS k, a - 1.5 * (b - a) AS lower, b + 1.5 * (b - a) AS upper FROM region_monthly JOIN s USING (r_name))
+SELECT r_name, {long_count()} AS n, CAST(count(*) FILTER (k > 0) AS BIGINT) AS n_outliers, CAST(count(*) FILTER (k = 2) AS BIGINT) AS high, CAST(count(*) FILTER (k = 1) AS BIGINT) AS medium, CAST(0 AS BIGINT) AS low,
+  {r4("100 * count(*) FILTER (k > 0) / count(*)", 2)} AS pct_outliers, {r4("avg(v)", 2)} AS mean, {r4("avg(v) FILTER (k = 0)", 2)} AS mean_without, {r4("stddev_samp(v)", 2)} AS std, {r4("stddev_samp(v) FILTER (k = 0)", 2)} AS std_without,
+  {r4("max(lower)", 2)} AS lower, {r4("max(upper)", 2)} AS upper FROM x GROUP BY 1"""
