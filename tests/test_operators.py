@@ -180,9 +180,9 @@ def test_outliers_and_treatment(spark):
             bad()
 
 
-def test_local_outlier_factor_finds_the_far_point():
+def test_isolation_finds_the_far_point():
     x = np.concatenate((np.linspace(0, 1, 30), [9.0]))
-    assert np.argmax(outliers.lof_scores(x, 5)) == 30 == np.argmax(outliers.isolation_scores(x))
+    assert np.argmax(outliers.isolation_scores(x)) == 30
 
 
 def test_decomposition_finds_the_period(spark):
