@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def _of(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+def _bound(body: Callable[[Column], Column], **arguments: Column) -> Column:
+    """``body`` of a struct of arguments that are worked out once a row, however often it names them."""
+    return F.get(F.transform(F.array(F.struct(*[c.cast("double").alias(n) for n, c in arguments.items()])), body), F.lit(0))
+
+
 def lgamma(x: Column) -> Column:
     """Logarithm of the gamma function of a positive number: Stirling's series eight places on."""
     y = x + 8
@@ -23,7 +29,10 @@ def lgamma(x: Column) -> Column:
 
 def gamma_tail(a: Column | float, x: Column) -> Column:
     """Upper regularised incomplete gamma function Q(a, x): a power series below a + 1, a continued fraction beyond."""
-    a, log_a = _of(a), lgamma(_of(a)) if isinstance(a, Column) else F.lit(math.lgamma(a))
+    return _bound(lambda s: _gamma_tail(s["a"], s["x"], s["log_a"]), a=_of(a), x=x, log_a=lgamma(a) if isinstance(a, Column) else F.lit(math.lgamma(a)))
+
+
+def _gamma_tail(a: Column, x: Column, log_a: Column) -> Column:
     front = F.exp(a * F.log(x) - x - log_a)
     steps = (60 + 12 * F.ceil(F.sqrt(a))).cast("int")
     start = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
@@ -54,7 +63,10 @@ def _beta_fraction(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 def beta_below(a: Column | float, b: Column | float, x: Column, y: Column | None = None) -> Column:
     """Regularised incomplete beta function I(x; a, b); y is 1 - x where that is known without rounding."""
-    a, b, y = _of(a), _of(b), 1 - x if y is None else y
+    return _bound(lambda s: _beta_below(s["a"], s["b"], s["x"], s["y"]), a=_of(a), b=_of(b), x=x, y=1 - x if y is None else y)
+
+
+def _beta_below(a: Column, b: Column, x: Column, y: Column) -> Column:
     low = x < (a + 1) / (a + b + 2)
     return F.when(x.isNull() | a.isNull() | b.isNull(), None).when(x <= 0, 0.0).when(y <= 0, 1.0).when(low, _beta_fraction(a, b, x, y)).otherwise(1 - _beta_fraction(b, a, y, x))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.shared import kept
-from .ranges import Cut, beside, cut, with_windows
+from .ranges import Cut, beside, cut, settled, with_windows
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,6 +49,9 @@ def ccf(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ts: str = "ts",
     """
     keys = list(keys)
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = known.select(*keys, ts, x, y)
+    if at is None:
+        known = kept(known, "pair")
     moments = {f"_{f}{c}": fn(c) for c in (x, y) for f, fn in (("m", F.avg), ("s", F.stddev_pop))}
     if keys:
         told = known.groupBy(*keys).agg(F.count("*").alias("_n"), *[m.alias(name) for name, m in moments.items()])
@@ -81,8 +84,8 @@ def best_lag(correlations: DataFrame, n: int, keys: Sequence[str] = ()) -> DataF
 def event_impact(df: DataFrame, dependent: str, event: str, ts: str = "ts", after: int = 5, at: Cut | None = None) -> DataFrame:
     """Means on and off the event, lift, Cohen's d and the mean of the ``after`` rows behind events."""
     d, on = F.col(dependent), F.col(event) == 1
-    known = df.filter(d.isNotNull() & F.col(event).isNotNull())
-    behind = with_windows(known, [], ts, lambda order: {"_after": F.avg(dependent).over(order.rowsBetween(1, after))}, ahead=after, at=at or cut(known, ts))
+    known, at = settled(df.filter(d.isNotNull() & F.col(event).isNotNull()).select(ts, dependent, event), ts, at)
+    behind = with_windows(known, [], ts, lambda order: {"_after": F.avg(dependent).over(order.rowsBetween(1, after))}, ahead=after, at=at)
     made = behind.agg(
         F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), F.avg(F.when(on, d)).alias("mean_on"), F.avg(F.when(~on, d)).alias("mean_off"),
         F.var_samp(F.when(on, d)).alias("_v1"), F.var_samp(F.when(~on, d)).alias("_v0"), F.avg(F.when(on, F.col("_after"))).alias("mean_after"),
@@ -106,9 +109,10 @@ def _r2_two(y: Column, a: Column, x: Column) -> Column:
 def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_lag: int = 8, rows: int | None = None, at: Cut | None = None) -> DataFrame:
     """Per lag: R2 of y on its last value, R2 with the lagged driver added, the gain, and whether it is useful."""
     known = df.filter(F.col(dependent).isNotNull() & F.col(driver).isNotNull()).select(ts, F.col(dependent).alias("y"), F.col(driver).alias("_x"))
-    if at is None or rows is None:
-        seen = cut(known, ts)
-        at, rows = at or seen, seen.facts["n"] if rows is None else rows
+    if at is None:
+        known, at = settled(known, ts)
+        rows = at.facts["n"] if rows is None else rows
+    rows = known.count() if rows is None else rows
     top = max(1, min(max_lag, rows // 4))
     lagged = lambda order: {"a": F.lag("y").over(order)} | {f"x{k}": F.lag("_x", k).over(order) for k in range(1, top + 1)}
     moved = with_windows(known, [], ts, lagged, back=top, at=at)

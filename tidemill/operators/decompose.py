@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .ranges import BLOCK, Cut, beside, cut, over_blocks, positions
+from .ranges import BLOCK, Cut, beside, over_blocks, positions, settled
 from .spectrum import dominant_period, spectrum
 
 #: Series under so many values are left out.
@@ -69,7 +69,7 @@ def stl(df: DataFrame, keys: Sequence[str], period: int | None = None, ts: str =
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("value"))
-    at = at or cut(known, ts)
+    known, at = settled(known, ts, at)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_ROWS)
     wanted = F.lit(period)
     if period is None:
@@ -117,8 +117,9 @@ def hp(df: DataFrame, keys: Sequence[str], penalty: float = 1600.0, ts: str = "t
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("value"))
+    known, at = settled(known, ts, at)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_ROWS)
-    placed = beside(positions(known, keys, ts, at or cut(known, ts)), sizes, keys).drop("_n")
+    placed = beside(positions(known, keys, ts, at), sizes, keys).drop("_n")
     halo = math.ceil(60 * max(1.0, penalty) ** 0.25)
     of = lambda x: F.floor(x / F.lit(block))
     dealt = placed.withColumn("_block", F.explode(F.sequence(F.greatest(F.lit(0), of(F.col("_i") - halo)), of(F.col("_i") + halo))))

@@ -16,7 +16,7 @@ from . import intermittency
 from .kernels import by_series
 from .missing import joined_by
 from .models import run_models
-from .ranges import Cut, beside, cut, over_blocks, positions
+from .ranges import Cut, beside, cut, over_blocks, positions, settled
 from .regress import least_squares
 from .windows import ordered
 
@@ -67,7 +67,7 @@ def linear_forecast(df: DataFrame, keys: Sequence[str], horizon: int, holdout: i
     keys, exog = list(keys), list(exog)
     lags = [1, 2] + ([period] if period > 2 else [])
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_e{i}") for i, c in enumerate(exog)])
-    at = at or cut(known, ts)
+    known, at = settled(known, ts, at)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("y").alias("_low"))
     sizes = sizes.withColumn("_h", F.least(F.lit(holdout), F.floor(F.col("_n") / 3))).filter((F.col("_h") > 0) & (F.col("_n") > F.col("_h") + 6))
     placed = beside(positions(known, keys, ts, at), sizes, keys)
@@ -185,7 +185,7 @@ def automatic(df: DataFrame, keys: Sequence[str], horizon: int, freq: str | Freq
     part = lambda m: at.filter(F.col("model") == m)
     made = drift(at.filter(F.col("model").isin("drift", "repeat")), keys, horizon, ts, value)
     made = made.unionByName(seasonal_naive(part("seasonal_naive"), keys, horizon, period, ts, value))
-    ranges = cut(known, ts)
+    ranges = cut(df, ts)
     for m in ("sba", "tsb"):
         made = made.unionByName(intermittency.family_forecast(part(m), keys, m, horizon, ts, value, at=ranges).drop("model"))
     out = joined_by(made, how, keys)

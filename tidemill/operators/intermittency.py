@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranges import Cut, cut
+from .ranges import Cut, settled
 
 #: Class: models that suit it, best first.
 RECOMMENDED = {
@@ -104,7 +104,8 @@ def demand_folds(df: DataFrame, keys: Sequence[str], ts: str, value: str, alpha:
 
 def croston_forecast(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v", alpha: float = 0.1, at: Cut | None = None) -> DataFrame:
     """One-step Croston: size from the first demand, interval from 1; null under two demands."""
-    s = demand_folds(df, keys, ts, value, alpha, 0.0, at or cut(df, ts))
+    df, at = settled(df.select(*keys, ts, value), ts, at)
+    s = demand_folds(df, keys, ts, value, alpha, 0.0, at)
     size, gap = F.col("first") * F.col("size_weight") + F.col("size"), F.col("size_weight") + F.col("gap")
     return s.select(*keys, F.when(F.col("hits") >= 2, size / gap).alias("forecast"))
 
@@ -113,7 +114,8 @@ def family_forecast(df: DataFrame, keys: Sequence[str], method: str, horizon: in
     """croston, sba or tsb over a horizon (flat, never negative): keys, model, step, forecast; 0 without demand."""
     if method not in ("croston", "sba", "tsb"):
         raise ValueError(f"unknown method {method!r}")
-    s = demand_folds(df, keys, ts, value, alpha, beta, at or cut(df, ts))
+    df, at = settled(df.select(*keys, ts, value), ts, at)
+    s = demand_folds(df, keys, ts, value, alpha, beta, at)
     if method == "tsb":  # the first demand also updates a size that starts at it, which changes nothing
         level = (F.col("first") * F.col("size_weight") + F.col("size")) * (F.col("prob_weight") * F.col("hits") / F.col("n") + F.col("prob"))
     else:

@@ -13,7 +13,7 @@ from ..sources.shared import kept
 from .kernels import per_series
 from .missing import joined_by
 from .quantiles import exact_quantiles
-from .ranges import BLOCK, Cut, beside, cut, over_blocks, positions
+from .ranges import BLOCK, Cut, beside, over_blocks, positions, settled
 
 KERNELS = ("isof", "lof")
 
@@ -35,8 +35,9 @@ def local_outlier_factor(df: DataFrame, keys: Sequence[str], ts: str = "ts", val
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
+    known, at = settled(known, "_v", at)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n >= 5").select(*keys, F.least(F.lit(k), F.col("_n") - 1).cast("int").alias("_k"))
-    placed = beside(positions(known, keys, "_v", at or cut(known, "_v"), ties=[ts]), sizes, keys)
+    placed = beside(positions(known, keys, "_v", at, ties=[ts]), sizes, keys)
     mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.col("_k")
     around = lambda name, what: lambda order: {name: F.collect_list(F.struct("_i", what)).over(order.rowsBetween(-k, k))}
     others = F.filter("_around", lambda x: x["_i"] != F.col("_i"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
+from ..sources.shared import kept
+
 #: Rows of a block, and about the rows of a range; there are ``MOST`` ranges at most.
 BLOCK, MOST = 1 << 17, 256
 
@@ -61,6 +63,15 @@ def cut(df: DataFrame, ts: str = "ts", ranges: int | None = None, block: int = B
     return Cut(tuple(dict.fromkeys(picked)), kind, block, seen)
 
 
+def settled(df: DataFrame, ts: str = "ts", at: Cut | None = None) -> tuple[DataFrame, Cut]:
+    """A table that several branches are about to read, and its cut: without ``at`` it is stored and cut here; who passes
+    a cut has read the table before and looks after that."""
+    if at is not None:
+        return df, at
+    stored = kept(df, "series")
+    return stored, cut(stored, ts)
+
+
 def _runs(ranged: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _range, _before): rows of a series in the ranges before each; one small row a range."""
     counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"), F.min(F.lit(0)).alias("_one"))

@@ -51,8 +51,10 @@ def time_columns(df: DataFrame) -> list[str]:
 
 
 def parsed(column: Column, patterns: Sequence[str] = PATTERNS) -> Column:
-    """Timestamp of a text under the first pattern that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in patterns]).cast("timestamp_ntz")
+    """Timestamp of a text under the first pattern that fits; null if none does. Texts with other characters than the
+    patterns have are not tried: each failure costs an exception."""
+    tried = F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in patterns])
+    return F.when(column.rlike(r"^[-+0-9/: ]+$"), tried).cast("timestamp_ntz")
 
 
 def parse_scores(df: DataFrame, column: str, choices: dict[str, Sequence[str]], ranges: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import Cut, beside, cut, positions
+from .ranges import Cut, beside, positions, settled
 
 
 def _turned(re: Column, im: Column, angle: Column) -> tuple[Column, Column]:
@@ -67,10 +67,11 @@ def spectrum(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", value: str
     """
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
+    known, at = settled(known, ts, at)
     sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("_mean"))
     divisors = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(F.col("n")))), lambda d: F.col("n") % d == 0)
     sizes = sizes.filter("n > 1").withColumn("_r", F.array_max(divisors))
-    points = beside(positions(known, keys, ts, at or cut(known, ts)), sizes, keys).select(*keys, "n", "_r", "_i", (F.col("_v") - F.col("_mean")).alias("_re"))
+    points = beside(positions(known, keys, ts, at), sizes, keys).select(*keys, "n", "_r", "_i", (F.col("_v") - F.col("_mean")).alias("_re"))
     good = F.col("_r") >= F.pow(F.col("n"), F.lit(chirp))
     return _direct(points.filter(good), keys).unionByName(_chirped(points.filter(~good), keys))
 

@@ -14,7 +14,7 @@ from ..functions.special import chi2_tail, t_below, t_tails
 from ..sources.shared import kept
 from .decompose import stl
 from .kernels import by_series, median_slope, shapiro
-from .ranges import Cut, beside, cut, with_windows
+from .ranges import Cut, beside, settled, with_windows
 from .regress import least_squares
 from .windows import ordered
 
@@ -76,7 +76,8 @@ def adf(df: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "v", at
     stationary under -2.86. A series with fewer than six steps has statistic 0 and p value 1."""
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, F.col(value).cast("double").alias("_v"))
     before = lambda order: {"_a": F.lag("_v").over(order), "_b": F.lag("_v").over(order) - F.lag("_v", 2).over(order)}
-    moved = with_windows(known, keys, ts, before, back=2, at=at or cut(known, ts)).withColumn("_y", F.col("_v") - F.col("_a"))
+    known, at = settled(known, ts, at)
+    moved = with_windows(known, keys, ts, before, back=2, at=at).withColumn("_y", F.col("_v") - F.col("_a"))
     fit = least_squares(moved, keys, "_y", ["_a", "_b"])
     few = F.col("n") < 5
     made = fit.withColumn("statistic", F.when(few, 0.0).otherwise(F.get("coef", F.lit(0)) / (F.get("error", F.lit(0)) + 1e-12)))
@@ -88,7 +89,8 @@ def arch_lm(df: DataFrame, keys: Sequence[str], lags: int = 5, ts: str = "ts", v
     """Squares regressed on their last ``lags``: keys, n, statistic (n times R2), p_value (the tail of chi-squared)."""
     known = df.filter(F.col(value).isNotNull()).select(*keys, ts, (F.col(value) * F.col(value)).cast("double").alias("_s"))
     xs = [f"_s{k}" for k in range(1, lags + 1)]
-    moved = with_windows(known, keys, ts, lambda order: {x: F.lag("_s", k + 1).over(order) for k, x in enumerate(xs)}, back=lags, at=at or cut(known, ts))
+    known, at = settled(known, ts, at)
+    moved = with_windows(known, keys, ts, lambda order: {x: F.lag("_s", k + 1).over(order) for k, x in enumerate(xs)}, back=lags, at=at)
     fit = least_squares(moved, keys, "_s", xs).withColumn("n", F.col("n") + lags).withColumn("statistic", F.col("n") * F.col("r2"))
     return fit.select(*keys, "n", "statistic", chi2_tail(F.col("statistic"), lags).alias("p_value"))
 
@@ -128,7 +130,7 @@ def series_tests(df: DataFrame, keys: Sequence[str], period: int | None = None,
     call for, ljung_box and arch_lm of the residual of ``decompose.stl``, trend. All in windows and aggregates, but for
     the normality of residuals that ``shapiro_too`` adds."""
     keys = list(keys)
-    at = at or cut(df, ts)
+    df, at = settled(df.select(*keys, ts, value), ts, at)
     parts = kept(stl(df, keys, period, ts, value, at), "components")  # six tests read it
     series = parts.select(*keys, ts, F.col("value").alias(value))
     a, k = adf(series, keys, ts, value, at), kpss(series, keys, ts, value)
