@@ -14,12 +14,22 @@ from ..sources.shared import kept
 from .ranges import Cut, beside, cut, settled, with_windows
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two columns that are null in the same rows, as an aggregate: NaN where one of them never changes, null
+    without rows. Spark's ``corr`` divides by zero there, which is an error in ANSI mode."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as rows (a, b, corr), all in one aggregate; each pair is worked out once."""
+    """Pairwise-complete Pearson correlations as rows (a, b, corr), all in one aggregate; each pair is worked out once.
+
+    A pair of which one column never changes has NaN, a pair without rows null.
+    """
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-    one = df.agg(*[F.nanvl(both(a, b), F.lit(None)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    both = lambda a, b: pearson(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
+    one = df.agg(*[both(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     both_ways = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("corr")) for a, b, i in both_ways])
     return one.select(F.inline(rows))
