@@ -7,6 +7,7 @@ import pytest
 
 from tidemill.operators import crossvar
 from tidemill.queries import ORACLES, QUERIES
+from tidemill.sources.panels import shipments_daily
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -39,3 +40,21 @@ def test_correlations_without_a_spread_or_rows(spark):
     got = {(r.a, r.b): r["corr"] for r in crossvar.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert got["a", "a"] == pytest.approx(1) and math.isnan(got["a", "b"]) and math.isnan(got["b", "b"]) and math.isnan(got["c", "a"])
     assert got["b", "c"] is None and got["c", "b"] is None
+
+
+@pytest.mark.parametrize("flags", ["NA", "R", "RNNA"])
+def test_relations_without_or_with_events_equal_sql(spark, tmp_path, flags):
+    found, wanted = both(spark, lines(spark, tmp_path, 90, flags), "relations")
+    assert found == wanted and len(found) == 2
+
+
+@pytest.mark.parametrize("steady", [{"discount": lambda i: 0}, {"price": lambda i: 8}])
+@pytest.mark.parametrize("name", ["relations", "granger_proxy", "event_impact", "feature_recommendations"])
+def test_relations_of_a_steady_driver_or_price_equal_sql(spark, tmp_path, steady, name):
+    found, wanted = both(spark, lines(spark, tmp_path, 90, "RNNAN", **steady), name)
+    assert found == wanted
+
+
+def test_gains_of_a_steady_driver_are_not_useful(spark, tmp_path):
+    got = crossvar.lagged_gain(shipments_daily(spark, lines(spark, tmp_path, discount=lambda i: 0)), "price", "discount").collect()
+    assert len(got) == 8 and all(math.isnan(r.gain) and not r.useful for r in got)

@@ -21,6 +21,11 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it, NaN or infinite where b is 0; ``/`` is an error there in ANSI mode."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations as rows (a, b, corr), all in one aggregate; each pair is worked out once.
 
@@ -100,10 +105,11 @@ def event_impact(df: DataFrame, dependent: str, event: str, ts: str = "ts", afte
         F.count_if(on).alias("n_on"), F.count_if(~on).alias("n_off"), F.avg(F.when(on, d)).alias("mean_on"), F.avg(F.when(~on, d)).alias("mean_off"),
         F.var_samp(F.when(on, d)).alias("_v1"), F.var_samp(F.when(~on, d)).alias("_v0"), F.avg(F.when(on, F.col("_after"))).alias("mean_after"),
     )
-    effect = (F.col("mean_on") - F.col("mean_off")) / F.sqrt((F.col("_v1") + F.col("_v0")) / 2)
+    more = F.col("mean_on") - F.col("mean_off")
+    effect = quotient(more, F.sqrt((F.col("_v1") + F.col("_v0")) / 2))
     size = F.abs(F.col("cohens_d"))
     return (
-        made.withColumn("lift_pct", (F.col("mean_on") - F.col("mean_off")) / F.abs("mean_off") * 100)
+        made.withColumn("lift_pct", quotient(more, F.abs("mean_off")) * 100)
         .withColumn("cohens_d", effect)
         .withColumn("effect", F.when(size > 0.8, "large").when(size > 0.5, "medium").otherwise("small"))
         .drop("_v1", "_v0")
@@ -111,13 +117,14 @@ def event_impact(df: DataFrame, dependent: str, event: str, ts: str = "ts", afte
 
 
 def _r2_two(y: Column, a: Column, x: Column) -> Column:
-    """R2 of y on a and x from their three correlations, 0 at least."""
-    ya, yx, ax = F.corr(y, a), F.corr(y, x), F.corr(a, x)
-    return F.greatest(F.lit(0.0), (ya * ya + yx * yx - 2 * ya * yx * ax) / (1 - ax * ax))
+    """R2 of y on a and x from their three correlations, 0 at least; NaN where one of them never changes."""
+    ya, yx, ax = pearson(y, a), pearson(y, x), pearson(a, x)
+    return F.greatest(F.lit(0.0), quotient(ya * ya + yx * yx - 2 * ya * yx * ax, 1 - ax * ax))
 
 
 def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_lag: int = 8, rows: int | None = None, at: Cut | None = None) -> DataFrame:
-    """Per lag: R2 of y on its last value, R2 with the lagged driver added, the gain, and whether it is useful."""
+    """Per lag: R2 of y on its last value, R2 with the lagged driver added, the gain, and whether it is useful. Gains of a
+    column that never changes are NaN and not useful."""
     known = df.filter(F.col(dependent).isNotNull() & F.col(driver).isNotNull()).select(ts, F.col(dependent).alias("y"), F.col(driver).alias("_x"))
     if at is None:
         known, at = settled(known, ts)
@@ -126,7 +133,7 @@ def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_
     top = max(1, min(max_lag, rows // 4))
     lagged = lambda order: {"a": F.lag("y").over(order)} | {f"x{k}": F.lag("_x", k).over(order) for k in range(1, top + 1)}
     moved = with_windows(known, [], ts, lagged, back=top, at=at)
-    base = F.corr(F.when(F.col("a").isNotNull(), F.col("y")), F.col("a"))
+    base = pearson(F.when(F.col("a").isNotNull(), F.col("y")), F.col("a"))
     aggs = [F.pow(base, 2).alias("_base")]
     for k in range(1, top + 1):
         whole = F.col("a").isNotNull() & F.col(f"x{k}").isNotNull()
@@ -134,7 +141,7 @@ def lagged_gain(df: DataFrame, dependent: str, driver: str, ts: str = "ts", max_
         aggs += [_r2_two(keep("y"), keep("a"), keep(f"x{k}")).alias(f"_r{k}"), F.count_if(whole).alias(f"_n{k}")]
     one = moved.agg(*aggs)
     rows_of = F.array(*[F.struct(F.lit(k).alias("lag"), F.col("_base").alias("base_r2"), F.col(f"_r{k}").alias("r2"), (F.col(f"_r{k}") - F.col("_base")).alias("gain"), F.col(f"_n{k}").alias("n")) for k in range(1, top + 1)])
-    return one.select(F.inline(rows_of)).filter("n >= 10").withColumn("useful", F.col("gain") > 0.01)
+    return one.select(F.inline(rows_of)).filter("n >= 10").withColumn("useful", (F.col("gain") > 0.01) & ~F.isnan("gain"))
 
 
 def recommend(correlated: DataFrame, gains: DataFrame, impacts: DataFrame) -> DataFrame:
